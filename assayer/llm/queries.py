@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import bpe, language_id, license_scan, quality, repetition, simhash, token_count
+from assayer.llm import (
+    bpe, decontaminate, language_id, license_scan, personal_data, quality, repetition, sharding, simhash, token_count
+)
 from assayer.llm.base import load
 from assayer.llm.vocabulary import read_vocabulary
 
@@ -31,10 +34,27 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), vocabulary)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256")
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_spans(load(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in personal_data.KINDS[:-1]]
+    base = F.sha2(personal_data.written(personal_data.KINDS[:-1]).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, personal_data.written(personal_data.KINDS).alias("spans"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(load(spark, sf_dir, "documents"), sharding.balanced())
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
@@ -50,6 +70,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_token_count, op3_bpe, op6_simhash, op8_quality, op9_repetition, op10_licenses)
+    for f in (
+        op1_language_id, op2_token_count, op3_bpe, op4_decontaminate, op5_personal_data,
+        op6_simhash, op7_sharding, op8_quality, op9_repetition, op10_licenses,
+    )
 }
 ORACLES: dict[str, str] = {}

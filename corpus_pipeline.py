@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, language_id, simhash
+from assayer.llm import bpe, decontaminate, language_id, personal_data, simhash
 from assayer.llm.base import cut, load
 from assayer.llm.queries import tokenizer_path
 from assayer.llm.vocabulary import read_vocabulary
@@ -30,6 +30,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it taken out of their texts."""
+    return personal_data.sanitise(docs)
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the token ids of each document and of their decoding."""
     return bpe.round_trip(docs, read_vocabulary(tokenizer_path("byte_bpe_50k.json")))
@@ -38,6 +48,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", known_language),
     ("near_dedup", one_of_each),
+    ("decontaminate", no_benchmark),
+    ("personal_data", no_personal_data),
     ("bpe", encoded),
 ]
 
