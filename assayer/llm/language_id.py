@@ -109,7 +109,7 @@ class Model:
         total = counts.sum(axis=0, keepdims=True)
         logs = np.log(counts + alpha) - np.log(total + alpha * BUCKETS)
         self.matrix = np.vstack([logs, np.zeros((1, len(languages)))]).astype(np.float32)
-        self.prior = np.log(docs + 1.0) - np.log((docs + 1.0).sum())
+        self.prior = np.log(docs + 1.0) - np.log(max(1.0, (docs + 1.0).sum()))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Best language and its probability for each text."""

@@ -4,8 +4,9 @@ Trusted positives are rows labelled 1; every other row of the learning folds is
 unlabelled web text, whatever its label. A logistic model over a fixed list of
 text measures minimises the non-negative unbiased risk: the positive part, plus
 the unlabelled part freed of its positives and never let below zero. The share
-of positives among the unlabelled is estimated from the scores of a first model
-that tells the two samples apart, by the best bin over all thresholds.
+of positives among the unlabelled is estimated from the scores of first models
+that tell the two samples apart, each fitted on one half and read on the other,
+by the best bin over all thresholds.
 
 The fit reads a bounded sample of rows, chosen by a hash of their id, and runs on
 the driver; the model is a few hundred numbers. Scores use every character of
@@ -28,7 +29,7 @@ from assayer.llm.base import held_out, map_texts, pick
 #: About so many positives and so many unlabelled rows are read for the fit.
 FIT_ROWS = 12_000
 THRESHOLD = 0.7
-STEPS, RATE, BATCH, SEED = 1500, 0.02, 1024, 7
+STEPS, RATE, BATCH, SEED, DECAY = 1500, 0.02, 1024, 7, 1.0
 SYMBOLS = "#*$%&|<>~^=_{}[]\\@+"
 MEASURES = 20
 
@@ -80,11 +81,13 @@ def _spread(raw: np.ndarray, middle: np.ndarray, width: np.ndarray) -> np.ndarra
     return np.hstack([np.ones((len(x), 1)), x, x * x / 4])
 
 
-def _adam(size: int, gradient, steps: int = STEPS) -> np.ndarray:
-    """Weights after ``steps`` of Adam on a noisy gradient."""
+def _adam(size: int, gradient, decay: float, steps: int = STEPS) -> np.ndarray:
+    """Weights after ``steps`` of Adam on a noisy gradient; all but the constant decay."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    rest = np.ones(size)
+    rest[0] = 0.0
     for t in range(1, steps + 1):
-        g = gradient(w) + 1e-4 * w
+        g = gradient(w) + decay * rest * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -117,12 +120,22 @@ class Model:
         some = lambda rows: rows[random.integers(0, len(rows), BATCH)]
         mean = lambda rows, scale: (rows * scale[:, None]).mean(axis=0)
 
-        def apart(w: np.ndarray) -> np.ndarray:
-            a, b = some(p), some(u)
-            return mean(a, _sigmoid(a @ w) - 1) + mean(b, _sigmoid(b @ w))
+        decay = lambda rows: 1e-4 + DECAY / len(rows)
+
+        def told_apart(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+            def gradient(w: np.ndarray) -> np.ndarray:
+                a, b = some(p), some(u)
+                return mean(a, _sigmoid(a @ w) - 1) + mean(b, _sigmoid(b @ w))
+
+            return _adam(p.shape[1], gradient, decay(p), STEPS // 2)
 
-        first = _adam(p.shape[1], apart, STEPS // 2)
-        self.prior = prior = estimate_prior(p @ first, u @ first)
+        scored: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in (0, 1):
+            mine, other = (p[k::2], u[k::2]), (p[1 - k :: 2], u[1 - k :: 2])
+            if all(map(len, mine + other)):
+                w = told_apart(*mine)
+                scored.append((other[0] @ w, other[1] @ w))
+        self.prior = prior = float(np.mean([estimate_prior(*s) for s in scored])) if scored else 0.5
 
         def risk(w: np.ndarray) -> np.ndarray:
             a, b = some(p), some(u)
@@ -132,7 +145,7 @@ class Model:
                 return -negative
             return prior * mean(a, yes - 1) + negative
 
-        self.weights = _adam(p.shape[1], risk)
+        self.weights = _adam(p.shape[1], risk, decay(p))
 
     def score(self, texts: list[str | None]) -> list[float]:
         """Chance of label 1 for each text."""
