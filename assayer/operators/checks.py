@@ -144,11 +144,22 @@ def indexes(facts: DataFrame, pack: RulePack, reached: DataFrame) -> DataFrame:
     return met.groupBy("primary", "index_name", "key").agg(first.alias("f")).select("primary", "index_name", "key", "f.location")
 
 
+def met_in(asked: DataFrame, reached: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
+    """doc_id and ``keys`` of what is asked for and some document that the asking one reaches holds (columns holder and ``keys``).
+
+    What is asked is joined with the few documents it reaches and then looked up
+    there, so a large document is not repeated for each one that imports it.
+    """
+    at = reached.select(F.col("primary").alias("doc_id"), F.col("doc_id").alias("holder"))
+    return asked.select("doc_id", *keys).distinct().join(at, "doc_id").join(held, ["holder", *keys], "left_semi").select("doc_id", *keys).distinct()
+
+
 def cross_references(facts: DataFrame, pack: RulePack, reached: DataFrame, complete: DataFrame) -> DataFrame:
     """Keys that no entry of their index carries; settled only if the index is built and every import was supplied."""
     rows = selections(facts, pack, "index-has-key")
-    entries = indexes(facts, pack, reached).select(F.col("primary").alias("doc_id"), "index_name", "key")
-    absent = rows.join(entries, ["doc_id", "index_name", "key"], "left_anti").join(complete, "doc_id", "left")
+    entries = selections(facts, pack, "index").select(F.col("doc_id").alias("holder"), "index_name", "key").distinct()
+    carried = met_in(rows.select("doc_id", "index_name", "key"), reached, entries, "index_name", "key")
+    absent = rows.join(carried, ["doc_id", "index_name", "key"], "left_anti").join(complete, "doc_id", "left")
     settled = F.coalesce("complete", F.lit(True)) & F.col("built")
     why = (
         F.when(settled, "Every document that it could reach was supplied, so it resolves to nothing.")
@@ -231,12 +242,16 @@ def identifiers(facts: DataFrame) -> DataFrame:
     )
 
 
-def declared(facts: DataFrame, reached: DataFrame) -> DataFrame:
-    """primary, what, value: identifiers declared anywhere in the documents that a primary reaches."""
+def named_identifiers(facts: DataFrame) -> DataFrame:
+    """doc_id, what, value: identifiers that documents declare."""
     rows = of_kind(facts, "scalar").where("jtype = 'string'")
     what = F.when(F.col("title").isin(*DECLARING), F.col("title")).when(F.col("name") == "uuid", F.lit("uuid"))
-    named = rows.select("doc_id", what.alias("what"), "value").where("what IS NOT NULL").distinct()
-    return reached.select("primary", "doc_id").join(named, "doc_id").select("primary", "what", "value").distinct()
+    return rows.select("doc_id", what.alias("what"), "value").where("what IS NOT NULL").distinct()
+
+
+def declared(facts: DataFrame, reached: DataFrame) -> DataFrame:
+    """primary, what, value: identifiers declared anywhere in the documents that a primary reaches."""
+    return reached.select("primary", "doc_id").join(named_identifiers(facts), "doc_id").select("primary", "what", "value").distinct()
 
 
 def open_references(facts: DataFrame, reached: DataFrame) -> DataFrame:
@@ -247,11 +262,13 @@ def open_references(facts: DataFrame, reached: DataFrame) -> DataFrame:
         wanted = F.when(F.col("title") == title, target).otherwise(wanted)
         said = F.when(F.col("title") == title, words).otherwise(said)
     rows = rows.select("doc_id", "pointer", "name", "value", wanted.alias("wanted"), said.alias("said"))
-    known = declared(facts, reached).withColumnRenamed("primary", "doc_id")
-    typed = rows.where("wanted IS NOT NULL").join(known.withColumnRenamed("what", "wanted"), ["doc_id", "wanted", "value"], "left_anti")
+    held = named_identifiers(facts).withColumnRenamed("doc_id", "holder")
+    typed = rows.where("wanted IS NOT NULL")
+    typed = typed.join(met_in(typed, reached, held.withColumnRenamed("what", "wanted"), "wanted", "value"), ["doc_id", "wanted", "value"], "left_anti")
     loose = rows.where((F.col("name") == "href") & F.col("value").startswith("#") & F.col("wanted").isNull())
     loose = loose.withColumn("bare", F.expr("substr(value, 2)"))
-    loose = loose.join(known.select("doc_id", F.col("value").alias("bare")).distinct(), ["doc_id", "bare"], "left_anti").drop("bare")
+    anything = held.select("holder", F.col("value").alias("bare")).distinct()
+    loose = loose.join(met_in(loose, reached, anything, "bare"), ["doc_id", "bare"], "left_anti").drop("bare")
     loose = loose.withColumn("said", F.lit("an object by its identifier"))
     return typed.select(*rows.columns).unionByName(loose.select(*rows.columns))
 

@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.durable import cut
 from assayer.errors import Refusal
 from assayer.operators import checks, findings, imports, suggest
 from assayer.operators.evaluate import evaluate
@@ -24,7 +25,8 @@ def validate(documents: DataFrame, pack: RulePack, primaries: DataFrame | None =
     """Findings of the primaries (doc_id; all documents if not given), each judged with all other documents supplied.
 
     The facts are kept on disk while the checks read them; lost parts are
-    computed again from the documents.
+    computed again from the documents. Each check is a job of its own whose
+    findings are cut, so no plan holds all of them at once.
     """
     facts = evaluate(documents, pack).persist(StorageLevel.DISK_ONLY)
     refuse_unreadable(facts)
@@ -32,16 +34,18 @@ def validate(documents: DataFrame, pack: RulePack, primaries: DataFrame | None =
     own = facts.join(mine, "doc_id", "left_semi") if primaries is not None else facts
     scalars = facts.where("kind = 'scalar'")
     met, reached = imports.closure(mine, scalars, documents.select(F.col("doc_id").cast("string").alias("doc_id")))
-    complete = imports.completeness(mine, met)
-    found = findings.union([
+    complete = cut(imports.completeness(mine, met))
+    refs = checks.references(facts, reached, complete)
+    parts = [
         imports.import_findings(met),
         checks.structure(own),
         checks.datatypes(own, pack),
         checks.constraints(facts, pack, reached, complete).join(mine, "doc_id", "left_semi"),
         checks.identifiers(own),
-        suggest.with_suggestions(checks.references(facts, reached, complete), facts, reached) if with_suggestions else checks.references(facts, reached, complete),
+        suggest.with_suggestions(cut(refs), facts, reached) if with_suggestions else refs,
         checks.versions(own, pack),
-    ]).join(mine, "doc_id", "left_semi")
-    merged = findings.merge_references(found)
+    ]
+    found = findings.union([cut(p) for p in parts]).join(mine, "doc_id", "left_semi")
+    merged = cut(findings.merge_references(found))
     skew = findings.as_findings(checks.version_skew(own, pack, merged))
     return findings.finalize(findings.as_findings(merged).unionByName(skew))
