@@ -73,6 +73,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows measured to be no larger than this travel by broadcast; beyond it Spark plans the join by shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows, to be broadcast in a join if their measured size is at most ``limit``; give cut rows, they are read twice."""
+    written = F.octet_length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    return F.broadcast(df) if (df.agg(F.sum(written)).first()[0] or 0) <= limit else df
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Small pieces of a batch, so that only a few texts are Python strings at once."""
     for start in range(0, batch.num_rows, rows):
