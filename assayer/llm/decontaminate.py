@@ -25,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import cut, numbered, pick, position_of
+from assayer.llm.base import BROADCAST_BYTES, broadcast_if_small, cut, numbered, pick, position_of
 from assayer.llm.native_text import plain_words
 
 WINDOW, SHINGLE = 13, 3
-BROADCAST_BYTES = 16 << 20
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
@@ -149,6 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, of documents that are not contaminated."""
     names = docs.columns
     who, what = (f"c{position_of(names, n)}" for n in ("doc_id", "text"))
-    bad = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
+    bad = judge(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
+    bad = broadcast_if_small(cut(bad.distinct()))
     same = F.col(who).eqNullSafe(F.col("d")) & (F.xxhash64(what) == F.col("m"))
     return numbered(docs).join(bad, same, "left_anti").toDF(*names)

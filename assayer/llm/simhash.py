@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import cut, map_texts, numbered, pick, position_of
+from assayer.llm.base import broadcast_if_small, cut, map_texts, numbered, pick, position_of
 from assayer.llm.components import components
 
 WORDS, SEED, NEAR = 4, 42, 4
@@ -114,13 +114,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     who, what = (f"c{position_of(names, n)}" for n in ("doc_id", "text"))
     rows = fingerprints(docs)
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
-    stays = rows.join(_classes(rows), "fp").groupBy("root").agg(F.min(order).alias("s"), F.count("*").alias("n"))
-    repeated = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("times")).where("times > 1")
-    stays = stays.select(F.col("s.doc_id").alias("s_id"), F.col("s.mark").alias("s_mark"))
-    again = repeated.select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"))
+    stays = rows.join(_classes(rows), "fp").groupBy("root").agg(F.min(order).alias("s")).select("s.doc_id", "s.mark")
+    counted = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
+    stays = stays.select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"))
+    one = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark"))
+    gone = counted.join(stays, one, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark"))
+    again = counted.where("times > 1").join(stays, one, "left_semi").select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"))
+    gone, again = broadcast_if_small(cut(gone)), broadcast_if_small(cut(again))
     plain = numbered(docs).withColumn("mark", F.xxhash64(what))
-    is_kept = F.col(who).eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark"))
-    kept = plain.join(stays, is_kept, "left_semi")
+    kept = plain.join(gone, F.col(who).eqNullSafe(F.col("g_id")) & (F.col("mark") == F.col("g_mark")), "left_anti")
     is_again = F.col(who).eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark"))
     once = kept.join(again, is_again, "left_anti")
     one_of = kept.join(again, is_again, "left_semi").dropDuplicates([who, "mark"])
