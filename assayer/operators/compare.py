@@ -17,7 +17,7 @@ def identified(rows: DataFrame) -> DataFrame:
     """One row an identity, the last in report order if it occurs again."""
     cited = rows.withColumn("citation", F.col("rule.citation"))
     last = Window.partitionBy("doc_id", *IDENTITY).orderBy(*[F.col(c).desc() for c in ORDER])
-    return cited.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+    return cited.withColumn("_turn", F.row_number().over(last)).where("_turn = 1").drop("_turn")
 
 
 def differs(a: str, b: str) -> Column:

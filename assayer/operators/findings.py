@@ -89,7 +89,7 @@ def merge_references(rows: DataFrame, precedence: str = "check") -> DataFrame:
     first = Window.partitionBy("doc_id", "at", "of").orderBy(
         (F.col("code") != "REFERENCE_UNVERIFIABLE").cast("int"), precedence, *ORDER
     )
-    kept = keyed.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "at", "of")
+    kept = keyed.withColumn("_turn", F.row_number().over(first)).where("_turn = 1").drop("_turn", "at", "of")
     return rows.where(~is_reference).unionByName(kept)
 
 

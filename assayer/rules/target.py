@@ -23,6 +23,7 @@ TOKEN = re.compile(r"\s*(//|/|\||\(|\)|\[|\]|,|=|@|\.(?![A-Za-z0-9_-])|'[^']*'|\
 class Test:
     """A predicate: equals, starts, namespace or child."""
 
+    __test__ = False
     kind: str
     name: str = ""
     values: tuple[str, ...] = ()
