@@ -175,14 +175,19 @@ def cross_references(facts: DataFrame, pack: RulePack, reached: DataFrame, compl
 
 
 def cardinality(facts: DataFrame, pack: RulePack) -> DataFrame:
-    """Contexts with fewer or more selected nodes than declared, contexts without any included."""
+    """Contexts with fewer or more selected nodes than declared, contexts without any included.
+
+    A context and each of its nodes is one fact, so one count over both kinds of facts gives all numbers, zero too.
+    """
     table = rules_table(facts.sparkSession, pack).where("rule_kind = 'has-cardinality'")
-    contexts = of_kind(facts, "context").select("doc_id", "rule", F.col("pointer").alias("context")).distinct()
-    counted = of_kind(facts, "selected").groupBy("doc_id", "rule", "context").agg(F.countDistinct("pointer").alias("n"))
-    rows = contexts.join(counted, ["doc_id", "rule", "context"], "left").join(F.broadcast(table), "rule").withColumn("n", F.coalesce("n", F.lit(0)))
-    outside = (F.col("n") < F.col("at_least")) | (F.col("n") > F.col("at_most"))
+    rows = of_kind(facts, "context", "selected").join(F.broadcast(table), "rule")
+    is_node = F.col("kind") == "selected"
+    rows = rows.withColumn("context", F.when(is_node, F.col("context")).otherwise(F.col("pointer")))
+    said = ("severity", "target", "citation", "at_least", "at_most")
+    rows = rows.groupBy("doc_id", "rule", "context", *said).agg(F.count(F.when(is_node, 1)).alias("n"))
+    outside = F.coalesce(F.col("n") < F.col("at_least"), F.lit(False)) | F.coalesce(F.col("n") > F.col("at_most"), F.lit(False))
     bounds = F.concat_ws(" and ", text("at least ", F.col("at_least").cast("string")), text("at most ", F.col("at_most").cast("string")))
-    return rows.where(F.coalesce(F.col("n") < F.col("at_least"), F.lit(False)) | F.coalesce(F.col("n") > F.col("at_most"), F.lit(False)) | F.coalesce(outside, F.lit(False))).select(
+    return rows.where(outside).select(
         "doc_id", F.lit("CONSTRAINT_CARDINALITY").alias("code"), "severity", F.col("context").alias("location"), F.col("target").alias("prop"),
         text(F.col("n").cast("string"), " present").alias("value"), text("There must be ", bounds, " of ", F.col("target"), " here.").alias("message"),
         rule(F.col("citation")).alias("rule"),

@@ -231,8 +231,8 @@ def key_parts(pack: RulePack, key: KeyField, value: Any) -> list[str | None]:
 class Reader:
     """Facts of documents by one pack; automata are kept between documents."""
 
-    def __init__(self, pack: RulePack) -> None:
-        self.pack = pack
+    def __init__(self, pack: RulePack, kinds: tuple[str, ...] | None = None) -> None:
+        self.pack, self.kinds = pack, None if kinds is None else frozenset(kinds)
         self.automata: dict[str, Automaton] = {}
 
     def facts(self, text: str | None) -> list[dict[str, Any]]:
@@ -249,8 +249,8 @@ class Reader:
             self._meet(raw)
             self._visit(automaton, automaton.root(root), root, model, "/" + escaped(model), raw, [None, root], ["", raw])
         except Unreadable as error:
-            return [{"kind": "error", "detail": str(error)}]
-        return [row | {"model": model, "ord": k} for k, row in enumerate(self.out)]
+            return [{"kind": "error", "detail": str(error)}] if self.kinds is None or "error" in self.kinds else []
+        return [row | {"model": model, "ord": k} for k, row in enumerate(self.out) if self.kinds is None or row["kind"] in self.kinds]
 
     def model(self, value: Any) -> str:
         """The one document root; anything beside it is a refusal."""
@@ -304,7 +304,7 @@ class Reader:
                 self.out.append({"kind": kind, "pointer": safe, "name": name, "detail": detail})
         if state.outcome == "array" and state.low is not None and len(value) < state.low:
             self.out.append({"kind": "short", "pointer": safe, "name": name, "low": state.low, "found": len(value)})
-        if state.outcome == "scalar":
+        if state.outcome == "scalar" and (self.kinds is None or "scalar" in self.kinds):
             shape = state.shape
             self.out.append({
                 "kind": "scalar", "pointer": safe, "name": name, "value": str(value), "jtype": json_type(value), "title": shape.title,
@@ -336,12 +336,15 @@ class Reader:
             self.out.append(base | {"kind": "value", "pointer": f"{raw}/{name}", "value": str(value[name])})
 
 
-def evaluate(documents: DataFrame, pack: RulePack) -> DataFrame:
-    """Facts of every document (doc_id, text). The pack, which is as large as its rules, goes out by broadcast."""
+def evaluate(documents: DataFrame, pack: RulePack, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts of every document (doc_id, text), or those of some kinds only, which saves sending the others to Spark.
+
+    The pack, which is as large as its rules, goes out by broadcast.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(pack)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = Reader(shared.value, kinds)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(start, 256), []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,12 @@ def query(sql: str | None = None):
     return enter
 
 
+STRUCTURE = ("missing", "undeclared", "mistyped", "unread", "no_branch", "short")
+PICKED = ("selected", "context", "value")
+
+
 def _selected(docs: DataFrame, rules) -> DataFrame:
-    return evaluate(docs, rules).where("kind = 'selected'")
+    return evaluate(docs, rules, ("selected",))
 
 
 LINES = """WITH l AS (SELECT o_orderkey AS o, l_linenumber, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY o_orderkey
@@ -103,7 +108,7 @@ def source_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _structure(docs: DataFrame, rules) -> DataFrame:
-    return checks.structure(evaluate(docs, rules))
+    return checks.structure(evaluate(docs, rules, STRUCTURE))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, 'REQUIRED_PROPERTY_MISSING' AS code, '/order' AS location, 'lines' AS prop FROM orders
@@ -137,7 +142,7 @@ def branch_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_or_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = t.line_shape()
     rules = t.pack({"order": t.obj("Order", lines={"anyOf": [line, t.arr(line)]})})
-    leaves = evaluate(t.one_or_many_documents(spark, sf_dir), rules).where("kind = 'scalar' AND name = 'linenumber'")
+    leaves = evaluate(t.one_or_many_documents(spark, sf_dir), rules, ("scalar",)).where("name = 'linenumber'")
     return leaves.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("pointer") == "/order/lines/linenumber").alias("alone"))
 
 
@@ -206,7 +211,7 @@ def target_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag IN ('R', 'A'))""")
 def pred_flag_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.order_pack([_counted("order", "line[@flag=('R','A')]", low=1)])
-    return checks.cardinality(evaluate(t.order_documents(spark, sf_dir), rules), rules).select("doc_id", "value")
+    return checks.cardinality(evaluate(t.order_documents(spark, sf_dir), rules, PICKED), rules).select("doc_id", "value")
 
 
 @query("SELECT p_brand AS doc_id, count(*) AS n FROM part WHERE starts_with(p_name, 'small') GROUP BY 1")
@@ -232,7 +237,7 @@ def pred_child_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand AS doc_id, '/brand/parts/' || i || '/type' AS pointer, p_type AS value FROM p""")
 def value_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.brand_pack([{"kind": "matches", "context": "brand", "target": "part/@type", "regex": "^X$"}])
-    return evaluate(t.brand_documents(spark, sf_dir), rules).where("kind = 'value'").select("doc_id", "pointer", "value")
+    return evaluate(t.brand_documents(spark, sf_dir), rules, ("value",)).select("doc_id", "pointer", "value")
 
 
 @query(r"""SELECT r_name AS doc_id, '["' || regexp_extract(c_name, '^Customer#0*([0-9]+)', 1) || '"]' AS key FROM region JOIN nation ON n_regionkey = r_regionkey
@@ -254,7 +259,7 @@ def _unique(*keys: str) -> list[dict]:
 SELECT CAST(o AS VARCHAR) AS doc_id, '/order/lines/' || i AS location, CAST(l_linenumber AS VARCHAR) AS value, 'ERROR' AS severity FROM r WHERE n > 1""")
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.order_pack(_unique("@linenumber"))
-    return checks.uniqueness(evaluate(t.order_documents(spark, sf_dir), rules), rules).select("doc_id", "location", "value", "severity")
+    return checks.uniqueness(evaluate(t.order_documents(spark, sf_dir), rules, PICKED), rules).select("doc_id", "location", "value", "severity")
 
 
 @query(LINES + """, k AS (SELECT *, nullif(l_returnflag, 'N') AS m, nullif(l_linestatus, 'O') AS s FROM l),
@@ -262,14 +267,14 @@ def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(o AS VARCHAR) AS doc_id, '/order/lines/' || i AS location, coalesce(m, '(absent)') || ' | ' || coalesce(s, '(absent)') AS value FROM r WHERE n > 1""")
 def unique_composite_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.order_pack(_unique("@mark", "@state"))
-    return checks.uniqueness(evaluate(t.order_documents(spark, sf_dir), rules), rules).select("doc_id", "location", "value")
+    return checks.uniqueness(evaluate(t.order_documents(spark, sf_dir), rules, PICKED), rules).select("doc_id", "location", "value")
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, count(l_orderkey) || ' present' AS value FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
 GROUP BY o_orderkey HAVING count(l_orderkey) NOT BETWEEN 1 AND 6""")
 def cardinality_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.order_pack([_counted("order", "line", low=1, high=6)])
-    return checks.cardinality(evaluate(t.order_documents(spark, sf_dir), rules), rules).select("doc_id", "value")
+    return checks.cardinality(evaluate(t.order_documents(spark, sf_dir), rules, PICKED), rules).select("doc_id", "value")
 
 
 @query("SELECT 'nation-' || c_nationkey || '.json' AS doc_id, '[\"' || c_custkey || '\"]' AS key, 'builders' AS index_name FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -284,7 +289,7 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'""")
 def index_has_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, docs = t.trade_pack(), t.trade_documents(spark, sf_dir)
-    facts = evaluate(docs, rules)
+    facts = evaluate(docs, rules, ("scalar", "selected")).persist(StorageLevel.DISK_ONLY)
     met, reached = imports.closure(docs, facts.where("kind = 'scalar'"), docs)
     found = checks.cross_references(facts, rules, reached, imports.completeness(docs, met))
     return found.where("code = 'REFERENCE_UNRESOLVED'").select("doc_id", "code", "severity", "value")
@@ -303,7 +308,7 @@ def index_unbuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, url AS value FROM pages WHERE NOT regexp_matches(url, '^https://')")
 def matches_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.page_pack([{"kind": "matches", "context": "page", "target": "@url", "regex": "^https://.*$", "identifier": "secure"}])
-    return checks.matches(evaluate(t.page_documents(spark, sf_dir), rules), rules).select("doc_id", "value")
+    return checks.matches(evaluate(t.page_documents(spark, sf_dir), rules, PICKED), rules).select("doc_id", "value")
 
 
 @query("""SELECT o_orderpriority AS level, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'ERROR' WHEN o_orderpriority = '3-MEDIUM' THEN 'WARNING'
@@ -313,7 +318,7 @@ def level_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.order_pack([
         {"kind": "is-unique", "context": "order", "target": f".[@priority='{p}']", "keys": ["@number"], "identifier": p, "level": level} for p, level in levels.items()
     ])
-    rows = checks.selections(evaluate(t.order_documents(spark, sf_dir), rules), rules, "is-unique")
+    rows = checks.selections(evaluate(t.order_documents(spark, sf_dir), rules, PICKED), rules, "is-unique")
     return rows.groupBy(F.col("identifier").alias("level"), "severity").agg(F.count("*").alias("n"))
 
 
