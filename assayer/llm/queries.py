@@ -75,4 +75,80 @@ QUERIES = {
         op6_simhash, op7_sharding, op8_quality, op9_repetition, op10_licenses,
     )
 }
-ORACLES: dict[str, str] = {}
+WORDS_OF = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Every window of every document is compared as text; the operator's prefixes play no part.
+DECONTAMINATE_SQL = f"""WITH d AS (SELECT doc_id, {WORDS_OF} AS w FROM documents),
+  i AS (SELECT item_id, {WORDS_OF} AS w FROM benchmark WHERE item_id IS NOT NULL),
+  win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s + 1 : s + least(13, len(w))], ' ') AS t FROM i, unnest(range(0, len(w) - least(13, len(w)) + 1)) u(s) WHERE len(w) > 0),
+  dw AS (SELECT doc_id, n, s, array_to_string(w[s + 1 : s + n], ' ') AS t FROM d, (SELECT DISTINCT n FROM win), unnest(range(0, len(w) - n + 1)) u(s)),
+  hit AS (SELECT doc_id, s, n, item_id FROM dw JOIN win USING (n, t)),
+  struck AS (SELECT doc_id, count(DISTINCT s + k) AS n_hit FROM hit, unnest(range(0, n)) u(k) GROUP BY doc_id),
+  met AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN struck USING (doc_id) LEFT JOIN met USING (doc_id)"""
+
+#: The tree is a table of its nodes here; checksums go byte by byte through a table made from the polynomial.
+SHARDING_SQL = """WITH leaf AS (SELECT s, s // 8 AS r, (s // 4) % 2 AS k, g FROM range(0, 17) x(s), (VALUES (0), (1)) y(g) WHERE s < 16 OR g = 1),
+  node AS (SELECT g, CASE WHEN s = 16 THEN 2 ELSE r END AS r, CASE WHEN s = 16 THEN 0 ELSE k END AS k, s FROM leaf),
+  key AS (SELECT DISTINCT doc_id AS id, coalesce(CAST(doc_id AS VARCHAR), '') AS t FROM documents),
+  region AS (SELECT id, t, g, arg_min(r, -ln((CAST('0x' || substr(md5(t || '|r' || r), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) / w) AS r
+    FROM key, (SELECT g, r, CAST(count(*) AS DOUBLE) AS w FROM node GROUP BY g, r) GROUP BY id, t, g),
+  rack AS (SELECT id, t, g, r, arg_min(k, -ln((CAST('0x' || substr(md5(t || '|r' || r || 'k' || k), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) / w) AS k
+    FROM region JOIN (SELECT g, r, k, CAST(count(*) AS DOUBLE) AS w FROM node GROUP BY g, r, k) USING (g, r) GROUP BY id, t, g, r),
+  shard AS (SELECT id, g, arg_min(s, -ln((CAST('0x' || substr(md5(t || '|s' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)) AS s
+    FROM rack JOIN node USING (g, r, k) GROUP BY id, g),
+  crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS c),
+  bytes AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  row AS (SELECT doc_id, n + 1 AS size, xor(4294967295, list_reduce(list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+    lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1]), 4294967295)) AS text_crc32 FROM bytes, crc)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(a.s AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY a.s ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(b.s AS INTEGER) AS grown_shard
+FROM row JOIN shard a ON a.id IS NOT DISTINCT FROM doc_id AND a.g = 0 JOIN shard b ON b.id IS NOT DISTINCT FROM doc_id AND b.g = 1"""
+
+
+
+def _places(text: str, pattern: str) -> str:
+    """SQL for the matches in a text as a list of s, e, v; pieces between matches give their places."""
+    found, gaps = f"regexp_extract_all({text}, '{pattern}')", f"string_split_regex({text}, '{pattern}')"
+    size = lambda held, to: f"coalesce(list_sum(list_transform({held}[1:{to}], lambda x: length(x))), 0)"
+    start = f"CAST({size(gaps, 'i')} + {size(found, 'i - 1')} AS BIGINT)"
+    return f"list_transform(range(1, len({found}) + 1), lambda i: {{'s': {start}, 'e': {start} + length({found}[i]), 'v': {found}[i]}})"
+
+
+_DIGITS = "regexp_replace(x.v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda j: CASE WHEN j % 2 = 0 THEN 1 ELSE 2 END * CAST(reverse({_DIGITS})[j + 1] AS INT) - CASE WHEN j % 2 = 1 AND CAST(reverse({_DIGITS})[j + 1] AS INT) > 4 THEN 9 ELSE 0 END)) % 10 = 0"
+_SMALL = "len(list_filter(string_split(x.v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS INT), 0) > 255)) = 0"
+_NO = "CAST([] AS STRUCT(s BIGINT, e BIGINT, v VARCHAR)[])"
+_TERM = r"\p{L}[\p{L}\p{M}''’-]*"
+_SHOW = lambda kind: f"list_transform({kind}, lambda x: '{kind}:' || x.s || ':' || x.e)"
+
+#: The same steps as the operator's, over the plain patterns of the contract.
+PERSONAL_DATA_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+  email AS (SELECT n, {_places('t', r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")} AS email FROM d WHERE contains(t, '@')),
+  ip AS (SELECT n, list_filter({_places('t', r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")}, lambda x: {_SMALL}) AS ip FROM d WHERE regexp_matches(t, '[0-9]\.[0-9]')),
+  card AS (SELECT n, list_filter({_places('t', r"[0-9]([ -]?[0-9])+")}, lambda x: length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}) AS card FROM d WHERE regexp_matches(t, '[0-9][ -]?[0-9]')),
+  phone AS (SELECT n, list_filter({_places('t', r"\+[0-9][ ().0-9-]+[0-9]")}, lambda x: length({_DIGITS}) BETWEEN 8 AND 15) AS phone FROM d WHERE contains(t, '+')),
+  b AS (SELECT n, doc_id, t, length(t) AS size, coalesce(email, {_NO}) AS email, coalesce(ip, {_NO}) AS ip, coalesce(card, {_NO}) AS card, coalesce(phone, {_NO}) AS phone
+    FROM d LEFT JOIN email USING (n) LEFT JOIN ip USING (n) LEFT JOIN card USING (n) LEFT JOIN phone USING (n)),
+  m AS (SELECT n, doc_id, t, size, base, unnest(base) AS x FROM (SELECT *, email || ip || card || phone AS base FROM b)),
+  side AS (SELECT n, doc_id, t, size, base, x.v AS entity, x.s AS xs, greatest(0, x.s - 60) AS a, x.s AS z, true AS l FROM m UNION ALL SELECT n, doc_id, t, size, base, x.v, x.s, x.e, least(size, x.e + 60), false FROM m),
+  part AS (SELECT *, substr(t, a + 1, z - a) AS p FROM side),
+  near AS (SELECT n, doc_id, t, size, base, entity, xs, a, z, l, unnest({_places('p', _TERM)}) AS w FROM part),
+  free AS (SELECT n, doc_id, t, entity, xs, lower(w.v) AS term, w.s + a AS s, w.e + a AS e FROM near
+    WHERE (w.s > 0 OR a = 0 OR NOT l) AND (w.e < z - a OR z = size OR l) AND w.e - w.s >= 3 AND len(list_filter(base, lambda y: y.s < w.e + a AND y.e > w.s + a)) = 0),
+  sign AS (SELECT n, entity, xs, min(md5(term)) AS sign FROM free GROUP BY ALL),
+  pair AS (SELECT entity, term, count(DISTINCT sign) AS contexts, count(DISTINCT (doc_id, t)) AS n_te FROM free JOIN sign USING (n, entity, xs) GROUP BY ALL HAVING count(DISTINCT sign) >= 3),
+  n_e AS (SELECT x.v AS entity, count(DISTINCT (doc_id, t)) AS n_e FROM m GROUP BY 1),
+  n_t AS (SELECT term, count(*) AS n_t FROM (SELECT n, unnest(list_distinct(regexp_extract_all(lower(t), '{_TERM}'))) AS term FROM d) WHERE term IN (SELECT term FROM pair) GROUP BY 1),
+  told AS (SELECT entity, term FROM pair JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS total FROM d)
+    WHERE n_e < total AND ln(n_te * total / (n_t * n_e)) >= 0.95 * ln(total / n_e)),
+  term AS (SELECT n, list_sort(list(DISTINCT {{'s': s, 'e': e}})) AS term FROM free JOIN told USING (entity, term) GROUP BY n)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip, CAST(len(card) AS BIGINT) AS n_card, CAST(len(phone) AS BIGINT) AS n_phone,
+  sha256(array_to_string({_SHOW('email')} || {_SHOW('ip')} || {_SHOW('card')} || {_SHOW('phone')}, ',')) AS base_sha256,
+  array_to_string({_SHOW('email')} || {_SHOW('ip')} || {_SHOW('card')} || {_SHOW('phone')} || coalesce({_SHOW('term')}, []), ',') AS spans
+FROM b LEFT JOIN term USING (n)"""
+
+#: Slots agree with the SQL while a table has fewer rows than one bucket of ``sharding.BUCKET_ROWS``.
+ORACLES: dict[str, str] = {"op4_decontaminate": DECONTAMINATE_SQL, "op5_personal_data": PERSONAL_DATA_SQL, "op7_sharding": SHARDING_SQL}
