@@ -51,8 +51,8 @@ def inside(path: str, root: str) -> str:
 
 def read_documents(spark: SparkSession, paths: list[str] | str, recursive: bool = False, pattern: str = "*.json") -> DataFrame:
     """doc_id (the path) and text of whole files. Folders are read by Spark, so any store that it knows will do."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    rows = reader.text(paths)
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
+    rows = reader.text(paths, wholetext=True)
     return rows.select(F.regexp_replace("_metadata.file_path", "^file:(?://)?", "").alias("doc_id"), F.col("value").alias("text"))
 
 

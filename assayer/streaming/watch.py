@@ -17,7 +17,7 @@ from assayer.rules.pack import RulePack
 
 def arriving(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and text of JSON files that appear in a folder."""
-    rows = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").schema("value string").text(folder)
+    rows = spark.readStream.option("pathGlobFilter", "*.json").schema("value string").text(folder, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
