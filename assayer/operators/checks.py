@@ -7,11 +7,12 @@ for each declared constraint.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assayer.operators.findings import rule, shorten
+from assayer.functions.scalars import shorten, shown_key, template, text
+from assayer.operators.findings import rule
 from assayer.rules.pack import RulePack
 
 #: Java's patterns under these flags agree with the dialect that packs are written in.
@@ -28,11 +29,6 @@ VERSION = "oscal-version"
 UUID_TYPE = "UUIDDatatype"
 
 
-def text(*parts: str | Column) -> Column:
-    """Texts and columns joined into one."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
 def of_kind(facts: DataFrame, *kinds: str) -> DataFrame:
     return facts.where(F.col("kind").isin(*kinds))
 
@@ -59,11 +55,6 @@ def structure(facts: DataFrame) -> DataFrame:
     )
 
 
-def template(pointer: Column) -> Column:
-    """A pointer without its item numbers: the place in the schema."""
-    return F.regexp_replace(pointer, "/[0-9]+(?=/|$)", "")
-
-
 def datatypes(facts: DataFrame, pack: RulePack) -> DataFrame:
     """Values against the patterns and bounds of their datatypes, and the patterns that were not applied."""
     rows = of_kind(facts, "scalar").where(F.col("datatype").isNotNull())
@@ -110,12 +101,6 @@ def rules_table(spark: SparkSession, pack: RulePack) -> DataFrame:
     )
 
 
-def shown_key(key: Column) -> Column:
-    """A composite key as readers see it."""
-    parts = F.from_json(key, "array<string>")
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(p, F.lit("(absent)"))), " | ")
-
-
 def selections(facts: DataFrame, pack: RulePack, *kinds: str) -> DataFrame:
     """Selected nodes of constraints of these kinds, with what the constraint says."""
     table = rules_table(facts.sparkSession, pack).where(F.col("rule_kind").isin(*kinds))

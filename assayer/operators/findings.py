@@ -56,11 +56,6 @@ def rule(citation: Column | str, url: str = "", retrieved: str = "") -> Column:
     return F.struct(said.alias("citation"), F.lit(url).alias("url"), F.lit(retrieved).alias("retrieved"))
 
 
-def shorten(text: Column, limit: int = 120) -> Column:
-    """At most ``limit`` characters of a value, with dots where it was cut."""
-    return F.when(F.char_length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
-
-
 def union(parts: list[DataFrame]) -> DataFrame:
     """All findings of several checks with the rank of their check."""
     ranked = [as_findings(p).withColumn("check", F.lit(k)) for k, p in enumerate(parts)]

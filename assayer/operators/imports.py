@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.durable import cut
+from assayer.functions.scalars import file_name, fragment_of, path_of, stem
 
 #: Pointer segments below which an href imports a document, and the scalar that does so by itself.
 SEGMENTS = ("imports", "import-profile", "import-ssp", "import-ap", "import-component-definitions")
@@ -13,26 +14,6 @@ NAMES = ("source",)
 RESOURCE = r"/back-matter/resources/([^/]+)/"
 
 
-def path_of(href: Column) -> Column:
-    """The path of a reference: no scheme, host, query or fragment."""
-    return F.regexp_extract(href, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-
-
-def fragment_of(href: Column) -> Column:
-    return F.regexp_extract(href, r"#(.*)$", 1)
-
-
-def file_name(href: Column) -> Column:
-    """The last segment of a reference's path, null if empty."""
-    tail = F.substring_index(path_of(href), "/", -1)
-    return F.when(tail != "", tail)
-
-
-def stem(name: Column) -> Column:
-    """A file name without its last extension; a leading dot is no extension."""
-    return F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
-
-
 def edges(scalars: DataFrame) -> DataFrame:
     """doc_id, pointer, href of everything that names another document."""
     below = F.exists(F.split("pointer", "/"), lambda s: s.isin(*SEGMENTS))

@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions import scalars
 from assayer.operators import baseline as bl
 from assayer.operators import checks, compare, findings, imports, package, patch, positions, provenance, scoring, suggest, texts
 from assayer.operators.evaluate import evaluate
@@ -86,7 +87,7 @@ def pointer_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT '/order/lines/' || unnest(['linenumber', 'part', 'supplier', 'flag', 'status']) AS place, (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS n)""")
 def path_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = shred(t.order_documents(spark, sf_dir)).where("depth = 4 AND name NOT IN ('mark', 'state')")
-    return leaves.groupBy(checks.template(F.col("pointer")).alias("place")).agg(F.count("*").alias("n"))
+    return leaves.groupBy(scalars.template(F.col("pointer")).alias("place")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type AS model, count(*) AS n FROM events WHERE event_type <> 'signup' GROUP BY 1 UNION ALL SELECT 'refused', count(*) FROM events WHERE event_type = 'signup'")
@@ -372,7 +373,7 @@ def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT c_name AS name, regexp_replace(replace(lower(regexp_replace(c_name, '^#', '')), '_', '-'), '0*([0-9])', '\1', 'g') AS normal FROM customer""")
 def normalized_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), suggest.normal_form(F.col("c_name")).alias("normal"))
+    return t.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), scalars.normal_form(F.col("c_name")).alias("normal"))
 
 
 @query("""SELECT code, count(*) AS n FROM (SELECT 'OSCAL_VERSION_DIFFERS' AS code FROM events WHERE event_type <> 'view'
@@ -629,7 +630,7 @@ def quote_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.quoted_in(quotes, t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text"))
 
 
-STOPS = ", ".join(f"'{w}'" for w in texts.STOP)
+STOPS = ", ".join(f"'{w}'" for w in scalars.STOP)
 
 
 @query(f"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{2,}}')) AS w FROM benchmark),
@@ -681,7 +682,7 @@ def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT '/log/' || event_id AS location, '/log' AS parent FROM events")
 def parent_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.event_findings(spark, sf_dir).select("location", patch.parent_pointer(F.col("location")).alias("parent"))
+    return t.event_findings(spark, sf_dir).select("location", scalars.parent_pointer(F.col("location")).alias("parent"))
 
 
 @query("SELECT doc_id AS unit FROM documents EXCEPT SELECT doc_id FROM labels")
