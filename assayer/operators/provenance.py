@@ -51,7 +51,12 @@ def coverage_table(spark: SparkSession, pack: RulePack, kind: str = "", evaluate
     rows = rows.where(F.col("rule_kind") == kind) if kind else rows
     if evaluated is not None:
         rows = rows.where((F.col("skipped") == "") == F.lit(evaluated))
-    return rows.groupBy(F.col("rule_kind").alias("kind")).agg(
+    return coverage_of(rows)
+
+
+def coverage_of(declared: DataFrame) -> DataFrame:
+    """The same figures of declared constraints in a table of any size (columns rule_kind and skipped)."""
+    return declared.groupBy(F.col("rule_kind").alias("kind")).agg(
         F.count("*").alias("published"), F.count(F.when(F.col("skipped") == "", 1)).alias("evaluated"),
         F.array_sort(F.collect_set(F.when(F.col("skipped") != "", F.col("skipped")))).alias("reasons"),
     )
