@@ -13,14 +13,14 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.durable import cut as cut
+
 #: Arrow types of the column types that the operators add.
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
@@ -58,21 +58,6 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is configured, as in tests."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Rows written to the shared checkpoint folder; what follows survives the loss of any executor."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Rows measured to be no larger than this travel by broadcast; beyond it Spark plans the join by shuffles.
 BROADCAST_BYTES = 16 << 20
 

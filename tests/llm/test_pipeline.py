@@ -103,3 +103,19 @@ def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs, planted):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, planted).count() == 0
         assert stage(spark, odd_docs, planted).count() <= 12
+
+
+def test_joins_give_the_same_rows_without_broadcast(spark, planted, monkeypatch):
+    from assayer.llm import decontaminate, simhash
+
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    bench = spark.read.parquet(f"{planted}/benchmark.parquet")
+    runs = (lambda: personal_data.sanitise(docs), lambda: decontaminate.decontaminate(docs, bench), lambda: simhash.keep_one(docs))
+    small = [sorted(map(str, run().collect())) for run in runs]
+    for module in (personal_data, decontaminate, simhash):
+        monkeypatch.setattr(module, "broadcast_if_small", lambda df: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert [sorted(map(str, run().collect())) for run in runs] == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
