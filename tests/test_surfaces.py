@@ -211,3 +211,14 @@ def test_nothing_outside_imports_the_text_operators():
     for path in (ROOT / "assayer").rglob("*.py"):
         if "llm" not in path.parts:
             assert "assayer.llm" not in path.read_text(encoding="utf-8"), path
+
+
+def test_python_interface(spark, folder):
+    from assayer import api
+
+    found = api.validate_file(str(folder / "cat.json"), make_pack(), locations=True, spark=spark)
+    low = next(f for f in found if f.code == "DATATYPE_BELOW_MINIMUM")
+    assert low.gates and low.severity is api.Severity.ERROR and low.position.line > 1 and isinstance(low.rule, api.Rule)
+    near = api.validate_file(str(folder / "prof.json"), make_pack(), [str(folder)], suggest=True, spark=spark)
+    assert not any(f.gates for f in near) and api.read_report_schema()["properties"]
+    assert api.REPORT_SCHEMA_VERSION == "1.0"
