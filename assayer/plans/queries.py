@@ -503,7 +503,7 @@ def fix_order_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS turn FROM orders)
-SELECT o_orderkey, o_orderstatus, turn FROM r ORDER BY turn, o_orderstatus LIMIT 50""")
+SELECT o_orderkey, o_orderstatus, CAST(turn AS INTEGER) AS turn FROM r ORDER BY turn, o_orderstatus LIMIT 50""")
 def round_robin_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = t.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     return findings.round_robin(orders, 50, "o_orderstatus", ("o_orderkey",))
@@ -639,7 +639,7 @@ STOPS = ", ".join(f"'{w}'" for w in scalars.STOP)
   d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9-]{{2,}}')) AS w FROM documents),
   s AS (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN d USING (w) WHERE w NOT IN ({STOPS}) GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, CAST(doc_id AS VARCHAR)) AS place FROM s)
-SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS source, overlap, place FROM r WHERE place <= 5""")
+SELECT item_id AS query_id, CAST(doc_id AS VARCHAR) AS source, overlap, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     held = t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.lit("").alias("label"), F.col("text").alias("passage"))
