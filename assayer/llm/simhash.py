@@ -8,7 +8,10 @@ four bits or fewer is a link, reported only from the first file that it shares.
 Components of links come from star contractions.
 
 Exact copies share a fingerprint and are one node, so a large group of copies
-costs no pairs. Defined results: a null, empty or blank text has fingerprint
+costs no pairs. A set of fingerprints that all differ pairwise in at most four
+bits has at most 1 + 64 + 2016 = 2081 members (Kleitman's bound on a set of
+diameter four), so the pairs of a dense group are bounded whatever its size.
+Defined results: a null, empty or blank text has fingerprint
 zero and links like any other; a group whose ids are all null has a null
 component_id, otherwise null ids do not count as smallest.
 """
