@@ -58,6 +58,11 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
+def cut_small(df: DataFrame, rows: int) -> DataFrame:
+    """``cut`` of a result of at most ``rows`` rows in as few files as suit them; a large one keeps its partitions."""
+    return cut(df.coalesce(8 + rows // 100_000))
+
+
 #: Rows measured to be no larger than this travel by broadcast; beyond it Spark plans the join by shuffles.
 BROADCAST_BYTES = 16 << 20
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import cut
+from assayer.llm.base import cut, cut_small
 
 
 def _least_below(pairs: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             .unionByName(marked.select("u", F.col("least").alias("v")))
             .distinct()
         )
-        current = cut(small)
+        current = cut_small(small, before[0])
         after = _signature(current)
         if after == before:
             break

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import broadcast_if_small, cut, map_texts, numbered, pick, position_of
+from assayer.llm.base import broadcast_if_small, cut, cut_small, map_texts, numbered, pick, position_of
 from assayer.llm.components import components
 
 WORDS, SEED, NEAR = 4, 42, 4
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _classes(rows: DataFrame) -> DataFrame:
     """fp and component_id of every distinct fingerprint."""
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    prints = cut_small(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), rows.count())
     rooted = prints.join(components(links(prints), "a", "b").withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -123,7 +123,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     one = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark"))
     gone = counted.join(stays, one, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark"))
     again = counted.where("times > 1").join(stays, one, "left_semi").select(F.col("doc_id").alias("r_id"), F.col("mark").alias("r_mark"))
-    gone, again = broadcast_if_small(cut(gone)), broadcast_if_small(cut(again))
+    n = rows.count()
+    gone, again = broadcast_if_small(cut_small(gone, n)), broadcast_if_small(cut_small(again, n))
     plain = numbered(docs).withColumn("mark", F.xxhash64(what))
     kept = plain.join(gone, F.col(who).eqNullSafe(F.col("g_id")) & (F.col("mark") == F.col("g_mark")), "left_anti")
     is_again = F.col(who).eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark"))
