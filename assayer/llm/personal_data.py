@@ -10,7 +10,8 @@ away at least ``DISCLOSED`` of it, seen in at least ``SUPPORT`` contexts of
 differing words, is a span of the kind ``term`` wherever it stands close to that
 entity. Contexts count as differing if their smallest word hash differs, so that
 copies of one passage do not add up. Sanitising replaces base spans by the name of
-their kind (generalised) and removes terms.
+their kind (generalised) and removes terms; base spans that overlap are replaced as one, by
+the name of the longest.
 
 Everything is DataFrame functions. Places are code points, end exclusive. Defined
 results: null and empty texts have no span; in an empty corpus nothing is
@@ -202,6 +203,41 @@ def written(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*map(part, kinds)), ",")
 
 
+def united(spans: Column) -> Column:
+    """Sorted spans (start, end, shown) with those that overlap made one: first start, last end, ``shown`` of the longest."""
+    one = "struct<start:int,end:int,shown:string,wide:int>"
+    wide = lambda s: s["end"] - s["start"]
+    alone = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["shown"].alias("shown"), wide(s).alias("wide"))
+
+    def step(a: Column, s: Column) -> Column:
+        apart = a["last"].isNull() | (a["last"]["end"] <= s["start"])
+        longer = wide(s) > a["last"]["wide"]
+        joined = F.struct(
+            a["last"]["start"].alias("start"), F.greatest(a["last"]["end"], s["end"]).alias("end"),
+            F.when(longer, s["shown"]).otherwise(a["last"]["shown"]).alias("shown"), F.greatest(a["last"]["wide"], wide(s)).alias("wide"),
+        )
+        out = F.when(apart & a["last"].isNotNull(), F.concat(a["out"], F.array(a["last"]))).otherwise(a["out"])
+        return F.struct(out.alias("out"), F.when(apart, alone(s)).otherwise(joined).alias("last"))
+
+    start = F.struct(F.array().cast(f"array<{one}>").alias("out"), F.lit(None).cast(one).alias("last"))
+    return F.aggregate(spans, start, step, lambda a: F.when(a["last"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["last"]))))
+
+
+def rewritten(text: Column, spans: str) -> Column:
+    """The text with each of the spans in the named column, in order and apart, replaced by its ``shown``."""
+    until = lambda i: F.get(spans, i - 1)["end"]
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.size(spans)),
+        lambda i: F.when(i == F.size(spans), F.substring(text, F.coalesce(until(i), F.lit(0)) + 1, F.char_length(text))).otherwise(
+            F.concat(
+                F.substring(text, F.coalesce(until(i), F.lit(0)) + 1, F.get(spans, i)["start"] - F.coalesce(until(i), F.lit(0))),
+                F.get(spans, i)["shown"],
+            )
+        ),
+    )
+    return F.array_join(pieces, "")
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows with their spans replaced in ``text`` and ``n_chars``, if there is one, set to the new length."""
     names = docs.columns
@@ -213,23 +249,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     spans = spans.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.array_sort(F.concat(*map(marked, KINDS))).alias("spans"))
     spans = broadcast_if_small(cut(spans.where(F.size("spans") > 0).dropDuplicates(["d", "m"])))
-    empty = F.array().cast("array<struct<start:int,end:int,shown:string>>")
-    apart = F.aggregate(
-        "spans", empty, lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] > s["start"]), a).otherwise(F.concat(a, F.array(s)))
-    )
     same = F.col(who).eqNullSafe(F.col("d")) & (F.xxhash64(what) == F.col("m"))
-    joined = numbered(docs).join(spans, same, "left").withColumn("spans", apart)
-    until = lambda i: F.get("spans", i - 1)["end"]
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size("spans")),
-        lambda i: F.when(i == F.size("spans"), F.substring(F.col(what), until(i) + 1, F.char_length(what))).otherwise(
-            F.concat(
-                F.substring(F.col(what), F.coalesce(until(i), F.lit(0)) + 1, F.get("spans", i)["start"] - F.coalesce(until(i), F.lit(0))),
-                F.get("spans", i)["shown"],
-            )
-        ),
-    )
-    clean = joined.withColumn("clean", F.when(F.col("spans").isNull(), F.col(what)).otherwise(F.array_join(pieces, "")))
+    joined = numbered(docs).join(spans, same, "left").withColumn("spans", united(F.col("spans")))
+    clean = joined.withColumn("clean", F.when(F.col("spans").isNull(), F.col(what)).otherwise(rewritten(F.col(what), "spans")))
     out = []
     for k, name in enumerate(names):
         if f"c{k}" == what:

@@ -158,6 +158,19 @@ def test_sanitised_texts(make_docs, odd_docs, no_docs):
     assert personal_data.find_spans(no_docs).count() == 0
 
 
+def test_overlapping_spans_leave_no_character(make_docs):
+    texts = [
+        "call +15551234567@mail.com now", "4111111111111111.jane.doe@corp.com", "+1 555 123 4567.jane@corp.com", "é +1 10.0.0.1 555 1234@x.org ü",
+        "a@b.c 10.0.0.1", *filter(None, PRIVATE[:-1]),
+    ]
+    got = {r["doc_id"]: r["text"] for r in personal_data.sanitise(make_docs(list(enumerate(texts)))).collect()}
+    assert got[0] == "call [EMAIL] now" and got[1] == "[EMAIL]" and got[4] == "[EMAIL] [IP]"
+    for k, text in enumerate(texts):
+        held = {p for _, s, e in base_of(text) for p in range(s, e)}
+        rest = "".join(c if p not in held else "\0" for p, c in enumerate(text))
+        assert re.sub(r"(\[(EMAIL|IP|CARD|PHONE)\])+", "\0", got[k]) == re.sub("\0+", "\0", rest), text
+
+
 def test_shards_hold_their_law(spark, make_docs):
     docs = make_docs([(k, f"text {k % 7}") for k in range(4000)] + [(None, None), (None, None), (5, "text 5")])
     rows = sharding.shards(docs, sharding.balanced()).collect()
