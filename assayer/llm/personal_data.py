@@ -1,17 +1,17 @@
 """Information-theoretic sanitisation of personal data.
 
 Base spans (email, ip, card, phone) are found by fixed patterns. Their texts are
-the protected entities. Words close to a mention are its terms, and the whole
-corpus says how strongly a term reveals an entity: with N documents, n(e) that
-mention the entity, n(t) that hold the term and n(t,e) where the term stands close
-to the entity, the pointwise mutual information log(n(t,e) N / (n(t) n(e))) is set
-against the information of the entity itself, log(N / n(e)). A term that gives
-away at least ``DISCLOSED`` of it, seen in at least ``SUPPORT`` contexts of
-differing words, is a span of the kind ``term`` wherever it stands close to that
-entity. Contexts count as differing if their smallest word hash differs, so that
-copies of one passage do not add up. Sanitising replaces base spans by the name of
-their kind (generalised) and removes terms; base spans that overlap are replaced as one, by
-the name of the longest.
+the protected entities. The words of every document that mentions an entity are its
+terms, and the whole corpus says how strongly a term reveals it: with N documents,
+n(e) that mention the entity, n(t) that hold the term and n(t,e) that do both, the
+pointwise mutual information log(n(t,e) N / (n(t) n(e))) is set against the
+information of the entity itself, log(N / n(e)). A term that gives away at least
+``DISCLOSED`` of it, seen in at least ``SUPPORT`` contexts, is a span of the kind
+``term`` wherever it stands, in any document. Contexts are documents that differ in
+their set of words, or, where that gives more, mentions with the term close by that
+differ in the words around them by their smallest hash. Sanitising replaces base
+spans by the name of their kind (generalised) and removes terms; base spans that
+overlap are replaced as one, by the name of the longest.
 
 Everything is DataFrame functions. Places are code points, end exclusive. Defined
 results: null and empty texts have no span; in an empty corpus nothing is
@@ -37,6 +37,8 @@ MAY_HOLD = {"ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9
 TERM = r"\p{L}[\p{L}\p{M}'’-]*+"
 #: Characters read on either side of a mention, the shortest term, and the disclosure thresholds.
 REACH, SHORTEST, SUPPORT, DISCLOSED = 60, 3, 3, 0.95
+#: A combining mark that tells words overlapping a base span from free ones, and the mark that stands for it where a text holds it.
+MARK, NEIGHBOUR = "\u1dff", "\u1dfe"
 SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
 
 
@@ -142,7 +144,7 @@ BUCKET = 64
 
 
 def _contexts(mentions: DataFrame) -> DataFrame:
-    """doc_id, mark, entity, at, sign (smallest word hash) and near (terms with places) of mentions with a free term close by.
+    """doc_id, mark, entity, at, sign (smallest word hash) and near (terms with places) of mentions with a free term close by; evidence beside whole documents.
 
     A term that overlaps any base span is not free. Spans and terms of a text meet
     in buckets of places, so a text with many mentions costs no pairs.
@@ -158,18 +160,59 @@ def _contexts(mentions: DataFrame) -> DataFrame:
     )
 
 
-def disclosing(docs: DataFrame, mentions: DataFrame, contexts: DataFrame) -> DataFrame:
+def _marked(based: DataFrame) -> DataFrame:
+    """The rows with ``marked``, their text with MARK behind each letter and hyphen of a base span.
+
+    A combining mark starts no word and ends none, so words are the same as without
+    it, and exactly those that overlap a base span hold it.
+    """
+    shown = lambda s: F.regexp_replace(s["value"], "([A-Za-z-])", f"$1{MARK}")
+    merged = united(F.array_sort(F.transform("base", lambda s: F.struct(s["start"], s["end"], F.lit("").alias("shown")))))
+    rows = based.withColumn("apart", merged)
+    value = lambda s: F.struct(s["start"], s["end"], F.substring(F.col("plain"), s["start"] + 1, s["end"] - s["start"]).alias("value"))
+    rows = rows.withColumn("plain", _plain("text")).withColumn("apart", F.transform("apart", value))
+    rows = rows.withColumn("apart", F.transform("apart", lambda s: F.struct(s["start"], s["end"], shown(s).alias("shown"))))
+    return rows.withColumn("marked", F.when(F.size("base") > 0, rewritten(F.col("plain"), "apart")).otherwise(F.col("plain")))
+
+
+def _plain(text: str) -> Column:
+    """The text, null as empty, with a MARK of its own turned into its neighbour, as long and as much a mark."""
+    return F.translate(F.coalesce(text, F.lit("")), MARK, NEIGHBOUR)
+
+
+def _words(text: Column) -> Column:
+    """Distinct lowered words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _whole(based: DataFrame, mentions: DataFrame) -> DataFrame:
+    """entity, term, n_te, contexts: how many documents mention the entity and hold the free term anywhere, and how many differ in their words.
+
+    Only entities with as many mentions as contexts are needed are counted; the others can disclose nothing.
+    """
+    live = broadcast_if_small(cut(mentions.groupBy("w.entity").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("entity")))
+    held = cut(mentions.select("doc_id", "mark", F.col("w.entity").alias("entity")).distinct().join(live, "entity", "left_semi"))
+    where = held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    rows = based.select("doc_id", "mark", "text", "base").where(F.size("base") > 0).join(broadcast_if_small(where), same, "left_semi")
+    free = F.filter(F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), lambda w: (F.char_length(w) >= SHORTEST) & ~w.contains(MARK))
+    rows = _marked(rows).select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms")).dropDuplicates(["doc_id", "mark"])
+    rows = rows.select("doc_id", "mark", F.md5(F.array_join("terms", " ").cast("binary")).alias("sign"), F.explode("terms").alias("term"))
+    held = broadcast_if_small(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "entity"))
+    counted = rows.join(held, same).groupBy("entity", "term", "sign").agg(F.count("*").alias("n"))
+    return counted.groupBy("entity", "term").agg(F.count("*").alias("apart"), F.sum("n").alias("n_te"))
+
+
+def disclosing(docs: DataFrame, based: DataFrame, mentions: DataFrame, contexts: DataFrame) -> DataFrame:
     """entity, term: the pairs whose term discloses the entity, by the counts of the whole corpus."""
     total = docs.count()
     of_entity = mentions.select("doc_id", "mark", "w.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    close = contexts.select("doc_id", "mark", "entity", "sign", F.explode(F.array_distinct("near.term")).alias("term"))
-    pairs = close.groupBy("entity", "term").agg(
-        F.countDistinct("sign").alias("contexts"), F.countDistinct("doc_id", "mark").alias("n_te")
-    )
-    pairs = cut(pairs.where(F.col("contexts") >= SUPPORT))
+    close = contexts.select("entity", "sign", F.explode(F.array_distinct("near.term")).alias("term"))
+    close = close.groupBy("entity", "term").agg(F.countDistinct("sign").alias("contexts"))
+    pairs = _whole(based, mentions).join(close, ["entity", "term"], "left")
+    pairs = cut(pairs.where(F.greatest("apart", "contexts") >= SUPPORT).select("entity", "term", "n_te"))
     terms = broadcast_if_small(cut(pairs.select("term").distinct()))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    seen = pick(docs, "doc_id", "text").select(F.explode(words).alias("term")).join(terms, "term", "left_semi")
+    seen = pick(docs, "doc_id", "text").select(F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
     of_term = seen.groupBy("term").agg(F.count("*").alias("n_t"))
     joined = pairs.join(of_term, "term").join(of_entity, "entity")
     known = F.log(F.lit(float(total)) / F.col("n_e"))
@@ -177,21 +220,39 @@ def disclosing(docs: DataFrame, mentions: DataFrame, contexts: DataFrame) -> Dat
     return joined.where((F.col("n_e") < total) & (told >= DISCLOSED * known)).select("entity", "term")
 
 
+def _told_places(based: DataFrame, told: DataFrame) -> DataFrame:
+    """d, m and the sorted places of every free disclosing term, in whichever document it stands; no row for documents without one."""
+    terms = broadcast_if_small(cut(told.select("term").distinct()))
+    rows = based.select("doc_id", "mark", "text", "base")
+    held = rows.select("doc_id", "mark", F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
+    held = cut(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    rows = rows.join(broadcast_if_small(held), same, "left_semi").dropDuplicates(["doc_id", "mark"])
+    found, between = F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), F.split("marked", TERM, -1)
+    pairs = F.posexplode(F.arrays_zip(found.alias("value"), between.alias("gap"))).alias("k", "p")
+    each = _marked(rows).select("doc_id", "mark", pairs).where(F.col("p.value").isNotNull())
+    bare = lambda c: F.char_length(F.translate(c, MARK, ""))
+    each = each.select("doc_id", "mark", "k", F.col("p.value").alias("value"), bare("p.value").alias("size"), bare("p.gap").alias("gap"))
+    each = each.withColumn("end", F.expr("sum(gap + size) OVER (PARTITION BY doc_id, mark ORDER BY k)").cast("int"))
+    each = each.where((F.col("size") >= SHORTEST) & ~F.col("value").contains(MARK)).withColumn("term", F.lower("value"))
+    at = F.struct((F.col("end") - F.col("size")).alias("start"), "end")
+    each = each.join(terms, "term", "left_semi").select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), at.alias("at"))
+    return each.groupBy("d", "m").agg(F.array_sort(F.collect_list("at")).alias("term"))
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, the spans of each base kind and of the kind ``term``, of every row; texts stay behind."""
     based = base_table(docs)
     mentions = _mentions(based)
-    contexts = cut(_contexts(mentions))
-    told = disclosing(docs, mentions, contexts)
-    each = contexts.select("doc_id", "mark", "entity", F.explode("near").alias("t"))
-    each = each.select("doc_id", "mark", "entity", F.col("t.term").alias("term"), F.struct("t.start", "t.end").alias("at"))
-    flagged = each.join(told, ["entity", "term"]).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("at")).alias("term"))
-    flagged = flagged.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "term")
+    told = cut(disclosing(docs, based, mentions, cut(_contexts(mentions))))
     bare = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind)
     rows = based.select("doc_id", "mark", *[bare(k) for k in KINDS[:-1]])
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return rows.join(flagged, same, "left").select("doc_id", "mark", *KINDS[:-1], F.coalesce("term", none).alias("term"))
+    if told.isEmpty():
+        return rows.withColumn("term", none)
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    joined = rows.join(_told_places(based, told), same, "left")
+    return joined.select("doc_id", "mark", *KINDS[:-1], F.coalesce("term", none).alias("term"))
 
 
 def written(kinds: tuple[str, ...]) -> Column:

@@ -158,6 +158,21 @@ def test_sanitised_texts(make_docs, odd_docs, no_docs):
     assert personal_data.find_spans(no_docs).count() == 0
 
 
+def test_terms_far_from_their_entity_go_wherever_they_stand(make_docs):
+    body = [f"{a} {b}" for a in ("north", "south", "east", "west", "upper") for b in ("wall", "gate", "tower", "yard")]
+    rows = [(k, f"Quimby\n{w} {'of the house ' * 9}\nmail: q@x.org") for k, w in enumerate(body)]
+    rows += [(50, f"née Quimby-q@x.org {'of the house ' * 9} QUIMBY, Quimby's \u1dff Quimby q@x.org")]
+    rows += [(100 + k, f"mail of the house {body[k % 20]} {k}") for k in range(200)] + [(400, None), (0, rows[0][1])]
+    rows += [(500, "quimby says quimby")]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["term"]] for r in personal_data.find_spans(make_docs(rows)).collect()}
+    texts = dict(rows)
+    assert all([texts[k][s:e] for s, e in got[k]] == ["Quimby"] for k in range(20))
+    assert [texts[50][s:e] for s, e in got[50]] == ["QUIMBY", "Quimby"] and [texts[500][s:e] for s, e in got[500]] == ["quimby", "quimby"]
+    assert not any(got[k] for k in texts if k >= 100 and k != 500)
+    clean = {r["doc_id"]: r["text"] for r in personal_data.sanitise(make_docs(rows)).collect()}
+    assert clean[500] == " says " and not any("Quimby" in clean[k] for k in range(20))
+
+
 def test_overlapping_spans_leave_no_character(make_docs):
     texts = [
         "call +15551234567@mail.com now", "4111111111111111.jane.doe@corp.com", "+1 555 123 4567.jane@corp.com", "é +1 10.0.0.1 555 1234@x.org ü",
