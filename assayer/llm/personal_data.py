@@ -9,7 +9,8 @@ information of the entity itself, log(N / n(e)). A term that gives away at least
 ``DISCLOSED`` of it, seen in at least ``SUPPORT`` contexts, is a span of the kind
 ``term`` wherever it stands, in any document. Contexts are documents that differ in
 their set of words, or, where that gives more, mentions with the term close by that
-differ in the words around them by their smallest hash. Sanitising replaces base
+differ in the set of words around them: both sets hold the term, so it makes no
+difference. Sanitising replaces base
 spans by the name of their kind (generalised) and removes terms; base spans that
 overlap are replaced as one, by the name of the longest.
 
@@ -144,7 +145,7 @@ BUCKET = 64
 
 
 def _contexts(mentions: DataFrame) -> DataFrame:
-    """doc_id, mark, entity, at, sign (smallest word hash) and near (terms with places) of mentions with a free term close by; evidence beside whole documents.
+    """doc_id, mark, entity, at, sign (hash of the set of words) and near (terms with places) of mentions with a free term close by; evidence beside whole documents.
 
     A term that overlaps any base span is not free. Spans and terms of a text meet
     in buckets of places, so a text with many mentions costs no pairs.
@@ -156,7 +157,7 @@ def _contexts(mentions: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("bucket") == F.col("b"))
     free = terms.join(spans, same & (F.col("s") < F.col("t.end")) & (F.col("e") > F.col("t.start")), "left_anti")
     return free.groupBy("doc_id", "mark", "entity", "at").agg(
-        F.min(F.md5(F.col("t.term").cast("binary"))).alias("sign"), F.array_sort(F.collect_set("t")).alias("near")
+        F.md5(F.array_join(F.array_sort(F.collect_set("t.term")), " ").cast("binary")).alias("sign"), F.array_sort(F.collect_set("t")).alias("near")
     )
 
 

@@ -158,6 +158,20 @@ def test_sanitised_texts(make_docs, odd_docs, no_docs):
     assert personal_data.find_spans(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("n, found", [(2, set()), (3, {"Quimby", "author", "email"})])
+@pytest.mark.parametrize("together", [True, False])
+def test_fixed_words_of_low_hash_do_not_merge_contexts(make_docs, n, found, together):
+    low = {w: hashlib.md5(w.encode()).hexdigest() for w in ("author", "email", "quimby", "wall", "gate", "tower")}
+    assert min(low, key=low.get) == "author"
+    parts = [f"author Quimby {w} email q@x.org {w} " for w in ("wall", "gate", "tower")[:n]]
+    apart = " 1 2 3 " * 20
+    texts = [apart.join(parts)] if together else parts
+    rows = list(enumerate(texts)) + [(100 + k, f"other wall gate tower {k}") for k in range(30)]
+    got = {r["doc_id"]: r["term"] for r in personal_data.find_spans(make_docs(rows)).collect()}
+    for k, text in enumerate(texts):
+        assert {text[s["start"] : s["end"]] for s in got[k]} == found
+
+
 def test_terms_far_from_their_entity_go_wherever_they_stand(make_docs):
     body = [f"{a} {b}" for a in ("north", "south", "east", "west", "upper") for b in ("wall", "gate", "tower", "yard")]
     rows = [(k, f"Quimby\n{w} {'of the house ' * 9}\nmail: q@x.org") for k, w in enumerate(body)]
