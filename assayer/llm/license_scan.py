@@ -10,7 +10,8 @@ parsed by a shunting-yard parser with the precedence ``with`` > ``and`` > ``or``
 expressions. ``score`` is the share of the found licence claims that an open
 policy allows: an ``and`` needs both sides, an ``or`` one of them, ``with`` keeps
 the verdict of its left side; 0 without any claim. Null and empty texts have no
-word and no claim. A tag with an expression that does not parse adds nothing.
+word and no claim. What follows a complete expression on its line is no part of it; a
+tag without one, or with an operator that nothing follows, adds nothing.
 """
 
 from __future__ import annotations
@@ -55,12 +56,11 @@ TAGGED = {
 }
 ALLOWED = frozenset({"mit", "apache-2", "bsd", "isc", "cc-by", "cc0", "unlicense", "mpl-2"})
 TAGS = ("spdx-license-identifier:", "license-expression:")
-#: An expression ends with its line and is no longer than this; longer ones do not parse.
-LONGEST_EXPRESSION = 400
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _SEPARATE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _SYMBOL = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_SYMBOL_OR_END = re.compile(r"\n|" + _SYMBOL.pattern)
 
 
 def parse_expression(text: str) -> list[str] | None:
@@ -99,6 +99,36 @@ def parse_expression(text: str) -> list[str] | None:
     return output + waiting[::-1]
 
 
+def expression_at(text: str, at: int) -> list[str] | None:
+    """Postfix order of the longest well-formed expression from a place on, None if there is none or its line ends behind an operator.
+
+    Reading stops at the end of the line and at the first symbol that cannot continue
+    the expression: prose, a bracket, the end of a comment or sentence.
+    """
+    held: list[str] = []
+    whole = depth = 0
+    operand_next = True
+    for match in _SYMBOL_OR_END.finditer(text, at):
+        symbol = match[0].rstrip(".-")
+        word = symbol.lower()
+        if operand_next:
+            fits = word == "(" or (word not in PRECEDENCE and any(map(str.isalnum, word)))
+        else:
+            fits = word in PRECEDENCE or (word == ")" and depth > 0)
+        if not fits:
+            break
+        held.append(symbol)
+        depth += (word == "(") - (word == ")")
+        operand_next = word == "(" or word in PRECEDENCE
+        if not operand_next and not depth:
+            whole = len(held)
+        if symbol != match[0]:
+            break
+    if not whole or held[-1].lower() in PRECEDENCE:
+        return None
+    return parse_expression(" ".join(held[:whole]))
+
+
 def evaluate(postfix: list[str], allowed: frozenset[str] = ALLOWED) -> tuple[bool, set[str]]:
     """Verdict of the policy and the labels of the licences named; exceptions behind ``with`` carry no label."""
     stack: list[tuple[bool, set[str]]] = []
@@ -146,8 +176,7 @@ class Scanner:
         if b"icense" in raw or b"ICENSE" in raw:
             lowered = raw.lower().decode("latin-1")
             for end, _ in self.tags.iter(lowered):
-                line = lowered[end + 1 : end + 2 + LONGEST_EXPRESSION].split("\n", 1)[0]
-                postfix = parse_expression(line) if len(line) <= LONGEST_EXPRESSION else None
+                postfix = expression_at(lowered, end + 1)
                 if postfix:
                     verdict, named = evaluate(postfix)
                     labels |= named

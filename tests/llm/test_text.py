@@ -268,6 +268,17 @@ def test_license_expressions():
     assert scanner.scan(LICENSED[8])["labels"] == "" and scanner.scan(LICENSED[11])["score"] == 0.0
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("<!-- SPDX-License-Identifier: MIT -->", "mit"), ("<!-- SPDX-License-Identifier: MIT-->", "mit"), ("(SPDX-License-Identifier: MIT)", "mit"),
+    ("SPDX-License-Identifier: Apache-2.0 (see LICENSE)", "apache-2"), ("SPDX-License-Identifier: MIT. And other words", "mit"),
+    ("/* SPDX-License-Identifier: (MIT OR ISC) */ var a=1;" + "f(x);" * 400, "isc,mit"), ("SPDX-License-Identifier: MIT " + "x" * 500, "mit"),
+    ("SPDX-License-Identifier: " + " OR ".join(["MIT", "ISC"] * 60), "isc,mit"), ("License-Expression: MIT\nor ISC", "mit"),
+    ("SPDX-License-Identifier: MIT OR (see LICENSE", "mit"), ("SPDX-License-Identifier: MIT OR -->", ""), ("SPDX-License-Identifier: (MIT", ""),
+])
+def test_license_tags_before_other_text(text, labels):
+    assert license_scan.Scanner().scan(text)["labels"] == labels
+
+
 def test_license_tables(spark, sf_dir, odd_docs, no_docs):
     assert queries.op10_licenses(spark, sf_dir).where("n_base > 0").count() > 0
     rows = license_scan.scan_licenses(odd_docs).collect()
