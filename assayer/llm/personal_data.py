@@ -124,10 +124,16 @@ def _near_terms(window: str) -> Column:
     return F.concat(before, after)
 
 
-def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (hash of the text), the base spans by kind and all of them in the array ``base``."""
+def base_table(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, mark (hash of the text), the base spans by kind and all of them in the array ``base``.
+
+    With ``only`` (d, m), one row of each document listed there.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("mark"), text.alias("text"))
+    if only is not None:
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+        rows = cut(rows.join(broadcast_if_small(only), same, "left_semi").dropDuplicates(["doc_id", "mark"]))
     found = base_spans(F.col("text"))
     rows = rows.select("doc_id", "mark", "text", *[c.alias(k) for k, c in found.items()])
     return rows.withColumn("base", F.concat(*found))
@@ -186,7 +192,7 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _whole(based: DataFrame, mentions: DataFrame) -> DataFrame:
+def _whole(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """entity, term, n_te, contexts: how many documents mention the entity and hold the free term anywhere, and how many differ in their words.
 
     Only entities with as many mentions as contexts are needed are counted; the others can disclose nothing.
@@ -195,22 +201,22 @@ def _whole(based: DataFrame, mentions: DataFrame) -> DataFrame:
     held = cut(mentions.select("doc_id", "mark", F.col("w.entity").alias("entity")).distinct().join(live, "entity", "left_semi"))
     where = held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
-    rows = based.select("doc_id", "mark", "text", "base").where(F.size("base") > 0).join(broadcast_if_small(where), same, "left_semi")
+    rows = base_table(docs, where)
     free = F.filter(F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), lambda w: (F.char_length(w) >= SHORTEST) & ~w.contains(MARK))
-    rows = _marked(rows).select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms")).dropDuplicates(["doc_id", "mark"])
+    rows = _marked(rows).select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms"))
     rows = rows.select("doc_id", "mark", F.md5(F.array_join("terms", " ").cast("binary")).alias("sign"), F.explode("terms").alias("term"))
     held = broadcast_if_small(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "entity"))
     counted = rows.join(held, same).groupBy("entity", "term", "sign").agg(F.count("*").alias("n"))
     return counted.groupBy("entity", "term").agg(F.count("*").alias("apart"), F.sum("n").alias("n_te"))
 
 
-def disclosing(docs: DataFrame, based: DataFrame, mentions: DataFrame, contexts: DataFrame) -> DataFrame:
+def disclosing(docs: DataFrame, mentions: DataFrame, contexts: DataFrame) -> DataFrame:
     """entity, term: the pairs whose term discloses the entity, by the counts of the whole corpus."""
     total = docs.count()
     of_entity = mentions.select("doc_id", "mark", "w.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     close = contexts.select("entity", "sign", F.explode(F.array_distinct("near.term")).alias("term"))
     close = close.groupBy("entity", "term").agg(F.countDistinct("sign").alias("contexts"))
-    pairs = _whole(based, mentions).join(close, ["entity", "term"], "left")
+    pairs = _whole(docs, mentions).join(close, ["entity", "term"], "left")
     pairs = cut(pairs.where(F.greatest("apart", "contexts") >= SUPPORT).select("entity", "term", "n_te"))
     terms = broadcast_if_small(cut(pairs.select("term").distinct()))
     seen = pick(docs, "doc_id", "text").select(F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
@@ -221,17 +227,15 @@ def disclosing(docs: DataFrame, based: DataFrame, mentions: DataFrame, contexts:
     return joined.where((F.col("n_e") < total) & (told >= DISCLOSED * known)).select("entity", "term")
 
 
-def _told_places(based: DataFrame, told: DataFrame) -> DataFrame:
+def _told_places(docs: DataFrame, told: DataFrame) -> DataFrame:
     """d, m and the sorted places of every free disclosing term, in whichever document it stands; no row for documents without one."""
     terms = broadcast_if_small(cut(told.select("term").distinct()))
-    rows = based.select("doc_id", "mark", "text", "base")
-    held = rows.select("doc_id", "mark", F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
+    rows = pick(docs, "doc_id", "text")
+    held = rows.select("doc_id", F.xxhash64("text").alias("mark"), F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
     held = cut(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
-    rows = rows.join(broadcast_if_small(held), same, "left_semi").dropDuplicates(["doc_id", "mark"])
     found, between = F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), F.split("marked", TERM, -1)
     pairs = F.posexplode(F.arrays_zip(found.alias("value"), between.alias("gap"))).alias("k", "p")
-    each = _marked(rows).select("doc_id", "mark", pairs).where(F.col("p.value").isNotNull())
+    each = _marked(base_table(docs, held)).select("doc_id", "mark", pairs).where(F.col("p.value").isNotNull())
     bare = lambda c: F.char_length(F.translate(c, MARK, ""))
     each = each.select("doc_id", "mark", "k", F.col("p.value").alias("value"), bare("p.value").alias("size"), bare("p.gap").alias("gap"))
     each = each.withColumn("end", F.expr("sum(gap + size) OVER (PARTITION BY doc_id, mark ORDER BY k)").cast("int"))
@@ -245,14 +249,14 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, the spans of each base kind and of the kind ``term``, of every row; texts stay behind."""
     based = base_table(docs)
     mentions = _mentions(based)
-    told = cut(disclosing(docs, based, mentions, cut(_contexts(mentions))))
+    told = cut(disclosing(docs, mentions, cut(_contexts(mentions))))
     bare = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind)
     rows = based.select("doc_id", "mark", *[bare(k) for k in KINDS[:-1]])
     none = F.array().cast("array<struct<start:int,end:int>>")
     if told.isEmpty():
         return rows.withColumn("term", none)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
-    joined = rows.join(_told_places(based, told), same, "left")
+    joined = rows.join(_told_places(docs, told), same, "left")
     return joined.select("doc_id", "mark", *KINDS[:-1], F.coalesce("term", none).alias("term"))
 
 
