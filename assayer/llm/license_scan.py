@@ -9,9 +9,10 @@ parsed by a shunting-yard parser with the precedence ``with`` > ``and`` > ``or``
 ``labels`` holds the labels of base phrases, other notice phrases and tagged
 expressions. ``score`` is the share of the found licence claims that an open
 policy allows: an ``and`` needs both sides, an ``or`` one of them, ``with`` keeps
-the verdict of its left side; 0 without any claim. Null and empty texts have no
-word and no claim. What follows a complete expression on its line is no part of it; a
-tag without one, or with an operator that nothing follows, adds nothing.
+the verdict of its left side; 0 without any claim. Tags count in any case of their
+letters. Null and empty texts have no word and no claim. What follows a complete
+expression on its line is no part of it; a tag without one, or with an operator that
+nothing follows, adds nothing.
 """
 
 from __future__ import annotations
@@ -29,32 +30,66 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Notice phrases of other widely used licences, in their own words, with labels and whether the policy allows them.
+#: Notice phrases of other widely used licences, in their own words, with labels.
 NOTICES = {
     "gnu general public license version 3": "gpl-3",
+    "gnu general public license v3": "gpl-3",
     "gnu general public license version 2": "gpl-2",
+    "gnu general public license v2": "gpl-2",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl-3",
+    "gnu free documentation license": "gfdl",
+    "mozilla public license version 1": "mpl-1",
     "mozilla public license version 2": "mpl-2",
+    "mozilla public license v 2": "mpl-2",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
     "redistribution and use in source and binary forms": "bsd",
+    "under the bsd license": "bsd",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "released under the mit license": "mit",
+    "the mit license mit": "mit",
+    "under the apache license": "apache-2",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "under the isc license": "isc",
+    "boost software license": "bsl-1",
+    "the origin of this software must not be misrepresented": "zlib",
+    "python software foundation license": "psf",
+    "artistic license 2": "artistic-2",
+    "sil open font license": "ofl",
+    "microsoft public license": "ms-pl",
+    "do what the fuck you want to public license": "wtfpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "dedicated to the public domain": "public-domain",
+    "cc0 1 0 universal": "cc0",
+    "cc by 4 0": "cc-by",
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
+    "creative commons attribution 4": "cc-by",
     "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
     "creative commons attribution noncommercial": "cc-by-nc",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "cc0 1 0 universal": "cc0",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "open database license": "odbl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "elastic license": "elastic",
     "all rights reserved": "all-rights-reserved",
 }
-#: Tag identifiers by label; an identifier not listed becomes its own label in lower case.
-TAGGED = {
-    "mit": "mit", "apache-2.0": "apache-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "gpl-3.0-only": "gpl-3",
-    "gpl-3.0-or-later": "gpl-3", "lgpl-2.1-only": "lgpl", "lgpl-3.0-only": "lgpl", "agpl-3.0-only": "agpl-3", "mpl-2.0": "mpl-2",
-    "bsd-2-clause": "bsd", "bsd-3-clause": "bsd", "isc": "isc", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nd-4.0": "cc-by-nd",
-    "cc-by-nc-4.0": "cc-by-nc", "cc-by-4.0": "cc-by", "cc0-1.0": "cc0", "unlicense": "unlicense",
+#: Families of tag identifiers: an identifier belongs to the longest one that it is or that it begins with before "-" or ".".
+FAMILIES = {
+    "mit": "mit", "mit-0": "mit", "x11": "mit", "apache-1": "apache-1", "apache-2": "apache-2", "gpl-1": "gpl-1", "gpl-2": "gpl-2", "gpl-3": "gpl-3",
+    "lgpl": "lgpl", "agpl-1": "agpl-1", "agpl-3": "agpl-3", "gfdl": "gfdl", "mpl-1": "mpl-1", "mpl-2": "mpl-2", "epl": "epl", "eupl": "eupl", "cddl": "cddl",
+    "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "zlib": "zlib", "bsl-1": "bsl-1", "psf": "psf", "python": "psf", "artistic-1": "artistic-1", "artistic-2": "artistic-2",
+    "ofl": "ofl", "ms-pl": "ms-pl", "ms-rl": "ms-rl", "wtfpl": "wtfpl", "unlicense": "unlicense", "cc0": "cc0", "cc-by": "cc-by", "cc-by-sa": "cc-by-sa",
+    "cc-by-nd": "cc-by-nd", "cc-by-nc": "cc-by-nc", "odbl": "odbl", "sspl": "sspl", "busl": "busl", "elastic": "elastic", "ncsa": "ncsa", "postgresql": "postgresql",
 }
-ALLOWED = frozenset({"mit", "apache-2", "bsd", "isc", "cc-by", "cc0", "unlicense", "mpl-2"})
+ALLOWED = frozenset(
+    "mit apache-1 apache-2 bsd isc zlib bsl-1 psf artistic-2 ncsa postgresql cc-by cc0 unlicense public-domain wtfpl ofl mpl-2 ms-pl".split()
+)
 TAGS = ("spdx-license-identifier:", "license-expression:")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -129,6 +164,16 @@ def expression_at(text: str, at: int) -> list[str] | None:
     return parse_expression(" ".join(held[:whole]))
 
 
+def label_of(identifier: str) -> str:
+    """Label of a lowered identifier: that of its family, itself if it has none; a "+" behind it changes nothing."""
+    part = identifier = identifier.rstrip("+")
+    while part not in FAMILIES:
+        part = part[: max(part.rfind("-"), part.rfind("."))] if "-" in part or "." in part else ""
+        if not part:
+            return identifier
+    return FAMILIES[part]
+
+
 def evaluate(postfix: list[str], allowed: frozenset[str] = ALLOWED) -> tuple[bool, set[str]]:
     """Verdict of the policy and the labels of the licences named; exceptions behind ``with`` carry no label."""
     stack: list[tuple[bool, set[str]]] = []
@@ -140,7 +185,7 @@ def evaluate(postfix: list[str], allowed: frozenset[str] = ALLOWED) -> tuple[boo
             else:
                 stack.append((left and right if word == "and" else left or right, left_labels | right_labels))
         else:
-            label = TAGGED.get(word.rstrip("+"), word)
+            label = label_of(word)
             stack.append((label in allowed, {label}))
     return stack[0]
 
@@ -167,20 +212,24 @@ class Scanner:
         base: set[str] = set()
         labels: set[str] = set()
         verdicts: list[bool] = []
+        at = before = 0
         for end, (phrase, label, is_base) in self.phrases.iter(padded):
             labels.add(label)
             verdicts.append(label in ALLOWED)
             if is_base:
                 base.add(label)
-                starts.append(padded.count(" ", 0, end - len(phrase)) - 1)
-        if b"icense" in raw or b"ICENSE" in raw:
-            lowered = raw.lower().decode("latin-1")
-            for end, _ in self.tags.iter(lowered):
-                postfix = expression_at(lowered, end + 1)
-                if postfix:
-                    verdict, named = evaluate(postfix)
-                    labels |= named
-                    verdicts.append(verdict)
+                place = end - len(phrase)
+                # Phrases of several lengths may start in another order than they end, but never far apart.
+                before += padded.count(" ", at, place) if place >= at else -padded.count(" ", place, at)
+                at = place
+                starts.append(before - 1)
+        lowered = raw.lower().decode("latin-1")
+        for end, _ in self.tags.iter(lowered):
+            postfix = expression_at(lowered, end + 1)
+            if postfix:
+                verdict, named = evaluate(postfix)
+                labels |= named
+                verdicts.append(verdict)
         return {
             "n_words": len(words),
             "n_base": len(starts),

@@ -256,6 +256,12 @@ def test_license_base_matches_brute_force():
         assert 0 <= got["score"] <= 1
 
 
+def test_license_places_among_many():
+    text = "cc by nc under the mit license x apache license version 2 " * 20_000
+    got = license_scan.Scanner().scan(text)
+    assert (got["n_base"], got["first_word"], got["last_word"]) == (60_000, 0, 12 * 20_000 - 4) and got["n_words"] == 12 * 20_000
+
+
 def test_license_expressions():
     parse, evaluate = license_scan.parse_expression, license_scan.evaluate
     assert parse("MIT OR GPL-3.0-only AND Apache-2.0") == ["mit", "gpl-3.0-only", "apache-2.0", "and", "or"]
@@ -273,7 +279,9 @@ def test_license_expressions():
     ("SPDX-License-Identifier: Apache-2.0 (see LICENSE)", "apache-2"), ("SPDX-License-Identifier: MIT. And other words", "mit"),
     ("/* SPDX-License-Identifier: (MIT OR ISC) */ var a=1;" + "f(x);" * 400, "isc,mit"), ("SPDX-License-Identifier: MIT " + "x" * 500, "mit"),
     ("SPDX-License-Identifier: " + " OR ".join(["MIT", "ISC"] * 60), "isc,mit"), ("License-Expression: MIT\nor ISC", "mit"),
-    ("SPDX-License-Identifier: MIT OR (see LICENSE", "mit"), ("SPDX-License-Identifier: MIT OR -->", ""), ("SPDX-License-Identifier: (MIT", ""),
+    ("SPDX-LicENSE-Identifier: MIT", "mit"), ("sPDX-lICENSE-iDENTIFIER: ISC", "isc"), ("SPDX-License-Identifier: " + " OR ".join(["MIT"] * 2000), "mit"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later AND BSD-3-Clause-Clear", "bsd,lgpl"), ("SPDX-License-Identifier: LicenseRef-Own-1.0+", "licenseref-own-1.0"),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by-nc"), ("SPDX-License-Identifier: MIT OR (see LICENSE", "mit"), ("SPDX-License-Identifier: MIT OR -->", ""), ("SPDX-License-Identifier: (MIT", ""),
 ])
 def test_license_tags_before_other_text(text, labels):
     assert license_scan.Scanner().scan(text)["labels"] == labels
