@@ -58,6 +58,75 @@ def test_long_texts_are_scored_whole(monkeypatch):
     assert model.score([text])[0] == whole[0] == ["fr"]
 
 
+def plain_grams(text):
+    """Grams of one to four characters of the folded text, as strings."""
+    folded = " " + "".join(c if c.isalpha() else " " for c in text.lower())
+    while "  " in folded:
+        folded = folded.replace("  ", " ")
+    return [folded[k : k + n] for n in range(1, language_id.ORDERS + 1) for k in range(len(folded) - n + 1)]
+
+
+def bucket_of(gram):
+    state = 0
+    for n, c in enumerate(gram, 1):
+        state = (state * 0x9E3779B1 + ord(c) + n) % (1 << 32)
+    mixed = ((state ^ (state >> 15)) * 0x85EBCA6B) % (1 << 32)
+    return mixed >> 16
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7, 64, 1 << 16])
+def test_pieces_change_no_count(monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    texts = ["Ab, ab! cd--e  f\n\n" * 16, "  12 ÀÉ straße ΣΑΣ " * 9, "", None, "x" * 200, " " * 90 + "ab" + "." * 70 + "İc"]
+    into = {}
+    language_id.count_grams(texts, ["a", "b", "a", "b", "a", "b"], into)
+    for name, mine in (("a", (0, 2, 4)), ("b", (1, 3, 5))):
+        want = np.zeros(language_id.BUCKETS, dtype=np.int64)
+        for k in mine:
+            for gram in plain_grams(texts[k]) if texts[k] else ():
+                want[bucket_of(gram)] += 1
+        assert np.array_equal(into[name], want)
+
+
+def test_predictions_are_those_of_plain_naive_bayes(spark, make_docs):
+    import math
+    import random
+
+    rnd = random.Random(3)
+    words = {"en": "the of and water house never".split(), "de": "der die und wasser haus niemals".split(), "sw": "na ya wa maji nyumba kamwe".split()}
+    rows = [(k, " ".join(rnd.choice(words[lang]) for _ in range(rnd.randrange(1, 40))), lang, "s", 0) for k, lang in enumerate(["en", "de", "en", "sw", "en"] * 30)]
+    rows += [(900, "the der maji", None, "s", 0), (901, "Haus, HAUS!", None, "s", 0)]
+    docs = make_docs(rows)
+    from assayer.llm.base import held_out
+    from pyspark.sql import functions as F
+
+    kept = {r["doc_id"] for r in docs.where(~held_out(F.col("doc_id"))).collect()}
+    learnt = [(t, lang) for k, t, lang, *_ in rows if lang and k in kept]
+    counts = {lang: np.zeros(language_id.BUCKETS) for lang in sorted(words)}
+    for text, lang in learnt:
+        for gram in plain_grams(text):
+            counts[lang][bucket_of(gram)] += 1
+    n_docs = {lang: sum(x == lang for _, x in learnt) + 1 for lang in counts}
+    got = {r["doc_id"]: r for r in language_id.predict(docs, language_id.fit(docs)).collect()}
+    for k, text, *_ in rows:
+        grams = plain_grams(text)
+        likely = {}
+        for lang, n in counts.items():
+            total = n.sum() + 0.5 * language_id.BUCKETS
+            said = sum(math.log((n[bucket_of(g)] + 0.5) / total) for g in grams)
+            likely[lang] = said * min(1, language_id.EVIDENCE / len(grams)) + math.log(n_docs[lang] / sum(n_docs.values()))
+        best = max(likely, key=likely.get)
+        share = 1 / sum(math.exp(v - likely[best]) for v in likely.values())
+        assert got[k]["lang_pred"] == best and abs(got[k]["score"] - share) < 1e-3
+
+
+def test_rare_languages_are_learnt_from_all_their_rows(make_docs):
+    rows = [(k, f"common words {k}", "en", "s", 0) for k in range(400)] + [(1000 + k, f"maji nyumba {k}", "sw", "s", 0) for k in range(12)]
+    model = language_id.fit(make_docs(rows), train_docs=20)
+    names, _ = model.score(["maji nyumba", "common words"])
+    assert names == ["sw", "en"]
+
+
 def test_too_many_languages_are_refused(spark, make_docs, monkeypatch):
     monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
     with pytest.raises(ValueError):
