@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +75,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if (df.agg(F.sum(written)).first()[0] or 0) <= limit else df
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small pieces of a batch, so that only a few texts are Python strings at once."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of at most ``rows`` rows and about ``size`` bytes of ``column``, a longer text alone, so that few texts are Python objects at once."""
+    held = batch.column(column)
+    width = pc.list_value_length(held) if pa.types.is_list(held.type) else pc.binary_length(held)
+    ends = np.cumsum(pc.fill_null(width, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def map_texts(

@@ -226,7 +226,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text):
                 found, chances = shared.value.score(part.column(text).to_pylist())
                 yield part.filter(pa.array([f != UNKNOWN and c >= least for f, c in zip(found, chances, strict=True)], pa.bool_()))
 

@@ -104,8 +104,9 @@ SHARDING_SQL = """WITH leaf AS (SELECT s, s // 8 AS r, (s // 4) % 2 AS k, g FROM
   row AS (SELECT doc_id, n + 1 AS size, xor(4294967295, list_reduce(list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
     lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1]), 4294967295)) AS text_crc32 FROM bytes, crc)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(a.s AS INTEGER) AS shard,
-  row_number() OVER (PARTITION BY a.s ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(b.s AS INTEGER) AS grown_shard
-FROM row JOIN shard a ON a.id IS NOT DISTINCT FROM doc_id AND a.g = 0 JOIN shard b ON b.id IS NOT DISTINCT FROM doc_id AND b.g = 1"""
+  row_number() OVER (PARTITION BY a.s ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(text_crc32 AS BIGINT) || '|' || piece), 1, 3),
+    doc_id NULLS FIRST, text_crc32, size, piece) - 1 AS slot, CAST(b.s AS INTEGER) AS grown_shard
+FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, text_crc32, size) - 1) // 65536 AS piece FROM row) row JOIN shard a ON a.id IS NOT DISTINCT FROM doc_id AND a.g = 0 JOIN shard b ON b.id IS NOT DISTINCT FROM doc_id AND b.g = 1"""
 
 
 
@@ -150,5 +151,4 @@ SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS
   array_to_string({_SHOW('email')} || {_SHOW('ip')} || {_SHOW('card')} || {_SHOW('phone')} || coalesce({_SHOW('term')}, []), ',') AS spans
 FROM b LEFT JOIN term USING (n)"""
 
-#: Slots agree with the SQL while a table has fewer rows than one bucket of ``sharding.BUCKET_ROWS``.
 ORACLES: dict[str, str] = {"op4_decontaminate": DECONTAMINATE_SQL, "op5_personal_data": PERSONAL_DATA_SQL, "op7_sharding": SHARDING_SQL}

@@ -7,10 +7,12 @@ Draws of a child depend on nothing else, so a changed weight moves rows only int
 or out of the subtrees that hold it. A tree grows by a region of its own, so one
 more shard takes rows into itself and moves no other row: the law ``key``.
 
-Slots number the rows of a shard from 0 without gaps, in the order of a bucket of
-the id, then id, checksum and size. Equal rows are counted before anything is
-sorted, each bucket is numbered by itself and starts where the rows of earlier
-buckets end, so no shard is ever sorted as a whole.
+Slots number the rows of a shard from 0 without gaps, in the order of a bucket, then
+id, checksum, size and piece. Equal rows are counted before anything is sorted and
+dealt in pieces of ``COPIES``; a row's bucket is a part of a digest of its id,
+checksum and piece, so it depends on nothing but the row. Each bucket is numbered by
+itself and starts where the rows of earlier buckets end, so no shard is ever sorted
+as a whole and no id, text or group of copies gathers in one task.
 
 Defined results: a null id draws as the empty string; a null text has size 1 and
 checksum 0. Weights must be positive.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm.base import cut, numbered, pick, position_of
 
-#: Rows of the whole table for each bucket of a shard.
-BUCKET_ROWS = 1 << 16
+#: Hexadecimal digits of a digest that name a bucket (4096 of them in each shard), and equal rows that stay together.
+BUCKET_DIGITS, COPIES = 3, 1 << 16
 DRAW_BITS = 52
 
 
@@ -111,14 +113,16 @@ def shards(docs: DataFrame, tree: Tree) -> DataFrame:
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
     counted = cut(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("times")))
-    total = counted.agg(F.sum("times")).first()[0] or 0
-    n_buckets = 1 + total // BUCKET_ROWS
-    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))
     placed = assign(assign(counted, "doc_id", tree, "shard"), "doc_id", tree.grown(), "grown_shard")
-    placed = placed.withColumn("bucket", F.pmod(F.crc32(name.cast("binary")), F.lit(n_buckets)))
+    placed = placed.withColumn("piece", F.explode(F.expr(f"sequence(0, (times - 1) DIV {COPIES})")))
+    placed = placed.withColumn("times", F.least(F.lit(COPIES), F.col("times") - F.col("piece") * COPIES))
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"), F.col("piece").cast("string"))
+    placed = placed.withColumn("bucket", F.substring(F.md5(name.cast("binary")), 1, BUCKET_DIGITS))
     sums = placed.groupBy("shard", "bucket").agg(F.sum("times").alias("held"))
     starts = sums.select("shard", "bucket", F.expr("sum(held) OVER (PARTITION BY shard ORDER BY bucket) - held").alias("offset"))
-    inside = "sum(times) OVER (PARTITION BY shard, bucket ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - times"
+    # One row for each bucket of a shard: bounded by the tree, not by the table.
+    starts = F.broadcast(starts) if len(tree.leaves) << 4 * BUCKET_DIGITS <= 1 << 20 else starts
+    inside = "sum(times) OVER (PARTITION BY shard, bucket ORDER BY doc_id, text_crc32, size, piece ROWS UNBOUNDED PRECEDING) - times"
     slotted = placed.withColumn("inside", F.expr(inside)).join(starts, ["shard", "bucket"])
     each = F.explode(F.expr("sequence(offset + inside, offset + inside + times - 1)")).alias("slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", each, "grown_shard")

@@ -219,6 +219,29 @@ def test_shards_hold_their_law(spark, make_docs):
     assert [(r["size"], r["text_crc32"]) for r in rows if r["doc_id"] is None] == [(1, 0), (1, 0)]
 
 
+def test_slots_follow_a_rule_of_the_row_alone(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 4)
+    rows = [(k, f"text {k % 7}") for k in range(600)] + [(7, "hot")] * 300 + [(None, None)] * 9
+    got = sharding.shards(make_docs(rows), sharding.balanced()).collect()
+    seen, keyed = Counter(), defaultdict(list)
+    for r in sorted(got, key=lambda r: r["slot"]):
+        who = (r["doc_id"], r["text_crc32"], r["size"])
+        keyed[r["shard"]].append(who)
+        seen[who] += 1
+    assert sum(seen.values()) == len(rows) and seen[(7, zlib.crc32(b"hot"), 4)] == 300
+    for shard, held in keyed.items():
+        order, nth = [], Counter()
+        for who in held:
+            piece = nth[who] // 4
+            nth[who] += 1
+            order.append((who, piece))
+        want = sorted(Counter(held).elements(), key=str)
+        pieces = [(w, k // 4) for w, n in Counter(want).items() for k in range(n)]
+        rule = lambda x: (hashlib.md5(f"{'' if x[0][0] is None else x[0][0]}|{x[0][1]}|{x[1]}".encode()).hexdigest()[:3], x[0][0] is not None, x[0][0] or 0, *x[0][1:], x[1])
+        assert [w for w, _ in sorted(pieces, key=rule)] == held, shard
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) == 1
+
+
 def test_changed_weight_moves_rows_of_its_subtree_only(make_docs):
     docs = make_docs([(k, "") for k in range(3000)])
     tree = sharding.balanced()

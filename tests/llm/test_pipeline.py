@@ -94,7 +94,7 @@ def test_stages_keep_the_columns_of_documents(spark, planted):
 
 
 def test_native_queries_run_no_python(spark, planted):
-    for name in ("op4_decontaminate", "op5_personal_data"):
+    for name in ("op4_decontaminate", "op5_personal_data", "op7_sharding"):
         plan = queries.QUERIES[name](spark, planted)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 

@@ -231,6 +231,17 @@ def test_repetition_tables(spark, sf_dir, odd_docs, no_docs):
     assert repetition.repeated_spans(odd_docs).count() == 12
 
 
+def test_batches_are_cut_by_bytes_and_rows():
+    import pyarrow as pa
+    from assayer.llm.base import slices
+
+    batch = pa.record_batch({"text": pa.array(["a" * 10, None, "b" * 100, "c", "é" * 4, *["d"] * 9], pa.string())})
+    parts = [p.column("text").to_pylist() for p in slices(batch.slice(1), rows=4, size=20)]
+    assert parts == [[None], ["b" * 100], ["c", "éééé", "d", "d"], ["d"] * 4, ["d"] * 3]
+    lists = pa.record_batch({"text": pa.array([[1] * 9, None, [2]], pa.list_(pa.int64()))})
+    assert [p.num_rows for p in slices(lists, size=5)] == [1, 2] and not list(slices(lists.slice(3)))
+
+
 LICENSED = [
     "Licensed under the MIT License.", "under the mit licensee", "Apache License, Version 2.0 and CC BY-NC 4.0", "xunder the mit license",
     "cc by nc cc by nc", None, "", "SPDX-License-Identifier: (MIT OR GPL-3.0-only) AND Apache-2.0", "spdx-license-identifier: MIT OR",
