@@ -192,7 +192,9 @@ def slow_repetition(text):
             at[tuple(words[k : k + size])].append(k)
         return len({p for v in at.values() if len(v) > 1 for k in v for p in range(k, k + size)})
 
-    longest = next((s for s in range(n - 1, 4, -1) if len({tuple(words[k : k + s]) for k in range(n - s + 1)}) < n - s + 1), 0)
+    longest = 0
+    while longest + 1 < n and len({tuple(words[k : k + longest + 1]) for k in range(n - longest)}) < n - longest:
+        longest += 1
     seen, dup = set(), 0
     for line in (text or "").split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -216,13 +218,32 @@ def test_repetition_matches_brute_force(spark, sf_dir):
     for k, text in enumerate(texts):
         *figures, longest = slow_repetition(text)
         assert [found[c][k] for c in names] == figures, text
-        assert found["longest_repeat"][k] == longest or not found["n_repeat_words"][k]
+        assert found["longest_repeat"][k] == longest
         assert found["covered_words"][k] == sum(e - s for s, e in found["spans"][k])
         failed = figures[0] < 10 or 100 * figures[4] > 20 * figures[0]
         assert found["base_failed"][k] == failed
         assert found["kept"][k] == (not failed and figures[5] <= 0.15 * figures[0] and found["longest_repeat"][k] <= 60)
 
 
+def test_maximal_repeats_match_brute_force():
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("ab") for _ in range(rnd.randrange(70))) for _ in range(80)] + REPEATS
+    texts += [" ".join(rnd.choice([a, a, b]) for _ in range(9)) for a, b in (("a b c d e f g h i", "x"), ("q r s t u v w x y z", "q r s t u v w x a"))]
+    found = repetition.measure(texts)["n_maximal"]
+    for text, n_found in zip(texts, found, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        n, want = len(words), 0
+        for size in range(repetition.LEAST, n):
+            at = defaultdict(list)
+            for k in range(n - size + 1):
+                at[tuple(words[k : k + size])].append(k)
+            for places in at.values():
+                before = {words[k - 1] if k else None for k in places}
+                after = {words[k + size] if k + size < n else None for k in places}
+                want += len(places) > 1 and len(before) > 1 and len(after) > 1
+        assert n_found == want, text
+
+
 def test_repetition_tables(spark, sf_dir, odd_docs, no_docs):
     assert queries.op9_repetition(spark, sf_dir).count() == load(spark, sf_dir, "documents").count()
     rows = repetition.repetition_rules(odd_docs).collect()
