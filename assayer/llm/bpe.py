@@ -21,11 +21,10 @@ from itertools import chain
 
 import ahocorasick
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 
 from assayer.llm.base import map_texts, pick
-from assayer.llm.vocabulary import Vocabulary, byte_letters
+from assayer.llm.vocabulary import Vocabulary, byte_letters, finder
 
 #: Fixed value: the pre-token pattern of the published byte vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -73,7 +72,7 @@ class Codec(dict):
             self.longest.add_word(token[::-1].decode("latin-1"), k)
         self.longest.make_automaton()
         self.cut, self.special = vocabulary.special_pattern(), vocabulary.special
-        self.find = regex.compile(PRE_TOKEN).findall
+        self.find = finder(PRE_TOKEN)
         spelled = public | {s.encode(): i for s, i in vocabulary.special.items()}
         by_id = sorted((i, t) for t, i in spelled.items())
         sizes = np.zeros(by_id[-1][0] + 1, dtype=np.int64)

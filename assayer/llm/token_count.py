@@ -14,16 +14,20 @@ one by one, and the pre-token pattern is applied. A null text counts as empty: n
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 
-import regex
 from pyspark.sql import DataFrame
 
 from assayer.llm.base import map_texts, pick
-from assayer.llm.vocabulary import Vocabulary, byte_letters
+from assayer.llm.vocabulary import Vocabulary, byte_letters, finder
 
 #: Fixed value: the pre-token pattern of the published word vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: Capital letters, with their small ones, of newer Unicode tables than Python's; the published file's library lowers them.
+NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+NEWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_HAS_NEWER = re.compile("[" + "".join(map(chr, NEWER)) + "]").search
 #: Words remembered by a worker, and the longest remembered word.
 MEMORY, MEMORY_WORD = 400_000, 40
 #: From so many symbols on a heap finds the next merge.
@@ -109,7 +113,7 @@ class Counter(dict):
         super().__init__(dict.fromkeys(whole, 1))
         self.whole, self.merger = whole, Merger(vocabulary)
         self.cut, self.special = vocabulary.special_pattern(), vocabulary.special
-        self.find = regex.compile(PRE_TOKEN).findall
+        self.find = finder(PRE_TOKEN)
 
     def __missing__(self, word: str) -> int:
         n = self.merger.count(word)
@@ -124,6 +128,8 @@ class Counter(dict):
         """The text as the pre-token pattern sees it; white space only separates pre-tokens, so it stays as it is."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _HAS_NEWER(text):
+                text = text.translate(NEWER)
         return text.lower()
 
     def count(self, text: str | None) -> int:

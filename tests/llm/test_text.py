@@ -41,6 +41,26 @@ def test_token_counts_match_the_library(spark, sf_dir, library):
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[r["doc_id"]].encode()), n > 2048)
 
 
+def every_code_point():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    return ["\n".join(f"a{chr(c)}b {chr(c)}1" for c in points[k : k + 40]) for k in range(0, len(points), 40)]
+
+
+def test_token_counts_match_over_all_code_points(library):
+    vocabulary = read_vocabulary(queries.tokenizer_path("word_bpe_49k.json"))
+    counter = token_count.Counter(vocabulary, token_count.whole_tokens(vocabulary))
+    texts = every_code_point()
+    for text, found in zip(texts, library["word_bpe_49k.json"].encode_batch(texts, add_special_tokens=False), strict=True):
+        assert counter.count(text) == len(found.ids), hex(ord(text[1]))
+
+
+def test_encoding_matches_over_all_code_points(library):
+    codec = bpe.Codec(read_vocabulary(queries.tokenizer_path("byte_bpe_50k.json")))
+    texts = every_code_point()
+    for text, found in zip(texts, library["byte_bpe_50k.json"].encode_batch(texts, add_special_tokens=False), strict=True):
+        assert codec.encode(text) == found.ids and codec.decode(found.ids) == text, hex(ord(text[1]))
+
+
 def test_whole_tokens_are_proven(library):
     vocabulary = read_vocabulary(queries.tokenizer_path("word_bpe_49k.json"))
     whole = token_count.whole_tokens(vocabulary)
