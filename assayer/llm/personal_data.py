@@ -43,29 +43,41 @@ MARK, NEIGHBOUR = "\u1dff", "\u1dfe"
 SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
 
 
+#: Steps of a walk over an array whose results are gathered together; an array that grew by one a step would be copied each time.
+STRIDE = 256
+
+
+def _walk(items: Column, state: str, first, step) -> Column:
+    """The states of a walk over ``items``, one for each stretch of ``STRIDE``; ``out`` of a state holds what its stretch added.
+
+    ``first`` makes the state that a stretch begins with from the one before (null at the start).
+    """
+
+    def walk(held: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), F.floor(F.size(held) / STRIDE).cast("int")), lambda i: F.slice(held, i * STRIDE + 1, F.lit(STRIDE)))
+        none = F.array().cast(f"array<{state}>")
+        return F.aggregate(stretches, none, lambda a, s: F.concat(a, F.array(F.aggregate(s, first(F.get(a, F.size(a) - 1)).cast(state), step))))
+
+    return F.get(F.transform(F.array(items), walk), F.lit(0))
+
+
+PLACE = "struct<start:int,end:int,value:string>"
+
+
 def places(text: Column, pattern: str) -> Column:
     """start, end and value of the leftmost matches that do not overlap: pieces between matches give the places."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("value"), between.alias("gap"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    walked = F.aggregate(
-        F.filter(pairs, lambda p: p["value"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + F.char_length(p["gap"]) + F.char_length(p["value"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        (a["at"] + F.char_length(p["gap"])).alias("start"),
-                        (a["at"] + F.char_length(p["gap"]) + F.char_length(p["value"])).alias("end"),
-                        p["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )
-    return walked["out"]
+    pairs = F.filter(F.arrays_zip(found.alias("value"), between.alias("gap")), lambda p: p["value"].isNotNull())
+    empty = F.array().cast(f"array<{PLACE}>")
+
+    def step(a: Column, p: Column) -> Column:
+        start, end = a["at"] + F.char_length(p["gap"]), a["at"] + F.char_length(p["gap"]) + F.char_length(p["value"])
+        one = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    start = lambda a: F.struct(F.coalesce(a["at"], F.lit(0)).alias("at"), empty.alias("out"))
+    walked = _walk(pairs, f"struct<at:int,out:array<{PLACE}>>", start, step)
+    return F.flatten(F.transform(walked, lambda a: a["out"]))
 
 
 def _digits(value: Column) -> Column:
@@ -124,26 +136,32 @@ def _near_terms(window: str) -> Column:
     return F.concat(before, after)
 
 
-def base_table(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, mark (hash of the text), the base spans by kind and all of them in the array ``base``.
-
-    With ``only`` (d, m), one row of each document listed there.
-    """
+def _based(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), text, the base spans by kind and all of them in the array ``base``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("mark"), text.alias("text"))
-    if only is not None:
-        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
-        rows = cut(rows.join(broadcast_if_small(only), same, "left_semi").dropDuplicates(["doc_id", "mark"]))
     found = base_spans(F.col("text"))
     rows = rows.select("doc_id", "mark", "text", *[c.alias(k) for k, c in found.items()])
     return rows.withColumn("base", F.concat(*found))
 
 
+def base_table(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, the places of the base spans by kind, and ``windows``: each span with the texts around it. Written once; texts stay behind."""
+    bare = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind)
+    rows = _based(docs).withColumn("size", F.char_length("text"))
+    return cut(rows.select("doc_id", "mark", *[bare(k) for k in KINDS[:-1]], _windows(F.col("text"), "base").alias("windows")))
+
+
+def _some_based(docs: DataFrame, only: DataFrame) -> DataFrame:
+    """One row of ``_based`` for each of the documents (d, m)."""
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("m"))
+    rows = cut(pick(docs, "doc_id", "text").join(broadcast_if_small(only), same, "left_semi").withColumn("m", F.xxhash64("text")).dropDuplicates(["doc_id", "m"]))
+    return _based(rows)
+
+
 def _mentions(based: DataFrame) -> DataFrame:
     """doc_id, mark and w (a base span with the texts around it) of every mention: short rows, however long the text."""
-    rows = based.where(F.size("base") > 0).withColumn("size", F.char_length("text"))
-    rows = rows.select("doc_id", "mark", F.explode(_windows(F.col("text"), "base")).alias("w"))
-    return cut(rows.distinct())
+    return cut(based.select("doc_id", "mark", F.explode("windows").alias("w")).distinct())
 
 
 #: Width of the buckets in which terms meet the spans that they might overlap; no term reaches over more than one border.
@@ -201,7 +219,7 @@ def _whole(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     held = cut(mentions.select("doc_id", "mark", F.col("w.entity").alias("entity")).distinct().join(live, "entity", "left_semi"))
     where = held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
-    rows = base_table(docs, where)
+    rows = _some_based(docs, where)
     free = F.filter(F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), lambda w: (F.char_length(w) >= SHORTEST) & ~w.contains(MARK))
     rows = _marked(rows).select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms"))
     rows = rows.select("doc_id", "mark", F.md5(F.array_join("terms", " ").cast("binary")).alias("sign"), F.explode("terms").alias("term"))
@@ -235,7 +253,7 @@ def _told_places(docs: DataFrame, told: DataFrame) -> DataFrame:
     held = cut(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct())
     found, between = F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), F.split("marked", TERM, -1)
     pairs = F.posexplode(F.arrays_zip(found.alias("value"), between.alias("gap"))).alias("k", "p")
-    each = _marked(base_table(docs, held)).select("doc_id", "mark", pairs).where(F.col("p.value").isNotNull())
+    each = _marked(_some_based(docs, held)).select("doc_id", "mark", pairs).where(F.col("p.value").isNotNull())
     bare = lambda c: F.char_length(F.translate(c, MARK, ""))
     each = each.select("doc_id", "mark", "k", F.col("p.value").alias("value"), bare("p.value").alias("size"), bare("p.gap").alias("gap"))
     each = each.withColumn("end", F.expr("sum(gap + size) OVER (PARTITION BY doc_id, mark ORDER BY k)").cast("int"))
@@ -250,8 +268,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     based = base_table(docs)
     mentions = _mentions(based)
     told = cut(disclosing(docs, mentions, cut(_contexts(mentions))))
-    bare = lambda kind: F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind)
-    rows = based.select("doc_id", "mark", *[bare(k) for k in KINDS[:-1]])
+    rows = based.drop("windows")
     none = F.array().cast("array<struct<start:int,end:int>>")
     if told.isEmpty():
         return rows.withColumn("term", none)
@@ -270,7 +287,7 @@ def written(kinds: tuple[str, ...]) -> Column:
 
 
 def united(spans: Column) -> Column:
-    """Sorted spans (start, end, shown) with those that overlap made one: first start, last end, ``shown`` of the longest."""
+    """Sorted spans (start, end, shown) with those that overlap made one: first start, last end, ``shown`` of the longest; null for null."""
     one = "struct<start:int,end:int,shown:string,wide:int>"
     wide = lambda s: s["end"] - s["start"]
     alone = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["shown"].alias("shown"), wide(s).alias("wide"))
@@ -283,10 +300,14 @@ def united(spans: Column) -> Column:
             F.when(longer, s["shown"]).otherwise(a["last"]["shown"]).alias("shown"), F.greatest(a["last"]["wide"], wide(s)).alias("wide"),
         )
         out = F.when(apart & a["last"].isNotNull(), F.concat(a["out"], F.array(a["last"]))).otherwise(a["out"])
-        return F.struct(out.alias("out"), F.when(apart, alone(s)).otherwise(joined).alias("last"))
+        return F.struct(F.when(apart, alone(s)).otherwise(joined).alias("last"), out.alias("out"))
 
-    start = F.struct(F.array().cast(f"array<{one}>").alias("out"), F.lit(None).cast(one).alias("last"))
-    return F.aggregate(spans, start, step, lambda a: F.when(a["last"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["last"]))))
+    start = lambda a: F.struct(a["last"].alias("last"), F.array().cast(f"array<{one}>").alias("out"))
+    walked = _walk(spans, f"struct<last:{one},out:array<{one}>>", start, step)
+    end = lambda w: F.concat(
+        F.flatten(F.transform(w, lambda a: a["out"])), F.filter(F.array(F.get(w, F.size(w) - 1)["last"]), lambda x: x.isNotNull())
+    )
+    return F.when(spans.isNotNull(), F.get(F.transform(F.array(walked), end), F.lit(0)))
 
 
 def rewritten(text: Column, spans: str) -> Column:

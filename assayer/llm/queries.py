@@ -125,7 +125,7 @@ _NO = "CAST([] AS STRUCT(s BIGINT, e BIGINT, v VARCHAR)[])"
 _TERM = r"\p{L}[\p{L}\p{M}''’-]*"
 _SHOW = lambda kind: f"list_transform({kind}, lambda x: '{kind}:' || x.s || ':' || x.e)"
 
-#: The same steps as the operator's, over the plain patterns of the contract.
+#: The rule of the operator over the plain patterns of the contract: whole documents, every place of a disclosing term, contexts by their set of words.
 PERSONAL_DATA_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
   email AS (SELECT n, {_places('t', r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")} AS email FROM d WHERE contains(t, '@')),
   ip AS (SELECT n, list_filter({_places('t', r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")}, lambda x: {_SMALL}) AS ip FROM d WHERE regexp_matches(t, '[0-9]\.[0-9]')),
@@ -134,18 +134,27 @@ PERSONAL_DATA_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, co
   b AS (SELECT n, doc_id, t, length(t) AS size, coalesce(email, {_NO}) AS email, coalesce(ip, {_NO}) AS ip, coalesce(card, {_NO}) AS card, coalesce(phone, {_NO}) AS phone
     FROM d LEFT JOIN email USING (n) LEFT JOIN ip USING (n) LEFT JOIN card USING (n) LEFT JOIN phone USING (n)),
   m AS (SELECT n, doc_id, t, size, base, unnest(base) AS x FROM (SELECT *, email || ip || card || phone AS base FROM b)),
-  side AS (SELECT n, doc_id, t, size, base, x.v AS entity, x.s AS xs, greatest(0, x.s - 60) AS a, x.s AS z, true AS l FROM m UNION ALL SELECT n, doc_id, t, size, base, x.v, x.s, x.e, least(size, x.e + 60), false FROM m),
-  part AS (SELECT *, substr(t, a + 1, z - a) AS p FROM side),
-  near AS (SELECT n, doc_id, t, size, base, entity, xs, a, z, l, unnest({_places('p', _TERM)}) AS w FROM part),
-  free AS (SELECT n, doc_id, t, entity, xs, lower(w.v) AS term, w.s + a AS s, w.e + a AS e FROM near
+  word AS (SELECT n, lower(v) AS term, length(v) AS size, CAST(sum(length(g) + length(v)) OVER (PARTITION BY n ORDER BY k) AS BIGINT) AS e
+    FROM (SELECT n, unnest(range(len(vs))) AS k, unnest(vs) AS v, unnest(gs[1:len(vs)]) AS g FROM
+      (SELECT n, regexp_extract_all(t, '{_TERM}') AS vs, string_split_regex(t, '{_TERM}') AS gs FROM d))),
+  free AS (SELECT n, term, e - size AS s, e FROM word WHERE size >= 3 AND NOT EXISTS (SELECT 1 FROM m WHERE m.n = word.n AND m.x.s < word.e AND m.x.e > word.e - word.size)),
+  one AS (SELECT min(n) AS n FROM d GROUP BY doc_id, t),
+  holds AS (SELECT DISTINCT n, term FROM free JOIN one USING (n)),
+  whole AS (SELECT entity, term, count(DISTINCT sign) AS apart, count(*) AS n_te FROM (SELECT DISTINCT n, x.v AS entity FROM m JOIN one USING (n)) JOIN holds USING (n)
+    JOIN (SELECT n, string_agg(term, ' ' ORDER BY term) AS sign FROM holds GROUP BY n) USING (n) GROUP BY ALL),
+  side AS (SELECT n, size, base, x.v AS entity, x.s AS xs, t, greatest(0, x.s - 60) AS a, x.s AS z, true AS l FROM m UNION ALL SELECT n, size, base, x.v, x.s, t, x.e, least(size, x.e + 60), false FROM m),
+  part AS (SELECT n, size, base, entity, xs, a, z, l, substr(t, a + 1, z - a) AS p FROM side),
+  near AS (SELECT n, size, base, entity, xs, a, z, l, unnest({_places('p', _TERM)}) AS w FROM part),
+  beside AS (SELECT DISTINCT n, entity, xs, lower(w.v) AS term FROM near
     WHERE (w.s > 0 OR a = 0 OR NOT l) AND (w.e < z - a OR z = size OR l) AND w.e - w.s >= 3 AND len(list_filter(base, lambda y: y.s < w.e + a AND y.e > w.s + a)) = 0),
-  sign AS (SELECT n, entity, xs, min(md5(term)) AS sign FROM free GROUP BY ALL),
-  pair AS (SELECT entity, term, count(DISTINCT sign) AS contexts, count(DISTINCT (doc_id, t)) AS n_te FROM free JOIN sign USING (n, entity, xs) GROUP BY ALL HAVING count(DISTINCT sign) >= 3),
-  n_e AS (SELECT x.v AS entity, count(DISTINCT (doc_id, t)) AS n_e FROM m GROUP BY 1),
+  close AS (SELECT entity, term, count(DISTINCT sign) AS contexts FROM beside
+    JOIN (SELECT n, entity, xs, string_agg(term, ' ' ORDER BY term) AS sign FROM beside GROUP BY ALL) USING (n, entity, xs) GROUP BY ALL),
+  pair AS (SELECT entity, term, n_te FROM whole LEFT JOIN close USING (entity, term) WHERE greatest(apart, coalesce(contexts, 0)) >= 3),
+  n_e AS (SELECT x.v AS entity, count(DISTINCT n) AS n_e FROM m JOIN one USING (n) GROUP BY 1),
   n_t AS (SELECT term, count(*) AS n_t FROM (SELECT n, unnest(list_distinct(regexp_extract_all(lower(t), '{_TERM}'))) AS term FROM d) WHERE term IN (SELECT term FROM pair) GROUP BY 1),
-  told AS (SELECT entity, term FROM pair JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS total FROM d)
+  told AS (SELECT DISTINCT term FROM pair JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS total FROM d)
     WHERE n_e < total AND ln(n_te * total / (n_t * n_e)) >= 0.95 * ln(total / n_e)),
-  term AS (SELECT n, list_sort(list(DISTINCT {{'s': s, 'e': e}})) AS term FROM free JOIN told USING (entity, term) GROUP BY n)
+  term AS (SELECT n, list_sort(list(DISTINCT {{'s': s, 'e': e}})) AS term FROM free JOIN told USING (term) GROUP BY n)
 SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip, CAST(len(card) AS BIGINT) AS n_card, CAST(len(phone) AS BIGINT) AS n_phone,
   sha256(array_to_string({_SHOW('email')} || {_SHOW('ip')} || {_SHOW('card')} || {_SHOW('phone')}, ',')) AS base_sha256,
   array_to_string({_SHOW('email')} || {_SHOW('ip')} || {_SHOW('card')} || {_SHOW('phone')} || coalesce({_SHOW('term')}, []), ',') AS spans
