@@ -1,4 +1,4 @@
-"""Cuts of long plans that survive lost executors."""
+"""Cuts of long plans that survive lost executors, and broadcasts of measured size."""
 
 from __future__ import annotations
 
@@ -6,11 +6,35 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from assayer.errors import Refusal
+
+#: Rows measured to be no larger than this travel by broadcast; beyond it Spark plans the join by shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Rows written to the shared folder that ``spark.checkpoint.dir`` names; a temporary one only if it names none."""
+    """Rows written to the shared folder that ``spark.checkpoint.dir`` names.
+
+    Without that setting a local session writes to a temporary folder; a cluster,
+    whose executors share no such folder, is refused.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise Refusal("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows, written out, are at most ``limit`` bytes; give cut rows, they are read once for this."""
+    written = F.octet_length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    return (df.agg(F.sum(written)).first()[0] or 0) <= limit
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows, to be broadcast in a join if they are small; give cut rows, they are read twice."""
+    return F.broadcast(df) if is_small(df, limit) else df

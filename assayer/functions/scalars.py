@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from json import dumps, loads
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that a search by keyword leaves out.
 STOP = (
@@ -81,7 +85,38 @@ def terms(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))), F.array(*map(F.lit, STOP)))
 
 
+#: What normal forms disregard, by the name that reports give it, in the order of application.
+FOLDINGS = {
+    "a leading '#'": lambda t: F.regexp_replace(t, "^#", ""),
+    "case": lambda t: F.lower(F.upper(t)),
+    "the separator": lambda t: F.regexp_replace(t, "[-_.]", "-"),
+    "zero-padding": lambda t: F.regexp_replace(t, r"0*(\d)", "$1"),
+}
+
+
+def folded(text: Column, *names: str) -> Column:
+    """The text after the named foldings, in their order."""
+    for name in FOLDINGS:
+        text = FOLDINGS[name](text) if name in names else text
+    return text
+
+
 def normal_form(text: Column) -> Column:
-    """No leading '#', one case, one separator, no padding zeros (inner zeros go too, as in the rule that this follows)."""
-    plain = F.regexp_replace(text, "^#", "")
-    return F.regexp_replace(F.regexp_replace(F.lower(F.upper(plain)), "[-_.]", "-"), r"0*(\d)", "$1")
+    """The text after all foldings (inner zeros go like padding ones, as in the rule that this follows)."""
+    return folded(text, *FOLDINGS)
+
+
+def canonical(json: Column) -> Column:
+    """A JSON text with the members of every object in the order of their names and no white space; null if it is no JSON."""
+    return _canonical(json)
+
+
+@F.pandas_udf(T.StringType())
+def _canonical(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else dumps(loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return texts.map(one)

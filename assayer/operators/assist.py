@@ -78,7 +78,7 @@ def replay(prompts: DataFrame, cassettes: DataFrame) -> DataFrame:
     return keyed.join(cassettes, "prompt_sha256").select("prompt_id", "reply")
 
 
-def verify(replies: DataFrame, sources: DataFrame) -> DataFrame:
+def verify(replies: DataFrame, sources: DataFrame, guard: texts.Guard) -> DataFrame:
     """reply_id, prose, quotes, withheld, sentences of replies (reply_id, prose, quotes as id, source, text) against sources (source, text).
 
     In this order: quotations are looked up, markers of others are struck, inline
@@ -100,7 +100,7 @@ def verify(replies: DataFrame, sources: DataFrame) -> DataFrame:
     known = F.coalesce(F.transform("quotes", lambda q: q["id"]), none)
     struck = texts.strike_inline(texts.strike_markers(F.col("prose"), known), F.coalesce("held", none))
     rows = rows.withColumn("prose", struck)
-    return rows.select("reply_id", texts.screen(F.col("prose")).alias("prose"), "quotes", "withheld", texts.withheld_sentences(F.col("prose")).alias("sentences"))
+    return rows.select("reply_id", texts.screen(F.col("prose"), guard).alias("prose"), "quotes", "withheld", texts.withheld_sentences(F.col("prose"), guard).alias("sentences"))
 
 
 def strike_labels(text: Column, valid: Column) -> Column:
@@ -110,14 +110,14 @@ def strike_labels(text: Column, valid: Column) -> Column:
     return F.array_join(F.flatten(F.zip_with(between, shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
 
-def walkthrough(steps: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def walkthrough(steps: DataFrame, labels: DataFrame, guard: texts.Guard) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Steps (unit, number, text) with invented labels struck and judgments withheld, the invented labels, and the groups left out.
 
     ``labels`` has unit, label and group: a finding's group or, for a group, itself.
     """
     valid = labels.groupBy("unit").agg(F.collect_set("label").alias("valid"))
     rows = steps.join(valid, "unit", "left").withColumn("valid", F.coalesce("valid", F.array().cast("array<string>")))
-    clean = rows.select("unit", "number", texts.screen(strike_labels(F.col("text"), F.col("valid"))).alias("text"))
+    clean = rows.select("unit", "number", texts.screen(strike_labels(F.col("text"), F.col("valid")), guard).alias("text"))
     said = steps.select("unit", F.explode(F.regexp_extract_all("text", F.lit(LABEL), F.lit(1))).alias("label")).distinct()
     invented = said.join(labels, ["unit", "label"], "left_anti")
     covered = said.join(labels, ["unit", "label"]).select("unit", "group").distinct()

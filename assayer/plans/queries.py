@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.durable import cut
 from assayer.functions import scalars
 from assayer.operators import baseline as bl
 from assayer.operators import checks, compare, findings, imports, package, patch, positions, provenance, scoring, suggest, texts
@@ -17,7 +17,7 @@ from assayer.plans import tables as t
 from assayer.plans.validate import validate
 from assayer.rules.pack import KeyField
 from assayer.sinks import reports
-from assayer.sources.reports import cache_name, page_texts
+from assayer.sources.reports import BLOCKS, SKIPPED, cache_name, page_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,8 @@ def _selected(docs: DataFrame, rules) -> DataFrame:
     return evaluate(docs, rules, ("selected",))
 
 
+NATION = f"'nation-' || c_nationkey || '-' || (c_custkey // {t.TOGETHER['customer']}) || '.json'"
+BRAND = f"p_brand || '-' || (p_partkey // {t.TOGETHER['part']})"
 LINES = """WITH l AS (SELECT o_orderkey AS o, l_linenumber, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY o_orderkey
   ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 """
@@ -99,12 +101,15 @@ def model_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.groupBy(F.coalesce("model", F.lit("refused")).alias("model")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(page_id AS VARCHAR) AS doc_id, '/page/url' AS pointer, CAST(1 AS BIGINT) AS line, CAST(16 AS BIGINT) AS "column" FROM pages""")
+@query("""SELECT CAST(page_id AS VARCHAR) AS doc_id, v.pointer, CAST(v.line AS BIGINT) AS line, CAST(v.col AS BIGINT) AS "column" FROM pages,
+  (VALUES ('', 1, 1), ('/page', 1, 9), ('/page/url', 1, 16), ('/page/links', 2, 11), ('/page/links/0', 2, 12), ('/page/links/0/href', 3, 8)) v(pointer, line, col)""")
 def source_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.page_documents(spark, sf_dir)
-    found = docs.select("doc_id", F.lit("/page/url").alias("location"))
-    placed = findings.attach_positions(findings.as_findings(found), positions.source_index(docs))
-    return placed.select("doc_id", F.col("location").alias("pointer"), F.col("position.line").cast("long").alias("line"), F.col("position.column").cast("long").alias("column"))
+    lines = F.replace(F.replace("text", F.lit(',"links"'), F.lit(',\n  "links"')), F.lit('{"href":'), F.lit('{\n"href":'))
+    docs = t.page_documents(spark, sf_dir).withColumn("text", lines)
+    index = positions.source_index(docs)
+    placed = findings.attach_positions(findings.as_findings(index.select("doc_id", F.col("pointer").alias("location"))), index)
+    place = F.col("position")
+    return placed.select("doc_id", F.col("location").alias("pointer"), place.line.cast("long").alias("line"), place.column.cast("long").alias("column"))
 
 
 # -- the schema walk ---------------------------------------------------------------
@@ -149,13 +154,13 @@ def one_or_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("pointer") == "/order/lines/linenumber").alias("alone"))
 
 
-@query("SELECT p_brand AS doc_id, p_brand AS value FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]$') GROUP BY 1")
+@query(f"SELECT {BRAND} AS doc_id, p_brand AS value FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]$') GROUP BY 1, 2")
 def datatype_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.brand_pack(name=t.ref("BrandDatatype"))
     return checks.datatypes(evaluate(t.brand_documents(spark, sf_dir), rules), rules).select("doc_id", "value")
 
 
-@query("SELECT p_brand AS doc_id, p_type AS value, count(*) AS n FROM part WHERE NOT regexp_matches(p_type, '^[E-P][A-Z]*$') AND p_type NOT IN ('SMALL') GROUP BY 1, 2")
+@query(f"SELECT {BRAND} AS doc_id, p_type AS value, count(*) AS n FROM part WHERE NOT regexp_matches(p_type, '^[E-P][A-Z]*$') AND p_type NOT IN ('SMALL') GROUP BY 1, 2")
 def enum_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = _early_pack()
     found = checks.datatypes(evaluate(t.brand_documents(spark, sf_dir), rules), rules)
@@ -175,7 +180,7 @@ def below_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.datatypes(evaluate(t.party_documents(spark, sf_dir), rules), rules).select("doc_id", "code", "location")
 
 
-@query("SELECT p_brand AS doc_id, count(*) || ' value(s)' AS value, 'UNVERIFIABLE' AS severity FROM part GROUP BY 1")
+@query(f"SELECT {BRAND} AS doc_id, count(*) || ' value(s)' AS value, 'UNVERIFIABLE' AS severity FROM part GROUP BY 1")
 def pattern_unchecked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.brand_pack(kind=t.ref("LetterDatatype"))
     found = checks.datatypes(evaluate(t.brand_documents(spark, sf_dir), rules), rules)
@@ -189,22 +194,23 @@ def _counted(context: str, target: str, **more) -> dict:
     return {"kind": "has-cardinality", "context": context, "target": target, "identifier": target, **more}
 
 
-REGIONS = """WITH n AS (SELECT r_name, n_nationkey, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS i FROM region JOIN nation ON n_regionkey = r_regionkey),
-  c AS (SELECT r_name, i, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS j FROM n JOIN customer ON c_nationkey = n_nationkey)
+REGIONS = f"""WITH p AS (SELECT r_name || '-' || (c_custkey // {t.TOGETHER["customer"]}) AS doc, n_nationkey, c_custkey, c_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey),
+  n AS (SELECT doc, n_nationkey, row_number() OVER (PARTITION BY doc ORDER BY n_nationkey) - 1 AS i FROM (SELECT DISTINCT doc, n_nationkey FROM p)),
+  c AS (SELECT doc, i, row_number() OVER (PARTITION BY doc, n_nationkey ORDER BY c_custkey) - 1 AS j FROM n JOIN p USING (doc, n_nationkey))
 """
 
 
-@query(REGIONS + "SELECT r_name AS doc_id, '/region/nations/' || i AS pointer FROM n")
+@query(REGIONS + "SELECT doc AS doc_id, '/region/nations/' || i AS pointer FROM n")
 def target_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(t.region_documents(spark, sf_dir), t.region_pack([_counted("region", "nation")])).select("doc_id", "pointer")
 
 
-@query(REGIONS + "SELECT r_name AS doc_id, '/region/nations/' || i || '/customers/' || j AS pointer FROM c")
+@query(REGIONS + "SELECT doc AS doc_id, '/region/nations/' || i || '/customers/' || j AS pointer FROM c")
 def target_descendant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(t.region_documents(spark, sf_dir), t.region_pack([_counted("region", "//customer")])).select("doc_id", "pointer")
 
 
-@query(REGIONS + "SELECT r_name AS doc_id, '/region/nations/' || i AS pointer FROM n UNION SELECT r_name, '/region/nations/' || i || '/customers/' || j FROM c")
+@query(REGIONS + "SELECT doc AS doc_id, '/region/nations/' || i AS pointer FROM n UNION SELECT doc, '/region/nations/' || i || '/customers/' || j FROM c")
 def target_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.region_pack([_counted("region", "nation|.//customer|nation/customer")])
     return _selected(t.region_documents(spark, sf_dir), rules).select("doc_id", "pointer")
@@ -217,13 +223,13 @@ def pred_flag_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.cardinality(evaluate(t.order_documents(spark, sf_dir), rules, PICKED), rules).select("doc_id", "value")
 
 
-@query("SELECT p_brand AS doc_id, count(*) AS n FROM part WHERE starts_with(p_name, 'small') GROUP BY 1")
+@query(f"SELECT {BRAND} AS doc_id, count(*) AS n FROM part WHERE starts_with(p_name, 'small') GROUP BY 1")
 def pred_starts_with(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.brand_pack([_counted("brand", "part[starts-with(@name,'small')]")])
     return _selected(t.brand_documents(spark, sf_dir), rules).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_brand AS doc_id, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1")
+@query(f"SELECT {BRAND} AS doc_id, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1")
 def pred_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.brand_pack([_counted("brand", "part[has-oscal-namespace('http://csrc.nist.gov/ns/oscal')]")])
     return _selected(t.brand_documents(spark, sf_dir), rules).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -236,15 +242,14 @@ def pred_child_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(t.customer_documents(spark, sf_dir), rules).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part)
-SELECT p_brand AS doc_id, '/brand/parts/' || i || '/type' AS pointer, p_type AS value FROM p""")
+@query(f"""WITH p AS (SELECT {BRAND} AS doc, p_type, row_number() OVER (PARTITION BY {BRAND} ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT doc AS doc_id, '/brand/parts/' || i || '/type' AS pointer, p_type AS value FROM p""")
 def value_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.brand_pack([{"kind": "matches", "context": "brand", "target": "part/@type", "regex": "^X$"}])
     return evaluate(t.brand_documents(spark, sf_dir), rules, ("value",)).select("doc_id", "pointer", "value")
 
 
-@query(r"""SELECT r_name AS doc_id, '["' || regexp_extract(c_name, '^Customer#0*([0-9]+)', 1) || '"]' AS key FROM region JOIN nation ON n_regionkey = r_regionkey
-JOIN customer ON c_nationkey = n_nationkey""")
+@query(REGIONS + r"""SELECT doc AS doc_id, '["' || regexp_extract(c_name, '^Customer#0*([0-9]+)', 1) || '"]' AS key FROM p""")
 def key_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = KeyField("@name", r"Customer#0*([0-9]+)")
     rules = t.region_pack([{"kind": "is-unique", "context": "region", "target": "//customer", "keys": [key]}])
@@ -280,7 +285,7 @@ def cardinality_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.cardinality(evaluate(t.order_documents(spark, sf_dir), rules, PICKED), rules).select("doc_id", "value")
 
 
-@query("SELECT 'nation-' || c_nationkey || '.json' AS doc_id, '[\"' || c_custkey || '\"]' AS key, 'builders' AS index_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+@query(f"SELECT {NATION} AS doc_id, '[\"' || c_custkey || '\"]' AS key, 'builders' AS index_name FROM customer WHERE c_mktsegment = 'BUILDING'")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, docs = t.trade_pack(), t.trade_documents(spark, sf_dir)
     facts = evaluate(docs, rules)
@@ -292,13 +297,13 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'""")
 def index_has_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, docs = t.trade_pack(), t.trade_documents(spark, sf_dir)
-    facts = evaluate(docs, rules, ("scalar", "selected")).persist(StorageLevel.DISK_ONLY)
+    facts = cut(evaluate(docs, rules, ("scalar", "selected")))
     met, reached = imports.closure(docs, facts.where("kind = 'scalar'"), docs)
     found = checks.cross_references(facts, rules, reached, imports.completeness(docs, met))
     return found.where("code = 'REFERENCE_UNRESOLVED'").select("doc_id", "code", "severity", "value")
 
 
-@query("SELECT 'nation-' || c_nationkey || '.json' AS doc_id, 'UNVERIFIABLE' AS severity, count(*) AS n FROM customer GROUP BY 1")
+@query(f"SELECT {NATION} AS doc_id, 'UNVERIFIABLE' AS severity, count(*) AS n FROM customer GROUP BY 1")
 def index_unbuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = t.trade_pack()
     docs = t.trade_documents(spark, sf_dir)
@@ -335,9 +340,12 @@ def coverage_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- identifiers, references, versions ----------------------------------------------
 
 
-@query("""WITH x AS (SELECT source, md5(text) AS u, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents),
-  r AS (SELECT *, row_number() OVER (PARTITION BY source, u ORDER BY i) AS n FROM x)
-SELECT source || '.json' AS doc_id, '/shelf/texts/' || i || '/uuid' AS location, u AS value FROM r WHERE n > 1""")
+SHELF = f"source || '-' || (doc_id // {t.TOGETHER['text']}) || '.json'"
+
+
+@query(f"""WITH x AS (SELECT {SHELF} AS shelf, md5(text) AS u, row_number() OVER (PARTITION BY {SHELF} ORDER BY doc_id) - 1 AS i FROM documents),
+  r AS (SELECT *, row_number() OVER (PARTITION BY shelf, u ORDER BY i) AS n FROM x)
+SELECT shelf AS doc_id, '/shelf/texts/' || i || '/uuid' AS location, u AS value FROM r WHERE n > 1""")
 def uuid_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.identifiers(evaluate(t.text_documents(spark, sf_dir), t.text_pack())).select("doc_id", "location", "value")
 
@@ -359,7 +367,7 @@ def ref_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'use/profile-' || g || '.json' AS doc_id, g % 3 <> 2 AS complete, CASE WHEN g % 3 = 2 THEN '1 imported document(s) were not supplied (missing.json)' ELSE '' END AS why
-FROM (SELECT DISTINCT doc_id // 100 AS g FROM labels) UNION ALL SELECT 'lib/catalog.json', true, ''""")
+FROM (SELECT DISTINCT doc_id // 100 AS g FROM labels) UNION ALL SELECT DISTINCT 'lib/catalog-' || (doc_id // 1000) || '.json', true, '' FROM documents""")
 def ref_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.label_documents(spark, sf_dir)
     met, _ = imports.closure(docs, evaluate(docs, t.label_pack()).where("kind = 'scalar'"), docs)
@@ -367,10 +375,10 @@ def ref_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS v FROM part)
-SELECT a.v AS written, b.v AS value FROM n a JOIN n b ON a.v <> b.v AND damerau_levenshtein(a.v, b.v) <= 1""")
+SELECT a.v AS written, b.v AS value FROM n a JOIN n b ON a.v <> b.v AND damerau_levenshtein(a.v, b.v) <= 2""")
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = t.table(spark, sf_dir, "part").select(F.lit("n").alias("pool"), F.col("p_name").alias("value")).distinct()
-    return suggest.close_pairs(names.withColumnRenamed("value", "written"), names, "pool", most=1).select("written", "value")
+    return suggest.close_pairs(names.withColumnRenamed("value", "written"), names, "pool").select("written", "value")
 
 
 @query(r"""SELECT c_name AS name, regexp_replace(replace(lower(regexp_replace(c_name, '^#', '')), '_', '-'), '0*([0-9])', '\1', 'g') AS normal FROM customer""")
@@ -394,7 +402,7 @@ def version_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- imports and packages ------------------------------------------------------------
 
 
-@query("""SELECT 'order-' || o_orderkey || '.json' AS doc_id, '/order/imports/0/href' AS pointer, 'nation-' || c_nationkey || '.json' AS target_name
+@query(f"""SELECT 'order-' || o_orderkey || '.json' AS doc_id, '/order/imports/0/href' AS pointer, {NATION} AS target_name
 FROM orders JOIN customer ON o_custkey = c_custkey""")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = evaluate(t.trade_documents(spark, sf_dir), t.trade_pack())
@@ -402,7 +410,7 @@ def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'use/profile-' || g || '.json' AS doc_id, CASE WHEN g % 3 = 2 THEN 'IMPORT_NOT_SUPPLIED' ELSE 'IMPORT_RESOLVED' END AS code,
-  CASE WHEN g % 3 = 2 THEN 'missing.json' ELSE '../lib/catalog.xml#x' END AS value FROM (SELECT DISTINCT doc_id // 100 AS g FROM labels)""")
+  CASE WHEN g % 3 = 2 THEN 'missing.json' ELSE '../lib/catalog-' || (g // 10) || '.xml#x' END AS value FROM (SELECT DISTINCT doc_id // 100 AS g FROM labels)""")
 def import_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.label_documents(spark, sf_dir)
     met, _ = imports.closure(docs, evaluate(docs, t.label_pack()).where("kind = 'scalar'"), docs)
@@ -442,15 +450,15 @@ def reachable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached.select("primary", "doc_id")
 
 
-@query("""SELECT 'order-' || o_orderkey || '.json' AS doc_id FROM orders JOIN customer ON o_custkey = c_custkey
-UNION ALL SELECT DISTINCT 'nation-' || c_nationkey || '.json' FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey)""")
+@query(f"""SELECT 'order-' || o_orderkey || '.json' AS doc_id FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL (SELECT {NATION} FROM customer EXCEPT SELECT {NATION} FROM orders JOIN customer ON o_custkey = c_custkey)""")
 def unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.trade_documents(spark, sf_dir)
     met, _ = imports.closure(docs, evaluate(docs, t.trade_pack()).where("kind = 'scalar'"), docs)
     return package.unreferenced(docs, met)
 
 
-@query("""SELECT md5(text) AS value, array_to_string(list_sort(list(DISTINCT source || '.json')), ',') AS members FROM documents GROUP BY text HAVING count(DISTINCT source) > 1""")
+@query(f"""SELECT md5(text) AS value, array_to_string(list_sort(list(DISTINCT {SHELF})), ',') AS members FROM documents GROUP BY text HAVING count(DISTINCT {SHELF}) > 1""")
 def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = evaluate(t.text_documents(spark, sf_dir), t.text_pack())
     found = package.collisions(facts.where("kind = 'scalar' AND name = 'uuid'"))
@@ -612,13 +620,41 @@ def baseline_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- texts, patches, harness ------------------------------------------------------------
 
 
-@query()
+def _swapped(x: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+
+
+_BLOCKS = "(?:" + "|".join(sorted(BLOCKS | {"pre"})) + ")"
+_SKIPPED = "|".join(f"<{tag}[^>]*>.*?</{tag}>" for tag in sorted(SKIPPED))
+_PLAIN = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_BODY = _swapped(_swapped("html", f"(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<title>.*?</title>|{_SKIPPED}", ""), r"\s+", " ")
+_BODY = _swapped(_swapped(_swapped(_BODY, "<h1[^>]*>", r"\n\n# "), "</h1>", r"\n"), f"</?{_BLOCKS}( [^>]*)?/?>", r"\n")
+_BODY = _PLAIN.format(_swapped(_swapped(_BODY, "<t[dh][^>]*>", " | "), "<[^>]*>", ""))
+_BODY = _swapped(_swapped(_swapped(_BODY.replace(r"'\n", "E'\\n"), " *\\n *", "~~~").replace("'~~~'", "chr(10)"), "\\n{3,}", "~~~").replace("'~~~'", "chr(10) || chr(10)"), r"^\s+|\s+$", "")
+#: The pages of the tables hold these elements and entities only; the SQL takes them away step by step.
+PAGE_SQL = f"""SELECT page_id, {_BODY} || chr(10) AS text,
+  {_PLAIN.format(_swapped("trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))", r"\s+", " "))} AS title FROM pages"""
+
+
+@query(PAGE_SQL)
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(t.table(spark, sf_dir, "pages"))
 
 
-@query()
+SECTIONS = f"""WITH p AS ({PAGE_SQL}), l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM p),
+  h AS (SELECT *, regexp_matches(line, '^#{{1,6}} .+$') AS head, count(*) FILTER (regexp_matches(line, '^#{{1,6}} .+$')) OVER (PARTITION BY page_id ORDER BY k) AS part FROM l),
+  s AS (SELECT page_id, part, coalesce(trim(max(regexp_extract(line, '^#{{1,6}} (.+)$', 1)) FILTER (head)), '') AS heading,
+    regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT head), ''), '^\\s+|\\s+$', '', 'g') AS body FROM h GROUP BY page_id, part)
+"""
+
+
+@query(SECTIONS + """SELECT CAST(page_id AS VARCHAR) AS source, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS INTEGER) AS number,
+  CASE WHEN part = 0 THEN '' ELSE heading END AS path, CASE WHEN part = 0 THEN '(preamble)' ELSE heading END AS heading, body FROM s WHERE body <> ''""")
 def sections_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sections(spark, sf_dir).withColumn("path", F.array_join("path", " > "))
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = page_texts(t.table(spark, sf_dir, "pages"))
     return texts.sections(pages.select(F.col("page_id").cast("string").alias("source"), "text"))
 
@@ -653,10 +689,17 @@ def passage_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.within_budget(held, ["shelf"], ["doc_id"]).select("shelf", "doc_id", "spent")
 
 
-@query("""SELECT doc_id, CASE WHEN toxic = 1 THEN '[withheld: a judgment about implementation, security, or authorization]' ELSE 'This tool cannot say whether it is secure.' END AS shown FROM labels""")
+GUARD = texts.Guard(judging=(r"\b(?:is|are) (?:fully |partly )?(?:implemented|secure|compliant)\b",), boundary=(r"\b(?:cannot|whether)\b",))
+#: Sentences that follow the texts of the tables, so that both verdicts occur among real ones.
+JUDGED, UNJUDGED = "The control is fully implemented.", "This tool cannot say whether it is secure."
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '([.!?])\s+([\p{{Lu}}\p{{N}}\p{{Ps}}\p{{Pi}}"''*-])', '\1 \2', 'g')), chr(10))
+  || chr(10) || CASE WHEN toxic = 1 THEN '{texts.WITHHELD}' ELSE '{UNJUDGED}' END || ' Done.' AS shown FROM documents JOIN labels USING (doc_id)""")
 def guard_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("toxic") == 1, "The control is fully implemented.").otherwise("This tool cannot say whether it is secure.")
-    return t.table(spark, sf_dir, "labels").select("doc_id", texts.screen(said).alias("shown"))
+    rows = t.table(spark, sf_dir, "documents").join(t.table(spark, sf_dir, "labels"), "doc_id")
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.when(F.col("toxic") == 1, JUDGED).otherwise(UNJUDGED), F.lit(" Done."))
+    return rows.select("doc_id", texts.screen(said, GUARD).alias("shown"))
 
 
 @query("""SELECT 'invented' AS what, CAST(conv_id AS VARCHAR) AS unit, 'T' || (turn + 1) AS label FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)
@@ -670,16 +713,24 @@ def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invented.withColumn("what", F.lit("invented")).unionByName(uncovered.withColumn("what", F.lit("uncovered"))).select("what", "unit", "label")
 
 
-@query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'Seen in [Q1] and [quote Q2 withheld].' ELSE 'Seen in [quote Q1 withheld] and [quote Q2 withheld].' END AS prose FROM labels""")
+@query("""SELECT doc_id, coalesce(text, '') || CASE WHEN quality = 1 THEN ' Seen in [Q1] and [quote Q2 withheld].' ELSE ' Seen in [quote Q1 withheld] and [quote Q2 withheld].' END AS prose
+FROM documents JOIN labels USING (doc_id)""")
 def struck_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t.table(spark, sf_dir, "documents").join(t.table(spark, sf_dir, "labels"), "doc_id")
     known = F.when(F.col("quality") == 1, F.array(F.lit("Q1"))).otherwise(F.array(F.lit("Q9")))
-    return t.table(spark, sf_dir, "labels").select("doc_id", texts.strike_markers(F.lit("Seen in [Q1] and [Q2]."), known).alias("prose"))
+    return rows.select("doc_id", texts.strike_markers(F.concat(F.coalesce("text", F.lit("")), F.lit(" Seen in [Q1] and [Q2].")), known).alias("prose"))
 
 
-@query("""SELECT CAST(event_id AS VARCHAR) AS doc_id, CASE WHEN event_type = 'purchase' THEN '' ELSE 'there is nothing at /event/coupon' END AS refused FROM events""")
+@query("""SELECT CAST(event_id AS VARCHAR) AS doc_id, CASE WHEN event_type = 'purchase' THEN '' WHEN event_type = 'view' THEN 'move' ELSE 'there is nothing at /event/coupon' END AS refused,
+  CASE WHEN event_type = 'purchase' THEN '{"event": {"type": "purchase", "user": ' || user_id || ', "k": [' || event_id || ']}}' END AS text FROM events""")
 def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.event_documents(spark, sf_dir).withColumn("patch", F.lit('[{"op": "remove", "path": "/event/coupon"}]'))
-    return docs.select("doc_id", F.coalesce(patch.patched("text", "patch")["error"], F.lit("")).alias("refused"))
+    steps = F.concat(
+        F.lit('[{"op": "replace", "path": "/event/k", "value": ['), "doc_id", F.lit(']}, {"op": "'),
+        F.when(F.col("text").contains('"type":"view"'), "move").otherwise("remove"), F.lit('", "path": "/event/coupon"}]'),
+    )
+    done = t.event_documents(spark, sf_dir).withColumn("p", patch.patched(F.col("text"), steps))
+    refused = F.when(F.col("p.error").contains("'op': 'move'"), "move").otherwise(F.coalesce("p.error", F.lit("")))
+    return done.select("doc_id", refused.alias("refused"), F.col("p.text").alias("text"))
 
 
 @query("SELECT '/log/' || event_id AS location, '/log' AS parent FROM events")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from assayer.rules.pack import RulePack
 def survey(targets: DataFrame, supporting: DataFrame, pack: RulePack) -> tuple[DataFrame, DataFrame]:
     """A record for each target (doc_id, text) and all findings; a target that cannot be read is recorded, an unreadable supporting document refuses the run."""
     documents = targets.select("doc_id", "text").unionByName(supporting.select("doc_id", "text")).dropDuplicates(["doc_id"])
-    facts = evaluate(documents, pack, ("error", "model", "scalar")).persist(StorageLevel.DISK_ONLY)
+    facts = cut(evaluate(documents, pack, ("error", "model", "scalar")))
     mine = targets.select("doc_id").distinct()
     bad = cut(facts.where("kind = 'error'").join(mine, "doc_id", "left_semi").select("doc_id", "detail"))
     good = mine.join(bad, "doc_id", "left_anti")

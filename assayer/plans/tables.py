@@ -6,7 +6,7 @@ through the engine itself; nothing here answers a question by its own SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.findings import as_findings, rule
@@ -108,16 +108,25 @@ def customer_pack(constraints: list[dict]) -> RulePack:
     return pack({"customer": obj("Customer", number=WHOLE, orders=arr(order))}, constraints, names=NAMES)
 
 
+#: Rows with neighbouring numbers that share a document, so no document grows with its table.
+TOGETHER = {"customer": 500, "part": 200, "text": 100, "catalog": 1000}
+
+
+def batch(column: str, of: str) -> Column:
+    """The number of the document that a row goes to."""
+    return F.expr(f"{column} DIV {TOGETHER[of]}")
+
+
 def region_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each region: its nations and their customers."""
-    people = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+    """Documents for each region: nations and their customers, those with neighbouring numbers together."""
+    people = table(spark, sf_dir, "customer").groupBy("c_nationkey", batch("c_custkey", "customer").alias("b")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("number"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")))).alias("customers")
     )
-    nations = table(spark, sf_dir, "nation").join(people, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    held = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("number"), F.col("n_name").alias("name"), "customers"))).alias("nations"))
-    rows = table(spark, sf_dir, "region").join(held, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    nations = table(spark, sf_dir, "nation").join(people, F.col("n_nationkey") == F.col("c_nationkey"))
+    held = nations.groupBy("n_regionkey", "b").agg(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("number"), F.col("n_name").alias("name"), "customers"))).alias("nations"))
+    rows = table(spark, sf_dir, "region").join(held, F.col("r_regionkey") == F.col("n_regionkey"))
     body = F.struct(F.col("r_name").alias("name"), "nations")
-    return rows.select(F.col("r_name").alias("doc_id"), F.to_json(F.struct(body.alias("region"))).alias("text"))
+    return rows.select(F.concat_ws("-", "r_name", F.col("b").cast("string")).alias("doc_id"), F.to_json(F.struct(body.alias("region"))).alias("text"))
 
 
 def region_pack(constraints: list[dict]) -> RulePack:
@@ -127,13 +136,13 @@ def region_pack(constraints: list[dict]) -> RulePack:
 
 
 def brand_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each brand with its parts; parts of even size carry no namespace."""
+    """Documents for each brand with its parts, those with neighbouring numbers together; parts of even size carry no namespace."""
     part = F.struct(
         F.col("p_partkey").alias("number"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.when(F.col("p_size") % 2 == 1, F.lit("http://other.example")).alias("ns")
     )
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    rows = table(spark, sf_dir, "part").groupBy("p_brand", batch("p_partkey", "part").alias("b")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     body = F.struct(F.col("p_brand").alias("name"), "parts")
-    return rows.select(F.col("p_brand").alias("doc_id"), F.to_json(F.struct(body.alias("brand"))).alias("text"))
+    return rows.select(F.concat_ws("-", "p_brand", F.col("b").cast("string")).alias("doc_id"), F.to_json(F.struct(body.alias("brand"))).alias("text"))
 
 
 def brand_pack(constraints: list[dict] | None = None, kind: dict | None = None, name: dict | None = None) -> RulePack:
@@ -186,10 +195,10 @@ def page_pack(constraints: list[dict] | None = None) -> RulePack:
 
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source one document that lists the digests of its texts as identifiers."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("uuid")))).alias("t"))
+    """For each source documents that list the digests of its texts as identifiers, texts with neighbouring numbers together."""
+    rows = table(spark, sf_dir, "documents").groupBy("source", batch("doc_id", "text").alias("b")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("uuid")))).alias("t"))
     body = F.struct(F.struct(F.transform("t", lambda x: F.struct(x["uuid"].alias("uuid"))).alias("texts")).alias("shelf"))
-    return rows.select(F.concat("source", F.lit(".json")).alias("doc_id"), F.to_json(body).alias("text"))
+    return rows.select(F.concat("source", F.lit("-"), F.col("b").cast("string"), F.lit(".json")).alias("doc_id"), F.to_json(body).alias("text"))
 
 
 def text_pack() -> RulePack:
@@ -197,13 +206,15 @@ def text_pack() -> RulePack:
 
 
 def label_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document that declares the English texts as controls, and one for each hundred labels that refers to texts."""
-    texts = table(spark, sf_dir, "documents").where("lang = 'en'")
-    held = texts.agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("t-"), F.col("doc_id").cast("string")).alias("id")))).alias("controls"))
-    catalog = held.select(F.lit("lib/catalog.json").alias("doc_id"), F.to_json(F.struct(F.struct("controls").alias("catalog"))).alias("text"))
+    """Documents that declare English texts with neighbouring numbers as controls, and one for each hundred labels that refers to texts."""
+    texts = table(spark, sf_dir, "documents").withColumn("b", batch("doc_id", "catalog"))
+    control = F.when(F.col("lang") == "en", F.struct(F.concat(F.lit("t-"), F.col("doc_id").cast("string")).alias("id")))
+    held = texts.groupBy("b").agg(F.sort_array(F.collect_list(control)).alias("controls"))
+    name = F.concat(F.lit("lib/catalog-"), F.col("b").cast("string"), F.lit(".json"))
+    catalog = held.select(name.alias("doc_id"), F.to_json(F.struct(F.struct("controls").alias("catalog"))).alias("text"))
     wanted = F.struct(F.concat(F.lit("t-"), F.col("doc_id").cast("string")).alias("control-id"))
     groups = table(spark, sf_dir, "labels").groupBy(F.expr("doc_id DIV 100").alias("g")).agg(F.sort_array(F.collect_list(wanted)).alias("uses"))
-    imports = F.array(F.struct(F.when(F.col("g") % 3 == 2, F.lit("missing.json")).otherwise(F.lit("../lib/catalog.xml#x")).alias("href")))
+    imports = F.array(F.struct(F.when(F.col("g") % 3 == 2, F.lit("missing.json")).otherwise(F.concat(F.lit("../lib/catalog-"), F.expr("g DIV 10").cast("string"), F.lit(".xml#x"))).alias("href")))
     body = F.struct(F.struct(imports.alias("imports"), "uses").alias("profile"))
     profiles = groups.select(F.concat(F.lit("use/profile-"), F.col("g").cast("string"), F.lit(".json")).alias("doc_id"), F.to_json(body).alias("text"))
     return catalog.unionByName(profiles)
@@ -218,12 +229,12 @@ def label_pack() -> RulePack:
 
 
 def trade_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each nation that lists its customers, and one for each order that imports the document of its customer's nation."""
-    people = table(spark, sf_dir, "customer")
-    listed = people.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("number"), F.col("c_mktsegment").alias("segment")))).alias("customers"))
-    nations = listed.select(F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"), F.lit(".json")).alias("doc_id"), F.to_json(F.struct(F.struct("customers").alias("nation"))).alias("text"))
+    """Documents for each nation that list customers with neighbouring numbers, and one for each order that imports the document of its customer."""
+    people = table(spark, sf_dir, "customer").withColumn("b", batch("c_custkey", "customer"))
+    listed = people.groupBy("c_nationkey", "b").agg(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("number"), F.col("c_mktsegment").alias("segment")))).alias("customers"))
+    href = F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"), F.lit("-"), F.col("b").cast("string"), F.lit(".json"))
+    nations = listed.select(href.alias("doc_id"), F.to_json(F.struct(F.struct("customers").alias("nation"))).alias("text"))
     orders = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
-    href = F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"), F.lit(".json"))
     body = F.struct(F.struct(F.array(F.struct(href.alias("href"))).alias("imports"), F.col("o_custkey").alias("customer")).alias("order"))
     return nations.unionByName(orders.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("doc_id"), F.to_json(body).alias("text")))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +23,10 @@ def refuse_unreadable(facts: DataFrame) -> None:
 def validate(documents: DataFrame, pack: RulePack, primaries: DataFrame | None = None, with_suggestions: bool = False) -> DataFrame:
     """Findings of the primaries (doc_id; all documents if not given), each judged with all other documents supplied.
 
-    The facts are kept on disk while the checks read them; lost parts are
-    computed again from the documents. Each check is a job of its own whose
+    The facts are written to the shared folder once, for all checks to read. Each check is a job of its own whose
     findings are cut, so no plan holds all of them at once.
     """
-    facts = evaluate(documents, pack).persist(StorageLevel.DISK_ONLY)
+    facts = cut(evaluate(documents, pack))
     refuse_unreadable(facts)
     mine = (documents if primaries is None else primaries).select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
     own = facts.join(mine, "doc_id", "left_semi") if primaries is not None else facts

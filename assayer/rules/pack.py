@@ -79,6 +79,10 @@ class RulePack:
     models_of: dict[str, frozenset[str]] = field(default_factory=dict)
     release: str = ""
     source: str = ""
+    #: Patterns of sentences that may not be shown, and of those that may all the same: ``judging`` and ``boundary``.
+    guard: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: Citation, url and date of retrieval of the rules behind findings, by code; "{name}" in a citation is filled from the finding.
+    citations: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def properties(self, name: str) -> frozenset[str]:
         """JSON property names that carry a declared name."""

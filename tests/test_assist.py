@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from test_validate import CATALOG, PROFILE, finding, make_pack, spoilt, table
 
 
+GUARD = texts.Guard(judging=(r"\bis (?:\w+ )?(?:compliant|ready|secure)\b",), boundary=(r"\bwhether\b", r"\bcannot\b"))
+
+
 def test_what_is_shown(spark):
     found = table(spark, *[finding(location=f"/m/{k}") for k in range(5)], finding(location="/m/a/b", severity="UNVERIFIABLE"))
     said = assist.context(found, 4).first()["context"].split("\n")
@@ -28,7 +31,7 @@ def test_replies_are_checked(spark):
     long = "The identifier must be unique in the whole catalog"
     prose = f'It says [Q1] and [Q2], [Q9]. "{long}" but "{long} forever". The system is fully compliant. Done.'
     replies = spark.createDataFrame([(1, prose, quotes), (2, "Plain.", [])], "reply_id int, prose string, quotes array<struct<id:string,source:string,text:string>>")
-    rows = {r["reply_id"]: r for r in assist.verify(replies, sources).collect()}
+    rows = {r["reply_id"]: r for r in assist.verify(replies, sources, GUARD).collect()}
     assert rows[1]["prose"] == f'It says [Q1] and [quote Q2 withheld], [quote Q9 withheld]. "{long}" but {texts.INLINE_WITHHELD}. {texts.WITHHELD} Done.'
     assert [q["id"] for q in rows[1]["quotes"]] == ["Q1"] and [w["id"] for w in rows[1]["withheld"]] == ["Q2", "Q3"]
     assert rows[1]["sentences"] == ["The system is fully compliant."] and rows[2]["prose"] == "Plain."
@@ -37,7 +40,7 @@ def test_replies_are_checked(spark):
 def test_walkthroughs_name_findings_that_exist(spark):
     labels = spark.createDataFrame([("u", "F1", "G1"), ("u", "F2", "G2"), ("u", "G1", "G1"), ("u", "G2", "G2")], "unit string, label string, group string")
     steps = spark.createDataFrame([("u", 1, "First F1, then F7. It is ready.")], "unit string, number int, text string")
-    clean, invented, uncovered = assist.walkthrough(steps, labels)
+    clean, invented, uncovered = assist.walkthrough(steps, labels, GUARD)
     assert clean.first()["text"] == f"First F1, then {assist.STRUCK}. {texts.WITHHELD}"
     assert [r["label"] for r in invented.collect()] == ["F7"] and [r["group"] for r in uncovered.collect()] == ["G2"]
 

@@ -230,10 +230,14 @@ def test_positions(spark):
             positions.offsets(bad)
 
 
-def test_normal_differences_and_edits():
-    assert suggest.normal_difference("AC-02", "ac-2") == "case and zero-padding"
-    assert suggest.normal_difference("#ac-2", "ac.2") == "a leading '#' and the separator"
-    assert suggest.normal_difference("ac-2", "ac-3") is None
+def differences(spark, pairs):
+    return [r[0] for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(suggest.difference("a", "b")).collect()]
+
+
+def test_normal_differences_and_edits(spark):
+    pairs = [("AC-02", "ac-2"), ("#ac-2", "ac.2"), ("ac-2", "ac-3"), ("a", "a"), ("##a", "#A"), (None, "a"), ("a_1", "a-1")]
+    said = ["case and zero-padding", "a leading '#' and the separator", None, None, None, None, "the separator"]
+    assert differences(spark, pairs) == said
     for a, b, n in [("ab", "ba", 1), ("ca", "abc", None), ("abc", "abc", 0), ("kitten", "sittin", 2), ("abcd", "a", None), ("", "ab", 2), ("abc", "acb1", 2)]:
         assert suggest.edits(a, b) == n
 
@@ -241,9 +245,14 @@ def test_normal_differences_and_edits():
 def test_close_pairs_miss_nothing(spark):
     words = ["control-1", "control-01", "contorl-1", "control.1", "cntrl-1", "other", "othre", "o", "", "control-12", "CONTROL-1"]
     df = spark.createDataFrame([("p", w) for w in words], "pool string, value string")
-    got = {(r["written"], r["value"]) for r in suggest.close_pairs(df.withColumnRenamed("value", "written"), df, "pool").collect()}
-    want = {(a, b) for a in words for b in words if a != b and (suggest.normal_difference(a, b) or suggest.edits(a, b) is not None)}
-    assert got == want
+    got = {(r["written"], r["value"]): (r["rank"], r["edits"], r["difference"]) for r in suggest.close_pairs(df.withColumnRenamed("value", "written"), df, "pool").collect()}
+    pairs = [(a, b) for a in words for b in words if a != b]
+    want = {}
+    for (a, b), said in zip(pairs, differences(spark, pairs), strict=True):
+        n = suggest.edits(a, b)
+        if said or n is not None:
+            want[a, b] = (0, 0, said) if said else (1, n, f"{n} character edit{'s' * (n != 1)}")
+    assert got == want and ("control-1", "CONTROL-1") in got and ("other", "othre") in got
 
 
 def finding(code="C", location="/a", prop="p", value="v", severity="ERROR", message="m", citation="c"):
@@ -344,8 +353,10 @@ def test_texts(spark):
     verdicts = {r["quote_id"]: r["verdict"] for r in texts.verified_quotes(quotes, sources).collect()}
     assert [verdicts[k][:9] for k in (1, 2, 3, 4, 5, 6)] == ["ok", "too short", "not found", "names a s", "not found", "not found"]
     one = lambda c: spark.range(1).select(c).first()[0]
-    assert one(texts.screen(F.lit("Fine. The system is fully compliant. Whether it is secure is unknown.\nIt is ready."))) == f"Fine. {texts.WITHHELD} Whether it is secure is unknown.\n{texts.WITHHELD}"
-    assert one(texts.withheld_sentences(F.lit("The risk is low. Ok."))) == ["The risk is low."]
+    guard = texts.Guard(judging=(r"\b(?:is|are) (?:\w+ )?(?:compliant|ready|secure|low)\b",), boundary=(r"\bwhether\b",))
+    assert one(texts.screen(F.lit("Fine. The system is fully compliant. Whether it is secure is unknown.\nIt is ready."), guard)) == f"Fine. {texts.WITHHELD} Whether it is secure is unknown.\n{texts.WITHHELD}"
+    assert one(texts.withheld_sentences(F.lit("The risk is low. Ok."), guard)) == ["The risk is low."]
+    assert one(texts.screen(F.lit("It is secure. Yes."), texts.Guard())) == "It is secure. Yes."
     assert one(texts.strike_markers(F.lit("See [Q1], [Q12]."), F.array(F.lit("Q1")))) == "See [Q1], [quote Q12 withheld]."
     long = "This is a quotation of more than forty letters"
     assert one(texts.strike_inline(F.lit(f'He said "{long}" and "{long} too".'), F.array(F.lit(long)))) == f'He said "{long}" and {texts.INLINE_WITHHELD}.'
@@ -359,6 +370,46 @@ def test_budget_stops_at_the_first_overflow(spark):
     assert [r["n"] for r in kept] == [1]
 
 
+def test_quotations_match_a_plain_search(spark):
+    import random
+
+    rnd = random.Random(2)
+    words = ["alpha", "beta", "gamma-delta", "of", "a", "internationalisation", "counterrevolutionaries", "electroencephalography", "é", "“on”"]
+    held = [(f"s{k}", " ".join(rnd.choice(words) for _ in range(rnd.randrange(60)))) for k in range(40)] + [("empty", ""), ("none", None), ("s0", "other alpha beta of a alpha of")]
+    wanted = []
+    for k in range(120):
+        text = held[rnd.randrange(40)][1]
+        start = rnd.randrange(len(text) + 1)
+        wanted.append((k, text[start : start + rnd.randrange(15, 60)] + ("x" if k % 9 == 0 else "")))
+    wanted += [(200, "ternationalisation cou"), (201, "ounterrevolutionarie"), (202, "unterrevolutionarie"), (203, None), (204, "lectroencephalography")]
+    plain = lambda t: " ".join((t or "").translate(str.maketrans("“”", '""')).split())
+    want = {(k, s) for k, q in wanted for s, t in held if len(plain(q)) >= 20 and plain(q) in plain(t)}
+    got = texts.quoted_in(spark.createDataFrame(wanted, "quote_id int, quote string"), spark.createDataFrame(held, "source string, text string"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 60 and {k for k, _ in want} >= {200, 201, 204}
+    assert texts.quoted_in(spark.createDataFrame([(1, "short")], "quote_id int, quote string"), spark.createDataFrame(held, "source string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_keywords_are_counted_alike_with_and_without_broadcast(spark, monkeypatch, small):
+    monkeypatch.setattr(texts, "is_small", lambda df: small)
+    asked = spark.createDataFrame([(1, "red fox hunting"), (2, "fox"), (3, None)], "query_id int, query string")
+    held = spark.createDataFrame([("a", "x", "a red fox"), ("a", "y", "fox fox"), ("b", "x", "hunting the red fox"), ("c", "", None)], "source string, label string, passage string")
+    rows = texts.keyword_top(asked, held, 2).collect()
+    assert {(r["query_id"], r["source"], r["label"], r["overlap"], r["place"]) for r in rows} == {(1, "b", "x", 3, 1), (1, "a", "x", 2, 2), (2, "a", "x", 1, 1), (2, "a", "y", 1, 2)}
+
+
+def test_budgets_of_large_groups(spark):
+    rows = [(f"g{k % 3}", k, f"s{k % 50}", str(k), "x" * (k % 7)) for k in range(900)] + [("g2", 5, "s5", "5", "again"), (None, 1, None, None, "xx"), ("h", None, "s", "l", None)]
+    held = spark.createDataFrame(rows, "shelf string, n int, source string, label string, passage string").repartition(6)
+    got = {(r["shelf"], r["n"], r["label"]): r["spent"] for r in texts.within_budget(held, ["shelf"], ["n"], each=5, total=40).collect()}
+    for shelf in ("g0", "g1", "g2"):
+        spent = 0
+        for g, n, _, label, passage in sorted((r for r in rows[:900] if r[0] == shelf), key=lambda r: r[1]):
+            spent += len(passage[:5])
+            assert (got.get((g, n, label)) == spent) == (spent <= 40), (g, n)
+    assert got[(None, 1, None)] == 2
+
+
 def test_scoring(spark):
     unit = lambda *u: spark.createDataFrame([(x,) for x in u], "unit string")
     assert [r[0] for r in scoring.coverage(unit("a", "b"), unit("a")).collect()] == ["b"]
