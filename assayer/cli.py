@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer import __version__
+from assayer.durable import cut
 from assayer.errors import Refusal
 from assayer.operators import baseline, compare, findings, imports, package, positions
 from assayer.operators.evaluate import evaluate
@@ -31,7 +32,8 @@ def load_pack(path: str) -> RulePack:
         held = json.loads(Path(path).read_text(encoding="utf-8"))
         folder = Path(path).parent
         schema = held["schema"] if isinstance(held["schema"], dict) else json.loads((folder / held["schema"]).read_text(encoding="utf-8"))
-        more = {k: held[k] for k in ("release", "source", "value_keys") if k in held}
+        more = {k: held[k] for k in ("release", "source", "value_keys", "citations") if k in held}
+        more["guard"] = {k: tuple(v) for k, v in held.get("guard", {}).items()}
         more["models_of"] = {m: frozenset(v) for m, v in held.get("models_of", {}).items()}
         if "modules" in held:
             return read_modules(schema, {m: (folder / m).read_text(encoding="utf-8") for m in held["modules"]}, **more)
@@ -48,7 +50,8 @@ def _judged(spark: SparkSession, pack: RulePack, path: str, resolve: list[str],
     return findings.attach_positions(found, positions.source_index(documents)) if locations else found
 
 
-def _side(spark: SparkSession, pack: RulePack, path: str, resolve: list[str]) -> DataFrame:
+def _side(spark: SparkSession, pack: RulePack, path: str, resolve: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Findings of one side, and what they rest on."""
     text = Path(path).read_text(encoding="utf-8")
     try:
         value = json.loads(text)
@@ -57,8 +60,8 @@ def _side(spark: SparkSession, pack: RulePack, path: str, resolve: list[str]) ->
     if is_report(value):
         if resolve:
             raise Refusal("a saved report is not resolved again")
-        return read_report(spark, text).withColumn("doc_id", _nothing())
-    return _judged(spark, pack, path, resolve).withColumn("doc_id", _nothing())
+        return read_report(spark, text).withColumn("doc_id", _nothing()), {"tool": str(value["tool"]), "rules": str(value.get("rules", ""))}
+    return _judged(spark, pack, path, resolve).withColumn("doc_id", _nothing()), {"tool": f"assayer {__version__}", "rules": pack.release}
 
 
 def _nothing():
@@ -84,11 +87,14 @@ def _parser() -> argparse.ArgumentParser:
     one.add_argument("--write-baseline")
     many = verbs.add_parser("package")
     many.add_argument("folder")
+    many.add_argument("--format", choices=("text", "json"), default="json")
+    many.add_argument("--records", help="folder that all findings are written to, in parts")
     two = verbs.add_parser("diff")
     two.add_argument("before")
     two.add_argument("after")
     two.add_argument("--resolve", nargs="*", default=[])
     two.add_argument("--fail-on-new", action="store_true")
+    two.add_argument("--format", choices=("text", "json"), default="json")
     look = verbs.add_parser("rule")
     look.add_argument("identifier")
     verbs.add_parser("coverage")
@@ -100,9 +106,9 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _validate(spark: SparkSession, pack: RulePack, args: argparse.Namespace) -> int:
-    found = _judged(spark, pack, args.file, args.resolve, args.suggest, args.locations).persist()
+    found = cut(_judged(spark, pack, args.file, args.resolve, args.suggest, args.locations))
     if args.baseline:
-        found = baseline.apply(found, read_baseline(spark, Path(args.baseline).read_text(encoding="utf-8"))).persist()
+        found = cut(baseline.apply(found, read_baseline(spark, Path(args.baseline).read_text(encoding="utf-8"))))
     if args.write_baseline:
         entries = [r.asDict() for r in baseline.draft(found).orderBy("location", "property", "code", "value").collect()]
         Path(args.write_baseline).write_text(json.dumps({"baseline_version": baseline.VERSION, "entries": entries}, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
@@ -110,7 +116,7 @@ def _validate(spark: SparkSession, pack: RulePack, args: argparse.Namespace) ->
     if args.format == "text":
         sys.stdout.write(reports.text_report(found, args.locations))
     elif args.format == "json":
-        sys.stdout.write(reports.json_report(rows.collect(), args.file, args.baseline or "", args.locations))
+        sys.stdout.write(reports.json_report(rows.collect(), args.file, args.baseline or "", args.locations, pack.release))
     elif args.format == "html":
         sys.stdout.write(reports.html_report(rows.collect(), args.file))
     elif args.format == "annotations":
@@ -124,25 +130,30 @@ def _validate(spark: SparkSession, pack: RulePack, args: argparse.Namespace) ->
 
 def _package(spark: SparkSession, pack: RulePack, args: argparse.Namespace) -> int:
     documents = read_documents(spark, args.folder)
-    found = validate(documents, pack).persist()
-    facts = evaluate(documents, pack).persist()
+    found = cut(validate(documents, pack))
+    facts = cut(evaluate(documents, pack, ("scalar",)))
     met, _ = imports.closure(documents, facts.where("kind = 'scalar'"), documents)
     uuids = facts.where("kind = 'scalar' AND name = 'uuid' AND jtype = 'string'")
     made = reports.package_report(
         package.totals(found, documents), package.import_graph(met), package.not_in_package(met), package.unreferenced(documents, met), package.collisions(uuids)
     )
-    sys.stdout.write(json.dumps(made, indent=2, sort_keys=True) + "\n")
+    if args.records:
+        reports.write_lines(found, args.records)
+    sys.stdout.write(reports.package_text(made) if args.format == "text" else json.dumps(made, indent=2, sort_keys=True) + "\n")
     return made["exit_code"]
 
 
 def _diff(spark: SparkSession, pack: RulePack, args: argparse.Namespace) -> int:
-    compared = compare.compare(_side(spark, pack, args.before, args.resolve), _side(spark, pack, args.after, args.resolve)).persist()
+    (before, rests_on), (after, now_on) = (_side(spark, pack, path, args.resolve) for path in (args.before, args.after))
+    compared = cut(compare.compare(before, after))
     counts = compare.summary(compared).first().asDict()
     shown = {s: [r["f"] for r in compared.where(compared.status == s).selectExpr("coalesce(after, before) AS f").collect()] for s in ("removed", "added", "changed", "moved")}
     made: dict = {s: [reports.record(f) for f in sorted(rows, key=lambda f: (f["location"], f["prop"], f["code"]))] for s, rows in shown.items()}
     made["unchanged"] = counts["unchanged"]
+    made["notes"] = [{"side": side, "note": note} for side, note in compare.provenance_notes(rests_on, now_on)]
+    made["fields"] = [r.asDict() for r in compare.changes(compared).select("location", "field", "before", "after").orderBy("location", "field").collect()]
     made["undecided"] = sorted({r["f"]["location"] for r in compared.where("undecided").selectExpr("coalesce(after, before) AS f").collect()})
-    sys.stdout.write(json.dumps(made, indent=2, sort_keys=True) + "\n")
+    sys.stdout.write(reports.diff_text(made) if args.format == "text" else json.dumps(made, indent=2, sort_keys=True) + "\n")
     return int(args.fail_on_new and not compare.new_errors(compared).isEmpty())
 
 

@@ -103,3 +103,28 @@ def compare_rules(before: DataFrame, after: DataFrame) -> DataFrame:
         F.when((F.col("old.skipped") == "") & (F.col("new.skipped") != ""), F.lit("now skipped")),
     ))
     return rows.select(*key, "occurrence", F.explode(said).alias("change"))
+
+
+def provenance_notes(before: dict[str, str], after: dict[str, str]) -> list[tuple[str, str]]:
+    """side and note: what a reader must know before two runs are compared; ``tool`` and ``rules`` say what each rests on, blank if unknown."""
+    notes = []
+    if before["tool"] != after["tool"]:
+        notes.append(("before", f"written by {before['tool'] or 'an unknown version'}, the other by {after['tool'] or 'an unknown version'}"))
+    for side, held in (("before", before), ("after", after)):
+        if not held["rules"]:
+            notes.append((side, "its rules are not recorded"))
+    if before["rules"] and after["rules"] and before["rules"] != after["rules"]:
+        notes.append(("after", f"judged by {after['rules']}, the other by {before['rules']}"))
+    return notes
+
+
+def hash_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path and change (added, removed, changed) of rule files (path, sha256) whose bytes differ."""
+    a, b = before.select("path", F.col("sha256").alias("old")), after.select("path", F.col("sha256").alias("new"))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    return a.join(b, "path", "full_outer").select("path", change.alias("change")).where("change IS NOT NULL")
+
+
+def rules_unchanged(constraints: DataFrame, files: DataFrame, releases: tuple[str, str]) -> bool:
+    """Whether two releases of rules are the same: no constraint, no file and not the release differs."""
+    return releases[0] == releases[1] and constraints.isEmpty() and files.isEmpty()

@@ -56,6 +56,23 @@ def rule(citation: Column | str, url: str = "", retrieved: str = "") -> Column:
     return F.struct(said.alias("citation"), F.lit(url).alias("url"), F.lit(retrieved).alias("retrieved"))
 
 
+def cited(rows: DataFrame, citations: dict[str, dict[str, str]]) -> DataFrame:
+    """The findings with the rules that ``citations`` gives their codes: citation, url, retrieved; other codes keep theirs.
+
+    {code}, {property}, {value} and {location} in a citation are filled from the finding.
+    """
+    if not citations:
+        return rows
+    said = F.lit(None).cast("struct<citation:string,url:string,retrieved:string>")
+    for code, held in citations.items():
+        citation = F.lit(held.get("citation", ""))
+        for name, column in (("code", "code"), ("property", "prop"), ("value", "value"), ("location", "location")):
+            if f"{{{name}}}" in held.get("citation", ""):
+                citation = F.replace(citation, F.lit(f"{{{name}}}"), F.coalesce(column, F.lit("")))
+        said = F.when(F.col("code") == code, rule(citation, held.get("url", ""), held.get("retrieved", ""))).otherwise(said)
+    return rows.withColumn("rule", F.coalesce(said, "rule"))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     """All findings of several checks with the rank of their check."""
     ranked = [as_findings(p).withColumn("check", F.lit(k)) for k, p in enumerate(parts)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.checks import rules_table
+from assayer.operators.texts import quoted_in
 from assayer.rules.pack import RulePack
 
 #: What each finding code reports and which check gives it.
@@ -68,6 +69,27 @@ def declaration(module: Column, kind: str, identifier: str) -> Column:
     return F.nullif(F.regexp_extract(module, pattern, 0), F.lit(""))
 
 
+def rules_of_codes(spark: SparkSession, pack: RulePack) -> DataFrame:
+    """code, emitted_by, reports, citation, url, retrieved: every code with the rule that the pack cites for it, blank if it cites none."""
+    rows = [(code, *[held.get(k, "") for k in ("citation", "url", "retrieved")]) for code, held in pack.citations.items()]
+    cited = spark.createDataFrame(rows, "code string, citation string, url string, retrieved string")
+    return codes(spark).join(F.broadcast(cited), "code", "left").na.fill("", ["citation", "url", "retrieved"])
+
+
+def quotations(asked: DataFrame, sources: DataFrame) -> DataFrame:
+    """id, source, quote, state, source_sha256 of quotations (id, source, quote): what stands in its source carries that text's digest.
+
+    A source without text here is said to be absent, never taken as confirmed.
+    """
+    there = sources.select("source", F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"))
+    held = quoted_in(asked.select(F.col("id").alias("quote_id"), "quote"), sources).select(F.col("quote_id").alias("id"), "source", F.lit(True).alias("held"))
+    rows = asked.join(there, "source", "left").join(held, ["id", "source"], "left")
+    state = (
+        F.when(F.col("source_sha256").isNull(), "no text of this source is held").when(F.col("held").isNull(), "the words do not stand in the source").otherwise("quoted")
+    )
+    return rows.select("id", "source", "quote", state.alias("state"), "source_sha256")
+
+
 def digests(binaries: DataFrame) -> DataFrame:
     """path and SHA-256 of files as ``binaryFile`` reads them."""
     return binaries.select("path", F.sha2("content", 256).alias("sha256"))

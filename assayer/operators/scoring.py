@@ -96,3 +96,10 @@ def survey_summary(records: DataFrame) -> DataFrame:
 def example_locations(found: DataFrame) -> DataFrame:
     """For each code the first location in report order, and how many findings carry it."""
     return found.groupBy("code").agg(F.min(F.struct("doc_id", "location")).alias("e"), F.count("*").alias("n")).select("code", "e.doc_id", "e.location", "n")
+
+
+def grounding(claims: DataFrame) -> DataFrame:
+    """unit, claims, verified, withheld, faithful (nothing withheld) of judged quotations (unit, verdict)."""
+    good = F.col("verdict") == "ok"
+    counted = claims.groupBy("unit").agg(F.count("*").alias("claims"), F.count(F.when(good, 1)).alias("verified"), F.count(F.when(~good, 1)).alias("withheld"))
+    return counted.withColumn("faithful", F.col("withheld") == 0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,27 +12,14 @@ from assayer.operators import checks, compare, findings, imports, package, patch
 from assayer.operators.evaluate import evaluate
 from assayer.operators.shred import shred
 from assayer.plans import tables as t
+from assayer.plans.registry import ORACLES as ORACLES
+from assayer.plans.registry import QUERIES as QUERIES
+from assayer.plans.registry import query
 from assayer.plans.validate import validate
 from assayer.rules.pack import KeyField
 from assayer.sinks import reports
 from assayer.sources.reports import BLOCKS, SKIPPED, cache_name, page_texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if there is any."""
-
-    def enter(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return enter
-
-
 STRUCTURE = ("missing", "undeclared", "mistyped", "unread", "no_branch", "short")
 PICKED = ("selected", "context", "value")
 
@@ -593,7 +578,7 @@ def diff_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = "SELECT event_id FROM events WHERE event_id % 7 = 0 AND event_type IN ('error', 'purchase', 'view')"
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def baseline_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = t.event_findings(spark, sf_dir).where("severity != 'UNVERIFIABLE'").withColumn("n", F.regexp_extract("location", "([0-9]+)$", 1).cast("long"))
     some = found.where("n % 7 = 0").select("code", "location", F.col("prop").alias("property"), F.when(F.col("n") % 2 == 0, F.col("value")).otherwise("gone").alias("value"))
     return bl.check_entries(some.withColumns({"reason": F.lit("known"), "acknowledged_on": F.lit("2024-02-29")}))
@@ -602,14 +587,14 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CASE WHEN event_id % 14 = 0 AND event_type IN ('error', 'purchase', 'view') THEN 'known' END AS reason, count(*) AS n FROM events GROUP BY 1
 UNION ALL SELECT 'stale', count(*) FROM events WHERE event_id % 14 = 7 AND event_type IN ('error', 'purchase', 'view')""")
 def baseline_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = bl.apply(t.event_findings(spark, sf_dir), _entries(spark, sf_dir))
+    marked = bl.apply(t.event_findings(spark, sf_dir), baseline_entries(spark, sf_dir))
     reason = F.when(F.col("code") == "BASELINE_STALE", "stale").otherwise(F.col("acknowledged.reason")).alias("reason")
     return marked.groupBy(reason).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT '/log/' || event_id AS location, 'gone' AS value, 'WARNING' AS severity FROM events WHERE event_id % 14 = 7 AND event_type IN ('error', 'purchase', 'view')""")
 def baseline_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bl.stale(t.event_findings(spark, sf_dir), _entries(spark, sf_dir)).select("location", "value", "severity")
+    return bl.stale(t.event_findings(spark, sf_dir), baseline_entries(spark, sf_dir)).select("location", "value", "severity")
 
 
 @query("""SELECT '/log/' || event_id AS location, json_extract_string(props, '$.k') AS value, '' AS reason FROM events WHERE event_type IN ('error', 'purchase', 'view')""")
@@ -651,10 +636,10 @@ SECTIONS = f"""WITH p AS ({PAGE_SQL}), l AS (SELECT page_id, unnest(string_split
 @query(SECTIONS + """SELECT CAST(page_id AS VARCHAR) AS source, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS INTEGER) AS number,
   CASE WHEN part = 0 THEN '' ELSE heading END AS path, CASE WHEN part = 0 THEN '(preamble)' ELSE heading END AS heading, body FROM s WHERE body <> ''""")
 def sections_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sections(spark, sf_dir).withColumn("path", F.array_join("path", " > "))
+    return page_sections(spark, sf_dir).withColumn("path", F.array_join("path", " > "))
 
 
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = page_texts(t.table(spark, sf_dir, "pages"))
     return texts.sections(pages.select(F.col("page_id").cast("string").alias("source"), "text"))
 

@@ -46,4 +46,4 @@ def validate(documents: DataFrame, pack: RulePack, primaries: DataFrame | None =
     found = findings.union([cut(p) for p in parts]).join(mine, "doc_id", "left_semi")
     merged = cut(findings.merge_references(found))
     skew = findings.as_findings(checks.version_skew(own, pack, merged))
-    return findings.finalize(findings.as_findings(merged).unionByName(skew))
+    return findings.finalize(findings.cited(findings.as_findings(merged).unionByName(skew), pack.citations))

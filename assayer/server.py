@@ -66,7 +66,8 @@ class Server:
     def rule(self, identifier: str) -> dict[str, Any]:
         for code, emitted, what in CODES:
             if code == identifier:
-                return {"code": code, "emitted_by": emitted, "reports": what}
+                cited = {k: v for k, v in self.pack.citations.get(code, {}).items() if v}
+                return {"code": code, "emitted_by": emitted, "reports": what} | cited
         rows = [r.asDict() for r in constraints_by_id(self.spark, self.pack, identifier).collect()]
         if not rows:
             raise Refusal(f"{identifier!r} is neither a finding code nor a constraint")

@@ -50,12 +50,14 @@ def _summary(rows: list[Row]) -> dict[str, int]:
     return {s: sum(r["severity"] == s for r in rows) for s in SEVERITIES}
 
 
-def json_report(rows: list[Row], document: str, baseline: str = "", locations: bool = False) -> str:
-    """The report of one document, keys sorted."""
+def json_report(rows: list[Row], document: str, baseline: str = "", locations: bool = False, rules: str = "") -> str:
+    """The report of one document, keys sorted; ``rules`` names what it was judged by."""
     made: dict[str, Any] = {
         "version": REPORT_VERSION, "tool": f"assayer {__version__}", "document": document,
         "findings": [record(r, locations) for r in rows], "summary": _summary(rows),
     }
+    if rules:
+        made["rules"] = rules
     if baseline:
         made["baseline"] = {
             "path": baseline, "acknowledged": sum(r["acknowledged"] is not None for r in rows), "stale": sum(r["code"] == "BASELINE_STALE" for r in rows),
@@ -112,6 +114,64 @@ def split_location(location: Column, model: Column) -> Column:
     )
 
 
+def sarif_results(found: DataFrame, model: str) -> DataFrame:
+    """The results of a log as rows, one a finding, for tables of any size: doc_id, rule_id, kind, level, uri, pointer, message, fingerprint."""
+    place = split_location(F.col("location"), F.lit(model))
+    by_severity = lambda k: F.create_map(*[F.lit(x) for s, pair in SARIF_KIND.items() for x in (s, pair[k])])[F.col("severity")]
+    return found.select(
+        "doc_id", F.col("code").alias("rule_id"), by_severity(0).alias("kind"), by_severity(1).alias("level"), F.coalesce(place["file"], "doc_id").alias("uri"), place["pointer"].alias("pointer"),
+        F.concat("prop", F.lit(" = "), "value", F.lit(". "), "message").alias("message"), fingerprint().alias("fingerprint"),
+    )
+
+
+def sarif_rules(found: DataFrame) -> DataFrame:
+    """The rules of a log as rows, one a code: id, description, help (the one link that its findings cite, else null), results."""
+    link = F.when(F.col("rule.url").rlike("^https?://"), F.col("rule.url"))
+    said = F.create_map(*[F.lit(x) for code, _, what in CODES for x in (code, what)])
+    rows = found.groupBy(F.col("code").alias("id")).agg(F.collect_set(link).alias("links"), F.count("*").alias("results"))
+    return rows.select("id", F.coalesce(F.try_element_at(said, F.col("id")), "id").alias("description"), F.when(F.size("links") == 1, F.get("links", F.lit(0))).alias("help"), "results")
+
+
+#: Row forms of reports that Spark writes itself.
+FORMS = {
+    "json": lambda found: records(found).select("json"), "text": lambda found: found.select(text_lines(True)), "annotations": lambda found: annotations(found).select("line"),
+    "sarif": lambda found: sarif_results(found, "").select(F.to_json(F.struct("*"))),
+}
+
+
+def write_lines(found: DataFrame, folder: str, form: str = "json") -> None:
+    """The findings of any number of documents as text files below a folder, written where they are computed."""
+    FORMS[form](found).toDF("value").write.text(folder)
+
+
+def package_text(made: dict[str, Any]) -> str:
+    """The report of a package for readers: members, what holds across them, and the verdict."""
+    lines = ["members"]
+    for m in made["documents"]:
+        lines.append(f"  {m['doc_id']}: " + ", ".join(f"{m[s]} {s}" for s in SEVERITIES) + f", exit code {m['exit_code']}")
+    edge = lambda e: f"  {e['doc_id']} {e['pointer']} -> {e['href']}" + (f" ({e['resolved_to']})" if e["resolved_to"] else "")
+    sections = {
+        "imports": [edge(e) for e in made["import_graph"]], "imports not in the package": [edge(e) for e in made["imports_not_in_package"]],
+        "named by no other member": [f"  {d}" for d in made["unreferenced"]],
+        "identifiers of several members": [f"  {c['value']}: {', '.join(c['members'])}" for c in made["uuid_collisions"]],
+    }
+    for title, rows in sections.items():
+        lines += [title, *(rows or ["  (none)"])]
+    return "\n".join([*lines, f"exit code {made['exit_code']}"]) + "\n"
+
+
+def diff_text(made: dict[str, Any]) -> str:
+    """A comparison for readers: notes first, then what changed, then what could not be paired."""
+    lines = [f"note ({n['side']}): {n['note']}" for n in made["notes"]]
+    for status in ("removed", "added", "changed", "moved"):
+        lines.append(f"{status}: {len(made[status])}")
+        lines += [f"  {f['severity']} {f['code']} at={f['location']} {f['property']} = {f['value']}" for f in made[status]]
+    lines += [f"  {c['location']} {c['field']}: {c['before']} -> {c['after']}" for c in made["fields"]]
+    lines.append(f"unchanged: {made['unchanged']}")
+    lines += [f"moved or not, this could not be decided: {place}" for place in made["undecided"]]
+    return "\n".join(lines) + "\n"
+
+
 def sarif(found: DataFrame, model: str, digests: dict[str, str] | None = None) -> dict[str, Any]:
     """The run as a SARIF log; rules are the codes met, in order, with a help link where all findings cite one."""
     rows = found.withColumns({"print": fingerprint(), "place": split_location(F.col("location"), F.lit(model))}).orderBy("doc_id", *ORDER).collect()

@@ -2,7 +2,8 @@
 
 import duckdb
 import pytest
-from assayer.plans.queries import ORACLES, QUERIES
+from assayer.plans import queries, records, shapes  # noqa: F401  (they register their queries)
+from assayer.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
