@@ -8,9 +8,13 @@ four bits or fewer is a link, reported only from the first file that it shares.
 Components of links come from star contractions.
 
 Exact copies share a fingerprint and are one node, so a large group of copies
-costs no pairs. A set of fingerprints that all differ pairwise in at most four
-bits has at most 1 + 64 + 2016 = 2081 members (Kleitman's bound on a set of
-diameter four), so the pairs of a dense group are bounded whatever its size.
+costs no pairs. Nothing bounds the fingerprints that share a file, as a chain of
+links may be of any length, so full files are dealt over tasks: their fingerprints
+get one of several numbers on the left side of the join and all of them on the
+right. Which files are full is read off every ``SAMPLED``-th fingerprint by a hash;
+that decides how the work is dealt, never what is compared. Nodes of links are led by their smallest id, so
+that the root of a component holds the id of its class and no further join on
+roots, which could gather a large component in one task, is needed.
 Defined results: a null, empty or blank text has fingerprint
 zero and links like any other; a group whose ids are all null has a null
 component_id, otherwise null ids do not count as smallest.
@@ -30,6 +34,8 @@ from assayer.llm.components import components
 
 WORDS, SEED, NEAR = 4, 42, 4
 BLOCKS, SHARED = 7, 3
+#: One fingerprint in so many is counted by file; a file with so many of those is full; about so many fingerprints stay together.
+SAMPLED, FULL, TOGETHER = 64, 32, 2048
 
 
 def fingerprint(text: str | None) -> int:
@@ -72,18 +78,27 @@ def _first_shared(differing: Column) -> Column:
     return found
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column ``fp``) that differ in at most four bits, each pair once."""
+def links(prints: DataFrame, *carry: str) -> DataFrame:
+    """Pairs a < b of distinct fingerprints (column ``fp``) that differ in at most four bits, each pair once; ``carry`` comes along as a_name, b_name."""
     masks = block_masks()
     files = [(sum(1 << k for k in three), sum(masks[k] for k in three)) for three in combinations(range(BLOCKS), SHARED)]
     files = [(name, mask if mask < 1 << 63 else mask - (1 << 64)) for name, mask in files]
     entry = F.explode(F.array(*[F.struct(F.lit(name).alias("file"), F.col("fp").bitwiseAND(F.lit(mask).cast("long")).alias("key")) for name, mask in files]))
-    filed = prints.select("fp", entry.alias("e")).select("fp", "e.file", "e.key")
-    left, right = filed.withColumnRenamed("fp", "a").alias("l"), filed.withColumnRenamed("fp", "b").alias("r")
+    filed = prints.select("fp", *carry, entry.alias("e")).select("fp", *carry, "e.file", "e.key")
+    of = lambda side: [F.col(c).alias(f"{side}_{c}") for c in carry]
+    chosen = filed.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).groupBy("file", "key").agg(F.count("*").alias("n")).where(F.col("n") >= FULL)
+    full = cut(chosen.select("file", "key", (F.col("n") * SAMPLED / TOGETHER + 1).cast("int").alias("deal")))
+    one, every = F.lit(0).alias("turn"), F.lit(0).alias("turn")
+    if not full.isEmpty():
+        filed = filed.join(broadcast_if_small(full), ["file", "key"], "left")
+        one = F.pmod(F.xxhash64(F.lit("deal"), "fp"), F.coalesce("deal", F.lit(1))).cast("int").alias("turn")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("deal", F.lit(1)) - 1)).alias("turn")
+    left = filed.select(F.col("fp").alias("a"), *of("a"), "file", "key", one).alias("l")
+    right = filed.select(F.col("fp").alias("b"), *of("b"), "file", "key", every).alias("r")
     differing = F.col("a").bitwiseXOR(F.col("b"))
-    same_file = (F.col("l.file") == F.col("r.file")) & (F.col("l.key") == F.col("r.key"))
+    same_file = (F.col("l.file") == F.col("r.file")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.turn") == F.col("r.turn"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(differing) <= NEAR) & (_first_shared(differing) == F.col("l.file"))
-    return left.join(right, same_file & near).select("a", "b")
+    return left.join(right, same_file & near).select("a", "b", *[f"{side}_{c}" for c in carry for side in "ab"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,13 +107,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return cut(map_texts(rows, lambda: lambda texts: {"fp": [fingerprint(t) for t in texts]}, "fp long", ("doc_id", "mark")))
 
 
+def _node(first_id: str, fp: str) -> Column:
+    """A node of the links: its smallest id first, null ids last, then the fingerprint that tells it apart."""
+    return F.struct(F.col(first_id).isNull().alias("absent"), F.col(first_id).alias("id"), F.col(fp).alias("fp"))
+
+
 def _classes(rows: DataFrame) -> DataFrame:
-    """fp and component_id of every distinct fingerprint."""
+    """fp, root (a fingerprint) and component_id of every distinct fingerprint."""
     prints = cut_small(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), rows.count())
-    rooted = prints.join(components(links(prints), "a", "b").withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    found = links(prints, "first_id").select(_node("a_first_id", "a").alias("a"), _node("b_first_id", "b").alias("b"))
+    linked = components(found, "a", "b").select(F.col("node.fp").alias("fp"), F.col("root.fp").alias("root"), F.col("root.id").alias("id"))
+    rooted = prints.join(linked, "fp", "left")
+    return rooted.select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("id")).alias("component_id")
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

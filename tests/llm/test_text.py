@@ -162,7 +162,10 @@ def test_fingerprints_and_components_match_brute_force(spark, sf_dir):
     assert len(set(expect.values())) < len(expect)
 
 
-def test_links_are_complete_and_single(spark):
+@pytest.mark.parametrize("sampled, full, together", [(64, 32, 2048), (1, 2, 3)])
+def test_links_are_complete_and_single(spark, monkeypatch, sampled, full, together):
+    for name, value in (("SAMPLED", sampled), ("FULL", full), ("TOGETHER", together)):
+        monkeypatch.setattr(simhash, name, value)
     rnd = random.Random(9)
     values = set()
     for _ in range(60):
