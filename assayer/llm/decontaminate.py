@@ -9,9 +9,11 @@ shingle at each word; where it equals a prefix, the position of the prefix in
 its window fixes where the window would start and end (it must lie inside the
 document), and the words there are compared one by one.
 
-Prefixes travel to the documents by broadcast while their measured size stays
-under ``BROADCAST_BYTES``; beyond it both sides meet in a shuffle on the hashed
-shingle and only documents with candidates are read again for the comparison.
+Prefixes travel to the documents by broadcast while their measured size in bytes
+stays under ``BROADCAST_BYTES``; beyond it both sides meet in a shuffle on the hashed
+shingle and only documents with candidates are read again for the comparison. Words
+reach that shuffle only if a table of at most ``SLOTS`` numbers says that a prefix may
+equal their shingle, so what is shuffled follows the benchmark and not the corpus.
 Rarity is counted over all benchmark windows, so the corpus is read once.
 
 Everything is DataFrame functions. Defined results: null and empty texts have no
@@ -29,6 +31,8 @@ from assayer.llm.base import BROADCAST_BYTES, broadcast_if_small, cut, numbered,
 from assayer.llm.native_text import plain_words
 
 WINDOW, SHINGLE = 13, 3
+#: Numbers that stand for hashes where a broadcast must not grow with the benchmark.
+SLOTS = 1 << 20
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
@@ -91,6 +95,9 @@ def _occurrences_by_broadcast(worded: DataFrame, table: DataFrame, widths: list[
 def _occurrences_by_shuffle(worded: DataFrame, table: DataFrame, widths: list[int]) -> DataFrame:
     """The same rows without any broadcast: narrow candidates first, then the texts of their documents."""
     places = _positions(worded, widths).where("hash IS NOT NULL AND at IS NOT NULL").select("doc_id", "mark", "n_words", "at", "hash")
+    slot = F.pmod("hash", F.lit(SLOTS))
+    known = table.select(slot.cast("int").alias("slot")).distinct()
+    places = places.withColumn("slot", slot.cast("int")).join(F.broadcast(known), "slot", "left_semi")
     candidates = places.join(table.select("hash", "place", "window", "window_id"), "hash")
     candidates = candidates.withColumn("start", F.col("at") - F.col("place")).where(_INSIDE)
     candidates = candidates.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "start", "window", "window_id").distinct()
@@ -106,7 +113,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
     held = cut(windows(benchmark))
     table = cut(prefixes(held))
     sizes = table.agg(
-        F.sum(F.length(F.array_join("window", " ")) + 100).alias("bytes"), F.sort_array(F.collect_set("width")).alias("widths")
+        F.sum(F.octet_length(F.array_join("window", " ")) + 16 * F.size("window") + 64).alias("bytes"), F.sort_array(F.collect_set("width")).alias("widths")
     ).first()
     widths = sizes["widths"] or [SHINGLE]
     texts = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("mark"), plain_words(F.col("text")).alias("words"))
