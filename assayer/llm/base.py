@@ -21,7 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.durable import BROADCAST_BYTES as BROADCAST_BYTES
+from assayer.durable import broadcast_if_small as broadcast_if_small
 from assayer.durable import cut as cut
+from assayer.durable import is_small as is_small
 
 #: Arrow types of the column types that the operators add.
 ARROW = {
@@ -65,16 +68,6 @@ def cut_small(df: DataFrame, rows: int) -> DataFrame:
     return cut(df.coalesce(8 + rows // 100_000))
 
 
-#: Rows measured to be no larger than this travel by broadcast; beyond it Spark plans the join by shuffles.
-BROADCAST_BYTES = 16 << 20
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The rows, to be broadcast in a join if their measured size is at most ``limit``; give cut rows, they are read twice."""
-    written = F.octet_length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
-    return F.broadcast(df) if (df.agg(F.sum(written)).first()[0] or 0) <= limit else df
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most ``rows`` rows and about ``size`` bytes of ``column``, a longer text alone, so that few texts are Python objects at once."""
     held = batch.column(column)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import broadcast_if_small, cut, numbered, pick, position_of
+from assayer.llm.base import broadcast_if_small, cut, is_small, numbered, pick, position_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The base patterns, with guards that keep long runs linear and matches the same.
@@ -64,14 +64,14 @@ def _walk(items: Column, state: str, first, step) -> Column:
 PLACE = "struct<start:int,end:int,value:string>"
 
 
-def places(text: Column, pattern: str) -> Column:
-    """start, end and value of the leftmost matches that do not overlap: pieces between matches give the places."""
+def places(text: Column, pattern: str, length=F.char_length) -> Column:
+    """start, end and value of the leftmost matches that do not overlap: pieces between matches give the places, counted by ``length``."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.filter(F.arrays_zip(found.alias("value"), between.alias("gap")), lambda p: p["value"].isNotNull())
     empty = F.array().cast(f"array<{PLACE}>")
 
     def step(a: Column, p: Column) -> Column:
-        start, end = a["at"] + F.char_length(p["gap"]), a["at"] + F.char_length(p["gap"]) + F.char_length(p["value"])
+        start, end = a["at"] + length(p["gap"]), a["at"] + length(p["gap"]) + length(p["value"])
         one = F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
@@ -152,11 +152,14 @@ def base_table(docs: DataFrame) -> DataFrame:
     return cut(rows.select("doc_id", "mark", *[bare(k) for k in KINDS[:-1]], _windows(F.col("text"), "base").alias("windows")))
 
 
-def _some_based(docs: DataFrame, only: DataFrame) -> DataFrame:
-    """One row of ``_based`` for each of the documents (d, m)."""
+def _some_based(docs: DataFrame, only: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``_based`` of the documents (d, m), with the columns ``more`` of ``only``; repeated rows stay repeated."""
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("m"))
-    rows = cut(pick(docs, "doc_id", "text").join(broadcast_if_small(only), same, "left_semi").withColumn("m", F.xxhash64("text")).dropDuplicates(["doc_id", "m"]))
-    return _based(rows)
+    rows = pick(docs, "doc_id", "text").join(broadcast_if_small(only), same)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = rows.select("doc_id", F.col("m").alias("mark"), text.alias("text"), *more)
+    found = base_spans(F.col("text"))
+    return rows.select("doc_id", "mark", "text", *more, *[c.alias(k) for k, c in found.items()]).withColumn("base", F.concat(*found))
 
 
 def _mentions(based: DataFrame) -> DataFrame:
@@ -215,16 +218,15 @@ def _whole(docs: DataFrame, mentions: DataFrame) -> DataFrame:
 
     Only entities with as many mentions as contexts are needed are counted; the others can disclose nothing.
     """
-    live = broadcast_if_small(cut(mentions.groupBy("w.entity").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("entity")))
+    live = mentions.groupBy("w.entity").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("entity")
     held = cut(mentions.select("doc_id", "mark", F.col("w.entity").alias("entity")).distinct().join(live, "entity", "left_semi"))
-    where = held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
-    rows = _some_based(docs, where)
+    where = cut(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct())
+    rows = _marked(_some_based(docs, where))
     free = F.filter(F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), lambda w: (F.char_length(w) >= SHORTEST) & ~w.contains(MARK))
-    rows = _marked(rows).select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms"))
+    rows = rows.select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms")).dropDuplicates(["doc_id", "mark"])
     rows = rows.select("doc_id", "mark", F.md5(F.array_join("terms", " ").cast("binary")).alias("sign"), F.explode("terms").alias("term"))
-    held = broadcast_if_small(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "entity"))
-    counted = rows.join(held, same).groupBy("entity", "term", "sign").agg(F.count("*").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    counted = rows.join(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "entity"), same).groupBy("entity", "term", "sign").agg(F.count("*").alias("n"))
     return counted.groupBy("entity", "term").agg(F.count("*").alias("apart"), F.sum("n").alias("n_te"))
 
 
@@ -246,28 +248,28 @@ def disclosing(docs: DataFrame, mentions: DataFrame, contexts: DataFrame) -> Dat
 
 
 def _told_places(docs: DataFrame, told: DataFrame) -> DataFrame:
-    """d, m and the sorted places of every free disclosing term, in whichever document it stands; no row for documents without one."""
-    terms = broadcast_if_small(cut(told.select("term").distinct()))
+    """d, m and the sorted places of every free disclosing term, in whichever document it stands; no row for documents without one.
+
+    Documents meet the terms on their distinct words; each is then read with the
+    terms that it holds, so only places of disclosing terms are ever rows or cells.
+    """
+    terms = told.select("term").distinct()
+    terms = F.broadcast(terms) if is_small(told) else terms
     rows = pick(docs, "doc_id", "text")
-    held = rows.select("doc_id", F.xxhash64("text").alias("mark"), F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
-    held = cut(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct())
-    found, between = F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), F.split("marked", TERM, -1)
-    pairs = F.posexplode(F.arrays_zip(found.alias("value"), between.alias("gap"))).alias("k", "p")
-    each = _marked(_some_based(docs, held)).select("doc_id", "mark", pairs).where(F.col("p.value").isNotNull())
+    held = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("m"), F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
+    held = cut(held.groupBy("d", "m").agg(F.collect_set("term").alias("told")))
     bare = lambda c: F.char_length(F.translate(c, MARK, ""))
-    each = each.select("doc_id", "mark", "k", F.col("p.value").alias("value"), bare("p.value").alias("size"), bare("p.gap").alias("gap"))
-    each = each.withColumn("end", F.expr("sum(gap + size) OVER (PARTITION BY doc_id, mark ORDER BY k)").cast("int"))
-    each = each.where((F.col("size") >= SHORTEST) & ~F.col("value").contains(MARK)).withColumn("term", F.lower("value"))
-    at = F.struct((F.col("end") - F.col("size")).alias("start"), "end")
-    each = each.join(terms, "term", "left_semi").select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), at.alias("at"))
-    return each.groupBy("d", "m").agg(F.array_sort(F.collect_list("at")).alias("term"))
+    known = lambda w: (w["end"] - w["start"] >= SHORTEST) & ~w["value"].contains(MARK) & F.array_contains("told", F.lower(w["value"]))
+    found = F.transform(F.filter(places(F.col("marked"), TERM, bare), known), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
+    each = _marked(_some_based(docs, held, "told")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), found.alias("term"))
+    return each.where(F.size("term") > 0).dropDuplicates(["d", "m"])
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, the spans of each base kind and of the kind ``term``, of every row; texts stay behind."""
     based = base_table(docs)
     mentions = _mentions(based)
-    told = cut(disclosing(docs, mentions, cut(_contexts(mentions))))
+    told = cut(disclosing(docs, mentions, _contexts(mentions)))
     rows = based.drop("windows")
     none = F.array().cast("array<struct<start:int,end:int>>")
     if told.isEmpty():
