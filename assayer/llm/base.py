@@ -28,7 +28,7 @@ from assayer.durable import is_small as is_small
 
 #: Arrow types of the column types that the operators add.
 ARROW = {
-    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
+    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
     "array<bigint>": pa.list_(pa.int64()), "array<array<bigint>>": pa.list_(pa.list_(pa.int64())),
 }
 #: Rows whose checksum leaves this remainder are held out of every fit.

@@ -2,16 +2,17 @@
 
 Trusted positives are rows labelled 1; every other row of the learning folds is
 unlabelled web text, whatever its label. A logistic model over a fixed list of
-text measures minimises the non-negative unbiased risk: the positive part, plus
+text measures and over hashed three-byte grams, which carry the wording, minimises
+the non-negative unbiased risk: the positive part, plus
 the unlabelled part freed of its positives and never let below zero. The share
 of positives among the unlabelled is estimated from the scores of first models
 that tell the two samples apart, each fitted on one half and read on the other,
 by the best bin over all thresholds.
 
-The fit reads a bounded sample of rows, chosen by a hash of their id, and runs on
-the driver; the model is a few hundred numbers. Scores use every character of
+The fit reads a bounded sample of rows, chosen by a hash of their id and text, and
+runs on the driver; the model is about a thousand numbers. Scores use every character of
 every text. Defined results: null and empty texts get the score of a text whose
-measures are all zero; without a positive every score is 0; several labels of
+features are all zero; without a positive every score is 0; several labels of
 one id count as positive if one of them is 1, and labels without an id are
 ignored.
 """
@@ -21,17 +22,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import held_out, map_texts, pick
+from assayer.llm.base import broadcast_if_small, cut, held_out, map_texts, pick
 
 #: About so many positives and so many unlabelled rows are read for the fit.
 FIT_ROWS = 12_000
 THRESHOLD = 0.7
-STEPS, RATE, BATCH, SEED, DECAY = 1500, 0.02, 1024, 7, 1.0
+STEPS, RATE, BATCH, SEED, DECAY = 1200, 0.02, 512, 7, 1.0
 SYMBOLS = "#*$%&|<>~^=_{}[]\\@+"
 MEASURES = 20
+#: Buckets of three-byte grams, and the weight of their shares beside standardised measures.
+GRAMS, GRAM_WEIGHT = 512, 3.0
 
 
 def measures(text: str | None) -> list[float]:
@@ -71,20 +74,35 @@ def measures(text: str | None) -> list[float]:
     ]
 
 
+def gram_shares(text: str | None) -> np.ndarray:
+    """Square roots of the shares of hashed three-byte grams of the lowered text; all zero for fewer than three bytes."""
+    held = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+    if len(held) < 3:
+        return np.zeros(GRAMS)
+    mixed = (held[:-2] * np.uint32(0x9E3779B1) + held[1:-1]) * np.uint32(0x85EBCA6B) + held[2:]
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+    return np.sqrt(np.bincount((mixed >> np.uint32(16)) % np.uint32(GRAMS), minlength=GRAMS) / len(mixed))
+
+
+def features(texts: list[str | None]) -> np.ndarray:
+    """A row of measures and gram shares for each text."""
+    rows = [np.concatenate((measures(t), gram_shares(t))) for t in texts]
+    return np.array(rows, dtype=np.float32).reshape(len(rows), MEASURES + GRAMS)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def _spread(raw: np.ndarray, middle: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Standardised measures, clipped, with their squares and a constant."""
-    x = np.clip((raw - middle) / width, -6, 6)
-    return np.hstack([np.ones((len(x), 1)), x, x * x / 4])
+    """A constant, standardised measures, clipped, with their squares, and weighted gram shares."""
+    x = np.clip((raw[:, :MEASURES] - middle) / width, -6, 6)
+    return np.hstack([np.ones((len(x), 1)), x, x * x / 4, GRAM_WEIGHT * raw[:, MEASURES:]]).astype(np.float32)
 
 
 def _adam(size: int, gradient, decay: float, steps: int = STEPS) -> np.ndarray:
     """Weights after ``steps`` of Adam on a noisy gradient; all but the constant decay."""
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    rest = np.ones(size)
+    w, m, v, rest = (np.full(size, x, dtype=np.float32) for x in (0, 0, 0, 1))
     rest[0] = 0.0
     for t in range(1, steps + 1):
         g = gradient(w) + decay * rest * w
@@ -113,12 +131,13 @@ class Model:
         if not len(positive):
             return
         both = np.vstack([positive, unlabelled]) if len(unlabelled) else positive
-        self.middle, self.width = both.mean(axis=0), both.std(axis=0) + 1e-6
+        plain = both[:, :MEASURES].astype(np.float64)
+        self.middle, self.width = plain.mean(axis=0), plain.std(axis=0) + 1e-6
         p = _spread(positive, self.middle, self.width)
         u = _spread(unlabelled if len(unlabelled) else positive, self.middle, self.width)
         random = np.random.default_rng(SEED)
         some = lambda rows: rows[random.integers(0, len(rows), BATCH)]
-        mean = lambda rows, scale: (rows * scale[:, None]).mean(axis=0)
+        mean = lambda rows, scale: scale.astype(np.float32) @ rows / len(rows)
 
         decay = lambda rows: 1e-4 + DECAY / len(rows)
 
@@ -151,37 +170,34 @@ class Model:
         """Chance of label 1 for each text."""
         if self.weights is None:
             return [0.0] * len(texts)
-        raw = np.array([measures(t) for t in texts]).reshape(len(texts), MEASURES)
-        return _sigmoid(_spread(raw, self.middle, self.width) @ self.weights).tolist()
+        return _sigmoid(_spread(features(texts), self.middle, self.width) @ self.weights).tolist()
 
 
-def _sampled(rows: DataFrame, total: int, fit_rows: int) -> DataFrame:
+def _share(of: int, fit_rows: int, *columns: str) -> Column:
+    """Whether a row belongs to the ``fit_rows`` of so many that a hash of its columns picks."""
     steps = 1 << 30
-    share = min(steps, int(steps * fit_rows / max(1, total)))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share)
+    return F.pmod(F.xxhash64(*columns, F.lit("fit")), F.lit(steps)) < min(steps, int(steps * fit_rows / max(1, of)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Model from the learning folds of ``docs`` and the column quality of ``labels``."""
+    """Model from the learning folds of ``docs`` and the column quality of ``labels``.
+
+    About ``fit_rows`` positive and as many unlabelled rows are read; ids that occur
+    on many rows are thinned once more by id and text, so the bound is one of rows.
+    """
     good = pick(labels, "doc_id", "quality").where((F.col("quality") == 1) & ~held_out(F.col("doc_id")))
     good = good.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     rows = pick(docs, "doc_id", "text").where(~held_out(F.col("doc_id")))
     n_good, n_rows = good.count(), rows.select("doc_id").count()
-    chosen = _sampled(good, n_good, fit_rows).withColumn("trusted", F.lit(True))
-    marked = rows.join(F.broadcast(chosen), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    steps = 1 << 30
-    share = min(steps, int(steps * fit_rows / max(1, n_rows)))
-    web = F.pmod(F.xxhash64("doc_id", F.lit("web")), F.lit(steps)) < share
-    marked = marked.withColumn("web", web).where(F.col("trusted") | F.col("web"))
-    measured = map_texts(
-        marked, lambda: lambda texts: {"m": [",".join(map(repr, measures(t))) for t in texts]}, "m string", ("trusted", "web")
-    ).toArrow()
-    values = np.array([[float(x) for x in m.split(",")] for m in measured.column("m").to_pylist()]).reshape(-1, MEASURES)
-    trusted = np.array(measured.column("trusted").to_pylist(), dtype=bool)
-    unlabelled = np.array(measured.column("web").to_pylist(), dtype=bool)
-    order = np.lexsort(values.T)
-    values, trusted, unlabelled = values[order], trusted[order], unlabelled[order]
-    return Model(values[trusted], values[unlabelled])
+    chosen = broadcast_if_small(cut(good.where(_share(n_good, fit_rows, "doc_id"))))
+    n_trusted = rows.select("doc_id").join(chosen, "doc_id", "left_semi").count()
+    marked = rows.join(chosen.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    trusted = F.coalesce("trusted", F.lit(False)) & _share(n_trusted, fit_rows, "doc_id", "text")
+    marked = marked.select("text", trusted.alias("trusted"), _share(n_rows, fit_rows, "text", "doc_id").alias("web")).where("trusted OR web")
+    read = map_texts(marked, lambda: lambda texts: {"f": [x.tobytes() for x in features(texts)]}, "f binary", ("trusted", "web")).toArrow().to_pylist()
+    read.sort(key=lambda r: (r["f"], r["trusted"], r["web"]))
+    side = lambda name: np.frombuffer(b"".join(r["f"] for r in read if r[name]), dtype=np.float32).reshape(-1, MEASURES + GRAMS)
+    return Model(side("trusted"), side("web"))
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
