@@ -112,22 +112,34 @@ def _node(first_id: str, fp: str) -> Column:
     return F.struct(F.col(first_id).isNull().alias("absent"), F.col(first_id).alias("id"), F.col(fp).alias("fp"))
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """fp, root (a fingerprint) and component_id of every distinct fingerprint."""
-    prints = cut_small(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), rows.count())
+def _classes(rows: DataFrame, total: int) -> DataFrame:
+    """fp, copies (rows that carry it), root (a fingerprint) and component_id of every distinct fingerprint."""
+    prints = cut_small(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), total)
     found = links(prints, "first_id").select(_node("a_first_id", "a").alias("a"), _node("b_first_id", "b").alias("b"))
     linked = components(found, "a", "b").select(F.col("node.fp").alias("fp"), F.col("root.fp").alias("root"), F.col("root.id").alias("id"))
     rooted = prints.join(linked, "fp", "left")
-    return rooted.select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("id")).alias("component_id")
-    )
+    component = F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("id")).alias("component_id")
+    return cut_small(rooted.select("fp", "copies", F.coalesce("root", "fp").alias("root"), component), total)
+
+
+#: A fingerprint is common if it carries more than the thousandth part of all rows; there are fewer than a thousand of them in any table.
+COMMON, FEWEST_COMMON = 1000, 1000
+
+
+def _with_classes(rows: DataFrame) -> DataFrame:
+    """The rows with root and component_id; rows of common fingerprints meet their class by broadcast, so copies never gather in one task."""
+    total = rows.count()
+    classes = _classes(rows, total)
+    least = max(FEWEST_COMMON, total // COMMON)
+    common = F.broadcast(classes.where(F.col("copies") > least).drop("copies"))
+    few = rows.join(common.select("fp"), "fp", "left_anti").join(classes.where(F.col("copies") <= least).drop("copies"), "fp")
+    return few.unionByName(rows.join(common, "fp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable) of every row."""
-    rows = fingerprints(docs)
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return rows.join(_classes(rows), "fp", "left").select("doc_id", shown, "component_id")
+    return _with_classes(fingerprints(docs)).select("doc_id", shown, "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -139,7 +151,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     who, what = (f"c{position_of(names, n)}" for n in ("doc_id", "text"))
     rows = fingerprints(docs)
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
-    stays = rows.join(_classes(rows), "fp").groupBy("root").agg(F.min(order).alias("s")).select("s.doc_id", "s.mark")
+    stays = _with_classes(rows).groupBy("root").agg(F.min(order).alias("s")).select("s.doc_id", "s.mark")
     counted = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
     stays = stays.select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"))
     one = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("mark") == F.col("s_mark"))

@@ -186,6 +186,15 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_common_fingerprints_meet_their_class_as_others_do(make_docs, monkeypatch):
+    monkeypatch.setattr(simhash, "FEWEST_COMMON", 2)
+    base = " ".join(f"w{k}" for k in range(200))
+    docs = make_docs([(k, base) for k in range(10, 40)] + [(5, base + " tail"), (6, "other"), (7, "other"), (None, base), (8, None)])
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert got == Counter([*((k, 5) for k in range(10, 40)), (5, 5), (6, 6), (7, 6), (None, 5), (8, 8)])
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in simhash.keep_one(docs).collect()) == [(False, 5), (False, 6), (False, 8)]
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     rows = simhash.near_duplicates(odd_docs).collect()
     assert len(rows) == 12
