@@ -121,12 +121,22 @@ def uniqueness(facts: DataFrame, pack: RulePack) -> DataFrame:
     )
 
 
-def indexes(facts: DataFrame, pack: RulePack, reached: DataFrame) -> DataFrame:
-    """primary, index_name, key, location: each key of the documents a primary reaches, where it was met first."""
-    rows = selections(facts, pack, "index").select("doc_id", "index_name", "key", "pointer", "rule", "place")
-    met = reached.select("primary", "doc_id", "hops").join(rows, "doc_id")
-    first = F.min(F.struct("hops", "doc_id", "rule", "place", F.concat("doc_id", "pointer").alias("location")))
-    return met.groupBy("primary", "index_name", "key").agg(first.alias("f")).select("primary", "index_name", "key", "f.location")
+def indexes(facts: DataFrame, pack: RulePack) -> DataFrame:
+    """doc_id, index_name, key, rule, place, location: the index of each document, a key where it was met first.
+
+    Documents that import it look up in it (``first_met``); it is never copied for each of them.
+    """
+    rows = selections(facts, pack, "index").select("doc_id", "index_name", "key", "rule", "place", F.concat("doc_id", "pointer").alias("location"))
+    return rows.groupBy("doc_id", "index_name", "key").agg(F.min(F.struct("rule", "place", "location")).alias("f")).select("doc_id", "index_name", "key", "f.*")
+
+
+def first_met(asked: DataFrame, reached: DataFrame, held: DataFrame) -> DataFrame:
+    """doc_id, index_name, key, location of what is asked for (doc_id, index_name, key): the entry of the nearest document that the asking one reaches."""
+    at = reached.select(F.col("primary").alias("doc_id"), F.col("doc_id").alias("holder"), "hops")
+    entries = held.select(F.col("doc_id").alias("holder"), "index_name", "key", "rule", "place", "location")
+    met = asked.select("doc_id", "index_name", "key").distinct().join(at, "doc_id").join(entries, ["holder", "index_name", "key"])
+    first = F.min(F.struct("hops", "holder", "rule", "place", "location")).alias("f")
+    return met.groupBy("doc_id", "index_name", "key").agg(first).select("doc_id", "index_name", "key", "f.location")
 
 
 def met_in(asked: DataFrame, reached: DataFrame, held: DataFrame, *keys: str) -> DataFrame:

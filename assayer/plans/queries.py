@@ -272,10 +272,18 @@ def cardinality_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {NATION} AS doc_id, '[\"' || c_custkey || '\"]' AS key, 'builders' AS index_name FROM customer WHERE c_mktsegment = 'BUILDING'")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = t.trade_pack()
+    return checks.indexes(evaluate(t.trade_documents(spark, sf_dir), rules, PICKED), rules).select("doc_id", "key", "index_name")
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_mktsegment, {NATION} AS doc, row_number() OVER (PARTITION BY {NATION} ORDER BY c_custkey) - 1 AS j FROM customer)
+SELECT 'order-' || o_orderkey || '.json' AS doc_id, '["' || c_custkey || '"]' AS key, doc || '/nation/customers/' || j AS location FROM orders JOIN p ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+def index_first_met(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, docs = t.trade_pack(), t.trade_documents(spark, sf_dir)
-    facts = evaluate(docs, rules)
-    itself = docs.select(F.col("doc_id").alias("primary"), "doc_id", F.lit(0).alias("hops"))
-    return checks.indexes(facts, rules, itself).select(F.col("primary").alias("doc_id"), "key", "index_name")
+    facts = cut(evaluate(docs, rules, ("scalar", "selected")))
+    _, reached = imports.closure(docs, facts.where("kind = 'scalar'"), docs)
+    asked = checks.selections(facts, rules, "index-has-key").where("index_name = 'builders'")
+    return checks.first_met(asked, reached, checks.indexes(facts, rules)).select("doc_id", "key", "location")
 
 
 @query("""SELECT 'order-' || o_orderkey || '.json' AS doc_id, 'REFERENCE_UNRESOLVED' AS code, 'WARNING' AS severity, CAST(o_custkey AS VARCHAR) AS value
@@ -340,8 +348,18 @@ def uuid_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE (doc_id // 100) % 3 = 2 OR doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
 def ref_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.label_documents(spark, sf_dir)
-    found = validate(docs, t.label_pack())
-    return found.where("code LIKE 'REFERENCE_%'").select("doc_id", "code", "severity", "value")
+    facts = cut(evaluate(docs, t.label_pack(), ("scalar",)))
+    met, reached = imports.closure(docs, facts, docs)
+    return checks.references(facts, reached, imports.completeness(docs, met)).select("doc_id", "code", "severity", "value")
+
+
+@query("""SELECT code, severity, count(*) AS n FROM (
+  SELECT CASE WHEN (doc_id // 100) % 3 = 2 THEN 'REFERENCE_UNVERIFIABLE' ELSE 'REFERENCE_UNRESOLVED' END AS code, CASE WHEN (doc_id // 100) % 3 = 2 THEN 'UNVERIFIABLE' ELSE 'ERROR' END AS severity FROM labels
+    WHERE (doc_id // 100) % 3 = 2 OR doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')
+  UNION ALL SELECT CASE WHEN g % 3 = 2 THEN 'IMPORT_NOT_SUPPLIED' ELSE 'IMPORT_RESOLVED' END, 'INFO' FROM (SELECT DISTINCT doc_id // 100 AS g FROM labels)) GROUP BY 1, 2""")
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validate(t.label_documents(spark, sf_dir), t.label_pack())
+    return found.groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CAST(page_id AS VARCHAR) AS doc_id, regexp_replace(url, '^[^/]*//[^/]*/', '#') AS value FROM pages WHERE regexp_matches(url, '^[^/]*//[^/]*/')""")

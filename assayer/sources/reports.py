@@ -86,6 +86,21 @@ def survey_targets(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def text_corpus(spark: SparkSession, folder: str, manifest: dict[str, dict[str, str]]) -> DataFrame:
+    """source and text of the texts that a manifest names (id: path below the folder, sha256).
+
+    A text whose bytes are others refuses the whole; one that is not there has no row.
+    """
+    rows = [(i, m["path"], m["sha256"]) for i, m in manifest.items()]
+    listed = spark.createDataFrame(rows, "source string, path string, sha256 string")
+    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(folder)
+    held = files.select(F.element_at(F.split("path", re.escape(folder.rstrip("/") + "/")), -1).alias("path"), "content")
+    met = listed.join(held, "path").withColumn("found", F.sha2("content", 256))
+    if others := met.where("found != sha256").select("source").limit(3).collect():
+        raise Refusal(f"texts that are not those of the manifest: {[r['source'] for r in others]}")
+    return met.select("source", F.decode("content", "UTF-8").alias("text"))
+
+
 def cache_name(url) -> Any:
     """The folder of a url in a cache: the first twelve digits of its digest."""
     return F.substring(F.sha2(url, 256), 1, 12)
