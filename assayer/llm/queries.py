@@ -20,27 +20,32 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from labelled rows outside the held-out fold; ``und`` for null texts and those without a letter."""
     docs = load(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
 
 
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text by the published word vocabulary; a null text is empty."""
     vocabulary = read_vocabulary(tokenizer_path("word_bpe_49k.json"))
     return token_count.count_tokens(load(spark, sf_dir, "documents"), vocabulary, limit=2048)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by the published byte vocabulary and decoded again, both as digests; a null text is empty."""
     vocabulary = read_vocabulary(tokenizer_path("byte_bpe_50k.json"))
     return bpe.round_trip(load(spark, sf_dir, "documents"), vocabulary)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows met in every whole text; null texts and those without words are not contaminated."""
     judged = decontaminate.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256")
     return judged.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and disclosing terms of every whole text; a null text is empty."""
     found = personal_data.find_spans(load(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in personal_data.KINDS[:-1]]
     base = F.sha2(personal_data.written(personal_data.KINDS[:-1]).cast("binary"), 256).alias("base_sha256")
@@ -48,23 +53,28 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text; null, empty and blank texts have fingerprint zero and link like others."""
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and the shard after one more was added, of every row, repeated ones included; a null text has size 1."""
     return sharding.shards(load(spark, sf_dir, "documents"), sharding.balanced())
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learnt from labels outside the held-out fold; empty texts are scored too."""
     docs = load(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
 
 
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures, repeats and the verdict of every whole text; a null text has no word and fails."""
     return repetition.repetition_rules(load(spark, sf_dir, "documents"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and the score of every whole text; null and empty texts name none."""
     return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
 
 
