@@ -153,9 +153,9 @@ def base_table(docs: DataFrame) -> DataFrame:
 
 
 def _some_based(docs: DataFrame, only: DataFrame, *more: str) -> DataFrame:
-    """The rows of ``_based`` of the documents (d, m), with the columns ``more`` of ``only``; repeated rows stay repeated."""
+    """The rows of ``_based`` of the documents (d, m), to be broadcast if small, with the columns ``more`` of ``only``; repeated rows stay repeated."""
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("m"))
-    rows = pick(docs, "doc_id", "text").join(broadcast_if_small(only), same)
+    rows = pick(docs, "doc_id", "text").join(only, same)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = rows.select("doc_id", F.col("m").alias("mark"), text.alias("text"), *more)
     found = base_spans(F.col("text"))
@@ -220,8 +220,8 @@ def _whole(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """
     live = mentions.groupBy("w.entity").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("entity")
     held = cut(mentions.select("doc_id", "mark", F.col("w.entity").alias("entity")).distinct().join(live, "entity", "left_semi"))
-    where = cut(held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct())
-    rows = _marked(_some_based(docs, where))
+    where = held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
+    rows = _marked(_some_based(docs, F.broadcast(where) if is_small(held) else where))
     free = F.filter(F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), lambda w: (F.char_length(w) >= SHORTEST) & ~w.contains(MARK))
     rows = rows.select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms")).dropDuplicates(["doc_id", "mark"])
     rows = rows.select("doc_id", "mark", F.md5(F.array_join("terms", " ").cast("binary")).alias("sign"), F.explode("terms").alias("term"))
@@ -238,7 +238,8 @@ def disclosing(docs: DataFrame, mentions: DataFrame, contexts: DataFrame) -> Dat
     close = close.groupBy("entity", "term").agg(F.countDistinct("sign").alias("contexts"))
     pairs = _whole(docs, mentions).join(close, ["entity", "term"], "left")
     pairs = cut(pairs.where(F.greatest("apart", "contexts") >= SUPPORT).select("entity", "term", "n_te"))
-    terms = broadcast_if_small(cut(pairs.select("term").distinct()))
+    terms = pairs.select("term").distinct()
+    terms = F.broadcast(terms) if is_small(pairs) else terms
     seen = pick(docs, "doc_id", "text").select(F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
     of_term = seen.groupBy("term").agg(F.count("*").alias("n_t"))
     joined = pairs.join(of_term, "term").join(of_entity, "entity")
@@ -261,7 +262,7 @@ def _told_places(docs: DataFrame, told: DataFrame) -> DataFrame:
     bare = lambda c: F.char_length(F.translate(c, MARK, ""))
     known = lambda w: (w["end"] - w["start"] >= SHORTEST) & ~w["value"].contains(MARK) & F.array_contains("told", F.lower(w["value"]))
     found = F.transform(F.filter(places(F.col("marked"), TERM, bare), known), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
-    each = _marked(_some_based(docs, held, "told")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), found.alias("term"))
+    each = _marked(_some_based(docs, broadcast_if_small(held), "told")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), found.alias("term"))
     return each.where(F.size("term") > 0).dropDuplicates(["d", "m"])
 
 
