@@ -238,10 +238,8 @@ def disclosing(docs: DataFrame, mentions: DataFrame, contexts: DataFrame) -> Dat
     close = close.groupBy("entity", "term").agg(F.countDistinct("sign").alias("contexts"))
     pairs = _whole(docs, mentions).join(close, ["entity", "term"], "left")
     pairs = cut(pairs.where(F.greatest("apart", "contexts") >= SUPPORT).select("entity", "term", "n_te"))
-    terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if is_small(pairs) else terms
-    seen = pick(docs, "doc_id", "text").select(F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
-    of_term = seen.groupBy("term").agg(F.count("*").alias("n_t"))
+    # All terms are counted where they stand before any is looked up, so what is joined follows the vocabulary and not the corpus.
+    of_term = pick(docs, "doc_id", "text").select(F.explode(_words(_plain("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     joined = pairs.join(of_term, "term").join(of_entity, "entity")
     known = F.log(F.lit(float(total)) / F.col("n_e"))
     told = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t").cast("double") * F.col("n_e")))
