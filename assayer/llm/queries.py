@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import (
-    bpe, decontaminate, language_id, license_scan, personal_data, quality, repetition, sharding, simhash, token_count
+    bpe, centroids, decontaminate, language_id, lexical, license_scan, personal_data, quality, repetition, sharding, simhash, token_count
 )
 from assayer.llm.base import load
 from assayer.llm.vocabulary import read_vocabulary
@@ -78,11 +78,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every whole vector after three rounds from the first sixteen by hash, with inertias and the digest of its centroid."""
+    return centroids.clustering(load(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item; documents without terms count nowhere."""
+    return lexical.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_token_count, op3_bpe, op4_decontaminate, op5_personal_data,
         op6_simhash, op7_sharding, op8_quality, op9_repetition, op10_licenses,
+        op12_centroids, op13_lexical_search,
     )
 }
 WORDS_OF = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -170,4 +181,27 @@ SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS
   array_to_string({_SHOW('email')} || {_SHOW('ip')} || {_SHOW('card')} || {_SHOW('phone')} || coalesce({_SHOW('term')}, []), ',') AS spans
 FROM b LEFT JOIN term USING (n)"""
 
-ORACLES: dict[str, str] = {"op4_decontaminate": DECONTAMINATE_SQL, "op5_personal_data": PERSONAL_DATA_SQL, "op7_sharding": SHARDING_SQL}
+#: Every round in turn; each vector meets every centroid.
+_SQUARE = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT)"
+_NEAREST = lambda old: f"(SELECT n, vec_id, v, arg_min(k, ({_SQUARE}, k)) AS k, min({_SQUARE}) AS d FROM v, {old} GROUP BY n, vec_id, v)"
+_MEANS = lambda old, now: f"""(SELECT k, coalesce(m, c) AS c FROM {old} LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m
+    FROM (SELECT k, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM {now}, range(1, 65) r(i) GROUP BY k, i) GROUP BY k) USING (k))"""
+CENTROIDS_SQL = f"""WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT 16)),
+  a1 AS {_NEAREST("c0")}, c1 AS {_MEANS("c0", "a1")}, a2 AS {_NEAREST("c1")}, c2 AS {_MEANS("c1", "a2")}, a3 AS {_NEAREST("c2")}, c3 AS {_MEANS("c2", "a3")}, a AS {_NEAREST("c3")}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN c3 USING (k)"""
+
+#: Every match of every item is scored.
+LEXICAL_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_OF} AS w FROM documents),
+  p AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM d) GROUP BY r, doc_id, w, term),
+  whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+  weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), whole),
+  i AS (SELECT DISTINCT item_id, unnest({WORDS_OF}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+  s AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM i JOIN weight USING (term) JOIN p USING (term), whole GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place FROM s WHERE score > 0) WHERE place <= 10"""
+
+ORACLES: dict[str, str] = {"op12_centroids": CENTROIDS_SQL, "op13_lexical_search": LEXICAL_SQL, "op4_decontaminate": DECONTAMINATE_SQL, "op5_personal_data": PERSONAL_DATA_SQL, "op7_sharding": SHARDING_SQL}
