@@ -25,6 +25,7 @@ from assayer.durable import BROADCAST_BYTES as BROADCAST_BYTES
 from assayer.durable import broadcast_if_small as broadcast_if_small
 from assayer.durable import cut as cut
 from assayer.durable import is_small as is_small
+from assayer.durable import table as table
 
 #: Arrow types of the column types that the operators add.
 ARROW = {

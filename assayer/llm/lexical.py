@@ -5,13 +5,12 @@ of their term and a slice of their document and lie together by both, so a commo
 term is spread over many tasks and a rare one stays in few. Only terms that some
 query item holds get postings where these terms are measured to be few; otherwise all do.
 
-Scores are sums over the terms of an item, ranks are a window over each item. Not
-every match is scored: the greatest score that a term can add to any document is
-known from its postings, and so is a score that the k-th document of an item reaches
-at least. The terms that add least, and that together stay below this score, cannot
-by themselves bring a document into the ranks. Documents are therefore gathered from
-the other terms only, and the rest is added for those that may still be ranked. This
-changes no result; where it spares nothing, every match is scored.
+The postings are a table in the shared folder, sorted by bucket and term, so a search
+reads only what its terms need. Every match of an item's term is scored, scores are
+summed by item and document, and ranks are a window over each item of which each task
+first keeps its own best. Postings are dealt by document before the terms of the items
+meet them by broadcast, so neither a common term nor a popular item gathers in one task;
+items too many to be broadcast meet the postings in a shuffle on the term.
 
 Defined results: a row is a document, so rows that repeat an id are ranked one after
 the other, and a null id comes last among equal scores; null and empty texts hold no
@@ -29,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.base import broadcast_if_small, cut, is_small, pick, slices
+from assayer.llm.base import broadcast_if_small, cut, is_small, pick, slices, table
 from assayer.llm.native_text import LOWER, UPPER, WORD, plain_words
 
-TOP, BUCKETS, SLICES = 10, 256, 32
+TOP, BUCKETS, SLICES = 10, 256, 16
 #: Fixed values of the score.
 GAIN, FLOOR, SPAN = 1_000_000_000, 10, 90
 
@@ -87,54 +86,20 @@ def _impact(documents: int, terms: int) -> Column:
     return F.expr(f"({GAIN}L * tf) div (1000L * tf + 8L * ({spread}))").alias("impact")
 
 
-def _reached(scores: DataFrame, by: str, value: str, k: int, name: str) -> DataFrame:
-    """The k-th greatest ``value`` of each ``by``; no row where there are fewer. Each task first keeps its own k."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col(value).desc()))
-    return scores.select(by, value, place.alias("place")).where(F.col("place") <= k).groupBy(by).agg(F.count("*").alias("held"), F.min(value).alias(name)).where(F.col("held") == k).drop("held")
-
-
-def _plan(wanted: DataFrame, scored: DataFrame, documents: int, k: int) -> DataFrame:
-    """item_id, term, weight, needed (documents are gathered from it) and rest (most that the item's other terms add together)."""
-    known = scored.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("best"))
-    known = known.join(_reached(scored, "term", "impact", k, "kth"), "term", "left")
-    weight = F.floor(1000 * F.log(F.lit(2.0 * documents + 2) / (2.0 * F.col("df") + 1)))
-    each = wanted.join(known.withColumn("weight", weight), "term").select("item_id", "term", "weight", (F.col("weight") * F.col("best")).alias("most"), (F.col("weight") * F.col("kth")).alias("least"))
-    item = Window.partitionBy("item_id")
-    upto = item.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumns({"sure": F.coalesce(F.max("least").over(item), F.lit(0)), "together": F.sum("most").over(upto)})
-    each = each.withColumn("needed", F.col("together") >= F.col("sure"))
-    rest = F.coalesce(F.max(F.when(~F.col("needed"), F.col("together"))).over(item), F.lit(0))
-    return cut(each.select("item_id", "term", "weight", "needed", rest.alias("rest")))
-
-
-def _spread(terms: DataFrame) -> DataFrame:
-    """Rows of terms where their postings are: broadcast if small, else repeated for each slice, so that no common term meets in one task."""
-    dealt = terms.select("*", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
-    return F.broadcast(terms) if is_small(terms) else dealt
-
-
 def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     """item_id, rank (from 1), doc_id and score of the ``k`` best documents of every item."""
     wanted = cut(item_terms(items))
     few = {r["term"] for r in wanted.select("term").distinct().collect()} if is_small(wanted) else None
-    held = cut(postings(docs, few))
+    held = table(postings(docs, few).sortWithinPartitions("bucket", "term", "row"))
     sums = held.where("term IS NULL").agg(F.sum("n").alias("terms"), F.sum("tf").alias("documents")).first()
     documents, terms = sums["documents"] or 0, sums["terms"] or 0
-    scored = held.where("term IS NOT NULL").select("bucket", "slice", "term", "row", "doc_id", _impact(documents, terms))
-    plan = _plan(wanted, scored, documents, k)
-
-    first = _spread(plan.where("needed").select("item_id", "term", "weight", "rest"))
-    keys = [c for c in ("bucket", "slice", "term") if c in first.columns]
-    earned = F.sum(F.col("weight") * F.col("impact")).alias("score")
-    gathered = cut(scored.join(first, keys).groupBy("item_id", "row", "doc_id", "rest").agg(earned))
-    line = _reached(gathered, "item_id", "score", k, "line")
-    hopeful = gathered.join(line, "item_id", "left").where(F.col("line").isNull() | (F.col("score") + F.col("rest") >= F.col("line"))).drop("line", "rest")
-
-    left = plan.where(~F.col("needed")).select("item_id", "term", "weight")
-    places = (F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), F.pmod(F.xxhash64("row"), F.lit(SLICES)).cast("int").alias("slice"))
-    asked = cut(hopeful.drop("score").join(broadcast_if_small(left), "item_id").select(*places, "*"))
-    more = scored.drop("doc_id").join(broadcast_if_small(asked), ["bucket", "slice", "term", "row"])
-    more = more.select("item_id", "row", "doc_id", (F.col("weight") * F.col("impact")).alias("score"))
-    total = hopeful.unionByName(more).groupBy("item_id", "row", "doc_id").agg(F.sum("score").alias("score")).where("score > 0")
+
+    holders = held.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.floor(1000 * F.log(F.lit(2.0 * documents + 2) / (2.0 * F.col("df") + 1))).alias("weight")
+    asked = cut(wanted.join(holders, "term").select("item_id", "term", weight))
+    # Dealt by document, all matches of a document meet in its task, and sums need no further shuffle.
+    each = held.where("term IS NOT NULL").repartition("row").select("term", "row", "doc_id", _impact(documents, terms))
+    matched = each.join(broadcast_if_small(asked), "term")
+    total = matched.groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")).where("score > 0")
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return total.select("item_id", place.cast("int").alias("rank"), "doc_id", "score").where(F.col("rank") <= k)

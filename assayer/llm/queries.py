@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import (
-    bpe, centroids, decontaminate, language_id, lexical, license_scan, personal_data, quality, repetition, sharding, simhash, token_count
+    bpe, centroids, decontaminate, jaccard, language_id, lexical, license_scan, personal_data, quality, repetition, sharding, simhash, token_count
 )
 from assayer.llm.base import load
 from assayer.llm.vocabulary import read_vocabulary
@@ -78,6 +78,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every whole text; null and empty texts are linked with nothing."""
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every whole vector after three rounds from the first sixteen by hash, with inertias and the digest of its centroid."""
     return centroids.clustering(load(spark, sf_dir, "embeddings"))
@@ -93,7 +98,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_token_count, op3_bpe, op4_decontaminate, op5_personal_data,
         op6_simhash, op7_sharding, op8_quality, op9_repetition, op10_licenses,
-        op12_centroids, op13_lexical_search,
+        op11_jaccard_join, op12_centroids, op13_lexical_search,
     )
 }
 WORDS_OF = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
