@@ -6,10 +6,10 @@ One minus the similarity is a metric, and its triangle inequality carries the jo
    many as may miss in a partner and a tenth more. Two linked documents share that tenth within
    their sketches, so a document whose sketch shares less with all others is alone. All
    distinct sets are counted; no text is sampled.
-2. *Regions.* The shingles of the others are ordered by how many of them hold each. A document
-   is replicated to every pivot that a shingle of its boundary leads to: its rarest shingles,
-   one more than may miss in a partner. The pivot of a shingle is the first document that has
-   it in its boundary. Two linked documents share such a shingle, hence a region.
+2. *Regions.* A document is replicated to every pivot that a shingle of its boundary leads to: its
+   smallest shingles by hash, one more than may miss in a partner. The pivot of a shingle is the
+   first document that has it in its boundary. Two linked documents share such a shingle, hence a
+   region.
 3. *Inside a region* documents that no pivot reaches become pivots in turn. A document within
    the radius of a pivot is linked to it; two documents may be linked only if their distances
    from every pivot differ by no more than the radius, and need no look if links already
@@ -38,19 +38,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.base import broadcast_if_small, cut, cut_small, is_small, map_texts, pick
+from assayer.llm.base import broadcast_if_small, cut, cut_small, is_small, map_texts, pick, table
 from assayer.llm.components import components
 
 WORDS, PERCENT = 5, 80
 RADIUS = 1 - PERCENT / 100
 #: Shingles and members of the largest region that one task joins; larger ones are split.
-REGION_SHINGLES, REGION_MEMBERS = 2_000_000, 4096
+REGION_SHINGLES, REGION_MEMBERS = 1_000_000, 1024
 #: Pivots of a split, and splits before blocks.
 PIVOTS, SPLITS = 16, 4
 #: Allowance for distances held as single-precision numbers; it only lets more pairs be compared.
 EDGE = 1e-5
 
-#: SQL of the least number of shingles of ``n`` that a partner shares, and of the sketch and the boundary of a set.
+#: SQL of the least number of shingles of ``n`` that a partner shares, and of the length of the boundary.
 NEEDED = f"(({PERCENT} * n + 99) div 100)"
 BOUNDARY = f"(n - {NEEDED} + 1)"
 
@@ -89,15 +89,15 @@ def sketches(docs: DataFrame) -> DataFrame:
         return score
 
     rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("key"), "doc_id", F.xxhash64("text").alias("mark"), "text")
-    return cut(map_texts(rows, make, "n long, s1 long, s2 long, sketch array<bigint>", ("key", "doc_id", "mark")))
+    return table(map_texts(rows, make, "n long, s1 long, s2 long, sketch array<bigint>", ("key", "doc_id", "mark")))
 
 
 def _partnered(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, doc_id and mark of the sets that may have a partner."""
     first = broadcast_if_small(nodes.select(F.col("node").alias("key")))
     held = rows.where("n > 0").join(first, "key", "left_semi").select(F.col("key").alias("node"), "n", F.explode("sketch").alias("shingle"))
-    shared = cut(held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle"))
-    met = held.join(broadcast_if_small(shared), "shingle", "left_semi").groupBy("node", "n").agg(F.count("*").alias("met"))
+    shared = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
+    met = held.join(shared.hint("merge"), "shingle", "left_semi").groupBy("node", "n").agg(F.count("*").alias("met"))
     some = cut(met.where(F.expr(f"met >= greatest(1, {NEEDED} div 10)")).select(F.col("node").alias("key")))
     return cut(rows.join(broadcast_if_small(some), "key", "left_semi").select(F.col("key").alias("node"), "doc_id", "mark"))
 
@@ -108,19 +108,12 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("m"))
     texts = pick(docs, "doc_id", "text").join(who, same).select("node", "text")
     made = map_texts(texts, lambda: lambda texts: {"shingles": [shingles(t) for t in texts]}, "shingles array<bigint>", ("node",))
-    return cut(made.dropDuplicates(["node"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles"))
+    return table(made.dropDuplicates(["node"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles"))
 
 
 def _regions(sets: DataFrame) -> DataFrame:
     """region (its first pivot), node and n: every set in the regions of its boundary."""
-    each = sets.select("node", "n", F.explode("shingles").alias("shingle"))
-    times = each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-    known = each.join(times, "shingle")
-    mine = Window.partitionBy("node")
-    # Shingles that nobody else has come first in the order of rarity: they fill places of the boundary that lead nowhere.
-    alone = F.col("n") - F.count("*").over(mine)
-    place = F.row_number().over(mine.orderBy("times", "shingle")) + alone
-    boundary = cut(known.select("node", "n", "shingle", place.alias("place"), alone.alias("alone")).where(F.expr(f"place <= {BOUNDARY} AND n - alone >= {NEEDED}")).select("node", "n", "shingle"))
+    boundary = sets.select("node", "n", F.explode(F.expr(f"slice(shingles, 1, CAST({BOUNDARY} AS int))")).alias("shingle"))
     led = boundary.groupBy("shingle").agg(F.min("node").alias("region"), F.count("*").alias("times")).where("times > 1").select("shingle", "region")
     return boundary.join(led, "shingle").select("region", "node", "n").distinct()
 

@@ -80,12 +80,12 @@ def drifting(seed=3):
 EDGES = [(None, "p q r s t u v"), (None, "P q r s t u v"), (1, None), (1, ""), (4, " \n"), (1, "p q r s t u v w"), (5, "same row"), (5, "same row"), (2, "same row")]
 
 
-@pytest.mark.parametrize("limits", [None, (2_000, 40), (600, 8)])
+@pytest.mark.parametrize("limits", [None, (1_500, 20, 2)])
 def test_join_matches_brute_force(spark, make_docs, monkeypatch, limits):
-    if limits:  # regions are split, and what stays large is joined in blocks
-        monkeypatch.setattr(jaccard, "REGION_SHINGLES", limits[0])
-        monkeypatch.setattr(jaccard, "REGION_MEMBERS", limits[1])
     docs = drifting() + EDGES
+    if limits:  # regions are split, and what stays large is joined in blocks
+        for name, value in zip(("REGION_SHINGLES", "REGION_MEMBERS", "SPLITS"), limits, strict=True):
+            monkeypatch.setattr(jaccard, name, value)
     assert Counter(map(tuple, jaccard.near_duplicates(make_docs(docs)).collect())) == joined(docs)
 
 
