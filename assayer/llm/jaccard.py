@@ -6,10 +6,10 @@ One minus the similarity is a metric, and its triangle inequality carries the jo
    many as may miss in a partner and a tenth more. Two linked documents share that tenth within
    their sketches, so a document whose sketch shares less with all others is alone. All
    distinct sets are counted; no text is sampled.
-2. *Regions.* A document is replicated to every pivot that a shingle of its boundary leads to: its
-   smallest shingles by hash, one more than may miss in a partner. The pivot of a shingle is the
-   first document that has it in its boundary. Two linked documents share such a shingle, hence a
-   region.
+2. *Regions.* The shingles of the others are ordered by how many of them hold each. A document
+   is replicated to every pivot that a shingle of its boundary leads to: its rarest shingles,
+   one more than may miss in a partner. The pivot of a shingle is the first document that has
+   it in its boundary. Two linked documents share such a shingle, hence a region.
 3. *Inside a region* documents that no pivot reaches become pivots in turn. A document within
    the radius of a pivot is linked to it; two documents may be linked only if their distances
    from every pivot differ by no more than the radius, and need no look if links already
@@ -44,7 +44,7 @@ from assayer.llm.components import components
 WORDS, PERCENT = 5, 80
 RADIUS = 1 - PERCENT / 100
 #: Shingles and members of the largest region that one task joins; larger ones are split.
-REGION_SHINGLES, REGION_MEMBERS = 1_000_000, 1024
+REGION_SHINGLES, REGION_MEMBERS = 2_000_000, 2048
 #: Pivots of a split, and splits before blocks.
 PIVOTS, SPLITS = 16, 4
 #: Allowance for distances held as single-precision numbers; it only lets more pairs be compared.
@@ -113,7 +113,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _regions(sets: DataFrame) -> DataFrame:
     """region (its first pivot), node and n: every set in the regions of its boundary."""
-    boundary = sets.select("node", "n", F.explode(F.expr(f"slice(shingles, 1, CAST({BOUNDARY} AS int))")).alias("shingle"))
+    each = sets.select("node", "n", F.explode("shingles").alias("shingle"))
+    times = each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    known = each.join(times.hint("merge"), "shingle")
+    mine = Window.partitionBy("node")
+    # Shingles that nobody else has come first in the order of rarity: they fill places of the boundary that lead nowhere.
+    alone = F.col("n") - F.count("*").over(mine)
+    place = F.row_number().over(mine.orderBy("times", "shingle")) + alone
+    placed = known.select("node", "n", "shingle", place.alias("place"), alone.alias("alone"))
+    boundary = table(placed.where(F.expr(f"place <= {BOUNDARY} AND n - alone >= {NEEDED}")).select("node", "n", "shingle"))
     led = boundary.groupBy("shingle").agg(F.min("node").alias("region"), F.count("*").alias("times")).where("times > 1").select("shingle", "region")
     return boundary.join(led, "shingle").select("region", "node", "n").distinct()
 
