@@ -95,7 +95,8 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 _SEPARATE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _SYMBOL = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
-_SYMBOL_OR_END = re.compile(r"\n|" + _SYMBOL.pattern)
+#: White space within the line, then a symbol.
+_NEXT = re.compile(r"[^\S\n]*(" + _SYMBOL.pattern + ")")
 
 
 def parse_expression(text: str) -> list[str] | None:
@@ -135,16 +136,18 @@ def parse_expression(text: str) -> list[str] | None:
 
 
 def expression_at(text: str, at: int) -> list[str] | None:
-    """Postfix order of the longest well-formed expression from a place on, None if there is none or its line ends behind an operator.
+    """Postfix order of the longest well-formed expression from a place on, None if there is none or what can be read ends behind an operator.
 
-    Reading stops at the end of the line and at the first symbol that cannot continue
-    the expression: prose, a bracket, the end of a comment or sentence.
+    Reading stops at the end of the line, at the first character that is neither white
+    space nor part of a symbol (a comma, a quote, the end of a comment), and at the first
+    symbol that cannot continue the expression (prose, a bracket, the end of a sentence).
     """
     held: list[str] = []
     whole = depth = 0
     operand_next = True
-    for match in _SYMBOL_OR_END.finditer(text, at):
-        symbol = match[0].rstrip(".-")
+    while match := _NEXT.match(text, at):
+        at = match.end()
+        symbol = match[1].rstrip(".-")
         word = symbol.lower()
         if operand_next:
             fits = word == "(" or (word not in PRECEDENCE and any(map(str.isalnum, word)))
@@ -157,7 +160,7 @@ def expression_at(text: str, at: int) -> list[str] | None:
         operand_next = word == "(" or word in PRECEDENCE
         if not operand_next and not depth:
             whole = len(held)
-        if symbol != match[0]:
+        if symbol != match[1]:
             break
     if not whole or held[-1].lower() in PRECEDENCE:
         return None

@@ -17,7 +17,9 @@ overlap are replaced as one, by the name of the longest.
 Everything is DataFrame functions. Places are code points, end exclusive. Defined
 results: null and empty texts have no span; in an empty corpus nothing is
 disclosed; an entity that every document mentions carries no information and is
-disclosed by no term; terms never overlap base spans.
+disclosed by no term; terms never overlap base spans; rows that repeat an id with its
+text are one document wherever documents are counted, so repeating a corpus changes no
+span.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Texts that fail these hold no valid match.
 MAY_HOLD = {"ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 TERM = r"\p{L}[\p{L}\p{M}'’-]*+"
-#: Characters read on either side of a mention, the shortest term, and the disclosure thresholds.
-REACH, SHORTEST, SUPPORT, DISCLOSED = 60, 3, 3, 0.95
+#: Characters read on either side of a mention, and the disclosure thresholds.
+REACH, SUPPORT, DISCLOSED = 60, 3, 0.95
 #: A combining mark that tells words overlapping a base span from free ones, and the mark that stands for it where a text holds it.
 MARK, NEIGHBOUR = "\u1dff", "\u1dfe"
 SHOWN = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
@@ -126,7 +128,7 @@ def _near_terms(window: str) -> Column:
     w = lambda name: F.col(f"{window}.{name}")
 
     def terms(side: Column, offset: Column, whole) -> Column:
-        kept = F.filter(places(side, TERM), lambda m: whole(m) & (m["end"] - m["start"] >= SHORTEST))
+        kept = F.filter(places(side, TERM), whole)
         return F.transform(
             kept, lambda m: F.struct((m["start"] + offset).alias("start"), (m["end"] + offset).alias("end"), F.lower(m["value"]).alias("term"))
         )
@@ -222,7 +224,7 @@ def _whole(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     held = cut(mentions.select("doc_id", "mark", F.col("w.entity").alias("entity")).distinct().join(live, "entity", "left_semi"))
     where = held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
     rows = _marked(_some_based(docs, F.broadcast(where) if is_small(held) else where))
-    free = F.filter(F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), lambda w: (F.char_length(w) >= SHORTEST) & ~w.contains(MARK))
+    free = F.filter(F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), lambda w: ~w.contains(MARK))
     rows = rows.select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms")).dropDuplicates(["doc_id", "mark"])
     rows = rows.select("doc_id", "mark", F.md5(F.array_join("terms", " ").cast("binary")).alias("sign"), F.explode("terms").alias("term"))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
@@ -230,16 +232,28 @@ def _whole(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     return counted.groupBy("entity", "term").agg(F.count("*").alias("apart"), F.sum("n").alias("n_te"))
 
 
-def disclosing(docs: DataFrame, mentions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """entity, term: the pairs whose term discloses the entity, by the counts of the whole corpus."""
-    total = docs.count()
+def _each_once(docs: DataFrame, based: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of the corpus with each doc_id and text once, and how many they are; only rows that are repeated meet in a shuffle."""
+    times = based.groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
+    held = times.agg(F.count("*").alias("n"), F.max("times").alias("most")).first()
+    rows = pick(docs, "doc_id", "text")
+    if (held["most"] or 1) == 1:
+        return rows, held["n"]
+    again = broadcast_if_small(cut(times.where("times > 1").select(F.col("doc_id").alias("d"), F.col("mark").alias("m"))))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("m"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").distinct()), held["n"]
+
+
+def disclosing(docs: DataFrame, based: DataFrame, mentions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """entity, term: the pairs whose term discloses the entity, by the counts of the whole corpus; rows that repeat id and text count once in each."""
+    corpus, total = _each_once(docs, based)
     of_entity = mentions.select("doc_id", "mark", "w.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     close = contexts.select("entity", "sign", F.explode(F.array_distinct("near.term")).alias("term"))
     close = close.groupBy("entity", "term").agg(F.countDistinct("sign").alias("contexts"))
     pairs = _whole(docs, mentions).join(close, ["entity", "term"], "left")
     pairs = cut(pairs.where(F.greatest("apart", "contexts") >= SUPPORT).select("entity", "term", "n_te"))
     # All terms are counted where they stand before any is looked up, so what is joined follows the vocabulary and not the corpus.
-    of_term = pick(docs, "doc_id", "text").select(F.explode(_words(_plain("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    of_term = corpus.select(F.explode(_words(_plain("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     joined = pairs.join(of_term, "term").join(of_entity, "entity")
     known = F.log(F.lit(float(total)) / F.col("n_e"))
     told = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t").cast("double") * F.col("n_e")))
@@ -258,7 +272,7 @@ def _told_places(docs: DataFrame, told: DataFrame) -> DataFrame:
     held = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("m"), F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
     held = cut(held.groupBy("d", "m").agg(F.collect_set("term").alias("told")))
     bare = lambda c: F.char_length(F.translate(c, MARK, ""))
-    known = lambda w: (w["end"] - w["start"] >= SHORTEST) & ~w["value"].contains(MARK) & F.array_contains("told", F.lower(w["value"]))
+    known = lambda w: ~w["value"].contains(MARK) & F.array_contains("told", F.lower(w["value"]))
     found = F.transform(F.filter(places(F.col("marked"), TERM, bare), known), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
     each = _marked(_some_based(docs, broadcast_if_small(held), "told")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), found.alias("term"))
     return each.where(F.size("term") > 0).dropDuplicates(["d", "m"])
@@ -268,7 +282,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, the spans of each base kind and of the kind ``term``, of every row; texts stay behind."""
     based = base_table(docs)
     mentions = _mentions(based)
-    told = cut(disclosing(docs, mentions, _contexts(mentions)))
+    told = cut(disclosing(docs, based, mentions, _contexts(mentions)))
     rows = based.drop("windows")
     none = F.array().cast("array<struct<start:int,end:int>>")
     if told.isEmpty():

@@ -163,7 +163,7 @@ PERSONAL_DATA_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, co
   word AS (SELECT n, lower(v) AS term, length(v) AS size, CAST(sum(length(g) + length(v)) OVER (PARTITION BY n ORDER BY k) AS BIGINT) AS e
     FROM (SELECT n, unnest(range(len(vs))) AS k, unnest(vs) AS v, unnest(gs[1:len(vs)]) AS g FROM
       (SELECT n, regexp_extract_all(t, '{_TERM}') AS vs, string_split_regex(t, '{_TERM}') AS gs FROM d))),
-  free AS (SELECT n, term, e - size AS s, e FROM word WHERE size >= 3 AND NOT EXISTS (SELECT 1 FROM m WHERE m.n = word.n AND m.x.s < word.e AND m.x.e > word.e - word.size)),
+  free AS (SELECT n, term, e - size AS s, e FROM word WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.n = word.n AND m.x.s < word.e AND m.x.e > word.e - word.size)),
   one AS (SELECT min(n) AS n FROM d GROUP BY doc_id, t),
   holds AS (SELECT DISTINCT n, term FROM free JOIN one USING (n)),
   whole AS (SELECT entity, term, count(DISTINCT sign) AS apart, count(*) AS n_te FROM (SELECT DISTINCT n, x.v AS entity FROM m JOIN one USING (n)) JOIN holds USING (n)
@@ -172,13 +172,13 @@ PERSONAL_DATA_SQL = rf"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, co
   part AS (SELECT n, size, base, entity, xs, a, z, l, substr(t, a + 1, z - a) AS p FROM side),
   near AS (SELECT n, size, base, entity, xs, a, z, l, unnest({_places('p', _TERM)}) AS w FROM part),
   beside AS (SELECT DISTINCT n, entity, xs, lower(w.v) AS term FROM near
-    WHERE (w.s > 0 OR a = 0 OR NOT l) AND (w.e < z - a OR z = size OR l) AND w.e - w.s >= 3 AND len(list_filter(base, lambda y: y.s < w.e + a AND y.e > w.s + a)) = 0),
+    WHERE (w.s > 0 OR a = 0 OR NOT l) AND (w.e < z - a OR z = size OR l) AND len(list_filter(base, lambda y: y.s < w.e + a AND y.e > w.s + a)) = 0),
   close AS (SELECT entity, term, count(DISTINCT sign) AS contexts FROM beside
     JOIN (SELECT n, entity, xs, string_agg(term, ' ' ORDER BY term) AS sign FROM beside GROUP BY ALL) USING (n, entity, xs) GROUP BY ALL),
   pair AS (SELECT entity, term, n_te FROM whole LEFT JOIN close USING (entity, term) WHERE greatest(apart, coalesce(contexts, 0)) >= 3),
   n_e AS (SELECT x.v AS entity, count(DISTINCT n) AS n_e FROM m JOIN one USING (n) GROUP BY 1),
-  n_t AS (SELECT term, count(*) AS n_t FROM (SELECT n, unnest(list_distinct(regexp_extract_all(lower(t), '{_TERM}'))) AS term FROM d) WHERE term IN (SELECT term FROM pair) GROUP BY 1),
-  told AS (SELECT DISTINCT term FROM pair JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS total FROM d)
+  n_t AS (SELECT term, count(*) AS n_t FROM (SELECT n, unnest(list_distinct(regexp_extract_all(lower(t), '{_TERM}'))) AS term FROM d JOIN one USING (n)) WHERE term IN (SELECT term FROM pair) GROUP BY 1),
+  told AS (SELECT DISTINCT term FROM pair JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT CAST(count(*) AS DOUBLE) AS total FROM one)
     WHERE n_e < total AND ln(n_te * total / (n_t * n_e)) >= 0.95 * ln(total / n_e)),
   term AS (SELECT n, list_sort(list(DISTINCT {{'s': s, 'e': e}})) AS term FROM free JOIN told USING (term) GROUP BY n)
 SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip, CAST(len(card) AS BIGINT) AS n_card, CAST(len(phone) AS BIGINT) AS n_phone,

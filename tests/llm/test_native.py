@@ -145,6 +145,16 @@ def test_terms_that_reveal_an_entity(spark, make_docs):
     assert clean[100]["text"] == rows[8][1]
 
 
+def test_short_terms_and_repeated_rows(make_docs):
+    fill = ["north", "south", "east", "west", "upper", "lower", "inner", "outer"]
+    rows = [(k, f"{w} desk of Bo, write to q@x.org or {w} call, 李 {w}") for k, w in enumerate(fill)]
+    rows += [(100 + k, f"the {w} desk of the house, or a call") for k, w in enumerate(fill * 5)]
+    once, twice = ({(r["doc_id"], tuple(map(tuple, r["term"]))) for r in personal_data.find_spans(make_docs(held)).collect()} for held in (rows, rows * 2))
+    terms = {rows[k][1][s:e] for k, held in once if k < 8 for s, e in held}
+    assert {"Bo", "李", "write", "to"} <= terms and not terms & {"of", "a", "or"}
+    assert once == twice and personal_data.find_spans(make_docs(rows * 2)).count() == 2 * len(rows)
+
+
 def test_copies_of_one_passage_are_no_evidence(make_docs):
     rows = [(k, "desk of Quimby, write to q@x.org or call") for k in range(30)] + [(100 + k, f"other {k}") for k in range(30)]
     assert not any(r["term"] for r in personal_data.find_spans(make_docs(rows)).collect())
