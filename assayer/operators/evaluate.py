@@ -1,356 +1,483 @@
-"""One pass over each document that turns it into facts.
-
-Schema and targets form an automaton over the way from the root to a node. Its
-states are built when first met and kept by (state above, property, kind of
-value, keys of an object), so a node costs one look-up however many constraints
-there are. A document's facts depend on that document alone: the pass needs no
-shuffle, and all set questions (uniqueness, look-ups, counts, imports) are asked
-of the facts with joins, windows and aggregates.
-
-Facts by ``kind``: model, error, scalar, missing, undeclared, mistyped, unread,
-no_branch, short, context (of counted constraints), selected (node and key of a
-constraint) and value (of a pattern constraint).
+"""Facts of documents: what their nodes are by the schema, and which of them constraints select.
+
+Documents are shredded level by level (``operators.shred``), and every new level meets
+two things there:
+
+* the *transition table* of the schema, a row for each state and step (a property or an
+  item), broadcast; which of several object alternatives holds is a vote of the required
+  and undeclared names of each alternative over the names that the object has;
+* the *tests* of all constraints, evaluated on the node itself; what a node passes travels
+  down with its way, so a predicate on a node above is known below without a join.
+
+Targets are matched against a *dictionary of ways*: the distinct ways of names from the root
+to a node, with names that no constraint speaks of made one. It is small however many
+documents there are, so each way is matched once, with the places of the nodes that tests are
+asked of, and the matches are broadcast to the nodes. No step needs a shuffle of nodes, and
+all set questions (uniqueness, look-ups, counts, imports) are asked of the facts with joins,
+windows and aggregates.
+
+Facts by ``kind``: model, error, scalar, missing, undeclared, mistyped, unread, no_branch,
+short, context (of counted constraints), selected (node and key of a constraint) and value
+(of a pattern constraint).
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import product
+from functools import reduce
 from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.operators.shred import DEEPEST, Unreadable, decoded, escaped, json_type
-from assayer.rules.pack import NAMESPACE, KeyField, RulePack
-from assayer.rules.schema import Shape
-from assayer.rules.target import Step, Test
+from assayer.durable import cut
+from assayer.errors import Refusal
+from assayer.operators.shred import descend, items, json_kind, levels_of, members, no_texts, read, roots, scalar_text
+from assayer.rules.pack import NAMESPACE, Constraint, KeyField, RulePack
+from assayer.rules.schema import Schema, Shape
+from assayer.rules.target import Path, Test
 
 FACTS = (
     "doc_id string, kind string, pointer string, name string, value string, jtype string, datatype string, title string, detail string, "
-    "enums array<string>, low int, found int, rule int, context string, alternative int, place int, key string, model string, ord int"
+    "enums array<string>, low int, found int, rule int, context string, alternative int, place array<string>, key string, model string, ord array<string>"
 )
-ARROW = pa.schema([
-    ("doc_id", pa.string()), ("kind", pa.string()), ("pointer", pa.string()), ("name", pa.string()), ("value", pa.string()), ("jtype", pa.string()),
-    ("datatype", pa.string()), ("title", pa.string()), ("detail", pa.string()), ("enums", pa.list_(pa.string())), ("low", pa.int32()),
-    ("found", pa.int32()), ("rule", pa.int32()), ("context", pa.string()), ("alternative", pa.int32()), ("place", pa.int32()), ("key", pa.string()),
-    ("model", pa.string()), ("ord", pa.int32()),
-])
-
-
-#: States kept before an automaton starts afresh, which bounds the memory of a worker.
-MOST_STATES = 200_000
-
-
-@dataclass(frozen=True)
-class Thread:
-    """A constraint's path under way: where its context and last step stand, and what is still to be tested where."""
-
-    rule: int
-    context: int
-    alternative: int
-    step: int
-    anchor: int
-    tests: tuple[tuple[int, Test], ...] = ()
-
-
-@dataclass
-class State:
-    """What holds for every node that is reached in the same way."""
-
-    depth: int
-    shape: Shape | None
-    outcome: str = ""
-    notes: list[tuple[str, str]] = field(default_factory=list)
-    below: dict[str, int] = field(default_factory=dict)
-    item: int | None = None
-    low: int | None = None
-    assembly: str = ""
-    closed: bool = False
-    threads: tuple[Thread, ...] = ()
-    done: tuple[Thread, ...] = ()
-    contexts: tuple[int, ...] = ()
-    next: dict[Any, State] = field(default_factory=dict)
-
-
-class Automaton:
-    """States of one rule pack for one model."""
-
-    def __init__(self, pack: RulePack, model: str) -> None:
-        self.pack, self.model = pack, model
-        self.rules = pack.evaluated(model)
-        self.start = State(0, None)
-        self.size = 0
-
-    def root(self, value: Any) -> State:
-        return self._enter(self.start, self.model, False, value, self.pack.schema.models[self.model])
-
-    def child(self, above: State, name: str, value: Any) -> State:
-        return self._enter(above, name, False, value, above.below.get(name))
-
-    def item(self, above: State, name: str, value: Any) -> State:
-        return self._enter(above, name, True, value, above.item)
-
-    def _enter(self, above: State, name: str, is_item: bool, value: Any, number: int | None) -> State:
-        kind = json_type(value)
-        keys = frozenset(value) if kind == "object" else None
-        mark = (name, is_item, kind, keys)
-        found = above.next.get(mark)
-        if found is None:
-            self.size += 1
-            found = above.next[mark] = self._state(above, name, is_item, kind, keys, number)
+FACT = FACTS.replace("doc_id string, ", "", 1)
+TYPES = dict(part.split(" ") for part in FACT.split(", "))
+#: Ways that a dictionary may hold; rules speak of few names, so real ones hold hundreds.
+MOST_WAYS = 100_000
+ITEM = "*"
+#: The state of the document itself, above its root, and that of nodes of which the schema says nothing.
+TOP, HIDDEN = -1, -2
+
+ALTERNATIVE = "id:int,title:string,required:array<string>,declared:array<string>,closed:boolean,needs:string,says:map<string,string>"
+STATE = (
+    f"id:int,kind:string,title:string,declared:string,datatype:string,enums:array<string>,reason:string,required:array<string>,named:array<string>,"
+    f"closed:boolean,low:int,has_item:boolean,said:string,alternatives:array<struct<{ALTERNATIVE}>>"
+)
+TRANSITIONS = f"_state int, _step string, _listed boolean, s struct<{STATE}>"
+
+
+class States:
+    """The states of a schema that documents can reach, as rows of the transition table."""
+
+    def __init__(self, schema: Schema) -> None:
+        self.schema, self.ids, self.open = schema, {}, []
+        self.rows: list[tuple] = []
+        for name, number in schema.models.items():
+            self._to(TOP, name, number)
+        while self.open:
+            self._below(*self.open.pop())
+
+    def _id(self, shape: Shape) -> int:
+        """The number of a shape; alternatives carry the title of their choice."""
+        key = (shape.kind, shape.node, shape.title, shape.datatype, shape.enums, shape.parts, shape.reason)
+        if key not in self.ids:
+            self.ids[key] = len(self.ids)
+            self.open.append((self.ids[key], shape))
+        return self.ids[key]
+
+    def _to(self, state: int, step: str, number: int) -> None:
+        shape = self.schema.shape(number)
+        either = [self.schema.shape(p) for p in shape.parts] if shape.kind == "either" else [shape, shape]
+        self.rows += [(state, step, listed, self._told(either[listed])) for listed in (False, True)]
+
+    def _object(self, shape: Shape) -> bool:
+        return shape.kind == "object" or (shape.kind == "free" and shape.datatype is None)
+
+    def _below(self, state: int, shape: Shape) -> None:
+        if self._object(shape):
+            for name, node in self.schema.properties(shape).items():
+                if isinstance(node, dict):
+                    self._to(state, name, self.schema.number(node))
+        if shape.kind in ("array", "free") and shape.datatype is None and (item := self.schema.item(shape)) is not None:
+            self._to(state, ITEM, item)
+
+    def _named(self, shape: Shape) -> list[str]:
+        return [n for n, node in self.schema.properties(shape).items() if isinstance(node, dict)]
+
+    def _alternatives(self, shape: Shape) -> list[tuple]:
+        found = []
+        for number in shape.parts:
+            part = self.schema.part(number, shape.title)
+            says = {k: json.dumps(v, sort_keys=True) for k, v in self.schema.properties(part).items()}
+            needs = json.dumps(sorted(self.schema.required(part)))
+            found.append((self._id(part), part.title, self.schema.required(part), list(self.schema.properties(part)), self.schema.closed(part), needs, says))
         return found
 
-    def _state(self, above: State, name: str, is_item: bool, kind: str, keys: frozenset[str] | None, number: int | None) -> State:
-        state = State(above.depth + 1, None)
-        if number is None:
-            state.outcome = "hidden"
-        else:
-            self._typed(state, self.pack.schema.shape(number), kind, keys)
-        selectable = kind != "array" if not is_item else above.outcome != "nested"
-        if is_item and kind == "array":
-            state.outcome = "nested" if state.outcome == "hidden" else state.outcome
-        self._follow(state, above, name, is_item, selectable)
-        return state
-
-    def _typed(self, state: State, shape: Shape, kind: str, keys: frozenset[str] | None) -> None:
-        schema = self.pack.schema
-        if shape.kind == "either":
-            shape = schema.shape(shape.parts[kind == "array"])
-        state.shape = shape
-        said = {"object": "an object", "array": "an array"}.get(kind, f"a JSON {kind}")
-        if shape.kind == "open":
-            state.outcome, state.notes = "hidden", [("unread", shape.reason)]
-        elif shape.kind == "choice":
-            if keys is None:
-                state.outcome, state.notes = "hidden", [("unread", "the schema offers object alternatives and the value is no object")]
-                return
-            chosen = schema.chosen(shape, keys)
-            if chosen == "none":
-                detail = f"no alternative accepts an object with the properties {', '.join(sorted(keys)) or '(none)'}: {schema.alternatives(shape)}"
-                state.outcome, state.notes = "hidden", [("no_branch", detail)]
-            elif chosen == "several":
-                state.outcome = "hidden"
-                state.notes = [("unread", "several alternatives accept the object and disagree about its properties")]
-            else:
-                state.shape = chosen
-                self._object(state, chosen, keys)
-        elif kind == "object" and (shape.kind == "object" or (shape.kind == "free" and shape.datatype is None)):
-            self._object(state, shape, keys or frozenset())
-        elif kind == "array" and shape.kind in ("array", "free") and shape.datatype is None:
-            state.outcome, state.low, state.item = "array", schema.least_items(shape), schema.item(shape)
-            if state.item is None:
-                state.outcome, state.notes = "hidden", [("unread", "the schema declares no shape for the items of this array")]
-        elif shape.declared is not None and not (kind == shape.declared or (shape.declared == "number" and kind == "integer")):
-            state.outcome, state.notes = "hidden", [("mistyped", f"the schema declares type {shape.declared!r} here, and the value is {said}")]
-        elif kind in ("object", "array"):
-            state.outcome, state.notes = "hidden", [("mistyped", f"the schema declares type 'scalar' here, and the value is {said}")]
-        else:
-            state.outcome = "scalar"
-
-    def _object(self, state: State, shape: Shape, keys: frozenset[str]) -> None:
-        schema = self.pack.schema
-        state.outcome, state.assembly, state.closed = "object", shape.title or "this object", schema.closed(shape)
-        state.notes = [("missing", name) for name in schema.required(shape) if name not in keys]
-        state.below = {n: schema.number(node) for n, node in schema.properties(shape).items() if n in keys and isinstance(node, dict)}
-
-    def _follow(self, state: State, above: State, name: str, is_item: bool, selectable: bool) -> None:
-        depth, going, done, contexts = state.depth, set(above.threads), set(), []
-        parent = depth - 2 if is_item else depth - 1
-        if selectable:
-            for thread in above.threads:
-                step = self._step(thread)
-                if (step.deep or thread.anchor == parent) and name in self._names(step):
-                    self._advance(thread, step, depth, going, done)
-            for k in self.rules:
-                rule = self.pack.constraints[k]
-                if name in self.pack.properties(rule.context):
-                    contexts.append(k)
-                    for alternative in range(len(rule.paths)):
-                        self._settle(Thread(k, depth, alternative, 0, depth), going, done)
-        state.threads = tuple(t for t in going if self._step(t).deep or t.anchor >= depth - 1)
-        state.done, state.contexts = tuple(sorted(done, key=lambda t: (t.rule, t.context, t.alternative, str(t.tests)))), tuple(contexts)
-
-    def _step(self, thread: Thread) -> Step:
-        return self.pack.constraints[thread.rule].paths[thread.alternative][thread.step]
-
-    def _names(self, step: Step) -> frozenset[str]:
-        return frozenset().union(*(self.pack.properties(n) for n in step.names))
-
-    def _advance(self, thread: Thread, step: Step, depth: int, going: set[Thread], done: set[Thread]) -> None:
-        tests = (*thread.tests, *((depth, t) for t in step.tests))
-        self._settle(Thread(thread.rule, thread.context, thread.alternative, thread.step + 1, depth, tests), going, done)
-
-    def _settle(self, thread: Thread, going: set[Thread], done: set[Thread]) -> None:
-        path = self.pack.constraints[thread.rule].paths[thread.alternative]
-        while thread.step < len(path) and not path[thread.step].names:
-            tests = (*thread.tests, *((thread.anchor, t) for t in path[thread.step].tests))
-            thread = Thread(thread.rule, thread.context, thread.alternative, thread.step + 1, thread.anchor, tests)
-        (done if thread.step == len(path) else going).add(thread)
-
-
-def holds(pack: RulePack, test: Test, value: Any) -> bool:
-    """Whether a node passes a test."""
+    def _told(self, shape: Shape) -> tuple:
+        held, array = self._object(shape), shape.kind in ("array", "free") and shape.datatype is None
+        return (
+            self._id(shape), shape.kind, shape.title, shape.declared, shape.datatype.name if shape.datatype else None, list(shape.enums) or None, shape.reason,
+            self.schema.required(shape) if held else [], self._named(shape) if held else [], held and self.schema.closed(shape),
+            self.schema.least_items(shape) if array else None, array and self.schema.item(shape) is not None,
+            self.schema.alternatives(shape) if shape.kind == "choice" else "", self._alternatives(shape) if shape.kind == "choice" else [],
+        )
+
+
+def transitions(spark: SparkSession, schema: Schema) -> DataFrame:
+    """The transition table of a schema."""
+    return spark.createDataFrame(States(schema).rows, TRANSITIONS)
+
+
+def _names() -> Column:
+    return F.coalesce(F.map_keys("m"), no_texts())
+
+
+def _listed(names: Column) -> Column:
+    return F.array_join(F.array_sort(names), ", ")
+
+
+def _fitting() -> Column:
+    """The alternatives that have all they require and, where they are closed, declare all that is there."""
+    fits = lambda a: (F.size(F.array_except(a["required"], _names())) == 0) & (~a["closed"] | (F.size(F.array_except(_names(), a["declared"])) == 0))
+    return F.filter(F.col("s.alternatives"), fits)
+
+
+def _agree(fitting: Column) -> Column:
+    """Whether all of them require the same and say the same of what is there."""
+    said = F.transform(fitting, lambda a: F.struct(a["needs"].alias("needs"), F.transform(F.array_sort(_names()), lambda n: F.try_element_at(a["says"], n)).alias("says")))
+    return F.size(F.array_distinct(said)) == 1
+
+
+NOTE = "array<struct<kind:string,name:string,detail:string,low:int,found:int>>"
+
+
+def _note(kind: str, name: Column, detail: Column, low: Column | None = None, found: Column | None = None) -> Column:
+    whole = lambda c: (F.lit(None) if c is None else c).cast("int")
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"), whole(low).alias("low"), whole(found).alias("found"))
+
+
+def _typed(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with what the columns need that come with them: state, outcome and notes of new rows, by the state that they met."""
+    kind, shape = F.col("jtype"), F.col("s.kind")
+    said = F.when(kind == "object", "an object").when(kind == "array", "an array").otherwise(F.concat(F.lit("a JSON "), kind))
+    rows = rows.withColumn("fit", F.when(F.col("fresh") & (shape == "choice") & (kind == "object"), _fitting()))
+    fit = F.col("fit")
+    known = F.col("s.id").isNotNull()
+    held = (kind == "object") & ((shape == "object") | ((shape == "free") & F.col("s.datatype").isNull()))
+    listed = (kind == "array") & shape.isin("array", "free") & F.col("s.datatype").isNull()
+    declared = F.col("s.declared")
+    wrong = declared.isNotNull() & ~((kind == declared) | ((declared == "number") & (kind == "integer")))
+    outcome = (
+        F.when(~known, "hidden").when(shape == "open", "hidden").when((shape == "choice") & (kind != "object"), "hidden")
+        .when(shape == "choice", F.when(F.size(fit) == 0, "hidden").when(_agree(fit), "object").otherwise("hidden"))
+        .when(held, "object").when(listed, F.when(F.col("s.has_item"), "array").otherwise("hidden")).when(wrong, "hidden")
+        .when(kind.isin("object", "array"), "hidden").otherwise("scalar")
+    )
+    rows = rows.withColumn("found", F.when(F.col("fresh"), outcome))
+    first = F.get("fit", F.lit(0))
+    chosen = shape == "choice"
+    required, named = F.when(chosen, first["required"]).otherwise(F.col("s.required")), F.when(chosen, F.map_keys(first["says"])).otherwise(F.col("s.named"))
+    title = F.when(chosen, first["title"]).otherwise(F.col("s.title"))
+    assembly = F.when(title == "", "this object").otherwise(title)
+    closed = F.when(chosen, first["closed"]).otherwise(F.col("s.closed"))
+    is_object = F.col("found") == "object"
+    none = F.array().cast(NOTE)
+    missing = F.transform(F.array_except(required, _names()), lambda n: _note("missing", n, assembly))
+    undeclared = F.transform(F.array_except(_names(), named), lambda n: _note("undeclared", n, assembly))
+    name = F.col("name")
+    one = lambda kind, detail: F.array(_note(kind, name, detail))
+    nothing = F.concat(
+        F.lit("no alternative accepts an object with the properties "), F.coalesce(F.nullif(_listed(_names()), F.lit("")), F.lit("(none)")), F.lit(": "), F.col("s.said")
+    )
+    other = (
+        F.when(~known, none).when(shape == "open", one("unread", F.col("s.reason")))
+        .when(chosen & (kind != "object"), one("unread", F.lit("the schema offers object alternatives and the value is no object")))
+        .when(chosen & (F.size(fit) == 0), one("no_branch", nothing))
+        .when(chosen, one("unread", F.lit("several alternatives accept the object and disagree about its properties")))
+        .when(listed, one("unread", F.lit("the schema declares no shape for the items of this array")))
+        .when(wrong, one("mistyped", F.concat(F.lit("the schema declares type '"), declared, F.lit("' here, and the value is "), said)))
+        .when(kind.isin("object", "array"), one("mistyped", F.concat(F.lit("the schema declares type 'scalar' here, and the value is "), said))).otherwise(none)
+    )
+    short = (F.col("found") == "array") & (F.size("a") < F.col("s.low"))
+    notes = (
+        F.when(is_object, F.concat(missing, F.when(closed, undeclared).otherwise(none)))
+        .when(F.col("found") == "hidden", other)
+        .when(short, F.array(_note("short", name, F.lit(None).cast("string"), F.col("s.low"), F.size("a")))).otherwise(none)
+    )
+    state = F.when(is_object & chosen, first["id"]).when(F.col("found").isin("object", "array"), F.col("s.id")).otherwise(HIDDEN)
+    new = F.col("fresh")
+    return rows, {
+        "notes": F.when(new, notes.cast(NOTE)).otherwise(F.col("notes")), "state": F.when(new, state).otherwise(F.col("state")),
+        "outcome": F.when(new, F.col("found")).otherwise(F.col("outcome")), "title": F.when(new, F.col("s.title")).otherwise(F.col("title")),
+        "datatype": F.when(new, F.col("s.datatype")).otherwise(F.col("datatype")), "enums": F.when(new, F.col("s.enums")).otherwise(F.col("enums")),
+    }
+
+
+def _member(name: str) -> Column:
+    return F.try_element_at("m", F.lit(name))
+
+
+def _bare(v: Column) -> Column:
+    """Whether a value is there and no container."""
+    return v.isNotNull() & members(v).isNull() & items(v).isNull()
+
+
+def _text_of(v: Column) -> Column:
+    return scalar_text(v, json_kind(v))
+
+
+def _passes(pack: RulePack, test: Test) -> Column:
+    """Whether a node passes a test; false for a node that is no object, but for its namespace."""
     if test.kind == "namespace":
-        space = value.get("ns", NAMESPACE) if isinstance(value, dict) else NAMESPACE
-        return isinstance(space, str) and space in test.values
-    if not isinstance(value, dict):
-        return False
+        space = _member(test.name)
+        own = F.when(space.isNull(), F.lit(NAMESPACE)).when(json_kind(space) == "string", F.try_variant_get(space, "$", "string"))
+        return F.coalesce(F.when(F.col("m").isNull(), F.lit(NAMESPACE)).otherwise(own).isin(*test.values), F.lit(False))
     if test.kind == "equals":
-        flag = value.get(test.name, [])
-        return not isinstance(flag, dict | list) and str(flag) in test.values
-    if test.kind == "starts":
-        flag = value.get(test.name)
-        return isinstance(flag, str) and flag.startswith(test.values[0])
-    return any(value.get(n) is not None and value[n] != [] for n in pack.properties(test.name))
-
-
-def key_parts(pack: RulePack, key: KeyField, value: Any) -> list[str | None]:
+        flag = _member(test.name)
+        said = _bare(flag) & _text_of(flag).isin(*test.values)
+    elif test.kind == "starts":
+        flag = _member(test.name)
+        said = _bare(flag) & (json_kind(flag) == "string") & F.startswith(F.try_variant_get(flag, "$", "string"), F.lit(test.values[0]))
+    else:
+        filled = [(v := _member(n)).isNotNull() & ~F.is_variant_null(v) & (F.coalesce(F.size(items(v)), F.lit(1)) != 0) for n in sorted(pack.properties(test.name))]
+        said = reduce(lambda a, b: a | b, filled)
+    return F.coalesce(F.col("m").isNotNull() & said, F.lit(False))
+
+
+def _tests(pack: RulePack, rules: list[int]) -> list[Test]:
+    """The tests of these constraints, each once."""
+    return list(dict.fromkeys(t for k in rules for path in pack.constraints[k].paths or () for step in path for t in step.tests))
+
+
+def _spoken(pack: RulePack, rules: list[int]) -> list[str]:
+    """Property names that contexts and steps of these constraints speak of."""
+    names = {n for k in rules for n in pack.properties(pack.constraints[k].context)}
+    return sorted(names | {p for k in rules for path in pack.constraints[k].paths or () for step in path for n in step.names for p in pack.properties(n)})
+
+
+def _ways(spoken: list[str], marks: list[Column]) -> dict[str, Column]:
+    """The columns of the way to a new node: names, raw pointers and passed tests of the nodes that steps can stand on."""
+    array, own = F.col("a").isNotNull(), F.col("item").isNotNull()
+    # The items of a property stand for it; items of items are on no way by name.
+    stands = F.when(own, ~F.col("nested")).otherwise(~array)
+    known = F.when(~stands, F.lit("")).when(F.col("name").isin(*spoken) if spoken else F.lit(False), F.col("name")).otherwise("")
+    adds = stands | own
+    passed = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(marks)]) if marks else F.array().cast("array<int>"), lambda x: x.isNotNull())
+
+    new = F.col("fresh")
+    longer = lambda column, value: F.when(new & adds, F.concat(column, F.array(value))).otherwise(F.col(column))
+    return {
+        "stands": F.when(new, stands).otherwise(F.col("stands")), "way": longer("way", known), "ways": longer("ways", F.col("raw")),
+        "passed": longer("passed", passed), "nested": F.when(new, own & array).otherwise(F.col("nested")),
+    }
+
+
+def matches(way: tuple[str, ...], path: Path, properties, context: int) -> list[tuple[tuple[int, Test], ...]]:
+    """How a path from the node at place ``context`` of a way ends at its last node: for each, the tests and the places they are asked at."""
+    last = len(way) - 1
+    going: list[tuple[int, tuple[tuple[int, Test], ...]]] = [(context, ())]
+    for step in path:
+        after = []
+        for at, tests in going:
+            if not step.names:
+                after.append((at, (*tests, *((at, t) for t in step.tests))))
+                continue
+            names = set().union(*(properties(n) for n in step.names))
+            for to in range(at + 1, last + 1 if step.deep else min(at + 1, last) + 1):
+                if way[to] in names:
+                    after.append((to, (*tests, *((to, t) for t in step.tests))))
+        going = after
+    return list(dict.fromkeys(tests for at, tests in going if at == last))
+
+
+MATCH = "rule int, context int, alternative int, tests array<struct<at:int,test:int>>"
+
+
+def _dictionary(spark: SparkSession, pack: RulePack, rules: list[int], ways: list[tuple[str, ...]], tests: list[Test]) -> DataFrame:
+    """way and the matches that end there, in the order in which the first that holds is taken."""
+    number = {t: k for k, t in enumerate(tests)}
+    rows = []
+    for way in ways:
+        held = []
+        for k in rules:
+            rule = pack.constraints[k]
+            for context in range(1, len(way)):
+                if way[context] in pack.properties(rule.context):
+                    for alternative, path in enumerate(rule.paths or ()):
+                        held += [(k, context, alternative, [(at, number[t]) for at, t in found]) for found in matches(way, path, pack.properties, context)]
+        if held:
+            rows.append((list(way), held))
+    kind = MATCH.replace(", ", ",").replace(" ", ":")
+    return spark.createDataFrame(rows, f"way array<string>, matches array<struct<{kind}>>")
+
+
+def _holding(matches: Column) -> Column:
+    """Of the matches whose tests hold the first for each constraint and context."""
+    holds = lambda m: F.forall(m["tests"], lambda t: F.array_contains(F.get("passed", t["at"]), t["test"]))
+    kept = F.filter(matches, holds)
+    same = lambda a, b: (a["rule"] == b["rule"]) & (a["context"] == b["context"])
+    return F.filter(kept, lambda m, i: ~F.exists(F.slice(kept, 1, i), lambda other: same(other, m)))
+
+
+def _key_texts(pack: RulePack, key: KeyField) -> Column:
     """Texts of one key field at a node; a field that selects nothing is one null."""
     if key.target == ".":
-        raw = [value]
-    elif not isinstance(value, dict):
-        raw = []
+        values = F.array(F.col("v"))
     elif key.target.startswith("@"):
-        raw = [value[key.target[1:]]] if key.target[1:] in value else []
+        values = F.array(_member(key.target[1:]))
     else:
-        raw = []
-        for name in sorted(pack.properties(key.target)):
-            found = value.get(name)
-            raw += found if isinstance(found, list) else [found] if found is not None else []
-    texts = [str(x) for x in raw if not isinstance(x, dict | list)]
+        listed = [F.coalesce(items(v), F.array(F.when(~F.is_variant_null(v), v))) for v in (_member(n) for n in sorted(pack.properties(key.target)))]
+        values = F.flatten(F.array(*listed))
+    texts = F.transform(F.filter(values, _bare), _text_of)
     if key.pattern is not None:
-        met = [re.match(key.pattern, t) for t in texts]
-        texts = [m[1] if m.lastindex else m[0] for m in met if m]
-    return texts or [None]
-
-
-class Reader:
-    """Facts of documents by one pack; automata are kept between documents."""
-
-    def __init__(self, pack: RulePack, kinds: tuple[str, ...] | None = None) -> None:
-        self.pack, self.kinds = pack, None if kinds is None else frozenset(kinds)
-        self.automata: dict[str, Automaton] = {}
-
-    def facts(self, text: str | None) -> list[dict[str, Any]]:
-        """All facts of one document; one that cannot be read gives its error alone."""
-        try:
-            value = decoded(text)
-            model = self.model(value)
-            self.out: list[dict[str, Any]] = [{"kind": "model", "name": model, "pointer": "/" + escaped(model)}]
-            self.places: dict[str, int] = {}
-            automaton = self.automata.get(model)
-            if automaton is None or automaton.size > MOST_STATES:
-                automaton = self.automata[model] = Automaton(self.pack, model)
-            raw, root = "/" + model, value[model]
-            self._meet(raw)
-            self._visit(automaton, automaton.root(root), root, model, "/" + escaped(model), raw, [None, root], ["", raw])
-        except Unreadable as error:
-            return [{"kind": "error", "detail": str(error)}] if self.kinds is None or "error" in self.kinds else []
-        return [row | {"model": model, "ord": k} for k, row in enumerate(self.out) if self.kinds is None or row["kind"] in self.kinds]
-
-    def model(self, value: Any) -> str:
-        """The one document root; anything beside it is a refusal."""
-        known = self.pack.schema.models
-        expected = ", ".join(sorted(known))
-        if not isinstance(value, dict):
-            raise Unreadable(f"not an object with one of the roots {expected}")
-        roots = [k for k in value if k in known]
-        others = sorted(k for k in value if k not in known and k != "$schema")
-        if not roots:
-            raise Unreadable(f"no document root; expected one of {expected}, found {', '.join(sorted(value)) or '(nothing)'}")
-        if len(roots) > 1:
-            raise Unreadable(f"more than one document root: {', '.join(sorted(roots))}")
-        if others:
-            raise Unreadable(f"properties beside the root {roots[0]}: {', '.join(others)}")
-        return roots[0]
-
-    def _visit(self, automaton: Automaton, state: State, value: Any, name: str, safe: str, raw: str, line: list, ways: list[str]) -> None:
-        if state.depth > DEEPEST:
-            raise Unreadable(f"{safe}: nested deeper than {DEEPEST} levels")
-        self._typed(state, value, name, safe)
-        for rule in state.contexts:
-            if self.pack.constraints[rule].kind == "has-cardinality":
-                self.out.append({"kind": "context", "rule": rule, "pointer": raw})
-        self._selected(state, value, raw, line, ways)
-        if isinstance(value, dict):
-            for key, child in value.items():
-                if state.outcome == "object" and state.closed and key not in state.below:
-                    self.out.append({"kind": "undeclared", "pointer": safe, "name": key, "detail": state.assembly})
-                below = automaton.child(state, key, child)
-                step = (f"{safe}/{escaped(key)}", f"{raw}/{key}")
-                if not isinstance(child, list):
-                    self._meet(step[1])
-                self._visit(automaton, below, child, key, *step, [*line, child], [*ways, step[1]])
-        elif isinstance(value, list):
-            items = [(automaton.item(state, name, x), x, f"{safe}/{k}", f"{raw}/{k}") for k, x in enumerate(value)]
-            for *_, b in items:
-                self._meet(b)
-            for below, x, a, b in items:
-                self._visit(automaton, below, x, name, a, b, [*line, x], [*ways, b])
-
-    def _meet(self, raw: str) -> None:
-        """The node takes its place in the order of a search by name."""
-        self.places[raw] = len(self.places)
-
-    def _typed(self, state: State, value: Any, name: str, safe: str) -> None:
-        for kind, detail in state.notes:
-            if kind == "missing":
-                self.out.append({"kind": kind, "pointer": safe, "name": detail, "detail": state.assembly})
-            else:
-                self.out.append({"kind": kind, "pointer": safe, "name": name, "detail": detail})
-        if state.outcome == "array" and state.low is not None and len(value) < state.low:
-            self.out.append({"kind": "short", "pointer": safe, "name": name, "low": state.low, "found": len(value)})
-        if state.outcome == "scalar" and (self.kinds is None or "scalar" in self.kinds):
-            shape = state.shape
-            self.out.append({
-                "kind": "scalar", "pointer": safe, "name": name, "value": str(value), "jtype": json_type(value), "title": shape.title,
-                "datatype": shape.datatype.name if shape.datatype else None, "enums": list(shape.enums) or None,
-            })
-
-    def _selected(self, state: State, value: Any, raw: str, line: list, ways: list[str]) -> None:
-        seen = set()
-        for thread in state.done:
-            if (thread.rule, thread.context) in seen or not all(holds(self.pack, t, line[d]) for d, t in thread.tests):
-                continue
-            seen.add((thread.rule, thread.context))
-            rule = self.pack.constraints[thread.rule]
-            base = {"rule": thread.rule, "context": ways[thread.context], "alternative": thread.alternative, "place": self.places.get(raw, -1)}
-            if rule.kind == "matches":
-                self._value(rule.flag, self.pack.value_keys.get(rule.context, ""), value, raw, base)
-            elif rule.kind == "has-cardinality":
-                self.out.append(base | {"kind": "selected", "pointer": raw})
-            else:
-                for key in product(*(key_parts(self.pack, k, value) for k in rule.keys)):
-                    if any(part is not None for part in key):
-                        self.out.append(base | {"kind": "selected", "pointer": raw, "key": json.dumps(key, ensure_ascii=False)})
-
-    def _value(self, flag: str, value_key: str, value: Any, raw: str, base: dict[str, Any]) -> None:
-        name = flag or value_key
-        if not isinstance(value, dict | list) and not flag:
-            self.out.append(base | {"kind": "value", "pointer": raw, "value": str(value)})
-        elif isinstance(value, dict) and name and name in value and not isinstance(value[name], dict | list):
-            self.out.append(base | {"kind": "value", "pointer": f"{raw}/{name}", "value": str(value[name])})
+        start = f"^(?:{key.pattern})"
+        group = F.lit(1 if re.compile(key.pattern).groups else 0)
+        texts = F.transform(F.filter(texts, lambda x: x.rlike(start)), lambda x: F.regexp_extract_all(x, F.lit(start), group)[0])
+    return F.when(F.size(texts) == 0, F.array(F.lit(None).cast("string"))).otherwise(texts)
+
+
+def _combined(some: Column, texts: Column) -> Column:
+    """Each of some lists with each of the texts at its end."""
+    return F.flatten(F.transform(some, lambda a: F.transform(texts, lambda b: F.concat(a, F.array(b)))))
+
+
+def _keys(pack: RulePack, rule: Constraint) -> Column:
+    """Every combination of the key fields of a constraint that is not all null."""
+    found = F.transform(_key_texts(pack, rule.keys[0]), lambda x: F.array(x))
+    for texts in (_key_texts(pack, key) for key in rule.keys[1:]):
+        found = _combined(found, texts)
+    return F.transform(F.filter(found, lambda k: F.exists(k, lambda x: x.isNotNull())), lambda k: F.to_json(k))
+
+
+def _fact(**columns: Column) -> Column:
+    return F.struct(*[columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in TYPES.items()])
+
+
+def _of_rule(pack: RulePack, rules: list[int], make, otherwise: Column) -> Column:
+    """A column by the number of the constraint that matched."""
+    out = otherwise
+    for k in rules:
+        out = F.when(F.col("hit.rule") == k, make(pack.constraints[k])).otherwise(out)
+    return out
+
+
+def _picked(nodes: DataFrame, pack: RulePack, rules: list[int], tests: list[Test]) -> DataFrame:
+    """Facts context, selected and value of the nodes."""
+    spark = nodes.sparkSession
+    spoken = _spoken(pack, rules)
+    found = nodes.where("stands").select("way").where(F.array_contains(F.lit(spoken), F.element_at("way", -1)) if spoken else F.lit(False)).distinct().limit(MOST_WAYS + 1).collect()
+    if len(found) > MOST_WAYS:
+        raise Refusal(f"the documents have more than {MOST_WAYS} ways to the names that constraints speak of")
+    dictionary = _dictionary(spark, pack, rules, sorted(tuple(r["way"]) for r in found), tests)
+    met = nodes.where("stands").join(F.broadcast(dictionary), "way").withColumn("hit", F.explode(_holding(F.col("matches")))).drop("matches")
+    governed = F.lit(False)
+    for model in pack.schema.models:
+        numbers = [k for k in rules if pack.governs(pack.constraints[k], model)]
+        governed = governed | ((F.col("model") == model) & F.col("hit.rule").isin(*numbers))
+    met = met.where(governed).withColumn("m", members(F.col("v")))
+    base = {"rule": F.col("hit.rule"), "context": F.get("ways", F.col("hit.context")), "alternative": F.col("hit.alternative"), "place": F.col("place"), "ord": F.col("order"), "model": F.col("model")}
+    keyed = [k for k in rules if pack.constraints[k].kind not in ("matches", "has-cardinality")]
+    valued = [k for k in rules if pack.constraints[k].kind == "matches"]
+    facts = F.array().cast(f"array<struct<{FACT.replace(', ', ',').replace(' ', ':')}>>")
+    selected = F.array(_fact(kind=F.lit("selected"), pointer=F.col("raw"), **base))
+    if keyed:
+        no_keys = no_texts()
+        keys = F.when(F.col("hit.rule").isin(*keyed), _of_rule(pack, keyed, lambda c: _keys(pack, c), no_keys)).otherwise(no_keys)
+        met = met.withColumn("keys", keys)
+        with_keys = F.transform("keys", lambda k: _fact(kind=F.lit("selected"), pointer=F.col("raw"), key=k, **base))
+        selected = F.when(F.col("hit.rule").isin(*keyed), with_keys).otherwise(selected)
+    if valued:
+
+        def value_of(c: Constraint) -> Column:
+            name = c.flag or pack.value_keys.get(c.context, "")
+            own = F.when(_bare(F.col("v")), F.array(_fact(kind=F.lit("value"), pointer=F.col("raw"), value=_text_of(F.col("v")), **base))) if not c.flag else F.when(F.lit(False), facts)
+            if name:
+                there = F.concat(F.col("raw"), F.lit(f"/{name}"))
+                own = own.when(F.col("m").isNotNull() & _bare(_member(name)), F.array(_fact(kind=F.lit("value"), pointer=there, value=_text_of(_member(name)), **base)))
+            return own.otherwise(facts)
+
+        selected = F.when(F.col("hit.rule").isin(*valued), _of_rule(pack, valued, value_of, facts)).otherwise(selected)
+    picked = met.select("doc_id", F.explode(selected).alias("fact")).select("doc_id", "fact.*")
+    counted = [k for k in rules if pack.constraints[k].kind == "has-cardinality"]
+    if not counted:
+        return picked
+    contexts = F.flatten(F.array(*[
+        F.when(F.element_at("way", -1).isin(*sorted(pack.properties(pack.constraints[k].context))) & F.col("model").isin(*[m for m in pack.schema.models if pack.governs(pack.constraints[k], m)]),
+               F.array(_fact(kind=F.lit("context"), rule=F.lit(k), pointer=F.col("raw"), model=F.col("model"), ord=F.col("order")))).otherwise(facts)
+        for k in counted
+    ]))
+    return picked.unionByName(nodes.where("stands AND depth > 0").select("doc_id", F.explode(contexts).alias("fact")).select("doc_id", "fact.*"))
+
+
+def _typed_facts(nodes: DataFrame) -> DataFrame:
+    """Facts of the schema: notes, and the scalars that it declares."""
+    base = {"pointer": F.col("pointer"), "model": F.col("model"), "ord": F.col("order")}
+    notes = F.transform("notes", lambda n: _fact(kind=n["kind"], name=n["name"], detail=n["detail"], low=n["low"], found=n["found"], **base))
+    scalar = _fact(
+        kind=F.lit("scalar"), name=F.col("name"), value=scalar_text(F.col("v"), F.col("jtype")), jtype=F.col("jtype"), title=F.col("title"), datatype=F.col("datatype"), enums=F.col("enums"), **base
+    )
+    every = F.when(F.col("outcome") == "scalar", F.concat(notes, F.array(scalar))).otherwise(notes)
+    return nodes.where("depth > 0").select("doc_id", F.explode(every).alias("fact")).select("doc_id", "fact.*")
+
+
+def _models(rows: DataFrame, known: list[str]) -> DataFrame:
+    """The rows with ``model``, the one root of a document, or the ``error`` that refuses it."""
+    expected, names = ", ".join(sorted(known)), F.coalesce(F.map_keys(members(F.col("v"))), no_texts())
+    rows = rows.withColumns({"names": names, "plain": members(F.col("v")).isNotNull()})
+    found = F.filter("names", lambda n: n.isin(*known))
+    others = F.filter("names", lambda n: ~n.isin(*known, "$schema"))
+    shown = F.coalesce(F.nullif(_listed(F.col("names")), F.lit("")), F.lit("(nothing)"))
+    error = (
+        F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("plain"), f"not an object with one of the roots {expected}")
+        .when(F.size(found) == 0, F.concat(F.lit(f"no document root; expected one of {expected}, found "), shown))
+        .when(F.size(found) > 1, F.concat(F.lit("more than one document root: "), _listed(found)))
+        .when(F.size(others) > 0, F.concat(F.lit("properties beside the root "), F.get(found, F.lit(0)), F.lit(": "), _listed(others)))
+    )
+    return rows.withColumns({"model": F.get(found, F.lit(0)), "refusal": error}).drop("names", "plain", "error").withColumnRenamed("refusal", "error")
+
+
+STRUCTURE = ("missing", "undeclared", "mistyped", "unread", "no_branch", "short", "scalar")
+PICKED = ("context", "selected", "value")
+
+
+def typed_nodes(rows: DataFrame, pack: RulePack, typed: bool, tests: list[Test], rules: list[int]) -> DataFrame:
+    """All nodes of the readable documents with what the schema and the tests of constraints say of them."""
+    top = roots(rows.where("error IS NULL"))
+    none = F.lit(None).cast("string")
+    top = top.withColumns({
+        "model": F.filter(F.map_keys("m"), lambda n: n.isin(*pack.schema.models))[0], "state": F.lit(TOP), "outcome": F.lit("top"), "notes": F.array().cast(NOTE), "title": none,
+        "datatype": none, "enums": no_texts(), "stands": F.lit(True), "nested": F.lit(False), "way": F.array(F.lit("")), "ways": F.array(F.lit("")), "passed": F.array(F.array().cast("array<int>")),
+    })
+    table = F.broadcast(transitions(rows.sparkSession, pack.schema)) if typed else None
+    on_way = _ways(_spoken(pack, rules), [_passes(pack, t) for t in tests]) if rules else {}
+
+    def enter(nodes: DataFrame) -> DataFrame:
+        names, made = nodes.columns, dict(on_way)
+        if table is not None:
+            step = F.when(F.col("item").isNotNull(), F.lit(ITEM)).otherwise(F.col("name"))
+            here = F.col("fresh") & (F.col("state") == F.col("_state")) & (step == F.col("_step")) & ((F.col("jtype") == "array") == F.col("_listed"))
+            nodes, columns = _typed(nodes.join(table, here, "left"))
+            made |= columns
+        return nodes.select(*[made[c].alias(c) if c in made else F.col(c) for c in names])
+
+    nodes = descend(top, levels_of(rows), enter)
+    # A document's only root but for the name of its schema, which is no node to be judged.
+    return nodes.where((F.col("depth") == 0) | (F.get("order", F.lit(0)) == F.col("model")))
 
 
 def evaluate(documents: DataFrame, pack: RulePack, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """Facts of every document (doc_id, text), or those of some kinds only, which saves sending the others to Spark.
-
-    The pack, which is as large as its rules, goes out by broadcast.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(pack)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value, kinds)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(start, 256), []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    rows += [fact | {"doc_id": doc_id} for fact in reader.facts(text)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
-
-    return documents.selectExpr("CAST(doc_id AS string) AS doc_id", "text").mapInArrow(run, FACTS)
+    """Facts of every document (doc_id, text), or those of some kinds only, which saves the work for the others."""
+    wanted = set(kinds or (*STRUCTURE, *PICKED, "model", "error"))
+    # Parsed once and written to the shared folder: the levels, the ways and the facts are then read from there.
+    rows = cut(_models(read(documents), sorted(pack.schema.models)))
+    whole = lambda df: df.select(*[c.split(" ")[0] for c in FACTS.split(", ")])
+    parts = []
+    if wanted & {"model", "error"}:
+        said = F.when(F.col("error").isNotNull(), _fact(kind=F.lit("error"), detail=F.col("error"))).otherwise(
+            _fact(kind=F.lit("model"), name=F.col("model"), pointer=F.concat(F.lit("/"), F.replace(F.replace("model", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))), model=F.col("model"), ord=no_texts())
+        )
+        parts.append(rows.select("doc_id", said.alias("fact")).select("doc_id", "fact.*"))
+    rules = pack.evaluated() if wanted & set(PICKED) else []
+    typed = bool(wanted & set(STRUCTURE))
+    if typed or rules:
+        tests = _tests(pack, rules)
+        nodes = typed_nodes(rows, pack, typed, tests, rules)
+        if typed:
+            parts.append(_typed_facts(nodes))
+        if rules:
+            parts.append(_picked(nodes, pack, rules, tests))
+    if not parts:
+        return documents.sparkSession.createDataFrame([], FACTS)
+    return reduce(DataFrame.unionByName, map(whole, parts)).where(F.col("kind").isin(*sorted(wanted)))

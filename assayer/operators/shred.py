@@ -1,46 +1,32 @@
-"""JSON documents shredded into one row a node.
-
-One pass in Python per document, batched through Arrow and without a shuffle;
-everything after it is columns. ``ord`` is document order. ``dord`` is the order
-in which a search by name meets nodes: all items of a property before what lies
-below them. Pointers come escaped and raw, since both spellings are reported.
+"""JSON documents shredded into one row a node, level by level, inside Spark.
+
+A text is parsed once into a VARIANT. Each level turns the containers of the level
+above into rows of their members; rows that are already open pass on, so the whole
+descent is one chain without a shuffle and without a worker outside the JVM. How many
+levels there are is read off the brackets of the texts first; a document nested deeper
+than ``DEEPEST`` is refused by that measure, before anything of it becomes a row. Long
+chains are cut every ``TOGETHER`` levels.
+
+Members of an object come in the order of their names, items of an array in their own.
+``order`` sorts nodes of a document so that a container comes before what it holds;
+``place`` sorts them as a search by name meets them, all items of an array before what
+lies below the first. Pointers come escaped and raw, since both spellings are reported.
+Numbers are shown as decimals without trailing zeros, whole ones of fraction type with
+one; of a repeated key the last value holds.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from typing import Any
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-DEEPEST = 200
-NODES = (
-    "doc_id string, ord int, dord int, depth int, pointer string, raw_pointer string, parent_ord int, name string, is_item boolean, "
-    "item_index int, jtype string, sval string, n_children int, ancestors array<int>, error string"
-)
-ARROW = pa.schema([
-    ("doc_id", pa.string()), ("ord", pa.int32()), ("dord", pa.int32()), ("depth", pa.int32()), ("pointer", pa.string()), ("raw_pointer", pa.string()),
-    ("parent_ord", pa.int32()), ("name", pa.string()), ("is_item", pa.bool_()), ("item_index", pa.int32()), ("jtype", pa.string()), ("sval", pa.string()),
-    ("n_children", pa.int32()), ("ancestors", pa.list_(pa.int32())), ("error", pa.string()),
-])
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-class Unreadable(Exception):
-    """A document that cannot be read; the text says why."""
+from assayer.durable import cut
 
-
-def json_type(value: Any) -> str:
-    """The JSON type of a decoded value; true is never an integer."""
-    if isinstance(value, bool):
-        return "boolean"
-    if value is None:
-        return "null"
-    for kind, name in ((int, "integer"), (float, "number"), (str, "string"), (dict, "object")):
-        if isinstance(value, kind):
-            return name
-    return "array"
+DEEPEST, TOGETHER = 200, 8
+#: Digits from which a whole number is kept as a decimal.
+LONG_DIGITS = 19
 
 
 def escaped(token: str) -> str:
@@ -48,78 +34,125 @@ def escaped(token: str) -> str:
     return token.replace("~", "~0").replace("/", "~1")
 
 
-def decoded(text: str | None) -> Any:
-    """The value of a JSON text; of a repeated key the last value holds."""
-    try:
-        return json.loads(text or "")
-    except (ValueError, RecursionError) as error:
-        raise Unreadable(f"not valid JSON: {error}") from error
-
-
-def nodes_of(value: Any) -> Iterator[dict[str, Any]]:
-    """The nodes of a decoded document in document order."""
-    rows: list[dict[str, Any]] = []
-    met = [0]
-
-    def enter(value: Any, parent: dict[str, Any] | None, name: str, raw: str, safe: str, index: int | None) -> dict[str, Any]:
-        depth = parent["depth"] + 1 if parent else 0
-        if depth > DEEPEST:
-            raise Unreadable(f"{safe}: nested deeper than {DEEPEST} levels")
-        kind = json_type(value)
-        row = {
-            "ord": -1, "dord": -1, "depth": depth, "pointer": safe, "raw_pointer": raw, "parent": parent, "name": name, "is_item": index is not None,
-            "item_index": index, "jtype": kind, "sval": None if kind in ("object", "array") else str(value),
-            "n_children": len(value) if kind in ("object", "array") else 0, "value": value,
-        }
-        return row
-
-    def walk(row: dict[str, Any]) -> None:
-        row["ord"] = len(rows)
-        rows.append(row)
-        if row["jtype"] == "object":
-            for key, child in row["value"].items():
-                made = enter(child, row, key, f"{row['raw_pointer']}/{key}", f"{row['pointer']}/{escaped(key)}", None)
-                if made["jtype"] != "array":
-                    meet(made)
-                walk(made)
-        elif row["jtype"] == "array":
-            items = [
-                enter(item, row, row["name"], f"{row['raw_pointer']}/{k}", f"{row['pointer']}/{k}", k) for k, item in enumerate(row["value"])
-            ]
-            for made in items:
-                meet(made)
-            for made in items:
-                walk(made)
-
-    def meet(row: dict[str, Any]) -> None:
-        row["dord"] = met[0]
-        met[0] += 1
-
-    walk(enter(value, None, "", "", "", None))
-    for row in rows:
-        above, line = row.pop("parent"), []
-        row["parent_ord"] = above["ord"] if above else None
-        while above:
-            line.append(above["ord"])
-            above = rows[above["parent_ord"]] if above["parent_ord"] is not None else None
-        row["ancestors"] = line[::-1]
-        del row["value"]
-        yield row
+def _escaped(name: Column) -> Column:
+    return F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
+def json_kind(v: Column) -> Column:
+    """The JSON type of a VARIANT that is no container; true is never an integer."""
+    said = F.schema_of_variant(v)
+    whole = (said == "BIGINT") | (F.regexp_extract(said, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int") >= LONG_DIGITS)
+    return F.when(said == "STRING", "string").when(said == "BOOLEAN", "boolean").when(said == "VOID", "null").when(whole, "integer").otherwise("number")
+
+
+def scalar_text(v: Column, kind: Column) -> Column:
+    """A scalar as reports show it."""
+    shown = F.try_variant_get(v, "$", "string")
+    plain = F.when(shown.rlike(r"^-?\d+$"), F.concat(shown, F.lit(".0"))).otherwise(shown)
+    return F.when(kind == "null", "None").when(kind == "boolean", F.initcap(shown)).when(kind == "number", plain).otherwise(shown)
+
+
+def members(v: Column) -> Column:
+    """The members of an object as a map; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def items(v: Column) -> Column:
+    """The items of an array; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def read(documents: DataFrame) -> DataFrame:
+    """doc_id, v (null where the document is refused), levels below the root, and error."""
+    documents.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\\.", ""), r'"[^"]*+"', "")
+    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
+    step = lambda a, c: F.struct(
+        (a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most")
+    )
+    most = F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", most.alias("levels"))
+    deep = F.col("levels") > DEEPEST
+    rows = rows.select("doc_id", "levels", F.when(~deep, F.try_parse_json("text")).alias("v"))
+    error = F.when(deep, f"nested deeper than {DEEPEST} levels").when(F.col("v").isNull(), "not valid JSON")
+    return rows.select("doc_id", "v", F.when(F.col("v").isNull(), 0).otherwise(F.col("levels")).alias("levels"), error.alias("error"))
+
+
+
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _opened(v: Column) -> tuple[Column, Column, Column]:
+    """Members, items and kind of a value."""
+    m, a = members(v), items(v)
+    return m, a, F.when(m.isNotNull(), "object").when(a.isNotNull(), "array").otherwise(json_kind(v))
+
+
+def roots(read_rows: DataFrame) -> DataFrame:
+    """The root node of every document that could be read."""
+    none = no_texts()
+    m, a, kind = _opened(F.col("v"))
+    return read_rows.where("v IS NOT NULL").select(
+        "doc_id", "v", m.alias("m"), a.alias("a"), kind.alias("jtype"), F.lit(True).alias("fresh"), F.lit(0).alias("depth"), F.lit("").alias("pointer"), F.lit("").alias("raw"), F.lit(None).cast("string").alias("above"),
+        F.lit("").alias("name"), F.lit(None).cast("int").alias("item"), none.alias("order"), none.alias("place"), none.alias("deep"),
+    )
+
+
+def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All nodes at and below the given fresh ones; ``enter`` gives each level's new rows (``fresh``) what they take from the node above.
+
+    ``enter`` finds the columns of the node above as they were and must keep them for rows that are not fresh.
+    """
+    entry = "array<struct<name:string,item:int,v:variant>>"
+    for level in range(levels):
+        if level and level % TOGETHER == 0:
+            rows = cut(rows)
+        named = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), F.lit(None).cast("int").alias("item"), e["value"].alias("v")))
+        numbered = F.transform("a", lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), i.alias("item"), x.alias("v")))
+        below = F.when(F.col("fresh"), F.coalesce(named, numbered)).otherwise(F.array().cast(entry))
+        itself = F.array(F.lit(None).cast("struct<name:string,item:int,v:variant>"))
+        rows = rows.withColumn("c", F.explode(F.concat(itself, F.coalesce(below, F.array().cast(entry)))))
+        new, own = F.col("c").isNotNull(), F.col("c.item").isNotNull()
+        token = F.when(own, F.col("c.item").cast("string")).otherwise(F.col("c.name"))
+        sorted_ = F.when(own, F.lpad(F.col("c.item").cast("string"), 10, "0")).otherwise(F.lit(""))
+        name = F.when(own, F.col("name")).otherwise(F.col("c.name"))
+        # Items of an array stand beside each other under its name, so the array itself adds nothing to places.
+        spot = lambda last: F.concat("deep", F.array(name, F.lit(last), sorted_))
+        m, a, kind = _opened(F.col("c.v"))
+        array = new & ~own & a.isNotNull()
+        keep = lambda column, value: F.when(new, value).otherwise(F.col(column)).alias(column)
+        taken = {"fresh", "depth", "pointer", "raw", "above", "name", "item", "order", "place", "deep", "v", "m", "a", "jtype", "c"}
+        rows = rows.select(
+            *[c for c in rows.columns if c not in taken], new.alias("fresh"), keep("depth", F.col("depth") + 1), keep("above", F.col("raw")),
+            keep("pointer", F.concat("pointer", F.lit("/"), _escaped(token))), keep("raw", F.concat("raw", F.lit("/"), token)),
+            keep("name", name), keep("item", F.col("c.item")), keep("order", F.concat("order", F.array(F.when(own, sorted_).otherwise(token)))),
+            keep("place", spot("0")), keep("deep", F.when(array, F.col("deep")).otherwise(spot("1"))), keep("v", F.col("c.v")),
+            F.when(new, m).alias("m"), F.when(new, a).alias("a"), keep("jtype", kind),
+        )
+        rows = enter(rows) if enter else rows
+    return rows
+
+
+def levels_of(read_rows: DataFrame) -> int:
+    """Levels of the deepest document that is read."""
+    return read_rows.agg(F.max("levels")).first()[0] or 0
 
 
 def shred(documents: DataFrame) -> DataFrame:
-    """Nodes of every document (doc_id, text); an unreadable one gives a single row with its error and no node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(start, 256), []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    try:
-                        rows += [row | {"doc_id": doc_id} for row in nodes_of(decoded(text))]
-                    except Unreadable as error:
-                        rows.append({"doc_id": doc_id, "error": str(error)})
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
-
-    return documents.selectExpr("CAST(doc_id AS string) AS doc_id", "text").mapInArrow(run, NODES)
+    """Nodes of every document (doc_id, text); an unreadable one gives a single row with its error and no node.
+
+    Columns: doc_id, depth, pointer, raw_pointer, parent (raw pointer of the node above), name,
+    is_item, item_index, jtype, sval, n_children, order, place, error.
+    """
+    rows = read(documents)
+    found = descend(roots(rows), levels_of(rows))
+    bare = F.col("jtype").isin("object", "array")
+    size = F.when(F.col("jtype") == "object", F.size(members(F.col("v")))).when(F.col("jtype") == "array", F.size(items(F.col("v")))).otherwise(0)
+    nodes = found.select(
+        "doc_id", "depth", "pointer", F.col("raw").alias("raw_pointer"), F.col("above").alias("parent"), "name", F.col("item").isNotNull().alias("is_item"), F.col("item").alias("item_index"),
+        "jtype", F.when(~bare, scalar_text(F.col("v"), F.col("jtype"))).alias("sval"), size.alias("n_children"), "order", "place", F.lit(None).cast("string").alias("error"),
+    )
+    kinds = dict(nodes.dtypes)
+    bad = rows.where("error IS NOT NULL")
+    return nodes.unionByName(bad.select(*[F.col(c) if c in ("doc_id", "error") else F.lit(None).cast(kinds[c]).alias(c) for c in nodes.columns]))

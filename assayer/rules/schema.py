@@ -159,6 +159,10 @@ class Schema:
         kind = declared if declared in ("object", "array") else "free" if declared is None else "scalar"
         return Shape(kind, self.number(node), title, declared, None, enums)
 
+    def part(self, number: int, title: str) -> Shape:
+        """One alternative of a choice, under the title of the choice."""
+        return self._plain(self._nodes[number], title, ())
+
     def properties(self, shape: Shape) -> dict[str, Any]:
         """Declared properties of an object shape."""
         found = self._nodes[shape.node].get("properties")
@@ -179,25 +183,11 @@ class Schema:
         found = self._nodes[shape.node].get("minItems")
         return found if isinstance(found, int) and not isinstance(found, bool) else None
 
-    def chosen(self, shape: Shape, keys: frozenset[str]) -> Shape | str:
-        """The alternative that describes an object with these keys, or why none is read."""
-        fitting = []
-        for number in shape.parts:
-            part = self._plain(self._nodes[number], shape.title, ())
-            if keys.issuperset(self.required(part)) and (not self.closed(part) or keys <= set(self.properties(part))):
-                fitting.append(part)
-        if not fitting:
-            return "none"
-        said = {
-            json.dumps([sorted(self.required(p)), [[k, self.properties(p).get(k)] for k in sorted(keys)]], sort_keys=True) for p in fitting
-        }
-        return fitting[0] if len(said) == 1 else "several"
-
     def alternatives(self, shape: Shape) -> str:
         """The alternatives in words."""
         said = []
         for k, number in enumerate(shape.parts, 1):
-            part = self._plain(self._nodes[number], shape.title, ())
+            part = self.part(number, shape.title)
             needs = ", ".join(sorted(self.required(part))) or "nothing"
             only = f", permits only {', '.join(sorted(self.properties(part)))}" if self.closed(part) else ""
             said.append(f"({k}) needs {needs}{only}")

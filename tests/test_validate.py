@@ -6,7 +6,7 @@ import json
 import pytest
 from assayer.errors import Refusal
 from assayer.operators import baseline, checks, compare, findings, imports, package, patch, positions, scoring, suggest, texts
-from assayer.operators.evaluate import Reader, evaluate
+from assayer.operators.evaluate import evaluate
 from assayer.operators.provenance import CODES, codes, constraints_by_id, coverage_table, declaration
 from assayer.operators.shred import DEEPEST, shred
 from assayer.plans.validate import validate
@@ -188,10 +188,10 @@ def test_every_code_is_described():
     assert known <= {c for c, _, _ in CODES} and len(CODES) == 22
 
 
-def test_targets_reach_below_what_the_schema_does_not_declare(pack):
+def test_targets_reach_below_what_the_schema_does_not_declare(spark, pack):
     document = {"catalog": {"metadata": {"title": "t"}, "strange": {"controls": [{"id": "a-1"}, {"id": "a-1"}]}}}
-    facts = Reader(pack).facts(json.dumps(document))
-    assert [f["pointer"] for f in facts if f["kind"] == "selected" and f["rule"] == 0] == ["/catalog/strange/controls/0", "/catalog/strange/controls/1"]
+    facts = evaluate(from_texts(spark, {"d": json.dumps(document)}), pack, ("selected",)).where("rule = 0").orderBy("place").collect()
+    assert [f["pointer"] for f in facts] == ["/catalog/strange/controls/0", "/catalog/strange/controls/1"]
 
 
 def test_first_is_first_in_the_order_of_a_search_by_name(spark, pack):
@@ -201,21 +201,13 @@ def test_first_is_first_in_the_order_of_a_search_by_name(spark, pack):
     assert found == {"/catalog/controls/0/controls/0"}
 
 
-def test_automata_start_afresh_beyond_their_bound(pack, monkeypatch):
-    from assayer.operators import evaluate as module
-
-    monkeypatch.setattr(module, "MOST_STATES", 3)
-    reader = Reader(pack)
-    assert reader.facts(json.dumps(CATALOG)) == reader.facts(json.dumps(CATALOG)) == Reader(pack).facts(json.dumps(CATALOG))
-
-
 def test_shredded_nodes(spark):
     rows = {r["pointer"]: r for r in shred(from_texts(spark, {"d": '{"a/b": [1.0, true, null, {"c~": "x"}], "k": 1, "k": 2}', "bad": "{"})).collect() if r["doc_id"] == "d"}
     assert rows["/a~1b/0"]["sval"] == "1.0" and rows["/a~1b/0"]["jtype"] == "number" and rows["/a~1b/1"]["sval"] == "True"
-    assert rows["/a~1b/3/c~0"]["raw_pointer"] == "/a/b/3/c~" and rows["/a~1b/3/c~0"]["ancestors"] == [0, 1, 5]
+    assert rows["/a~1b/3/c~0"]["raw_pointer"] == "/a/b/3/c~" and rows["/a~1b/3/c~0"]["parent"] == "/a/b/3"
     assert rows["/k"]["sval"] == "2" and rows["/a~1b/2"]["jtype"] == "null"
     bad = shred(from_texts(spark, {"bad": "{"})).collect()
-    assert len(bad) == 1 and bad[0]["error"] and bad[0]["ord"] is None
+    assert len(bad) == 1 and bad[0]["error"] and bad[0]["depth"] is None
 
 
 def test_positions(spark):
