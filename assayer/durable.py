@@ -13,6 +13,8 @@ from assayer.errors import Refusal
 
 #: Rows measured to be no larger than this travel by broadcast; beyond it Spark plans the join by shuffles.
 BROADCAST_BYTES = 16 << 20
+#: Characters of a plan's text that the driver keeps for each of the many jobs whose rows are cut.
+PLAN_TEXT = "8192"
 
 
 def _shared_folder(df: DataFrame) -> str:
@@ -22,6 +24,7 @@ def _shared_folder(df: DataFrame) -> str:
     whose executors share no such folder, is refused.
     """
     context = df.sparkSession.sparkContext
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
