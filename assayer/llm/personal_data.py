@@ -154,14 +154,18 @@ def base_table(docs: DataFrame) -> DataFrame:
     return cut(rows.select("doc_id", "mark", *[bare(k) for k in KINDS[:-1]], _windows(F.col("text"), "base").alias("windows")))
 
 
-def _some_based(docs: DataFrame, only: DataFrame, *more: str) -> DataFrame:
-    """The rows of ``_based`` of the documents (d, m), to be broadcast if small, with the columns ``more`` of ``only``; repeated rows stay repeated."""
+def _base_places(based: DataFrame) -> DataFrame:
+    """d, m and the places of all base spans of the documents that have any, each document once."""
+    rows = based.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.concat(*KINDS[:-1]).alias("base"))
+    return rows.where(F.size("base") > 0).dropDuplicates(["d", "m"])
+
+
+def _some_texts(docs: DataFrame, only: DataFrame, *more: str) -> DataFrame:
+    """doc_id, mark and text of the documents (d, m) with their ``base`` and the columns ``more`` of ``only``; repeated rows stay repeated."""
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("m"))
     rows = pick(docs, "doc_id", "text").join(only, same)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = rows.select("doc_id", F.col("m").alias("mark"), text.alias("text"), *more)
-    found = base_spans(F.col("text"))
-    return rows.select("doc_id", "mark", "text", *more, *[c.alias(k) for k, c in found.items()]).withColumn("base", F.concat(*found))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return rows.select("doc_id", F.col("m").alias("mark"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("base", none).alias("base"), *more)
 
 
 def _mentions(based: DataFrame) -> DataFrame:
@@ -215,15 +219,16 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _whole(docs: DataFrame, mentions: DataFrame) -> DataFrame:
+def _whole(docs: DataFrame, based: DataFrame, mentions: DataFrame) -> DataFrame:
     """entity, term, n_te, contexts: how many documents mention the entity and hold the free term anywhere, and how many differ in their words.
 
     Only entities with as many mentions as contexts are needed are counted; the others can disclose nothing.
     """
     live = mentions.groupBy("w.entity").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("entity")
     held = cut(mentions.select("doc_id", "mark", F.col("w.entity").alias("entity")).distinct().join(live, "entity", "left_semi"))
-    where = held.select(F.col("doc_id").alias("d"), F.col("mark").alias("m")).distinct()
-    rows = _marked(_some_based(docs, F.broadcast(where) if is_small(held) else where))
+    base = _base_places(based)
+    where = base.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left_semi")
+    rows = _marked(_some_texts(docs, broadcast_if_small(cut(where))))
     free = F.filter(F.regexp_extract_all("marked", F.lit(TERM), F.lit(0)), lambda w: ~w.contains(MARK))
     rows = rows.select("doc_id", "mark", F.array_sort(F.array_distinct(F.transform(free, F.lower))).alias("terms")).dropDuplicates(["doc_id", "mark"])
     rows = rows.select("doc_id", "mark", F.md5(F.array_join("terms", " ").cast("binary")).alias("sign"), F.explode("terms").alias("term"))
@@ -250,7 +255,7 @@ def disclosing(docs: DataFrame, based: DataFrame, mentions: DataFrame, contexts:
     of_entity = mentions.select("doc_id", "mark", "w.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     close = contexts.select("entity", "sign", F.explode(F.array_distinct("near.term")).alias("term"))
     close = close.groupBy("entity", "term").agg(F.countDistinct("sign").alias("contexts"))
-    pairs = _whole(docs, mentions).join(close, ["entity", "term"], "left")
+    pairs = _whole(docs, based, mentions).join(close, ["entity", "term"], "left")
     pairs = cut(pairs.where(F.greatest("apart", "contexts") >= SUPPORT).select("entity", "term", "n_te"))
     # All terms are counted where they stand before any is looked up, so what is joined follows the vocabulary and not the corpus.
     of_term = corpus.select(F.explode(_words(_plain("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
@@ -260,7 +265,7 @@ def disclosing(docs: DataFrame, based: DataFrame, mentions: DataFrame, contexts:
     return joined.where((F.col("n_e") < total) & (told >= DISCLOSED * known)).select("entity", "term")
 
 
-def _told_places(docs: DataFrame, told: DataFrame) -> DataFrame:
+def _told_places(docs: DataFrame, based: DataFrame, told: DataFrame) -> DataFrame:
     """d, m and the sorted places of every free disclosing term, in whichever document it stands; no row for documents without one.
 
     Documents meet the terms on their distinct words; each is then read with the
@@ -270,11 +275,13 @@ def _told_places(docs: DataFrame, told: DataFrame) -> DataFrame:
     terms = F.broadcast(terms) if is_small(told) else terms
     rows = pick(docs, "doc_id", "text")
     held = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("m"), F.explode(_words(_plain("text"))).alias("term")).join(terms, "term", "left_semi")
-    held = cut(held.groupBy("d", "m").agg(F.collect_set("term").alias("told")))
+    base = _base_places(based).select(F.col("d").alias("b_d"), F.col("m").alias("b_m"), "base")
+    same = F.col("d").eqNullSafe(F.col("b_d")) & (F.col("m") == F.col("b_m"))
+    held = cut(held.groupBy("d", "m").agg(F.collect_set("term").alias("told")).join(base, same, "left").select("d", "m", "told", "base"))
     bare = lambda c: F.char_length(F.translate(c, MARK, ""))
     known = lambda w: ~w["value"].contains(MARK) & F.array_contains("told", F.lower(w["value"]))
     found = F.transform(F.filter(places(F.col("marked"), TERM, bare), known), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end")))
-    each = _marked(_some_based(docs, broadcast_if_small(held), "told")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), found.alias("term"))
+    each = _marked(_some_texts(docs, broadcast_if_small(held), "told")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), found.alias("term"))
     return each.where(F.size("term") > 0).dropDuplicates(["d", "m"])
 
 
@@ -288,7 +295,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     if told.isEmpty():
         return rows.withColumn("term", none)
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
-    joined = rows.join(_told_places(docs, told), same, "left")
+    joined = rows.join(_told_places(docs, based, told), same, "left")
     return joined.select("doc_id", "mark", *KINDS[:-1], F.coalesce("term", none).alias("term"))
 
 
