@@ -118,6 +118,19 @@ def provenance_notes(before: dict[str, str], after: dict[str, str]) -> list[tupl
     return notes
 
 
+def notes_of_pairs(pairs: DataFrame, key: str) -> DataFrame:
+    """``key``, side and note of many pairs of runs (columns before and after, each with tool and rules); the same notes as of a single pair."""
+    tool = lambda side: F.coalesce(F.nullif(F.col(f"{side}.tool"), F.lit("")), F.lit("an unknown version"))
+    there = lambda side: F.coalesce(F.col(f"{side}.rules"), F.lit("")) != ""
+    note = lambda side, *parts: F.struct(F.lit(side).alias("side"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("note"))
+    said = F.array_compact(F.array(
+        F.when(~F.col("before.tool").eqNullSafe(F.col("after.tool")), note("before", "written by ", tool("before"), ", the other by ", tool("after"))),
+        *[F.when(~there(side), note(side, "its rules are not recorded")) for side in ("before", "after")],
+        F.when(there("before") & there("after") & (F.col("before.rules") != F.col("after.rules")), note("after", "judged by ", F.col("after.rules"), ", the other by ", F.col("before.rules"))),
+    ))
+    return pairs.select(key, F.explode(said).alias("n")).select(key, "n.side", "n.note")
+
+
 def hash_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """path and change (added, removed, changed) of rule files (path, sha256) whose bytes differ."""
     a, b = before.select("path", F.col("sha256").alias("old")), after.select("path", F.col("sha256").alias("new"))

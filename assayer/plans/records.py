@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import scalars
-from assayer.operators import assist, baseline, compare, findings, provenance, scoring, suggest, texts
+from assayer.operators import assist, baseline, compare, findings, provenance, rule_data, scoring, suggest, texts
 from assayer.plans import queries as q
 from assayer.plans import tables as t
 from assayer.plans.registry import query
@@ -134,11 +134,45 @@ def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumns({c: F.col(c).cast("long") for c in ("raw_bytes", "text_bytes")})
 
 
-@query("""SELECT * FROM (VALUES ('before', 'written by assayer 1, the other by assayer 2'), ('after', 'its rules are not recorded')) v(side, note)""")
+@query("""WITH p AS (SELECT event_id, 'assayer ' || (user_id % 3) AS a, 'assayer ' || (event_id % 3) AS b, CASE event_type WHEN 'view' THEN '' ELSE event_type END AS r, CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 = 1 THEN event_type ELSE 'click' END AS s FROM events)
+SELECT event_id, 'before' AS side, 'written by ' || a || ', the other by ' || b AS note FROM p WHERE a <> b UNION ALL SELECT event_id, 'before', 'its rules are not recorded' FROM p WHERE r = ''
+UNION ALL SELECT event_id, 'after', 'its rules are not recorded' FROM p WHERE s = '' UNION ALL SELECT event_id, 'after', 'judged by ' || s || ', the other by ' || r FROM p WHERE r <> '' AND s <> '' AND r <> s""")
 def provenance_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What has to be said before two reports are compared."""
-    said = compare.provenance_notes({"tool": "assayer 1", "rules": "r"}, {"tool": "assayer 2", "rules": ""})
-    return spark.createDataFrame(said, "side string, note string")
+    """What has to be said before two reports are compared, for a pair of runs of each event."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    before = F.struct(F.concat(F.lit("assayer "), (F.col("user_id") % 3).cast("string")).alias("tool"), F.when(kind == "view", "").otherwise(kind).alias("rules"))
+    after = F.struct(F.concat(F.lit("assayer "), (n % 3).cast("string")).alias("tool"), F.when(n % 4 == 0, "").when(n % 4 == 1, kind).otherwise("click").alias("rules"))
+    pairs = t.table(spark, sf_dir, "events").select("event_id", before.alias("before"), after.alias("after"))
+    return compare.notes_of_pairs(pairs, "event_id")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text || marked) AS sha256, CAST(octet_length(encode(text || marked)) AS BIGINT) AS size,
+  CASE WHEN contains(text || marked, '<!DOCTYPE') THEN 'carries <!DOCTYPE' WHEN contains(text || marked, '<!ENTITY') THEN 'carries <!ENTITY' END AS refusal
+FROM (SELECT doc_id, text, CASE doc_id % 5 WHEN 0 THEN '<!DOCTYPE x>' WHEN 1 THEN '<!ENTITY y>' ELSE '' END AS marked FROM documents WHERE text IS NOT NULL)""")
+def candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest, size and refusal of every file of a candidate."""
+    n = F.col("doc_id") % 5
+    content = F.concat("text", F.when(n == 0, "<!DOCTYPE x>").when(n == 1, "<!ENTITY y>").otherwise("")).cast("binary")
+    return rule_data.records(t.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("name"), content.alias("content")))
+
+
+@query("""SELECT part, count(*) AS n, array_to_string(list_sort(list(line)), ';') AS lines FROM (
+  SELECT 'files' AS part, p_brand || ': ' || coalesce(left(b, 12), '(absent)') || ' -> ' || coalesce(left(a, 12), '(absent)') AS line FROM (
+    SELECT p_brand, max(CASE WHEN p_brand NOT LIKE '%3' THEN sha256(p_brand) END) AS b, max(CASE WHEN p_brand NOT LIKE '%4' THEN sha256(CASE WHEN p_brand LIKE '%2' THEN 'new' ELSE '' END || p_brand) END) AS a FROM part GROUP BY p_brand) WHERE a IS DISTINCT FROM b
+  UNION ALL SELECT change, identifier || ' (' || rule_kind || ')' FROM (SELECT p_type AS rule_kind, CAST(p_partkey AS VARCHAR) AS identifier, unnest(list_filter([CASE WHEN p_partkey % 10 = 0 THEN 'removed' END,
+    CASE WHEN p_partkey % 10 = 1 THEN 'added' END, CASE WHEN p_partkey % 10 > 1 AND p_size % 5 = 0 THEN 'releveled' END], lambda x: x IS NOT NULL)) AS change FROM part)) GROUP BY part""")
+def difference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a difference between two releases of rules: files whose bytes differ and constraints that changed."""
+    parts = t.table(spark, sf_dir, "part")
+    brands = parts.select(F.col("p_brand").alias("name")).distinct()
+    old = brands.where("name NOT LIKE '%3'").withColumn("sha256", F.sha2("name", 256))
+    new = brands.where("name NOT LIKE '%4'").withColumn("sha256", F.sha2(F.concat(F.when(F.col("name").like("%2"), "new").otherwise(""), "name"), 256))
+    n = F.col("p_partkey")
+    declared = [n.cast("int").alias("rule"), F.col("p_type").alias("rule_kind"), n.cast("string").alias("identifier"), F.lit("part").alias("declared_on"), F.lit(".").alias("target"), F.lit("").alias("skipped")]
+    before = parts.where("p_partkey % 10 != 1").select(*declared, F.lit("ERROR").alias("severity"))
+    after = parts.where("p_partkey % 10 != 0").select(*declared, F.when(F.col("p_size") % 5 == 0, "INFO").otherwise("ERROR").alias("severity"))
+    lines = rule_data.difference_lines(compare.compare_rules(before, after), rule_data.changed_files(old, new))
+    return lines.withColumn("lines", F.array_join("lines", ";"))
 
 
 # -- texts and replies --------------------------------------------------------------------
