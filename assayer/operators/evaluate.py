@@ -324,7 +324,7 @@ def _key_texts(pack: RulePack, key: KeyField) -> Column:
     if key.pattern is not None:
         start = f"^(?:{key.pattern})"
         group = F.lit(1 if re.compile(key.pattern).groups else 0)
-        texts = F.transform(F.filter(texts, lambda x: x.rlike(start)), lambda x: F.regexp_extract_all(x, F.lit(start), group)[0])
+        texts = F.transform(F.filter(texts, lambda x: x.rlike(start)), lambda x: F.get(F.regexp_extract_all(x, F.lit(start), group), F.lit(0)))
     return F.when(F.size(texts) == 0, F.array(F.lit(None).cast("string"))).otherwise(texts)
 
 
@@ -437,7 +437,7 @@ def typed_nodes(rows: DataFrame, pack: RulePack, typed: bool, tests: list[Test],
     top = roots(rows.where("error IS NULL"))
     none = F.lit(None).cast("string")
     top = top.withColumns({
-        "model": F.filter(F.map_keys("m"), lambda n: n.isin(*pack.schema.models))[0], "state": F.lit(TOP), "outcome": F.lit("top"), "notes": F.array().cast(NOTE), "title": none,
+        "model": F.get(F.filter(F.map_keys("m"), lambda n: n.isin(*pack.schema.models)), F.lit(0)), "state": F.lit(TOP), "outcome": F.lit("top"), "notes": F.array().cast(NOTE), "title": none,
         "datatype": none, "enums": no_texts(), "stands": F.lit(True), "nested": F.lit(False), "way": F.array(F.lit("")), "ways": F.array(F.lit("")), "passed": F.array(F.array().cast("array<int>")),
     })
     table = F.broadcast(transitions(rows.sparkSession, pack.schema)) if typed else None
