@@ -29,7 +29,7 @@ from assayer.llm.vocabulary import Vocabulary, byte_letters, finder
 #: Fixed value: the pre-token pattern of the published byte vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces remembered by a worker, the longest remembered piece, and remembered pairs.
-MEMORY, MEMORY_PIECE, MEMORY_PAIRS = 300_000, 40, 500_000
+MEMORY, MEMORY_PIECE, MEMORY_PAIRS = 60_000, 40, 200_000
 
 
 class Codec(dict):
