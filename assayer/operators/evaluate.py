@@ -457,6 +457,17 @@ def typed_nodes(rows: DataFrame, pack: RulePack, typed: bool, tests: list[Test],
     return nodes.where((F.col("depth") == 0) | (F.get("order", F.lit(0)) == F.col("model")))
 
 
+#: What facts are made of; members and items of containers are not.
+USED = ("doc_id", "depth", "pointer", "raw", "name", "jtype", "order", "place", "model", "notes", "outcome", "title", "datatype", "enums", "stands", "way", "ways", "passed")
+
+
+def _of_use(nodes: DataFrame, typed: bool, spoken: list[str]) -> DataFrame:
+    """The nodes that facts can come from: those the schema has something to say of, and those on whose name a step can stand."""
+    told = (F.size("notes") > 0) | (F.col("outcome") == "scalar") if typed else F.lit(False)
+    stood = F.col("stands") & F.element_at("way", -1).isin(*spoken) if spoken else F.lit(False)
+    return nodes.where(told | stood).select(*USED, F.when(stood | (F.col("outcome") == "scalar"), F.col("v")).alias("v"))
+
+
 def evaluate(documents: DataFrame, pack: RulePack, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """Facts of every document (doc_id, text), or those of some kinds only, which saves the work for the others."""
     wanted = set(kinds or (*STRUCTURE, *PICKED, "model", "error"))
@@ -473,7 +484,8 @@ def evaluate(documents: DataFrame, pack: RulePack, kinds: tuple[str, ...] | None
     typed = bool(wanted & set(STRUCTURE))
     if typed or rules:
         tests = _tests(pack, rules)
-        nodes = typed_nodes(rows, pack, typed, tests, rules)
+        # Descended once, for the ways and both kinds of facts to read, however often a run reads those.
+        nodes = cut(_of_use(typed_nodes(rows, pack, typed, tests, rules), typed, _spoken(pack, rules) if rules else []))
         if typed:
             parts.append(_typed_facts(nodes))
         if rules:
