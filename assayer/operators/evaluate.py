@@ -30,6 +30,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from assayer.durable import cut
 from assayer.errors import Refusal
@@ -58,6 +59,22 @@ STATE = (
 TRANSITIONS = f"_state int, _step string, _listed boolean, s struct<{STATE}>"
 
 
+def _told_as(value: Any, kind: DataType) -> Any:
+    """A value as JSON has it: tuples under the names of their fields."""
+    if value is None:
+        return None
+    if isinstance(kind, StructType):
+        return {f.name: _told_as(v, f.dataType) for f, v in zip(kind.fields, value, strict=True)}
+    return [_told_as(v, kind.elementType) for v in value] if isinstance(kind, ArrayType) else value
+
+
+def fixed_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver knows, as a literal of the plan: no worker outside the JVM hands them over."""
+    kind = StructType.fromDDL(schema)
+    text = json.dumps([_told_as(r, kind) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), ArrayType(kind))))
+
+
 class States:
     """The states of a schema that documents can reach, as rows of the transition table."""
 
@@ -117,7 +134,7 @@ class States:
 
 def transitions(spark: SparkSession, schema: Schema) -> DataFrame:
     """The transition table of a schema."""
-    return spark.createDataFrame(States(schema).rows, TRANSITIONS)
+    return fixed_rows(spark, States(schema).rows, TRANSITIONS)
 
 
 def _names() -> Column:
@@ -300,7 +317,7 @@ def _dictionary(spark: SparkSession, pack: RulePack, rules: list[int], ways: lis
         if held:
             rows.append((list(way), held))
     kind = MATCH.replace(", ", ",").replace(" ", ":")
-    return spark.createDataFrame(rows, f"way array<string>, matches array<struct<{kind}>>")
+    return fixed_rows(spark, rows, f"way array<string>, matches array<struct<{kind}>>")
 
 
 def _holding(matches: Column) -> Column:

@@ -27,6 +27,8 @@ from assayer.durable import cut
 DEEPEST, TOGETHER = 200, 8
 #: Digits from which a whole number is kept as a decimal.
 LONG_DIGITS = 19
+#: Bytecode of the largest method that the JVM compiles; levels joined into a larger one would be interpreted.
+COMPILED = "8000"
 
 
 def escaped(token: str) -> str:
@@ -40,7 +42,10 @@ def _escaped(name: Column) -> Column:
 
 def json_kind(v: Column) -> Column:
     """The JSON type of a VARIANT that is no container; true is never an integer."""
-    said = F.schema_of_variant(v)
+    return _kind_of(F.schema_of_variant(v))
+
+
+def _kind_of(said: Column) -> Column:
     whole = (said == "BIGINT") | (F.regexp_extract(said, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int") >= LONG_DIGITS)
     return F.when(said == "STRING", "string").when(said == "BOOLEAN", "boolean").when(said == "VOID", "null").when(whole, "integer").otherwise("number")
 
@@ -64,7 +69,9 @@ def items(v: Column) -> Column:
 
 def read(documents: DataFrame) -> DataFrame:
     """doc_id, v (null where the document is refused), levels below the root, and error."""
-    documents.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    settings = documents.sparkSession.conf
+    settings.set("spark.sql.variant.allowDuplicateKeys", "true")
+    settings.set("spark.sql.codegen.hugeMethodLimit", COMPILED)
     bare = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\\.", ""), r'"[^"]*+"', "")
     brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
     step = lambda a, c: F.struct(
@@ -119,10 +126,14 @@ def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame
         name = F.when(own, F.col("name")).otherwise(F.col("c.name"))
         # Items of an array stand beside each other under its name, so the array itself adds nothing to places.
         spot = lambda last: F.concat("deep", F.array(name, F.lit(last), sorted_))
-        m, a, kind = _opened(F.col("c.v"))
+        # Columns of their own, so that a value is opened once however many columns ask for it.
+        rows = rows.withColumns({"c_m": members(F.col("c.v")), "c_a": items(F.col("c.v"))})
+        m, a = F.col("c_m"), F.col("c_a")
+        rows = rows.withColumn("c_said", F.when(m.isNull() & a.isNull(), F.schema_of_variant(F.col("c.v"))))
+        kind = F.when(m.isNotNull(), "object").when(a.isNotNull(), "array").otherwise(_kind_of(F.col("c_said")))
         array = new & ~own & a.isNotNull()
         keep = lambda column, value: F.when(new, value).otherwise(F.col(column)).alias(column)
-        taken = {"fresh", "depth", "pointer", "raw", "above", "name", "item", "order", "place", "deep", "v", "m", "a", "jtype", "c"}
+        taken = {"fresh", "depth", "pointer", "raw", "above", "name", "item", "order", "place", "deep", "v", "m", "a", "jtype", "c", "c_m", "c_a", "c_said"}
         rows = rows.select(
             *[c for c in rows.columns if c not in taken], new.alias("fresh"), keep("depth", F.col("depth") + 1), keep("above", F.col("raw")),
             keep("pointer", F.concat("pointer", F.lit("/"), _escaped(token))), keep("raw", F.concat("raw", F.lit("/"), token)),
