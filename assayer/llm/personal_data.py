@@ -82,6 +82,25 @@ def places(text: Column, pattern: str, length=F.char_length) -> Column:
     return F.flatten(F.transform(walked, lambda a: a["out"]))
 
 
+#: Code points of the blocks in which a text is cut where many parts of it are read; a part is found without counting from the start.
+BLOCK = 1024
+
+
+def _parts(text: Column, read) -> Column:
+    """``read(part)`` where ``part(start, end)`` is that part of the text, by code points; linear in the text and the parts."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+
+    def of(held: Column) -> Column:
+        def part(start: Column, end: Column) -> Column:
+            first = F.floor(start / BLOCK).cast("int")
+            few = F.slice(held, first + 1, F.floor(F.greatest(start, end - 1) / BLOCK).cast("int") - first + 1)
+            return F.substring(F.array_join(few, ""), start - first * BLOCK + 1, end - start)
+
+        return read(part)
+
+    return F.get(F.transform(F.array(blocks), of), F.lit(0))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -112,15 +131,19 @@ def base_spans(text: Column) -> dict[str, Column]:
 def _windows(text: Column, spans: str) -> Column:
     """For each span its value, its place and the texts within reach before and after it; the column size is the text's length."""
 
-    def window(span: Column) -> Column:
-        low = F.greatest(F.lit(0), span["start"] - REACH)
-        return F.struct(
-            span["value"].alias("entity"), span["start"].alias("start"), span["end"].alias("end"), low.alias("low"),
-            F.substring(text, low + 1, span["start"] - low).alias("before"), F.substring(text, span["end"] + 1, F.lit(REACH)).alias("after"),
-            (span["end"] + REACH >= F.col("size")).alias("last"),
-        )
+    def windows(part) -> Column:
+        def window(span: Column) -> Column:
+            low = F.greatest(F.lit(0), span["start"] - REACH)
+            return F.struct(
+                span["value"].alias("entity"), span["start"].alias("start"), span["end"].alias("end"), low.alias("low"),
+                part(low, span["start"]).alias("before"), part(span["end"], span["end"] + REACH).alias("after"),
+                (span["end"] + REACH >= F.col("size")).alias("last"),
+            )
+
+        return F.transform(spans, window)
 
-    return F.transform(spans, window)
+    kind = "struct<entity:string,start:int,end:int,low:int,before:string,after:string,last:boolean>"
+    return F.when(F.size(spans) > 0, _parts(text, windows)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _near_terms(window: str) -> Column:
@@ -202,9 +225,9 @@ def _marked(based: DataFrame) -> DataFrame:
     """
     shown = lambda s: F.regexp_replace(s["value"], "([A-Za-z-])", f"$1{MARK}")
     merged = united(F.array_sort(F.transform("base", lambda s: F.struct(s["start"], s["end"], F.lit("").alias("shown")))))
-    rows = based.withColumn("apart", merged)
-    value = lambda s: F.struct(s["start"], s["end"], F.substring(F.col("plain"), s["start"] + 1, s["end"] - s["start"]).alias("value"))
-    rows = rows.withColumn("plain", _plain("text")).withColumn("apart", F.transform("apart", value))
+    rows = based.withColumn("apart", merged).withColumn("plain", _plain("text"))
+    value = lambda part: F.transform("apart", lambda s: F.struct(s["start"], s["end"], part(s["start"], s["end"]).alias("value")))
+    rows = rows.withColumn("apart", F.when(F.size("base") > 0, _parts(F.col("plain"), value)))
     rows = rows.withColumn("apart", F.transform("apart", lambda s: F.struct(s["start"], s["end"], shown(s).alias("shown"))))
     return rows.withColumn("marked", F.when(F.size("base") > 0, rewritten(F.col("plain"), "apart")).otherwise(F.col("plain")))
 
@@ -334,17 +357,16 @@ def united(spans: Column) -> Column:
 
 def rewritten(text: Column, spans: str) -> Column:
     """The text with each of the spans in the named column, in order and apart, replaced by its ``shown``."""
-    until = lambda i: F.get(spans, i - 1)["end"]
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.size(spans)),
-        lambda i: F.when(i == F.size(spans), F.substring(text, F.coalesce(until(i), F.lit(0)) + 1, F.char_length(text))).otherwise(
-            F.concat(
-                F.substring(text, F.coalesce(until(i), F.lit(0)) + 1, F.get(spans, i)["start"] - F.coalesce(until(i), F.lit(0))),
-                F.get(spans, i)["shown"],
-            )
-        ),
-    )
-    return F.array_join(pieces, "")
+    until = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    length = F.char_length(text)
+
+    def pieces(part) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(spans)),
+            lambda i: F.concat(part(until(i), F.coalesce(F.get(spans, i)["start"], length)), F.coalesce(F.get(spans, i)["shown"], F.lit(""))),
+        )
+
+    return F.array_join(_parts(text, pieces), "")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

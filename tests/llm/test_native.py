@@ -197,6 +197,20 @@ def test_terms_far_from_their_entity_go_wherever_they_stand(make_docs):
     assert clean[500] == " says " and not any("Quimby" in clean[k] for k in range(20))
 
 
+def test_texts_of_many_mentions(make_docs):
+    """Parts of a text are cut at code points, wherever blocks of it end, and cost no count from its start."""
+    gaps = ["\U0001f600 to ", "é " * 700, " ", "x " * 511, "\U0001f600" * 1024 + " "]
+    texts = ["".join(f"u{k}@ex{k % 7}.org {gaps[k % 5]}" for k in range(300)), "a@b.c \U0001f600 " * 20_000, "a@b.c", "\U0001f600" * 1023 + " a@b.c", " " * 1024 + "a@b.c"]
+    docs = make_docs(list(enumerate(texts)))
+    clean = {r.doc_id: r.text for r in personal_data.sanitise(docs.where("doc_id < 2")).collect()}
+    assert clean == {k: re.sub(r"\S+@\S+", "[EMAIL]", t) for k, t in enumerate(texts[:2])}
+    for row in personal_data.base_table(docs).where("doc_id != 1").collect():
+        text = texts[row.doc_id]
+        assert len(row.windows) == text.count("@")
+        for w in row.windows:
+            assert (w.entity, w.before, w.after) == (text[w.start : w.end], text[max(0, w.start - 60) : w.start], text[w.end : w.end + 60])
+
+
 def test_overlapping_spans_leave_no_character(make_docs):
     texts = [
         "call +15551234567@mail.com now", "4111111111111111.jane.doe@corp.com", "+1 555 123 4567.jane@corp.com", "é +1 10.0.0.1 555 1234@x.org ü",
