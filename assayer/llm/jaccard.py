@@ -92,12 +92,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return table(map_texts(rows, make, "n long, s1 long, s2 long, sketch array<bigint>", ("key", "doc_id", "mark")))
 
 
+def _counted(held: DataFrame) -> DataFrame:
+    """The rows whose shingle others have too, with how many do (times): counted where the rows lie, so they are shuffled once."""
+    return held.withColumn("times", F.count("*").over(Window.partitionBy("shingle"))).where("times > 1")
+
+
 def _partnered(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, doc_id and mark of the sets that may have a partner."""
     first = broadcast_if_small(nodes.select(F.col("node").alias("key")))
     held = rows.where("n > 0").join(first, "key", "left_semi").select(F.col("key").alias("node"), "n", F.explode("sketch").alias("shingle"))
-    shared = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
-    met = held.join(shared.hint("merge"), "shingle", "left_semi").groupBy("node", "n").agg(F.count("*").alias("met"))
+    met = _counted(held).groupBy("node", "n").agg(F.count("*").alias("met"))
     some = cut(met.where(F.expr(f"met >= greatest(1, {NEEDED} div 10)")).select(F.col("node").alias("key")))
     return cut(rows.join(broadcast_if_small(some), "key", "left_semi").select(F.col("key").alias("node"), "doc_id", "mark"))
 
@@ -108,14 +112,19 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("m"))
     texts = pick(docs, "doc_id", "text").join(who, same).select("node", "text")
     made = map_texts(texts, lambda: lambda texts: {"shingles": [shingles(t) for t in texts]}, "shingles array<bigint>", ("node",))
-    return table(made.dropDuplicates(["node"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles"))
+    sets = table(made.select("node", F.size("shingles").cast("long").alias("n"), "shingles"))
+    # Rows that repeat an id and its text give their set more than once; only these are shuffled.
+    twice = cut(sets.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").select("node"))
+    if twice.isEmpty():
+        return sets
+    twice = broadcast_if_small(twice)
+    return sets.join(twice, "node", "left_anti").unionByName(table(sets.join(twice, "node", "left_semi").dropDuplicates(["node"])))
 
 
 def _regions(sets: DataFrame) -> DataFrame:
     """region (its first pivot), node and n: every set in the regions of its boundary."""
     each = sets.select("node", "n", F.explode("shingles").alias("shingle"))
-    times = each.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
-    known = each.join(times.hint("merge"), "shingle")
+    known = _counted(each)
     mine = Window.partitionBy("node")
     # Shingles that nobody else has come first in the order of rarity: they fill places of the boundary that lead nowhere.
     alone = F.col("n") - F.count("*").over(mine)

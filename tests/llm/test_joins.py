@@ -106,6 +106,20 @@ def test_join_without_broadcast(spark, make_docs, monkeypatch):
     assert Counter(map(tuple, jaccard.near_duplicates(make_docs(docs)).collect())) == joined(docs)
 
 
+def test_shingles_are_shuffled_once(spark):
+    held = spark.createDataFrame([(1, 2, 5), (1, 2, 6), (2, 1, 5), (3, 1, 7)], "node long, n long, shingle long")
+    counted = jaccard._counted(held)
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, counted.collect())) == [(1, 2, 5, 2), (2, 1, 5, 2)]
+
+
+def test_repeated_rows_give_their_set_once(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(7, text), (7, text), (8, text + " more")], "doc_id long, text string")
+    wanted = docs.select(F.col("doc_id").alias("node"), "doc_id", F.xxhash64("text").alias("mark")).distinct()
+    assert sorted(r["node"] for r in jaccard._sets(docs, wanted).collect()) == [7, 8]
+
+
 def test_regions_give_every_connection():
     rnd = np.random.default_rng(4)
     for _ in range(30):
