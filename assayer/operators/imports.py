@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.durable import cut
+from assayer.durable import broadcast_if_small, cut
 from assayer.functions.scalars import file_name, fragment_of, path_of, stem
 
 #: Pointer segments below which an href imports a document, and the scalar that does so by itself.
@@ -42,27 +42,55 @@ def named_edges(scalars: DataFrame) -> DataFrame:
     return joined.select("doc_id", "pointer", "href", F.coalesce("own", "linked").alias("target_name"))
 
 
-def documents_by_name(documents: DataFrame) -> DataFrame:
-    """member, file, stem of every supplied document; the id is its path."""
+def answering(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """how (0 by full name, 1 by stem), answer, member: the supplied documents that answer to names which ``wanted`` (target_name) asks for."""
+    both = lambda full, loose: F.inline(F.array(F.struct(F.lit(0).alias("how"), full.alias("answer")), F.struct(F.lit(1).alias("how"), loose.alias("answer"))))
+    names = wanted.select("target_name").where("target_name IS NOT NULL").distinct()
+    asked = broadcast_if_small(cut(names.select(both(F.col("target_name"), stem(F.col("target_name")))).distinct()))
     file = F.substring_index("doc_id", "/", -1)
-    return documents.select(F.col("doc_id").alias("member"), file.alias("file"), stem(file).alias("stem")).distinct()
+    each = documents.select(F.col("doc_id").alias("member"), both(file, stem(file)))
+    return cut(each.join(asked, ["how", "answer"], "left_semi").distinct())
+
+
+def answered(asking: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges of (primary, doc_id) with ``n_candidates``, how many ``members`` answer by full name, failing that by stem, and ``resolved_to``, the only one; a primary never answers itself.
+
+    Each name is counted once, with its first and last member, so an edge meets one
+    row however many documents share its name.
+    """
+    by_name = broadcast_if_small(cut(members.groupBy("how", "answer").agg(F.count("*").alias("n"), F.min("member").alias("first"), F.max("member").alias("last"))))
+    themselves = broadcast_if_small(members)
+    found = asking.select("primary", "doc_id", "pointer", "href", "target_name").distinct()
+    for how, name in ((0, F.col("target_name")), (1, stem(F.col("target_name")))):
+        found = found.withColumn("answer", name)
+        held = by_name.where(F.col("how") == how).select("answer", F.col("n").alias(f"n_{how}"), "first", "last")
+        itself = themselves.where(F.col("how") == how).select("answer", F.col("member").alias("primary"), F.lit(True).alias("itself"))
+        found = found.join(held, "answer", "left").join(itself, ["answer", "primary"], "left")
+        found = found.withColumns({
+            f"n_{how}": F.coalesce(F.col(f"n_{how}"), F.lit(0)) - F.when(F.col("itself"), 1).otherwise(0),
+            f"only_{how}": F.when(F.col("itself") & (F.col("first") == F.col("primary")), F.col("last")).otherwise(F.col("first")),
+        }).drop("first", "last", "itself", "answer")
+    full = F.col("n_0") > 0
+    found = found.withColumns({"by_name": full, "n_candidates": F.when(full, F.col("n_0")).otherwise(F.col("n_1")), "only": F.when(full, F.col("only_0")).otherwise(F.col("only_1"))})
+    only = F.when(F.col("n_candidates") == 1, F.col("only")).alias("resolved_to")
+    return found.select("primary", "doc_id", "pointer", "href", "target_name", "n_candidates", "by_name", only)
+
+
+def with_candidates(found: DataFrame, members: DataFrame) -> DataFrame:
+    """``answered`` edges, cut, with the list of their ``candidates``; only edges with several look it up."""
+    several = found.where("n_candidates > 1").withColumns({"how": F.when(F.col("by_name"), 0).otherwise(1), "answer": F.when(F.col("by_name"), F.col("target_name")).otherwise(stem(F.col("target_name")))})
+    lone = F.when(F.col("resolved_to").isNull(), F.array().cast("array<string>")).otherwise(F.array("resolved_to"))
+    if several.isEmpty():
+        return found.withColumn("candidates", lone).drop("by_name")
+    lists = members.groupBy("how", "answer").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    listed = several.join(lists, ["how", "answer"]).withColumn("candidates", F.filter("members", lambda m: m != F.col("primary"))).drop("members", "how", "answer")
+    return listed.unionByName(found.where("n_candidates <= 1").withColumn("candidates", lone)).drop("by_name")
 
 
 def matched(asking: DataFrame, documents: DataFrame) -> DataFrame:
     """Edges of (primary, doc_id) with their candidates: by full name, failing that by stem; a primary never answers itself."""
-    known = documents_by_name(documents)
-    exact = known.select("member", F.col("file").alias("answer"), F.lit(0).alias("how"))
-    loose = known.select("member", F.col("stem").alias("answer"), F.lit(1).alias("how"))
-    wanted = asking.withColumn("wants", F.array(F.struct(F.lit(0).alias("how"), F.col("target_name").alias("answer")), F.struct(F.lit(1).alias("how"), stem(F.col("target_name")).alias("answer"))))
-    wanted = wanted.select("*", F.inline("wants")).drop("wants")
-    met = wanted.join(exact.unionByName(loose), ["how", "answer"], "left").withColumn("member", F.when(F.col("member") != F.col("primary"), F.col("member")))
-    found = met.groupBy("primary", "doc_id", "pointer", "href", "target_name").agg(
-        F.array_sort(F.collect_set(F.when(F.col("how") == 0, F.col("member")))).alias("full"),
-        F.array_sort(F.collect_set(F.when(F.col("how") == 1, F.col("member")))).alias("loose"),
-    )
-    candidates = F.when(F.size("full") > 0, F.col("full")).otherwise(F.col("loose"))
-    found = found.withColumn("candidates", candidates)
-    return found.withColumn("resolved_to", F.when(F.size("candidates") == 1, F.get("candidates", F.lit(0)))).drop("loose", "full")
+    members = answering(asking, documents)
+    return with_candidates(cut(answered(asking, members)), members)
 
 
 def closure(primaries: DataFrame, scalars: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,16 +102,16 @@ def closure(primaries: DataFrame, scalars: DataFrame, documents: DataFrame) -> t
     named = cut(named_edges(scalars))
     frontier = primaries.select(F.col("doc_id").alias("primary"), "doc_id").distinct()
     reached = cut(frontier.withColumn("hops", F.lit(0)))
+    members = answering(named, documents)
     met, hops, frontier = None, 0, reached
     while True:
-        asked = matched(frontier.select("primary", "doc_id").join(named, "doc_id"), documents)
-        step = cut(asked)
+        step = cut(answered(frontier.select("primary", "doc_id").join(named, "doc_id"), members))
         met = step if met is None else met.unionByName(step)
         hops += 1
         new = step.where(F.col("resolved_to").isNotNull()).select("primary", F.col("resolved_to").alias("doc_id")).distinct()
         frontier = cut(new.join(reached.select("primary", "doc_id"), ["primary", "doc_id"], "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
-            return met, reached
+            return with_candidates(met, members), reached
         reached = reached.unionByName(frontier)
 
 
@@ -91,7 +119,7 @@ def status(found: DataFrame) -> DataFrame:
     """Edges with their code: resolved, ambiguous or not supplied."""
     code = (
         F.when(F.col("resolved_to").isNotNull(), "IMPORT_RESOLVED")
-        .when(F.size("candidates") > 1, "IMPORT_AMBIGUOUS")
+        .when(F.col("n_candidates") > 1, "IMPORT_AMBIGUOUS")
         .otherwise("IMPORT_NOT_SUPPLIED")
     )
     return found.withColumn("code", code)

@@ -427,8 +427,8 @@ def import_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplied = parts.select(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit("/"), "p_name", F.lit(".json")).alias("doc_id"))
     key = F.col("p_partkey").cast("string")
     asking = parts.select(key.alias("primary"), key.alias("doc_id"), F.lit("/x/imports/0/href").alias("pointer"), F.col("p_name").alias("href"), F.concat("p_name", F.lit(".xml")).alias("target_name"))
-    found = imports.status(imports.matched(asking, supplied))
-    return found.select("doc_id", F.size("candidates").cast("long").alias("candidates"), "code")
+    found = imports.status(imports.answered(asking, imports.answering(asking, supplied)))
+    return found.select("doc_id", F.col("n_candidates").cast("long").alias("candidates"), "code")
 
 
 CHAIN = """WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer

@@ -315,6 +315,20 @@ def test_import_cycles_end(spark):
     assert met.where("primary = 'a.json' AND href = 'a.json' AND resolved_to IS NULL").count() == 1
 
 
+def test_names_that_many_documents_share_are_counted_once(spark):
+    docs = spark.createDataFrame([(f"p/{k}/x.json",) for k in range(5)] + [("q/y.json",), ("r/y.xml",), ("r/y.xml",), ("z.json",)], "doc_id string")
+    asking = [("p/0/x.json", "x.json"), ("a.json", "x.json"), ("a.json", "x.xml"), ("q/y.json", "y.json"), ("a.json", "y.xml"), ("a.json", "y.txt"), ("z.json", "z.xml"), ("a.json", None), ("a.json", "none")]
+    edges = spark.createDataFrame([(p, p, "/h", n, n) for p, n in asking], "primary string, doc_id string, pointer string, href string, target_name string")
+    members = imports.answering(edges, docs)
+    counted = {(r["primary"], r["target_name"]): (r["n_candidates"], r["resolved_to"]) for r in imports.answered(edges, members).collect()}
+    assert counted == {
+        ("p/0/x.json", "x.json"): (4, None), ("a.json", "x.json"): (5, None), ("a.json", "x.xml"): (5, None), ("q/y.json", "y.json"): (1, "r/y.xml"), ("a.json", "y.xml"): (1, "r/y.xml"),
+        ("a.json", "y.txt"): (2, None), ("z.json", "z.xml"): (0, None), ("a.json", None): (0, None), ("a.json", "none"): (0, None),
+    }
+    listed = {(r["primary"], r["target_name"]): r["candidates"] for r in imports.matched(edges, docs).collect()}
+    assert {k: len(v) for k, v in listed.items()} == {k: n for k, (n, _) in counted.items()} and listed["p/0/x.json", "x.json"] == [f"p/{k}/x.json" for k in range(1, 5)]
+
+
 def test_back_matter_links(spark):
     rows = [("p.json", 0, "/m/back-matter/resources/0/uuid", "uuid", "string", "u1"), ("p.json", 1, "/m/back-matter/resources/0/rlinks/0/href", "href", "string", "#x"), ("p.json", 2, "/m/back-matter/resources/0/rlinks/1/href", "href", "string", "https://h/x/cat.xml?q#f"), ("p.json", 3, "/m/imports/0/href", "href", "string", "#u1")]
     scalars = spark.createDataFrame(rows, "doc_id string, ord int, pointer string, name string, jtype string, value string")
