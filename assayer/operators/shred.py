@@ -73,11 +73,10 @@ def read(documents: DataFrame) -> DataFrame:
     settings.set("spark.sql.variant.allowDuplicateKeys", "true")
     settings.set("spark.sql.codegen.hugeMethodLimit", COMPILED)
     bare = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\\.", ""), r'"[^"]*+"', "")
-    brackets = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
-    step = lambda a, c: F.struct(
-        (a["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most")
-    )
-    most = F.aggregate(brackets, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    # Runs of brackets: how deep it is after each is the number that stands before it and its own length up or down.
+    runs = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[{]++|[\]}]++"), F.lit(0)), lambda r: F.when(F.left(r, F.lit(1)).isin("[", "{"), F.char_length(r)).otherwise(-F.char_length(r)))
+    step = lambda a, n: F.struct((a["now"] + n).alias("now"), F.greatest(a["most"], a["now"] + n).alias("most"))
+    most = F.aggregate(runs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", most.alias("levels"))
     deep = F.col("levels") > DEEPEST
     rows = rows.select("doc_id", "levels", F.when(~deep, F.try_parse_json("text")).alias("v"))
@@ -102,24 +101,30 @@ def roots(read_rows: DataFrame) -> DataFrame:
     m, a, kind = _opened(F.col("v"))
     return read_rows.where("v IS NOT NULL").select(
         "doc_id", "v", m.alias("m"), a.alias("a"), kind.alias("jtype"), F.lit(True).alias("fresh"), F.lit(0).alias("depth"), F.lit("").alias("pointer"), F.lit("").alias("raw"), F.lit(None).cast("string").alias("above"),
-        F.lit("").alias("name"), F.lit(None).cast("int").alias("item"), none.alias("order"), none.alias("place"), none.alias("deep"),
+        F.lit("").alias("name"), F.lit(None).cast("int").alias("item"), none.alias("order"), none.alias("place"), none.alias("deep"), F.coalesce(F.size(m), F.size(a), F.lit(0)).alias("size"),
     )
 
 
-def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame] | None = None, whole: Callable[[Column], Column] | None = None) -> DataFrame:
     """All nodes at and below the given fresh ones; ``enter`` gives each level's new rows (``fresh``) what they take from the node above.
 
     ``enter`` finds the columns of the node above as they were and must keep them for rows that are not fresh.
+    Of the columns of ``roots`` only those that the rows have are made. ``v`` is kept of scalars, and of containers
+    whose name ``whole`` accepts. Rows that are done leave the chain wherever it is cut.
     """
     entry = "array<struct<name:string,item:int,v:variant>>"
+    done: list[DataFrame] = []
     for level in range(levels):
         if level and level % TOGETHER == 0:
             rows = cut(rows)
+            done.append(rows.where("NOT fresh").drop("m", "a"))
+            rows = rows.where("fresh")
         named = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), F.lit(None).cast("int").alias("item"), e["value"].alias("v")))
         numbered = F.transform("a", lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), i.alias("item"), x.alias("v")))
         below = F.when(F.col("fresh"), F.coalesce(named, numbered)).otherwise(F.array().cast(entry))
         itself = F.array(F.lit(None).cast("struct<name:string,item:int,v:variant>"))
-        rows = rows.withColumn("c", F.explode(F.concat(itself, F.coalesce(below, F.array().cast(entry)))))
+        # Never empty; as an outer one it is not looked through for a filter, which would make the array twice.
+        rows = rows.withColumn("c", F.explode_outer(F.concat(itself, F.coalesce(below, F.array().cast(entry)))))
         new, own = F.col("c").isNotNull(), F.col("c.item").isNotNull()
         token = F.when(own, F.col("c.item").cast("string")).otherwise(F.col("c.name"))
         sorted_ = F.when(own, F.lpad(F.col("c.item").cast("string"), 10, "0")).otherwise(F.lit(""))
@@ -129,19 +134,24 @@ def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame
         # Columns of their own, so that a value is opened once however many columns ask for it.
         rows = rows.withColumns({"c_m": members(F.col("c.v")), "c_a": items(F.col("c.v"))})
         m, a = F.col("c_m"), F.col("c_a")
-        rows = rows.withColumn("c_said", F.when(m.isNull() & a.isNull(), F.schema_of_variant(F.col("c.v"))))
+        bare = m.isNull() & a.isNull()
+        rows = rows.withColumn("c_said", F.when(bare, F.schema_of_variant(F.col("c.v"))))
         kind = F.when(m.isNotNull(), "object").when(a.isNotNull(), "array").otherwise(_kind_of(F.col("c_said")))
         array = new & ~own & a.isNotNull()
-        keep = lambda column, value: F.when(new, value).otherwise(F.col(column)).alias(column)
-        taken = {"fresh", "depth", "pointer", "raw", "above", "name", "item", "order", "place", "deep", "v", "m", "a", "jtype", "c", "c_m", "c_a", "c_said"}
-        rows = rows.select(
-            *[c for c in rows.columns if c not in taken], new.alias("fresh"), keep("depth", F.col("depth") + 1), keep("above", F.col("raw")),
-            keep("pointer", F.concat("pointer", F.lit("/"), _escaped(token))), keep("raw", F.concat("raw", F.lit("/"), token)),
-            keep("name", name), keep("item", F.col("c.item")), keep("order", F.concat("order", F.array(F.when(own, sorted_).otherwise(token)))),
-            keep("place", spot("0")), keep("deep", F.when(array, F.col("deep")).otherwise(spot("1"))), keep("v", F.col("c.v")),
-            F.when(new, m).alias("m"), F.when(new, a).alias("a"), keep("jtype", kind),
-        )
+        kept = bare | whole(name) if whole else bare
+        made = {
+            "depth": lambda: F.col("depth") + 1, "above": lambda: F.col("raw"), "pointer": lambda: F.concat("pointer", F.lit("/"), _escaped(token)), "raw": lambda: F.concat("raw", F.lit("/"), token),
+            "name": lambda: name, "item": lambda: F.col("c.item"), "order": lambda: F.concat("order", F.array(F.when(own, sorted_).otherwise(token))), "place": lambda: spot("0"),
+            "v": lambda: F.when(kept, F.col("c.v")), "jtype": lambda: kind, "size": lambda: F.coalesce(F.size(m), F.size(a), F.lit(0)),
+        }
+        special = {"fresh": new, "deep": F.when(array, F.col("deep")).otherwise(F.when(new, spot("1")).otherwise(F.col("deep"))) if "deep" in rows.columns else None, "m": F.when(new, m), "a": F.when(new, a)}
+        rows = rows.select(*[
+            special[c].alias(c) if c in special else F.when(new, made[c]()).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in rows.columns if c not in ("c", "c_m", "c_a", "c_said")
+        ])
         rows = enter(rows) if enter else rows
+    rows = rows.drop("m", "a")
+    for part in done:
+        rows = rows.unionByName(part)
     return rows
 
 
@@ -150,20 +160,31 @@ def levels_of(read_rows: DataFrame) -> int:
     return read_rows.agg(F.max("levels")).first()[0] or 0
 
 
-def shred(documents: DataFrame) -> DataFrame:
+#: The columns of nodes that ``shred`` gives, and those of the descent that each is made from.
+MADE_FROM = {
+    "doc_id": (), "depth": ("depth",), "pointer": ("pointer",), "raw_pointer": ("raw",), "parent": ("raw", "above"), "name": ("name",), "is_item": ("item",), "item_index": ("item",), "jtype": ("jtype",),
+    "sval": ("v", "jtype"), "n_children": ("size",), "order": ("order",), "place": ("name", "place", "deep"), "error": (),
+}
+
+
+def shred(documents: DataFrame, *wanted: str) -> DataFrame:
     """Nodes of every document (doc_id, text); an unreadable one gives a single row with its error and no node.
 
     Columns: doc_id, depth, pointer, raw_pointer, parent (raw pointer of the node above), name,
-    is_item, item_index, jtype, sval, n_children, order, place, error.
+    is_item, item_index, jtype, sval, n_children, order, place, error; or only those ``wanted``,
+    which saves carrying the others down. Texts are parsed once.
     """
-    rows = read(documents)
-    found = descend(roots(rows), levels_of(rows))
-    bare = F.col("jtype").isin("object", "array")
-    size = F.when(F.col("jtype") == "object", F.size(members(F.col("v")))).when(F.col("jtype") == "array", F.size(items(F.col("v")))).otherwise(0)
-    nodes = found.select(
-        "doc_id", "depth", "pointer", F.col("raw").alias("raw_pointer"), F.col("above").alias("parent"), "name", F.col("item").isNotNull().alias("is_item"), F.col("item").alias("item_index"),
-        "jtype", F.when(~bare, scalar_text(F.col("v"), F.col("jtype"))).alias("sval"), size.alias("n_children"), "order", "place", F.lit(None).cast("string").alias("error"),
-    )
+    columns = wanted or tuple(MADE_FROM)
+    rows = cut(read(documents))
+    used = {"doc_id", "fresh", "m", "a", "name", *(x for c in columns for x in MADE_FROM[c])}
+    top = roots(rows)
+    found = descend(top.select(*[c for c in top.columns if c in used]), levels_of(rows))
+    made = {
+        "raw_pointer": F.col("raw") if "raw" in used else None, "parent": F.col("above") if "above" in used else None, "is_item": F.col("item").isNotNull() if "item" in used else None,
+        "item_index": F.col("item") if "item" in used else None, "sval": F.when(~F.col("jtype").isin("object", "array"), scalar_text(F.col("v"), F.col("jtype"))) if "v" in used else None,
+        "n_children": F.col("size") if "size" in used else None, "error": F.lit(None).cast("string"),
+    }
+    nodes = found.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])
     kinds = dict(nodes.dtypes)
     bad = rows.where("error IS NOT NULL")
     return nodes.unionByName(bad.select(*[F.col(c) if c in ("doc_id", "error") else F.lit(None).cast(kinds[c]).alias(c) for c in nodes.columns]))

@@ -52,7 +52,7 @@ def shred_event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'mark', 'string', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'N'
   UNION ALL SELECT 'state', 'string', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus <> 'O') GROUP BY 1, 2""")
 def shred_order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = shred(t.order_documents(spark, sf_dir)).where("jtype NOT IN ('object', 'array')")
+    leaves = shred(t.order_documents(spark, sf_dir), "name", "jtype", "pointer").where("jtype NOT IN ('object', 'array')")
     return leaves.groupBy("name", "jtype").agg(F.count("*").alias("n"))
 
 
@@ -61,7 +61,7 @@ def shred_order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 0 AS depth, o AS n FROM s UNION ALL SELECT 1, o FROM s UNION ALL SELECT 2, o * 4 + h FROM s, h
 UNION ALL SELECT 3, l FROM l UNION ALL SELECT 4, l * 5 + m + s FROM l""")
 def depth_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred(t.order_documents(spark, sf_dir)).groupBy("depth").agg(F.count("*").alias("n"))
+    return shred(t.order_documents(spark, sf_dir), "depth").groupBy("depth").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, '/' || replace(replace(url, '~', '~0'), '/', '~1') AS pointer, '/' || url AS raw_pointer FROM pages")
@@ -75,7 +75,7 @@ SELECT place, CAST(n AS BIGINT) AS n FROM (SELECT '/order/lines/' || unnest(['li
   UNION ALL SELECT '/order/' || unnest(['number', 'status', 'priority', 'customer']), (SELECT count(*) FROM orders)
   UNION ALL SELECT '/order/lines/mark', count(*) FROM l WHERE l_returnflag <> 'N' UNION ALL SELECT '/order/lines/state', count(*) FROM l WHERE l_linestatus <> 'O')""")
 def path_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = shred(t.order_documents(spark, sf_dir)).where("jtype NOT IN ('object', 'array')")
+    leaves = shred(t.order_documents(spark, sf_dir), "name", "jtype", "pointer").where("jtype NOT IN ('object', 'array')")
     return leaves.groupBy(scalars.template(F.col("pointer")).alias("place")).agg(F.count("*").alias("n"))
 
 
@@ -408,8 +408,8 @@ def version_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT 'order-' || o_orderkey || '.json' AS doc_id, '/order/imports/0/href' AS pointer, {NATION} AS target_name
 FROM orders JOIN customer ON o_custkey = c_custkey""")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = evaluate(t.trade_documents(spark, sf_dir), t.trade_pack())
-    return imports.named_edges(facts.where("kind = 'scalar'")).select("doc_id", "pointer", "target_name")
+    facts = evaluate(t.trade_documents(spark, sf_dir), t.trade_pack(), ("scalar",))
+    return imports.named_edges(facts).select("doc_id", "pointer", "target_name")
 
 
 @query("""SELECT 'use/profile-' || g || '.json' AS doc_id, CASE WHEN g % 3 = 2 THEN 'IMPORT_NOT_SUPPLIED' ELSE 'IMPORT_RESOLVED' END AS code,
@@ -457,7 +457,7 @@ def reachable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL (SELECT {NATION} FROM customer EXCEPT SELECT {NATION} FROM orders JOIN customer ON o_custkey = c_custkey)""")
 def unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.trade_documents(spark, sf_dir)
-    met, _ = imports.closure(docs, evaluate(docs, t.trade_pack()).where("kind = 'scalar'"), docs)
+    met, _ = imports.closure(docs, evaluate(docs, t.trade_pack(), ("scalar",)), docs)
     return package.unreferenced(docs, met)
 
 

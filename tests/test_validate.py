@@ -315,6 +315,18 @@ def test_import_cycles_end(spark):
     assert met.where("primary = 'a.json' AND href = 'a.json' AND resolved_to IS NULL").count() == 1
 
 
+def test_wanted_columns_and_facts_alone_are_carried_down(spark, pack):
+    docs = from_texts(spark, {"d": '{"a/b": [1.0, true, null, {"c~": "x"}], "k": [[[[[[[[[[[[7]]]]]]]]]]]]}', "bad": "{"})
+    every = shred(docs)
+    for wanted in (("doc_id", "depth", "error"), ("pointer", "sval"), ("parent", "is_item", "n_children"), ("place", "order", "name")):
+        assert sorted(map(repr, shred(docs, *wanted).collect())) == sorted(map(repr, every.select(*wanted).collect()))
+    assert every.where("depth > 8").count() == 5 and every.count() == 21
+    facts = from_texts(spark, {"a/cat.json": json.dumps(CATALOG), "a/prof.json": json.dumps(PROFILE)})
+    whole = evaluate(facts, pack).collect()
+    for kind in ("scalar", "undeclared", "selected", "missing"):
+        assert sorted(map(repr, evaluate(facts, pack, (kind,)).collect())) == sorted(repr(r) for r in whole if r["kind"] == kind)
+
+
 def test_names_that_many_documents_share_are_counted_once(spark):
     docs = spark.createDataFrame([(f"p/{k}/x.json",) for k in range(5)] + [("q/y.json",), ("r/y.xml",), ("r/y.xml",), ("z.json",)], "doc_id string")
     asking = [("p/0/x.json", "x.json"), ("a.json", "x.json"), ("a.json", "x.xml"), ("q/y.json", "y.json"), ("a.json", "y.xml"), ("a.json", "y.txt"), ("z.json", "z.xml"), ("a.json", None), ("a.json", "none")]
