@@ -162,14 +162,14 @@ def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(patch.placeholders(steps), ",").alias("paths"))
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS doc_id, user_id % 2 = 1 AS refused, CASE WHEN user_id % 2 = 1 THEN 0 ELSE 13 END AS nodes FROM events")
+@query("SELECT CAST(event_id AS VARCHAR) AS doc_id, user_id % 2 = 1 AS refused, CASE WHEN user_id % 2 = 1 THEN 0 ELSE 101 END AS nodes FROM events")
 def depth_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents nested too deeply are refused whole, others are read whole."""
-    n = F.when(F.col("user_id") % 2 == 1, 201).otherwise(12)
+    n = F.when(F.col("user_id") % 2 == 1, 400).otherwise(100)
     docs = t.table(spark, sf_dir, "events").select(
         F.col("event_id").cast("string").alias("doc_id"), F.concat(F.repeat(F.lit("["), n), F.lit("1"), F.repeat(F.lit("]"), n)).alias("text")
     )
-    return shred(docs).groupBy("doc_id").agg(F.max(F.col("error").isNotNull()).alias("refused"), F.count("depth").cast("int").alias("nodes"))
+    return shred(docs, "doc_id", "depth", "error").groupBy("doc_id").agg(F.max(F.col("error").isNotNull()).alias("refused"), F.count("depth").cast("int").alias("nodes"))
 
 
 @query(r"""SELECT CAST(page_id AS VARCHAR) AS doc_id, 'u' || page_id AS uuid, coalesce(nullif(regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '([^/?#]*)(?:[?#].*)?$', 1), '') || ',', '') || 'second.json' AS names FROM pages""")

@@ -33,5 +33,10 @@ def test_query_gives_the_rows_of_its_sql(spark, sf_dir, connection, name):
         assert sorted(repr(tuple(plain(r[named.index(c)]) for c in columns)) for r in cursor.fetchall()) == rows
 
 
+def test_deep_documents_are_read_whole(spark, sf_dir):
+    rows = QUERIES["depth_guard"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/events.parquet").count() and {(r["refused"], r["nodes"]) for r in rows} == {(True, 0), (False, 101)}
+
+
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES) and len(ORACLES) >= 60
