@@ -1,8 +1,8 @@
 """Byte-pair encoding by backtracking, and decoding by an offset table.
 
-An Aho-Corasick automaton over the reversed tokens finds, in one pass over a
-reversed piece, the longest token that starts at each place. The encoder takes
-the longest token, falls back to shorter tokens that begin it, and steps back
+An Aho-Corasick automaton over the tokens finds, in one pass over a piece, the
+longest token, the longest after it, and so on; where neighbours are compatible
+that is the result. Else the encoder takes the longest token, falls back to shorter tokens that begin it, and steps back
 where none fits; a token may follow another only if the pair is compatible, that
 is, if no merge rule would have joined pieces across their border before either
 side was complete. Places found to be dead ends are never tried again, so the
@@ -29,11 +29,11 @@ from assayer.llm.vocabulary import Vocabulary, byte_letters, finder
 #: Fixed value: the pre-token pattern of the published byte vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces remembered by a worker, the longest remembered piece, and remembered pairs.
-MEMORY, MEMORY_PIECE, MEMORY_PAIRS = 60_000, 40, 200_000
+MEMORY, MEMORY_PIECE, MEMORY_PAIRS = 240_000, 40, 200_000
 
 
 class Codec(dict):
-    """Ids by piece, computed and, up to a bound, remembered when missing.
+    """Ids by piece, computed and, up to a bound, remembered when missing; pieces met again outlive the others.
 
     Tokens are numbered by the time they come about: single bytes first, then
     one token for each merge in order; ``public`` turns these into published ids.
@@ -62,14 +62,15 @@ class Codec(dict):
         self.public = [0] * len(self.parts)
         for token, k in number.items():
             self.public[k] = public[token]
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         whole = {t: k for t, k in number.items() if self.stands_alone(k)}
         self.shorter = [-1] * len(self.parts)
         for token, k in whole.items():
             self.shorter[k] = next((whole[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in whole), -1)
         self.longest = ahocorasick.Automaton()
         for token, k in whole.items():
-            self.longest.add_word(token[::-1].decode("latin-1"), k)
+            self.longest.add_word(token.decode("latin-1"), k)
         self.longest.make_automaton()
         self.cut, self.special = vocabulary.special_pattern(), vocabulary.special
         self.find = finder(PRE_TOKEN)
@@ -108,31 +109,38 @@ class Codec(dict):
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the tokens may stand side by side."""
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
             if len(self.fits) >= MEMORY_PAIRS:
                 self.fits.clear()
-            known = self.fits[left, right] = not self.crosses(left, right)
+            known = self.fits[pair] = not self.crosses(left, right)
         return known
 
     def pieces(self, piece: bytes) -> list[int]:
         """Tokens of one pre-token that is not empty."""
+        size, fits = self.size, self.fits
+        letters = piece.decode("latin-1")
+        # The longest tokens one after the other, as one pass finds them; where all may stand side by side, they are the result.
+        found = [token for _, token in self.longest.iter_long(letters)]
+        for k in range(1, len(found)):
+            known = fits.get(found[k - 1] << 32 | found[k])
+            if not (self.compatible(found[k - 1], found[k]) if known is None else known):
+                break
+        else:
+            return found
         n = len(piece)
-        starts = [-1] * n
-        for end, token in self.longest.iter(piece[::-1].decode("latin-1")):
-            if starts[n - 1 - end] < 0:
-                starts[n - 1 - end] = token
         dead = bytearray(n + 1)
-        size, shorter, compatible = self.size, self.shorter, self.compatible
-        found: list[int] = []
-        place, token = 0, starts[0]
+        shorter, compatible, longest = self.shorter, self.compatible, self.longest.iter_long
+        found, token = found[:k], found[k]
+        place = sum([size[t] for t in found])
         while True:
             end = place + size[token]
             if not dead[end] and (not found or compatible(found[-1], token)):
                 found.append(token)
                 if end == n:
                     return found
-                place, token = end, starts[end]
+                place, token = end, next(longest(letters, end))[1]
                 continue
             token = shorter[token]
             while token < 0:
@@ -142,10 +150,13 @@ class Codec(dict):
                 token = shorter[token]
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        public = self.public
-        ids = tuple([public[k] for k in self.pieces(piece.encode("utf-8", "surrogatepass"))])
+        ids = self.older.get(piece)
+        if ids is None:
+            public = self.public
+            ids = tuple([public[k] for k in self.pieces(piece.encode("utf-8", "surrogatepass"))])
         if len(piece) <= MEMORY_PIECE:
-            if len(self) >= MEMORY:
+            if 2 * len(self) >= MEMORY:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

@@ -359,3 +359,26 @@ def test_license_tables(spark, sf_dir, odd_docs, no_docs):
     rows = license_scan.scan_licenses(odd_docs).collect()
     assert len(rows) == 12 and all(r["labels"] == "" and r["first_word"] is None for r in rows)
     assert license_scan.scan_licenses(no_docs).count() == 0
+
+
+def test_pieces_met_again_outlive_those_met_once(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 100)
+    codec = bpe.Codec(read_vocabulary(queries.tokenizer_path("byte_bpe_50k.json")))
+    asked, plain = Counter(), codec.pieces
+    codec.pieces = lambda piece: (asked.update([piece]), plain(piece))[1]
+    for k in range(1_000):
+        codec.encode(f" water z{k}q")
+    assert asked[b" water"] == 1
+    assert len(codec) + len(codec.older) <= 100
+
+
+def test_early_pattern_cuts_as_the_plain_one():
+    import regex
+    from assayer.llm import vocabulary
+
+    rnd = random.Random(4)
+    for pattern in (bpe.PRE_TOKEN, token_count.PRE_TOKEN):
+        early, plain = vocabulary._early(pattern), regex.compile(pattern).findall
+        every = "".join(chr(k) for k in range(0x250)) + "‐—’…‰⁞"
+        for text in (every, *("".join(rnd.choice("ab'strevdlA12 \t\n é½ \u0085.,-—’_\x1c") for _ in range(30)) for _ in range(500))):
+            assert early(text) == plain(text)
