@@ -11,6 +11,8 @@ from assayer.functions.scalars import file_name, fragment_of, path_of, stem
 #: Pointer segments below which an href imports a document, and the scalar that does so by itself.
 SEGMENTS = ("imports", "import-profile", "import-ssp", "import-ap", "import-component-definitions")
 NAMES = ("source",)
+#: All names of scalars that edges and the links of resources are read from.
+ASKED = ("href", "uuid", *NAMES)
 RESOURCE = r"/back-matter/resources/([^/]+)/"
 
 

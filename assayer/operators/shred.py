@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from assayer.durable import cut
 
 DEEPEST, TOGETHER = 200, 8
+#: Levels that are counted without a walk over the brackets.
+SHALLOW = 6
 #: Digits from which a whole number is kept as a decimal.
 LONG_DIGITS = 19
 #: Bytecode of the largest method that the JVM compiles; levels joined into a larger one would be interpreted.
@@ -72,11 +74,18 @@ def read(documents: DataFrame) -> DataFrame:
     settings = documents.sparkSession.conf
     settings.set("spark.sql.variant.allowDuplicateKeys", "true")
     settings.set("spark.sql.codegen.hugeMethodLimit", COMPILED)
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)\\.", ""), r'"[^"]*+"', "")
+    text = F.coalesce("text", F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*+"', "")
     # Runs of brackets: how deep it is after each is the number that stands before it and its own length up or down.
     runs = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[{]++|[\]}]++"), F.lit(0)), lambda r: F.when(F.left(r, F.lit(1)).isin("[", "{"), F.char_length(r)).otherwise(-F.char_length(r)))
     step = lambda a, n: F.struct((a["now"] + n).alias("now"), F.greatest(a["most"], a["now"] + n).alias("most"))
     most = F.aggregate(runs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    # Few levels are told by taking innermost pairs of brackets away until none is left, which needs no walk over the runs.
+    peeled = [F.translate(F.regexp_replace(text, r'(?s)"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', ""), "[]", "{}")]
+    for _ in range(SHALLOW):
+        peeled.append(F.replace(peeled[-1], F.lit("{}"), F.lit("")))
+    few = sum((F.when(p == "", 0).otherwise(1) for p in peeled[:-1]), F.lit(0))
+    most = F.when(peeled[-1] == "", few).otherwise(most)
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", most.alias("levels"))
     deep = F.col("levels") > DEEPEST
     rows = rows.select("doc_id", "levels", F.when(~deep, F.try_parse_json("text")).alias("v"))
@@ -105,12 +114,12 @@ def roots(read_rows: DataFrame) -> DataFrame:
     )
 
 
-def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame] | None = None, whole: Callable[[Column], Column] | None = None) -> DataFrame:
+def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame] | None = None, whole: Callable[[Column], Column] | None = None, of_use: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """All nodes at and below the given fresh ones; ``enter`` gives each level's new rows (``fresh``) what they take from the node above.
 
     ``enter`` finds the columns of the node above as they were and must keep them for rows that are not fresh.
     Of the columns of ``roots`` only those that the rows have are made. ``v`` is kept of scalars, and of containers
-    whose name ``whole`` accepts. Rows that are done leave the chain wherever it is cut.
+    whose name ``whole`` accepts. Members and items that ``of_use`` refuses by name and value become no rows. Rows that are done leave the chain wherever it is cut.
     """
     entry = "array<struct<name:string,item:int,v:variant>>"
     done: list[DataFrame] = []
@@ -121,6 +130,8 @@ def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame
             rows = rows.where("fresh")
         named = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), F.lit(None).cast("int").alias("item"), e["value"].alias("v")))
         numbered = F.transform("a", lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), i.alias("item"), x.alias("v")))
+        if of_use:
+            named, numbered = F.filter(named, lambda e: of_use(e["name"], e["v"])), F.filter(numbered, lambda e: of_use(F.col("name"), e["v"]))
         below = F.when(F.col("fresh"), F.coalesce(named, numbered)).otherwise(F.array().cast(entry))
         itself = F.array(F.lit(None).cast("struct<name:string,item:int,v:variant>"))
         # Never empty; as an outer one it is not looked through for a filter, which would make the array twice.

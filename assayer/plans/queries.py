@@ -123,7 +123,7 @@ def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, '1 item(s)' AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 GROUP BY o_orderkey HAVING count(*) = 1""")
 def array_too_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _structure(t.order_documents(spark, sf_dir), t.order_pack(least=2)).where("code = 'ARRAY_TOO_SHORT'").select("doc_id", "value")
+    return checks.structure(evaluate(t.order_documents(spark, sf_dir), t.order_pack(least=2), ("short",))).where("code = 'ARRAY_TOO_SHORT'").select("doc_id", "value")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'NO_SCHEMA_ALTERNATIVE' AS code FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'HOUSEHOLD', 'FURNITURE')""")
@@ -135,7 +135,7 @@ def branch_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_or_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = t.line_shape()
     rules = t.pack({"order": t.obj("Order", lines={"anyOf": [line, t.arr(line)]})})
-    leaves = evaluate(t.one_or_many_documents(spark, sf_dir), rules, ("scalar",)).where("name = 'linenumber'")
+    leaves = evaluate(t.one_or_many_documents(spark, sf_dir), rules, ("scalar",), ("linenumber",))
     return leaves.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("pointer") == "/order/lines/linenumber").alias("alone"))
 
 
@@ -280,7 +280,7 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'order-' || o_orderkey || '.json' AS doc_id, '["' || c_custkey || '"]' AS key, doc || '/nation/customers/' || j AS location FROM orders JOIN p ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""")
 def index_first_met(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, docs = t.trade_pack(), t.trade_documents(spark, sf_dir)
-    facts = cut(evaluate(docs, rules, ("scalar", "selected")))
+    facts = cut(evaluate(docs, rules, ("scalar", "selected"), imports.ASKED))
     _, reached = imports.closure(docs, facts.where("kind = 'scalar'"), docs)
     asked = checks.selections(facts, rules, "index-has-key").where("index_name = 'builders'")
     return checks.first_met(asked, reached, checks.indexes(facts, rules)).select("doc_id", "key", "location")
@@ -290,7 +290,7 @@ def index_first_met(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'""")
 def index_has_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules, docs = t.trade_pack(), t.trade_documents(spark, sf_dir)
-    facts = cut(evaluate(docs, rules, ("scalar", "selected")))
+    facts = cut(evaluate(docs, rules, ("scalar", "selected"), imports.ASKED))
     met, reached = imports.closure(docs, facts.where("kind = 'scalar'"), docs)
     found = checks.cross_references(facts, rules, reached, imports.completeness(docs, met))
     return found.where("code = 'REFERENCE_UNRESOLVED'").select("doc_id", "code", "severity", "value")
@@ -408,7 +408,7 @@ def version_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT 'order-' || o_orderkey || '.json' AS doc_id, '/order/imports/0/href' AS pointer, {NATION} AS target_name
 FROM orders JOIN customer ON o_custkey = c_custkey""")
 def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = evaluate(t.trade_documents(spark, sf_dir), t.trade_pack(), ("scalar",))
+    facts = evaluate(t.trade_documents(spark, sf_dir), t.trade_pack(), ("scalar",), imports.ASKED)
     return imports.named_edges(facts).select("doc_id", "pointer", "target_name")
 
 
@@ -457,7 +457,7 @@ def reachable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL (SELECT {NATION} FROM customer EXCEPT SELECT {NATION} FROM orders JOIN customer ON o_custkey = c_custkey)""")
 def unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.trade_documents(spark, sf_dir)
-    met, _ = imports.closure(docs, evaluate(docs, t.trade_pack(), ("scalar",)), docs)
+    met, _ = imports.closure(docs, evaluate(docs, t.trade_pack(), ("scalar",), imports.ASKED), docs)
     return package.unreferenced(docs, met)
 
 

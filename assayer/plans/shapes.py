@@ -129,7 +129,7 @@ SELECT 'nation-' || c_nationkey || '-' || (c_custkey // {t.TOGETHER["customer"]}
 def settled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages and citations say whether a look-up was settled; identifiers of constraints are read back from citations."""
     rules, docs = t.trade_pack(), t.trade_documents(spark, sf_dir)
-    facts = evaluate(docs, rules, ("scalar", "selected"))
+    facts = evaluate(docs, rules, ("scalar", "selected"), imports.ASKED)
     met, reached = imports.closure(docs, facts.where("kind = 'scalar'"), docs)
     found = checks.cross_references(facts, rules, reached, imports.completeness(docs, met))
     citation = F.col("rule.citation")

@@ -467,3 +467,33 @@ def test_provenance(spark, pack):
     module = '<x><is-unique id="a" target="t"><key/></is-unique><is-unique id="b"/></x>'
     take = lambda i: spark.range(1).select(declaration(F.lit(module), "is-unique", i)).first()[0]
     assert take("a") == '<is-unique id="a" target="t"><key/></is-unique>' and take("b") == '<is-unique id="b"/>' and take("c") is None
+
+
+def test_scalars_of_no_use_become_no_rows(spark):
+    from assayer.operators import evaluate as ev
+    from assayer.operators.shred import read
+    from assayer.plans import tables as t
+
+    text = '{"order":{"number":1,"status":"F","lines":[{"flag":"R","linenumber":3},{"flag":"N","linenumber":"x"}]}}'
+    docs = spark.createDataFrame([("a", text)], "doc_id string, text string")
+    rules = t.order_pack([{"kind": "has-cardinality", "context": "order", "target": "line[@flag='R']", "identifier": "r"}])
+    rows = ev._models(read(docs), sorted(rules.schema.models))
+    numbers = rules.evaluated()
+    nodes = ev.typed_nodes(rows, rules, False, ev._tests(rules, numbers), numbers, ev._used({"selected"}, numbers), ())
+    assert nodes.count() == 5  # the document, the order, its lines and each of the two
+    assert [r["pointer"] for r in ev.evaluate(docs, rules, ("selected",)).collect()] == ["/order/lines/0"]
+    named = ev.evaluate(docs, rules, ("scalar",), ("flag",)).collect()
+    assert sorted(r["pointer"] for r in named) == ["/order/lines/0/flag", "/order/lines/1/flag"]
+    both = ev.evaluate(docs, rules, ("scalar", "mistyped"), ("flag",)).collect()
+    assert sorted(r["pointer"] for r in both) == ["/order/lines/0/flag", "/order/lines/1/flag", "/order/lines/1/linenumber"]
+
+
+def test_levels_are_counted_alike_by_both_ways(spark, monkeypatch):
+    from assayer.operators import shred
+
+    texts = ["", "1", "[]", '{"a":[{"b":[1,{"c":{}}]}]}', r'{"a\"[[[":"]]{{\\","b":[[]]}', "[[[[[[1]]]]]]", "[[[[[[[[[[{}]]]]]]]]]]", '{"a":"[', "[}", "]["]
+    docs = spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)] + [("n", None)], "doc_id string, text string")
+    said = lambda: [tuple(r) for r in shred.read(docs).select("doc_id", "levels", "error").orderBy("doc_id").collect()]
+    quick = said()
+    monkeypatch.setattr(shred, "SHALLOW", 0)
+    assert said() == quick
