@@ -382,3 +382,17 @@ def test_early_pattern_cuts_as_the_plain_one():
         every = "".join(chr(k) for k in range(0x250)) + "‐—’…‰⁞"
         for text in (every, *("".join(rnd.choice("ab'strevdlA12 \t\n é½ \u0085.,-—’_\x1c") for _ in range(30)) for _ in range(500))):
             assert early(text) == plain(text)
+
+
+def test_batches_for_python_are_bounded(spark, make_docs):
+    from assayer.llm.base import BATCH_BYTES, pick
+
+    docs = pick(make_docs([(k, "x" * 100_000) for k in range(200)]).coalesce(1), "doc_id", "text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column("text").nbytes])], names=["n"])
+
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) <= 1.1 * BATCH_BYTES
