@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from assayer.functions.scalars import shorten, shown_key, template, text
+from assayer.operators.evaluate import fixed_rows
 from assayer.operators.findings import rule
 from assayer.rules.pack import RulePack
 
@@ -94,11 +95,11 @@ def rules_table(spark: SparkSession, pack: RulePack) -> DataFrame:
         (k, c.kind, c.identifier, c.severity, c.context, c.target, c.index, ", ".join(x.target for x in c.keys), c.low, c.high, c.citation(), c.index in pack.built(), c.skipped)
         for k, c in enumerate(pack.constraints)
     ]
-    return spark.createDataFrame(
-        rows,
+    return fixed_rows(
+        spark, rows,
         "rule int, rule_kind string, identifier string, severity string, declared_on string, target string, index_name string, fields string, "
         "at_least int, at_most int, citation string, built boolean, skipped string",
-    )
+    )
 
 
 def selections(facts: DataFrame, pack: RulePack, *kinds: str) -> DataFrame:

@@ -69,6 +69,15 @@ def items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def _nested(levels: int) -> str:
+    """A pattern of texts whose brackets are paired and nested in at most so many levels; possessive, so nothing is tried twice."""
+    plain = r'[^\[\]{}"]++|"(?:[^"\\]++|\\.)*+"'
+    held = f"(?:{plain})*+"
+    for _ in range(levels):
+        held = rf"(?:{plain}|[\[{{]{held}[\]}}])*+"
+    return rf"(?s)^{held}\z"
+
+
 def read(documents: DataFrame) -> DataFrame:
     """doc_id, v (null where the document is refused), levels below the root, and error."""
     settings = documents.sparkSession.conf
@@ -80,12 +89,10 @@ def read(documents: DataFrame) -> DataFrame:
     runs = F.transform(F.regexp_extract_all(bare, F.lit(r"[\[{]++|[\]}]++"), F.lit(0)), lambda r: F.when(F.left(r, F.lit(1)).isin("[", "{"), F.char_length(r)).otherwise(-F.char_length(r)))
     step = lambda a, n: F.struct((a["now"] + n).alias("now"), F.greatest(a["most"], a["now"] + n).alias("most"))
     most = F.aggregate(runs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
-    # Few levels are told by taking innermost pairs of brackets away until none is left, which needs no walk over the runs.
-    peeled = [F.translate(F.regexp_replace(text, r'(?s)"(?:[^"\\]++|\\.)*+"|[^\[\]{}"]++', ""), "[]", "{}")]
-    for _ in range(SHALLOW):
-        peeled.append(F.replace(peeled[-1], F.lit("{}"), F.lit("")))
-    few = sum((F.when(p == "", 0).otherwise(1) for p in peeled[:-1]), F.lit(0))
-    most = F.when(peeled[-1] == "", few).otherwise(most)
+    # Few levels are told by one match each, which stops at the first bracket that is too deep.
+    fits = lambda k: F.regexp_like("text", F.lit(_nested(k)))
+    pairs = [F.when(fits(k), F.when(fits(k - 1), k - 1).otherwise(k)) for k in range(2, SHALLOW + 1, 2)]
+    most = F.when(text == "", 0).otherwise(F.coalesce(F.when(fits(0), 0), *pairs, most))
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", most.alias("levels"))
     deep = F.col("levels") > DEEPEST
     rows = rows.select("doc_id", "levels", F.when(~deep, F.try_parse_json("text")).alias("v"))
@@ -94,6 +101,30 @@ def read(documents: DataFrame) -> DataFrame:
 
 
 
+#: A type that an object becomes without its members and that no scalar becomes; one that scalars can become would convert each.
+SHELL = "struct<_:boolean>"
+
+
+def is_object(v: Column) -> Column:
+    """Whether a value is an object, told without making its members."""
+    return F.try_variant_get(v, "$", SHELL).isNotNull()
+
+
+def is_array(v: Column) -> Column:
+    """Whether a value is an array, told without making its items."""
+    return F.try_variant_get(v, "$", f"array<{SHELL}>").isNotNull()
+
+
+def shells(v: Column) -> Column:
+    """The members of an object as a map that tells which are objects; null for anything else."""
+    return F.try_variant_get(v, "$", f"map<string,{SHELL}>")
+
+
+def names_of(v: Column) -> Column:
+    """The names of an object's members; null for anything else."""
+    return F.map_keys(shells(v))
+
+
 def no_texts() -> Column:
     return F.array().cast("array<string>")
 
@@ -111,27 +142,38 @@ def roots(read_rows: DataFrame) -> DataFrame:
     return read_rows.where("v IS NOT NULL").select(
         "doc_id", "v", m.alias("m"), a.alias("a"), kind.alias("jtype"), F.lit(True).alias("fresh"), F.lit(0).alias("depth"), F.lit("").alias("pointer"), F.lit("").alias("raw"), F.lit(None).cast("string").alias("above"),
         F.lit("").alias("name"), F.lit(None).cast("int").alias("item"), none.alias("order"), none.alias("place"), none.alias("deep"), F.coalesce(F.size(m), F.size(a), F.lit(0)).alias("size"),
+        (m.isNull() & a.isNull()).alias("leaf"),
     )
 
 
-def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame] | None = None, whole: Callable[[Column], Column] | None = None, of_use: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def descend(
+    rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame] | None = None, whole: Callable[[Column], Column] | None = None,
+    of_use: Callable[[Column, Column], Column] | None = None, read_of: list[str] | None = None,
+) -> DataFrame:
     """All nodes at and below the given fresh ones; ``enter`` gives each level's new rows (``fresh``) what they take from the node above.
 
     ``enter`` finds the columns of the node above as they were and must keep them for rows that are not fresh.
     Of the columns of ``roots`` only those that the rows have are made. ``v`` is kept of scalars, and of containers
-    whose name ``whole`` accepts. Members and items that ``of_use`` refuses by name and value become no rows. Rows that are done leave the chain wherever it is cut.
+    whose name ``whole`` accepts. Members and items that ``of_use`` refuses by name and value become no rows. If names are
+    given as ``read_of``, nobody reads the values and kinds of other scalars, nor ``m``: objects that hold scalars only and
+    none of these names are then not opened, and their members come by name alone, or not at all if there is ``of_use``. Rows that are done leave the chain wherever it is cut.
     """
     entry = "array<struct<name:string,item:int,v:variant>>"
     done: list[DataFrame] = []
+    by_name = read_of is not None and not of_use
+    if by_name:
+        rows = rows.withColumn("keys", no_texts())
     for level in range(levels):
         if level and level % TOGETHER == 0:
             rows = cut(rows)
-            done.append(rows.where("NOT fresh").drop("m", "a"))
+            done.append(rows.where("NOT fresh").drop("m", "a", "keys"))
             rows = rows.where("fresh")
         named = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), F.lit(None).cast("int").alias("item"), e["value"].alias("v")))
         numbered = F.transform("a", lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), i.alias("item"), x.alias("v")))
         if of_use:
             named, numbered = F.filter(named, lambda e: of_use(e["name"], e["v"])), F.filter(numbered, lambda e: of_use(F.col("name"), e["v"]))
+        if by_name:
+            named = F.coalesce(named, F.when(F.size("keys") > 0, F.transform("keys", lambda k: F.struct(k.alias("name"), F.lit(None).cast("int").alias("item"), F.lit(None).cast("variant").alias("v")))))
         below = F.when(F.col("fresh"), F.coalesce(named, numbered)).otherwise(F.array().cast(entry))
         itself = F.array(F.lit(None).cast("struct<name:string,item:int,v:variant>"))
         # Never empty; as an outer one it is not looked through for a filter, which would make the array twice.
@@ -143,24 +185,37 @@ def descend(rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame
         # Items of an array stand beside each other under its name, so the array itself adds nothing to places.
         spot = lambda last: F.concat("deep", F.array(name, F.lit(last), sorted_))
         # Columns of their own, so that a value is opened once however many columns ask for it.
-        rows = rows.withColumns({"c_m": members(F.col("c.v")), "c_a": items(F.col("c.v"))})
+        value = F.col("c.v")
+        if read_of is None:
+            rows = rows.withColumns({"c_m": members(value), "c_a": items(value)})
+            held = F.col("c_m").isNotNull()
+        else:
+            # A scalar is no object, and its members are asked for no further.
+            rows = rows.withColumns({"c_o": shells(value), "c_a": items(value)})
+            held = F.col("c_o").isNotNull()
+            asked = F.arrays_overlap(F.map_keys("c_o"), F.array(*map(F.lit, read_of))) if read_of else F.lit(False)
+            some = lambda x: F.array_size(F.array_compact(F.map_values(x))) > 0
+            opened = asked | some(F.col("c_o")) | some(F.try_variant_get(value, "$", f"map<string,array<{SHELL}>>"))
+            rows = rows.withColumn("c_m", F.when(held & opened, members(value)))
         m, a = F.col("c_m"), F.col("c_a")
-        bare = m.isNull() & a.isNull()
+        bare = ~held & a.isNull()
         rows = rows.withColumn("c_said", F.when(bare, F.schema_of_variant(F.col("c.v"))))
-        kind = F.when(m.isNotNull(), "object").when(a.isNotNull(), "array").otherwise(_kind_of(F.col("c_said")))
+        kind = F.when(held, "object").when(a.isNotNull(), "array").otherwise(_kind_of(F.col("c_said")))
         array = new & ~own & a.isNotNull()
         kept = bare | whole(name) if whole else bare
         made = {
             "depth": lambda: F.col("depth") + 1, "above": lambda: F.col("raw"), "pointer": lambda: F.concat("pointer", F.lit("/"), _escaped(token)), "raw": lambda: F.concat("raw", F.lit("/"), token),
             "name": lambda: name, "item": lambda: F.col("c.item"), "order": lambda: F.concat("order", F.array(F.when(own, sorted_).otherwise(token))), "place": lambda: spot("0"),
-            "v": lambda: F.when(kept, F.col("c.v")), "jtype": lambda: kind, "size": lambda: F.coalesce(F.size(m), F.size(a), F.lit(0)),
+            "v": lambda: F.when(kept, F.col("c.v")), "jtype": lambda: kind, "leaf": lambda: bare, "size": lambda: F.coalesce(F.size(m), F.size(a), F.lit(0)),
         }
         special = {"fresh": new, "deep": F.when(array, F.col("deep")).otherwise(F.when(new, spot("1")).otherwise(F.col("deep"))) if "deep" in rows.columns else None, "m": F.when(new, m), "a": F.when(new, a)}
+        if by_name:
+            special["keys"] = F.when(new & m.isNull(), F.map_keys("c_o"))
         rows = rows.select(*[
-            special[c].alias(c) if c in special else F.when(new, made[c]()).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in rows.columns if c not in ("c", "c_m", "c_a", "c_said")
+            special[c].alias(c) if c in special else F.when(new, made[c]()).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in rows.columns if c not in ("c", "c_m", "c_a", "c_o", "c_said")
         ])
         rows = enter(rows) if enter else rows
-    rows = rows.drop("m", "a")
+    rows = rows.drop("m", "a", "keys")
     for part in done:
         rows = rows.unionByName(part)
     return rows
@@ -173,7 +228,7 @@ def levels_of(read_rows: DataFrame) -> int:
 
 #: The columns of nodes that ``shred`` gives, and those of the descent that each is made from.
 MADE_FROM = {
-    "doc_id": (), "depth": ("depth",), "pointer": ("pointer",), "raw_pointer": ("raw",), "parent": ("raw", "above"), "name": ("name",), "is_item": ("item",), "item_index": ("item",), "jtype": ("jtype",),
+    "doc_id": (), "depth": ("depth",), "pointer": ("pointer",), "raw_pointer": ("raw",), "parent": ("raw", "above"), "name": ("name",), "is_item": ("item",), "item_index": ("item",), "jtype": ("jtype",), "leaf": ("leaf",),
     "sval": ("v", "jtype"), "n_children": ("size",), "order": ("order",), "place": ("name", "place", "deep"), "error": (),
 }
 
@@ -182,14 +237,14 @@ def shred(documents: DataFrame, *wanted: str) -> DataFrame:
     """Nodes of every document (doc_id, text); an unreadable one gives a single row with its error and no node.
 
     Columns: doc_id, depth, pointer, raw_pointer, parent (raw pointer of the node above), name,
-    is_item, item_index, jtype, sval, n_children, order, place, error; or only those ``wanted``,
+    is_item, item_index, jtype, leaf (no container), sval, n_children, order, place, error; or only those ``wanted``,
     which saves carrying the others down. Texts are parsed once.
     """
     columns = wanted or tuple(MADE_FROM)
     rows = cut(read(documents))
     used = {"doc_id", "fresh", "m", "a", "name", *(x for c in columns for x in MADE_FROM[c])}
     top = roots(rows)
-    found = descend(top.select(*[c for c in top.columns if c in used]), levels_of(rows))
+    found = descend(top.select(*[c for c in top.columns if c in used]), levels_of(rows), read_of=None if used & {"v", "jtype", "size"} else [])
     made = {
         "raw_pointer": F.col("raw") if "raw" in used else None, "parent": F.col("above") if "above" in used else None, "is_item": F.col("item").isNotNull() if "item" in used else None,
         "item_index": F.col("item") if "item" in used else None, "sval": F.when(~F.col("jtype").isin("object", "array"), scalar_text(F.col("v"), F.col("jtype"))) if "v" in used else None,

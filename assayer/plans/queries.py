@@ -75,7 +75,7 @@ SELECT place, CAST(n AS BIGINT) AS n FROM (SELECT '/order/lines/' || unnest(['li
   UNION ALL SELECT '/order/' || unnest(['number', 'status', 'priority', 'customer']), (SELECT count(*) FROM orders)
   UNION ALL SELECT '/order/lines/mark', count(*) FROM l WHERE l_returnflag <> 'N' UNION ALL SELECT '/order/lines/state', count(*) FROM l WHERE l_linestatus <> 'O')""")
 def path_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = shred(t.order_documents(spark, sf_dir), "name", "jtype", "pointer").where("jtype NOT IN ('object', 'array')")
+    leaves = shred(t.order_documents(spark, sf_dir), "leaf", "pointer").where("leaf")
     return leaves.groupBy(scalars.template(F.col("pointer")).alias("place")).agg(F.count("*").alias("n"))
 
 

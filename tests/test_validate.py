@@ -497,3 +497,38 @@ def test_levels_are_counted_alike_by_both_ways(spark, monkeypatch):
     quick = said()
     monkeypatch.setattr(shred, "SHALLOW", 0)
     assert said() == quick
+
+
+def test_objects_of_unread_scalars_are_not_opened(spark):
+    from assayer.operators import shred
+
+    docs = from_texts(spark, {"d": '{"o":{"s":"x","t":true,"n":null,"e":{},"l":[{"k":1,"_":"y"},{"k":[1]},2,"z",[]]}}'})
+    every = shred.shred(docs)
+    for wanted in (("depth",), ("pointer", "leaf"), ("name", "place", "depth")):
+        assert sorted(map(repr, shred.shred(docs, *wanted).collect())) == sorted(map(repr, every.select(*wanted).collect()))
+    rows = shred.read(docs)
+    top = shred.roots(rows).select("doc_id", "fresh", "m", "a", "name", "depth", "v")
+    held = lambda name, v: F.coalesce(shred.is_object(v) | shred.is_array(v), F.lit(False))
+    lean = shred.descend(top, shred.levels_of(rows), of_use=held, read_of=[])
+    assert sorted((r["name"], r["depth"]) for r in lean.collect()) == [("", 0), ("e", 2), ("k", 4), ("l", 2), ("l", 3), ("l", 3), ("l", 3), ("o", 1)]
+
+
+def test_keys_are_taken_by_path_as_by_members(spark):
+    from assayer.operators import evaluate as ev
+    from assayer.rules.pack import KeyField
+
+    texts = ['{"a":null}', '{"a":1.50}', '{"a":{"b":1}}', '{"a":[1]}', '{"a":true,"b\'\\"c":"q"}', "{}", "[1]", '{"a":"x\\"y"}', '{"a":123456789012345678901234567890}']
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string").select("k", F.try_parse_json("text").alias("v"))
+    plain = lambda name: F.try_element_at(ev.members(F.col("v")), F.lit(name))
+    by_members = lambda name: F.when(plain(name).isNotNull() & ev.members(plain(name)).isNull() & ev.items(plain(name)).isNull(), ev.scalar_text(plain(name), ev.json_kind(plain(name))))
+    for name in ("a", "b'\"c", "b"):
+        found = rows.select(ev._key_text(KeyField(f"@{name}", None)).alias("x"), by_members(name).alias("y"), ev._member(name).isNotNull().alias("has"), plain(name).isNotNull().alias("had")).collect()
+        assert [(r["x"], r["has"]) for r in found] == [(r["y"], r["had"]) for r in found]
+
+
+def test_constraints_are_told_without_workers_outside_the_jvm(spark):
+    from assayer.operators import checks
+    from assayer.plans import tables as t
+
+    plan = checks.rules_table(spark, t.trade_pack())._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "ExternalRDD" not in plan
