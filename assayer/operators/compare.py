@@ -48,16 +48,17 @@ def compare(before: DataFrame, after: DataFrame, pair_moves: bool = True) -> Dat
         return whole
     one_sided = whole.where(F.col("status").isin("removed", "added")).withColumn("f", F.coalesce("before", "after"))
     group = Window.partitionBy(F.col("f.doc_id"), *[F.col(f"f.{c}") for c in DISPLACED])
+    # A pair is put together in the row of what is gone, so the join of the runs is not made once more for it.
     one_sided = one_sided.withColumns({
-        "gone": F.count(F.when(F.col("status") == "removed", 1)).over(group), "new": F.count(F.when(F.col("status") == "added", 1)).over(group),
+        "gone": F.count("before").over(group), "new": F.count("after").over(group), "was": F.max("before").over(group), "now": F.max("after").over(group),
     })
     paired = (F.col("gone") == 1) & (F.col("new") == 1)
-    key = [F.col(f"f.{c}").alias(c) for c in ("doc_id", *DISPLACED)]
-    moved = one_sided.where(paired).groupBy(*key).agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    moved = moved.select("before", "after", F.lit("moved").alias("status"), F.lit(False).alias("undecided"))
-    rest = one_sided.where(~paired).withColumn("undecided", (F.col("gone") > 0) & (F.col("new") > 0))
+    one_sided = one_sided.where(~paired | F.col("after").isNull()).withColumns({
+        "before": F.when(paired, F.col("was")).otherwise(F.col("before")), "after": F.when(paired, F.col("now")).otherwise(F.col("after")),
+        "status": F.when(paired, "moved").otherwise(F.col("status")), "undecided": ~paired & (F.col("gone") > 0) & (F.col("new") > 0),
+    })
     columns = ["before", "after", "status", "undecided"]
-    return whole.where(~F.col("status").isin("removed", "added")).select(*columns).unionByName(moved).unionByName(rest.select(*columns))
+    return whole.where(~F.col("status").isin("removed", "added")).select(*columns).unionByName(one_sided.select(*columns))
 
 
 def new_errors(compared: DataFrame) -> DataFrame:

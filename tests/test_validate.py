@@ -532,3 +532,16 @@ def test_constraints_are_told_without_workers_outside_the_jvm(spark):
 
     plan = checks.rules_table(spark, t.trade_pack())._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "ExternalRDD" not in plan
+
+
+def test_moves_are_paired_without_another_join_of_the_runs(spark):
+    make = lambda *places: findings.as_findings(spark.createDataFrame(
+        [("d", "C", "ERROR", place, prop, "v", "m") for place, prop in places], "doc_id string, code string, severity string, location string, prop string, value string, message string"
+    ).withColumn("rule", findings.rule("r")))
+    found = compare.compare(make(("/a", "p"), ("/b", "q"), ("/c", "s"), ("/e", "u")), make(("/x", "p"), ("/b", "q"), ("/y", "s"), ("/z", "s"), ("/f", "w")))
+    rows = [(r["status"], r["before"] and r["before"]["location"], r["after"] and r["after"]["location"], r["undecided"]) for r in found.collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, [
+        ("moved", "/a", "/x", False), ("unchanged", "/b", "/b", False), ("removed", "/c", None, True), ("added", None, "/y", True), ("added", None, "/z", True),
+        ("removed", "/e", None, False), ("added", None, "/f", False),
+    ]))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join FullOuter") == 2
