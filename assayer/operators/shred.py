@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.durable import cut
+from assayer.durable import cut_long
 
 DEEPEST, TOGETHER = 200, 8
 #: Levels that are counted without a walk over the brackets.
@@ -125,6 +125,13 @@ def names_of(v: Column) -> Column:
     return F.map_keys(shells(v))
 
 
+def is_read(shells_of: Column, v: Column, names: list[str], deeper: bool = True) -> Column:
+    """Whether an object has members of these names, or any (``deeper``) that hold more; given its ``shells``."""
+    asked = F.arrays_overlap(F.map_keys(shells_of), F.array(*map(F.lit, names))) if names else F.lit(False)
+    some = lambda x: F.array_size(F.array_compact(F.map_values(x))) > 0
+    return (asked | some(shells_of) | some(F.try_variant_get(v, "$", f"map<string,array<{SHELL}>>"))) if deeper else asked
+
+
 def no_texts() -> Column:
     return F.array().cast("array<string>")
 
@@ -148,37 +155,55 @@ def roots(read_rows: DataFrame) -> DataFrame:
 
 def descend(
     rows: DataFrame, levels: int, enter: Callable[[DataFrame], DataFrame] | None = None, whole: Callable[[Column], Column] | None = None,
-    of_use: Callable[[Column, Column], Column] | None = None, read_of: list[str] | None = None,
+    of_use: Callable[[Column, Column], Column] | None = None, read_of: list[str] | None = None, stays: Column | None = None,
+    useful: Callable[[Column, Column, int], Column] | None = None,
 ) -> DataFrame:
     """All nodes at and below the given fresh ones; ``enter`` gives each level's new rows (``fresh``) what they take from the node above.
 
-    ``enter`` finds the columns of the node above as they were and must keep them for rows that are not fresh.
+    ``enter`` finds the columns of the node above as they were; what it gives rows that are not fresh is not used.
     Of the columns of ``roots`` only those that the rows have are made. ``v`` is kept of scalars, and of containers
-    whose name ``whole`` accepts. Members and items that ``of_use`` refuses by name and value become no rows. If names are
+    whose name ``whole`` accepts. Members and items that ``of_use`` refuses by name and value become no rows; ``useful`` is told as well how many
+    levels of containers a value has at most, itself included. If names are
     given as ``read_of``, nobody reads the values and kinds of other scalars, nor ``m``: objects that hold scalars only and
-    none of these names are then not opened, and their members come by name alone, or not at all if there is ``of_use``. Rows that are done leave the chain wherever it is cut.
+    none of these names are then not opened, and their members come by name alone, or not at all if there is ``of_use``. Nodes for which ``stays`` does not hold are
+    left out once what lies below them is there. All columns of a node that is done travel as one struct, so a level
+    copies them at once. Rows that are done leave the chain wherever it is cut.
     """
     entry = "array<struct<name:string,item:int,v:variant>>"
     done: list[DataFrame] = []
-    by_name = read_of is not None and not of_use
+    if of_use and not useful:
+        useful = lambda name, v, _: of_use(name, v)
+    by_name = read_of is not None and not useful
     if by_name:
         rows = rows.withColumn("keys", no_texts())
+    # ``label`` is the name of a fresh node, for the items below it.
+    rows = rows.withColumn("label", F.col("name"))
+    opening = ["m", "a", "label", *(["keys"] if by_name else [])]
+    names = [c for c in rows.columns if c not in ("fresh", *opening)]
+    kept_back = F.lit(True) if stays is None else F.coalesce(stays, F.lit(False))
+    rows = rows.select("fresh", F.struct(*names).alias("node"), kept_back.alias("stay"), *opening)
     for level in range(levels):
         if level and level % TOGETHER == 0:
-            rows = cut(rows)
-            done.append(rows.where("NOT fresh").drop("m", "a", "keys"))
+            rows = cut_long(rows)
+            done.append(rows.where("NOT fresh").select("node.*"))
             rows = rows.where("fresh")
         named = F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), F.lit(None).cast("int").alias("item"), e["value"].alias("v")))
         numbered = F.transform("a", lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), i.alias("item"), x.alias("v")))
-        if of_use:
-            named, numbered = F.filter(named, lambda e: of_use(e["name"], e["v"])), F.filter(numbered, lambda e: of_use(F.col("name"), e["v"]))
+        if useful:
+            left = levels - level - 1
+            named, numbered = F.filter(named, lambda e: useful(e["name"], e["v"], left)), F.filter(numbered, lambda e: useful(F.col("label"), e["v"], left))
         if by_name:
             named = F.coalesce(named, F.when(F.size("keys") > 0, F.transform("keys", lambda k: F.struct(k.alias("name"), F.lit(None).cast("int").alias("item"), F.lit(None).cast("variant").alias("v")))))
-        below = F.when(F.col("fresh"), F.coalesce(named, numbered)).otherwise(F.array().cast(entry))
+        below = F.coalesce(named, numbered)
         itself = F.array(F.lit(None).cast("struct<name:string,item:int,v:variant>"))
-        # Never empty; as an outer one it is not looked through for a filter, which would make the array twice.
-        rows = rows.withColumn("c", F.explode_outer(F.concat(itself, F.coalesce(below, F.array().cast(entry)))))
+        both = F.flatten(F.array(itself, F.coalesce(below, F.array().cast(entry))))
+        below = both if stays is None else F.when(F.col("stay"), both).otherwise(below)
+        # Nothing below is one row without a member, the node itself; as an outer one it is not looked through for a filter, which would make the array twice.
+        rows = rows.select("node", "stay", F.explode_outer(F.when(F.col("fresh"), below)).alias("c"))
+        if stays is not None:
+            rows = rows.where("c IS NOT NULL OR stay")
         new, own = F.col("c").isNotNull(), F.col("c.item").isNotNull()
+        rows = rows.select("node", "stay", "c", *[F.col("node").getField(n).alias(n) for n in names])
         token = F.when(own, F.col("c.item").cast("string")).otherwise(F.col("c.name"))
         sorted_ = F.when(own, F.lpad(F.col("c.item").cast("string"), 10, "0")).otherwise(F.lit(""))
         name = F.when(own, F.col("name")).otherwise(F.col("c.name"))
@@ -186,36 +211,41 @@ def descend(
         spot = lambda last: F.concat("deep", F.array(name, F.lit(last), sorted_))
         # Columns of their own, so that a value is opened once however many columns ask for it.
         value = F.col("c.v")
-        if read_of is None:
+        if level + 1 == levels:
+            # No document is nested deeper, so what is here is no container.
+            never = lambda kind: F.lit(None).cast(kind)
+            rows = rows.withColumns({"c_m": never("map<string,variant>"), "c_a": never("array<variant>"), "c_o": never(f"map<string,{SHELL}>")})
+            held = F.lit(False)
+        elif read_of is None:
             rows = rows.withColumns({"c_m": members(value), "c_a": items(value)})
             held = F.col("c_m").isNotNull()
         else:
             # A scalar is no object, and its members are asked for no further.
             rows = rows.withColumns({"c_o": shells(value), "c_a": items(value)})
             held = F.col("c_o").isNotNull()
-            asked = F.arrays_overlap(F.map_keys("c_o"), F.array(*map(F.lit, read_of))) if read_of else F.lit(False)
-            some = lambda x: F.array_size(F.array_compact(F.map_values(x))) > 0
-            opened = asked | some(F.col("c_o")) | some(F.try_variant_get(value, "$", f"map<string,array<{SHELL}>>"))
+            # A container of the deepest level holds scalars only.
+            opened = is_read(F.col("c_o"), value, read_of, level + 2 < levels)
             rows = rows.withColumn("c_m", F.when(held & opened, members(value)))
         m, a = F.col("c_m"), F.col("c_a")
         bare = ~held & a.isNull()
         rows = rows.withColumn("c_said", F.when(bare, F.schema_of_variant(F.col("c.v"))))
         kind = F.when(held, "object").when(a.isNotNull(), "array").otherwise(_kind_of(F.col("c_said")))
-        array = new & ~own & a.isNotNull()
+        array = ~own & a.isNotNull()
         kept = bare | whole(name) if whole else bare
         made = {
             "depth": lambda: F.col("depth") + 1, "above": lambda: F.col("raw"), "pointer": lambda: F.concat("pointer", F.lit("/"), _escaped(token)), "raw": lambda: F.concat("raw", F.lit("/"), token),
             "name": lambda: name, "item": lambda: F.col("c.item"), "order": lambda: F.concat("order", F.array(F.when(own, sorted_).otherwise(token))), "place": lambda: spot("0"),
             "v": lambda: F.when(kept, F.col("c.v")), "jtype": lambda: kind, "leaf": lambda: bare, "size": lambda: F.coalesce(F.size(m), F.size(a), F.lit(0)),
         }
-        special = {"fresh": new, "deep": F.when(array, F.col("deep")).otherwise(F.when(new, spot("1")).otherwise(F.col("deep"))) if "deep" in rows.columns else None, "m": F.when(new, m), "a": F.when(new, a)}
-        if by_name:
-            special["keys"] = F.when(new & m.isNull(), F.map_keys("c_o"))
-        rows = rows.select(*[
-            special[c].alias(c) if c in special else F.when(new, made[c]()).otherwise(F.col(c)).alias(c) if c in made else F.col(c) for c in rows.columns if c not in ("c", "c_m", "c_a", "c_o", "c_said")
-        ])
+        made |= {"deep": lambda: F.when(array, F.col("deep")).otherwise(spot("1"))}
+        opens = {"m": F.when(new, m), "a": F.when(new, a), "label": F.when(new, name), "keys": F.when(new & m.isNull(), F.map_keys("c_o")) if by_name else None}
+        rows = rows.select(
+            new.alias("fresh"), "node", "stay", *[opens[c].alias(c) for c in opening], *[F.when(new, made[c]()).alias(c) if c in made else F.col(c) for c in names]
+        )
         rows = enter(rows) if enter else rows
-    rows = rows.drop("m", "a", "keys")
+        fresh = F.col("fresh")
+        rows = rows.select("fresh", F.when(fresh, F.struct(*names)).otherwise(F.col("node")).alias("node"), F.when(fresh, kept_back).otherwise(True).alias("stay"), *opening)
+    rows = (rows if stays is None else rows.where("stay")).select("node.*")
     for part in done:
         rows = rows.unionByName(part)
     return rows
@@ -241,7 +271,7 @@ def shred(documents: DataFrame, *wanted: str) -> DataFrame:
     which saves carrying the others down. Texts are parsed once.
     """
     columns = wanted or tuple(MADE_FROM)
-    rows = cut(read(documents))
+    rows = cut_long(read(documents))
     used = {"doc_id", "fresh", "m", "a", "name", *(x for c in columns for x in MADE_FROM[c])}
     top = roots(rows)
     found = descend(top.select(*[c for c in top.columns if c in used]), levels_of(rows), read_of=None if used & {"v", "jtype", "size"} else [])

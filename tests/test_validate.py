@@ -545,3 +545,43 @@ def test_moves_are_paired_without_another_join_of_the_runs(spark):
         ("removed", "/e", None, False), ("added", None, "/f", False),
     ]))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join FullOuter") == 2
+
+
+def test_objects_that_no_step_can_stand_on_become_no_rows(spark):
+    from assayer.operators import evaluate as ev
+    from assayer.operators.shred import read
+    from assayer.plans import tables as t
+
+    texts = {
+        "a": '{"order":{"number":1,"priority":"p","lines":[{"flag":"R"},{"flag":"N"}]}}', "b": '{"order":{"number":2,"priority":"p","lines":[{"orders":[{"number":3,"priority":"p"}]},{"x":[[1]]}]}}',
+        "c": '{"order":{"number":4,"priority":"q","x":[1,[2]]}}',
+    }
+    docs = from_texts(spark, texts)
+    rules = t.order_pack([{"kind": "is-unique", "context": "order", "target": ".[@priority='p']", "keys": ["@number"], "identifier": "r"}])
+    numbers = rules.evaluated()
+    found = ev.evaluate(docs, rules, ("selected",)).collect()
+    assert sorted((r["doc_id"], r["pointer"], r["key"]) for r in found) == [("a", "/order", '["1"]'), ("b", "/order", '["2"]'), ("b", "/order/lines/0/orders/0", '["3"]')]
+    rows = ev._models(read(docs.where("doc_id = 'a'")), sorted(rules.schema.models))
+    nodes = ev.typed_nodes(rows, rules, False, ev._tests(rules, numbers), numbers, ev._used({"selected"}, numbers), ())
+    assert nodes.count() == 3  # the document, the order and its list of lines, none of which becomes a row
+
+
+def test_only_nodes_of_use_stay_in_the_descent(spark):
+    from assayer.operators import shred
+
+    docs = from_texts(spark, {"d": '{"o":{"s":"x","l":[{"k":1},[2]]},"e":{}}'})
+    rows = shred.read(docs)
+    top = shred.roots(rows).select("doc_id", "fresh", "m", "a", "name", "raw", "depth", "item", "leaf")
+    whole = {r["raw"] for r in shred.descend(top, shred.levels_of(rows)).where("leaf").collect()}
+    kept = [r["raw"] for r in shred.descend(top, shred.levels_of(rows), stays=F.col("leaf")).collect()]
+    assert sorted(kept) == sorted(whole) == ["/o/l/0/k", "/o/l/1/0", "/o/s"]
+
+
+def test_long_cuts_leave_the_setting_as_it_was(spark):
+    from assayer import durable
+
+    was = spark.conf.get(durable.INFERRING)
+    assert durable.cut_long(spark.range(3).where("id > 1")).count() == 1 and spark.conf.get(durable.INFERRING) == was
+    with pytest.raises(Exception):
+        durable.cut_long(spark.range(1).select(F.raise_error(F.lit("x"))))
+    assert spark.conf.get(durable.INFERRING) == was
