@@ -108,12 +108,18 @@ def selections(facts: DataFrame, pack: RulePack, *kinds: str) -> DataFrame:
     return of_kind(facts, "selected", "value").drop("kind").join(F.broadcast(table), "rule")
 
 
+def numbers(pack: RulePack, *kinds: str) -> list[int]:
+    """Numbers of the constraints of these kinds."""
+    return [k for k, c in enumerate(pack.constraints) if c.kind in kinds]
+
+
 def uniqueness(facts: DataFrame, pack: RulePack) -> DataFrame:
     """Within one context, every node that repeats a key of an earlier node."""
-    rows = selections(facts, pack, "is-unique", "index")
+    rows = of_kind(facts, "selected", "value").where(F.col("rule").isin(*numbers(pack, "is-unique", "index")))
     order = Window.partitionBy("doc_id", "rule", "context", "key").orderBy("alternative", "place", "ord")
     first = F.first("pointer").over(order)
-    repeated = rows.withColumn("used", first).where(F.col("pointer") != F.col("used"))
+    # What the constraint says meets the few that repeat a key, so the window moves none of it.
+    repeated = selections(rows.withColumn("used", first).where(F.col("pointer") != F.col("used")), pack, "is-unique", "index")
     return repeated.select(
         "doc_id", F.lit("CONSTRAINT_NOT_UNIQUE").alias("code"), "severity", F.col("pointer").alias("location"), F.col("fields").alias("prop"),
         shown_key(F.col("key")).alias("value"),
@@ -176,11 +182,10 @@ def cardinality(facts: DataFrame, pack: RulePack) -> DataFrame:
     A context and each of its nodes is one fact, so one count over both kinds of facts gives all numbers, zero too.
     """
     table = rules_table(facts.sparkSession, pack).where("rule_kind = 'has-cardinality'")
-    rows = of_kind(facts, "context", "selected").join(F.broadcast(table), "rule")
+    rows = of_kind(facts, "context", "selected").where(F.col("rule").isin(*numbers(pack, "has-cardinality")))
     is_node = F.col("kind") == "selected"
     rows = rows.withColumn("context", F.when(is_node, F.col("context")).otherwise(F.col("pointer")))
-    said = ("severity", "target", "citation", "at_least", "at_most")
-    rows = rows.groupBy("doc_id", "rule", "context", *said).agg(F.count(F.when(is_node, 1)).alias("n"))
+    rows = rows.groupBy("doc_id", "rule", "context").agg(F.count(F.when(is_node, 1)).alias("n")).join(F.broadcast(table), "rule")
     outside = F.coalesce(F.col("n") < F.col("at_least"), F.lit(False)) | F.coalesce(F.col("n") > F.col("at_most"), F.lit(False))
     bounds = F.concat_ws(" and ", text("at least ", F.col("at_least").cast("string")), text("at most ", F.col("at_most").cast("string")))
     return rows.where(outside).select(

@@ -577,6 +577,19 @@ def test_only_nodes_of_use_stay_in_the_descent(spark):
     assert sorted(kept) == sorted(whole) == ["/o/l/0/k", "/o/l/1/0", "/o/s"]
 
 
+def test_words_of_constraints_meet_only_what_repeats_a_key(spark):
+    from assayer.operators import checks, evaluate as ev
+    from assayer.plans import tables as t
+
+    facts = spark.createDataFrame([("d", "selected", f"/order/lines/{k}", 0, "/order", 0, [str(k)], '["1"]') for k in (0, 1)], "doc_id string, kind string, pointer string, rule int, context string, alternative int, place array<string>, key string")
+    facts = facts.select(*[F.col(n) if n in facts.columns else F.lit(None).cast(k).alias(n) for n, k in {"doc_id": "string", **ev.TYPES}.items()])
+    rules = t.order_pack([{"kind": "is-unique", "context": "order", "target": "line", "keys": ["@linenumber"], "identifier": "one-line"}])
+    found = checks.uniqueness(facts, rules)
+    assert [(r["location"], r["value"]) for r in found.collect()] == [("/order/lines/1", "1")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join") < plan.index("Window")
+
+
 def test_long_cuts_leave_the_setting_as_it_was(spark):
     from assayer import durable
 
