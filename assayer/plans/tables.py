@@ -234,7 +234,9 @@ def trade_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = people.groupBy("c_nationkey", "b").agg(F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("number"), F.col("c_mktsegment").alias("segment")))).alias("customers"))
     href = F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"), F.lit("-"), F.col("b").cast("string"), F.lit(".json"))
     nations = listed.select(href.alias("doc_id"), F.to_json(F.struct(F.struct("customers").alias("nation"))).alias("text"))
-    orders = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    # Dealt anew, since the few columns read of a large file are few splits and what is made of each row is much more work than reading it.
+    dealt = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition("o_orderkey")
+    orders = dealt.join(people, F.col("o_custkey") == F.col("c_custkey"))
     body = F.struct(F.struct(F.array(F.struct(href.alias("href"))).alias("imports"), F.col("o_custkey").alias("customer")).alias("order"))
     return nations.unionByName(orders.select(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("doc_id"), F.to_json(body).alias("text")))
 

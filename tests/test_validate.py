@@ -590,6 +590,12 @@ def test_words_of_constraints_meet_only_what_repeats_a_key(spark):
     assert 0 <= plan.index("Join") < plan.index("Window")
 
 
+def test_orders_are_dealt_before_documents_are_made_of_them(spark, sf_dir):
+    from assayer.plans import tables as t
+
+    assert "RepartitionByExpression" in t.trade_documents(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_long_cuts_leave_the_setting_as_it_was(spark):
     from assayer import durable
 
