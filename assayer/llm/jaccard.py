@@ -17,8 +17,10 @@ One minus the similarity is a metric, and its triangle inequality carries the jo
 4. *Large regions* are split first, again and again: pivots drawn from their members make
    Voronoi cells, each member goes to its nearest pivot's cell and to those of pivots at most
    two radii farther, cells that lie within the radius of their pivot are done, and members of a
-   cell that no outsider can reach leave it. What does not become small is compared in blocks
-   of members dealt over tasks, all of them.
+   cell that no outsider can reach leave it. Where all members are near each other every cell
+   holds them all; a split that does not halve the rows to join is not made. What does not become
+   small is compared in blocks of members dealt over tasks, all of them but for the largest part
+   that links already connect, which meets only the others.
 
 Components of the links come from star contractions. Equal sets are one node, so copies cost
 no pairs. Shingles are known by 64-bit hashes, sets by 128-bit hashes.
@@ -143,6 +145,8 @@ class Region:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         known, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
         self.marks = np.zeros(len(known), dtype=np.int32)
+        #: How many shingles of each set another one of the region has: no more are shared with any.
+        self.met = np.add.reduceat((np.bincount(self.ids) > 1)[self.ids].astype(np.int64), self.starts[:-1])
         self.root = np.arange(len(sets))
         self.found: list[tuple[int, int]] = []
         first: dict[int, int] = {}
@@ -172,21 +176,27 @@ class Region:
                 self.root[self.root == self.root[j]] = self.root[i]
         return linked
 
+    def possible(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The others that may be linked with ``i`` and that no links connect with it."""
+        enough = (100 + PERCENT) * np.minimum(self.met[others], self.met[i]) >= PERCENT * (self.sizes[others] + self.sizes[i])
+        return others[enough & (self.root[others] != self.root[i])]
+
     def join(self) -> list[tuple[int, int]]:
         """Links that connect all that the links of the region connect."""
         n = len(self.sizes)
-        every, reached, pivots, distances = np.arange(n), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), []
-        for i in range(n):
+        every, reached, left, distances = np.arange(n), np.zeros(n, dtype=bool), np.ones(n, dtype=bool), []
+        # Sets that have the fewest shingles of their own reach the most others.
+        for i in np.argsort(self.met - self.sizes, kind="stable")[::-1].tolist():
             if not reached[i]:
-                got = self.shared(i)
-                reached |= self.link(i, every, got)
-                pivots[i] = True
-                distances.append((1 - got / (self.sizes[i] + self.sizes - got)).astype(np.float32))
+                left[i] = False
+                if len(self.possible(i, every)):
+                    got = self.shared(i)
+                    reached |= self.link(i, every, got)
+                    distances.append((1 - got / (self.sizes[i] + self.sizes - got)).astype(np.float32))
         table = np.array(distances)
-        rest = every[~pivots]
+        rest = every[left]
         for at, i in enumerate(rest.tolist()):
-            later = rest[at + 1 :]
-            later = later[(self.root[later] != self.root[i]) & (100 * np.minimum(self.sizes[later], self.sizes[i]) >= PERCENT * np.maximum(self.sizes[later], self.sizes[i]))]
+            later = self.possible(i, rest[at + 1 :])
             if len(later):
                 later = later[np.abs(table[:, later] - table[:, i : i + 1]).max(axis=0) <= RADIUS + EDGE]
             if len(later):
@@ -229,7 +239,7 @@ def _join_regions(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _distances(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """region, node, n, pivot and d: the distance of each member from every pivot of its region."""
+    """region, node, n, pivot, d and linked: the distance of each member from every pivot of its region, and whether they are linked."""
     draw = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
     chosen = members.select("region", "node", draw.alias("draw")).where(F.col("draw") <= PIVOTS).select("region", F.col("node").alias("pivot"))
     known = cut(chosen.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs")), "pivot"))
@@ -237,48 +247,77 @@ def _distances(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = []
+            far, linked = [], []
             for one, other in zip(_rows_of(batch.column("shingles")), _rows_of(batch.column("theirs")), strict=True):
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 far.append(1 - both / (len(one) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "node", "n", "pivot")), pa.array(far, pa.float64())], names=["region", "node", "n", "pivot", "d"])
+                linked.append(100 * both >= PERCENT * (len(one) + len(other) - both))
+            kept = [batch.column(c) for c in ("region", "node", "n", "pivot")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["region", "node", "n", "pivot", "d", "linked"])
 
-    return cut(pairs.select("region", "node", "n", "pivot", "shingles", "theirs").mapInArrow(run, "region long, node long, n long, pivot long, d double"))
+    return cut(pairs.select("region", "node", "n", "pivot", "shingles", "theirs").mapInArrow(run, "region long, node long, n long, pivot long, d double, linked boolean"))
 
 
 def _split(members: DataFrame, sets: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Links with pivots, and the members (region, node, n, held) of the Voronoi cells that are left to join."""
+    """Links with pivots, and the members (parent, region, node, n, held) of the Voronoi cells that are left to join; parent is the region that was split."""
     far = _distances(members, sets, turn)
     least = far.groupBy("region", "node").agg(F.min("d").alias("least"))
     cell = F.xxhash64("region", "pivot").alias("cell")
     inside = far.join(least, ["region", "node"]).where(F.col("d") <= F.col("least") + 2 * RADIUS + EDGE)
-    cells = inside.select(cell, "node", "n", "d", F.when(F.col("d") <= RADIUS - EDGE, F.col("pivot")).alias("held"))
+    cells = inside.select("region", cell, "node", "n", "d", F.when(F.col("d") <= RADIUS - EDGE, F.col("pivot")).alias("held"))
     outside = cells.where("held IS NULL").groupBy("cell").agg(F.min("d").alias("edge"))
     left = cells.join(outside, "cell").where(F.col("d") >= F.col("edge") - RADIUS - EDGE)
-    return far.where((F.col("d") <= RADIUS + EDGE) & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")), left.select(F.col("cell").alias("region"), "node", "n", "held")
+    near = far.where(F.col("linked") & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    return near, left.select(F.col("region").alias("parent"), F.col("cell").alias("region"), "node", "n", "held")
+
+
+def _blocks() -> Column:
+    """Blocks that a group of members needs, of which one task joins two."""
+    return F.ceil(F.greatest(2 * F.sum("n") / REGION_SHINGLES, 2 * F.count("*") / REGION_MEMBERS)).cast("int")
+
+
+def _whole(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """The regions whose cells have more than half of the rows that blocks of the region itself would have."""
+    rows = F.count("*") * F.when(_blocks() > 2, _blocks()).otherwise(1)
+    before = members.groupBy("region").agg(rows.alias("before"))
+    after = cells.groupBy(F.col("parent"), F.col("region").alias("cell")).agg(rows.alias("rows")).groupBy(F.col("parent").alias("region")).agg(F.sum("rows").alias("after"))
+    return before.join(after, "region").where(2 * F.col("after") > F.col("before")).select("region")
 
 
 def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of regions of two or more that one task joins, and those of larger regions with the number of blocks that they need."""
-    blocks = F.ceil(F.greatest(2 * F.sum("n") / REGION_SHINGLES, 2 * F.count("*") / REGION_MEMBERS)).cast("int")
-    sizes = members.groupBy("region").agg(blocks.alias("blocks"), F.count("*").alias("size"))
+    sizes = members.groupBy("region").agg(_blocks().alias("blocks"), F.count("*").alias("size"))
     known = members.join(sizes.where("size > 1"), "region").drop("size")
     return known.where("blocks <= 2").drop("blocks"), known.where("blocks > 2")
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """Each pair of blocks of a large region as a region of its own; every two members meet in one."""
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("block", block).withColumn("other", met)
+def _in_blocks(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Each pair of blocks of a large region as a region of its own; every two members that no links found connect meet in one.
+
+    The largest part of a region that links connect has blocks of its own, which meet only those of the others.
+    """
+    known = cut(components(found, "a", "b"))
+    held = cut(members.drop("held").join(known.withColumnRenamed("root", "held"), "node", "left"))
+    parts = held.where("held IS NOT NULL").groupBy("region", "held").agg(F.count("*").alias("size"))
+    main = parts.groupBy("region").agg(F.max(F.struct("size", "held")).getField("held").alias("main"))
+    dealt = held.join(main, "region", "left").withColumn("inside", F.coalesce(F.col("held") == F.col("main"), F.lit(False))).drop("main")
+    sizes = dealt.groupBy("region", "inside").agg(_blocks().alias("blocks"))
+    outer = sizes.where("NOT inside").select("region", F.col("blocks").alias("outer"))
+    inner = sizes.where("inside").select("region", F.col("blocks").alias("inner"))
+    # Regions without outsiders are connected. Blocks of outsiders come first, then those of the main part.
+    dealt = dealt.join(outer, "region").join(inner, "region", "left").withColumn("inner", F.coalesce("inner", F.lit(0)))
+    hashed = F.xxhash64("node")
+    block = F.when(F.col("inside"), F.col("outer") + F.pmod(hashed, F.greatest("inner", F.lit(1)))).otherwise(F.pmod(hashed, F.col("outer"))).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1))
+    dealt = dealt.withColumn("block", block).withColumn("other", met)
     return dealt.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "node", "n", "held")
 
 
-def _checked(links: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links whose sets have the similarity in whole numbers."""
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"), F.col("n").alias(f"n{s}"))
-    both = links.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.where(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b")
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -286,23 +325,25 @@ def links(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = _sets(docs, _partnered(rows, nodes))
     members = cut(_regions(sets).withColumn("held", F.lit(None).cast("long")))
     small, large = _sized(members)
-    found, parts = [], [small]
+    found, parts, kept = [], [small], []
     for turn in range(SPLITS):
         if large.isEmpty():
             break
-        near, cells = _split(large.drop("blocks"), sets, turn)
-        found.append(cut(_checked(near, sets)))
-        small, large = _sized(cut(cells))
+        large = cut(large.drop("blocks"))
+        near, cells = _split(large, sets, turn)
+        found.append(cut(near))
+        cells = cut(cells)
+        whole = cut(_whole(large, cells))
+        kept.append(large.join(whole, "region", "left_semi"))
+        small, large = _sized(cells.join(whole.withColumnRenamed("region", "parent"), "parent", "left_anti").drop("parent"))
         parts.append(small)
-    else:
-        if not large.isEmpty():
-            parts.append(_in_blocks(large))
     for part in parts:
         found.append(cut(_join_regions(part, sets)))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    if kept:
+        rest = cut(_all([*kept, large.drop("blocks")]))
+        if not rest.isEmpty():
+            found.append(cut(_join_regions(_in_blocks(rest, _all(found)), sets)))
+    return _all(found)
 
 
 #: A set is common if more than the thousandth part of all rows have it; there are fewer than a thousand of these.

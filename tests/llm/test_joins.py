@@ -89,6 +89,24 @@ def test_join_matches_brute_force(spark, make_docs, monkeypatch, limits):
     assert Counter(map(tuple, jaccard.near_duplicates(make_docs(docs)).collect())) == joined(docs)
 
 
+def test_splits_that_do_not_pay_are_not_made(spark, make_docs, monkeypatch):
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(90)]
+    docs = []
+    for i in range(120):
+        words = base.copy()
+        for _ in range(rnd.randrange(5)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(40)}"
+        docs.append((i, " ".join(words)))
+    for name, value in (("REGION_MEMBERS", 24), ("SPLITS", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    made, dealt, regions, join = [], [], jaccard._regions, jaccard._join_regions
+    monkeypatch.setattr(jaccard, "_regions", lambda sets: made.append(regions(sets)) or made[0])
+    monkeypatch.setattr(jaccard, "_join_regions", lambda members, sets: dealt.append(members.count()) or join(members, sets))
+    assert Counter(map(tuple, jaccard.near_duplicates(make_docs(docs)).collect())) == joined(docs)
+    assert sum(dealt) <= 12 * made[0].count()  # each of 16 cells of two splits held nearly all of them before
+
+
 def test_join_of_the_data(spark, sf_dir):
     docs = [tuple(r) for r in load(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     found = queries.op11_jaccard_join(spark, sf_dir)
